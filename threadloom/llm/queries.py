@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op8_packing
+from .quality import op7_quality_rules
 from .sharding import op10_sharding
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op8_packing, op10_sharding)
+    f.__name__: f for f in (op4_token_counts, op7_quality_rules, op8_packing, op10_sharding)
 }
 
 #: DuckDB SQL of the queries that it can express.
