@@ -54,14 +54,11 @@ class Kept(dict):
         if len(self) + len(keys) > self.most:
             self.old = dict(self)
             self.clear()
-        new = []
-        for k in keys:
-            if k not in self:
-                v = self.old.get(k)
-                if v is None:
-                    new.append(k)
-                else:
-                    self[k] = v
+        new = list(keys.difference(self))
+        if self.old:
+            again = [k for k in new if k in self.old]
+            self.update((k, self.old[k]) for k in again)
+            new = list(set(new).difference(again))
         if new:
             self.update(zip(new, make(new), strict=True))
 

@@ -165,7 +165,7 @@ class Packer:
 
 
 #: Distinct chunks, and distinct pieces of them, that a worker remembers in each of two generations.
-CHUNKS = 250_000
+CHUNKS = 500_000
 #: The tokenizer's pieces, for printable text below U+0250.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|\n|(?:[^\s\w]|_)+")
 ODD = re.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u024f]|\\|>")
