@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op5_mixing
 from .near import op3_ngram_jaccard_join
 from .packing import op8_packing
 from .quality import op7_quality_rules
@@ -13,9 +14,10 @@ from .secrets import op6_secret_scans
 from .sharding import op10_sharding
 from .substrings import op9_substring_dedup
 from .token_counts import op4_token_counts
+from .url_filters import op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_jaccard_join, op4_token_counts, op6_secret_scans, op7_quality_rules, op8_packing, op9_substring_dedup, op10_sharding)
+    f.__name__: f for f in (op1_url_filters, op3_ngram_jaccard_join, op4_token_counts, op5_mixing, op6_secret_scans, op7_quality_rules, op8_packing, op9_substring_dedup, op10_sharding)
 }
 
 #: DuckDB SQL of the queries that it can express.
