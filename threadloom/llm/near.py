@@ -161,17 +161,23 @@ NOISE = 0.2
 def leaders_of(sig: np.ndarray, near: float) -> tuple[list[int], list[tuple[int, int]]]:
     """Leader clustering in the given order: leaders, and links of rows to leaders.
 
-    A row within ``near`` of no earlier leader leads. Rows link to all leaders
-    within reach of two steps, so any two rows that are similar to each other
-    are joined through the leader of one of them.
+    A row within ``near`` of no earlier leader leads. Rows are joined to all
+    leaders within reach of two steps, so any two rows that are similar to each
+    other are joined through the leader of one of them. Links form a forest.
     """
     reach = max(0.0, 2 * near - 1) - NOISE
     leaders: list[int] = []
+    part = np.zeros(len(sig), np.int64)  # of each leader: the part it has been joined to
     links: list[tuple[int, int]] = []
     for i in range(len(sig)):
         alike = (sig[leaders] == sig[i]).mean(1) if leaders else np.zeros(0)
-        links += [(i, leaders[k]) for k in np.flatnonzero(alike >= reach)]
+        parts, first = np.unique(part[: len(leaders)][alike >= reach], return_index=True)
+        hits = np.flatnonzero(alike >= reach)[first]
+        links += [(i, leaders[k]) for k in hits]  # one link to each part is enough
+        if len(parts) > 1:
+            part[: len(leaders)][np.isin(part[: len(leaders)], parts)] = parts[0]
         if not (alike >= near).any():
+            part[len(leaders)] = parts[0] if len(parts) else len(leaders)
             leaders.append(i)
     return leaders, links
 
