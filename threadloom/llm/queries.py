@@ -13,11 +13,12 @@ from .quality import op7_quality_rules
 from .secrets import op6_secret_scans
 from .sharding import op10_sharding
 from .substrings import op9_substring_dedup
+from .topk import op2_exact_topk
 from .token_counts import op4_token_counts
 from .url_filters import op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_ngram_jaccard_join, op4_token_counts, op5_mixing, op6_secret_scans, op7_quality_rules, op8_packing, op9_substring_dedup, op10_sharding)
+    f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_ngram_jaccard_join, op4_token_counts, op5_mixing, op6_secret_scans, op7_quality_rules, op8_packing, op9_substring_dedup, op10_sharding)
 }
 
 #: DuckDB SQL of the queries that it can express.
