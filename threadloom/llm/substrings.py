@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Groups of documents per shuffle partition: the unit that a task holds at a time.
-GROUPS = 8
+GROUPS = 2
 #: Entries that a batch gathers before it deals them out.
 GATHER = 1 << 21
 _LAST = np.iinfo(np.int64).max
