@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes up at a time; one longer text is taken whole.
 SLICE_BYTES = 1 << 20
@@ -42,6 +43,11 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has no more than so many rows, else as it is: joins then shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Kept(dict):
     """A bounded memory of what was made of a key: two generations, so frequent keys stay."""
 

@@ -174,7 +174,9 @@ def rate_of(steps: list[list[float]]) -> Column:
     if not steps:
         return F.lit(1.0)
     held = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    return F.aggregate(held, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((F.col(p) * F.get(g, F.lit(i)) for i, p in enumerate(P)), F.lit(0.0))))
+    # the posteriors are bound outside the fold, which would else compute them anew in every step
+    fold = lambda s: F.aggregate(held, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((s[p] * F.get(g, F.lit(i)) for i, p in enumerate(P)), F.lit(0.0))))
+    return F.get(F.transform(F.array(F.struct(*P)), fold), F.lit(0))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Column, list[list[float]], DataFrame]:
@@ -193,5 +195,5 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
     """The rows of ``docs``, whole, drawn by their rates: by hash of id, a share of ``rate``; all from a rate of 0.9 on."""
     model, steps, _ = mixed(docs, labels, mix)
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), 11).cast("double") * F.lit(2.0**-53)
-    scored = posteriors(docs, model, mix)
-    return scored.filter(u * 0.9 < rate_of(steps)).select(*docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), "doc_id", "text")
+    return posteriors(rows, model, mix).filter(u * 0.9 < rate_of(steps)).select("__row.*")

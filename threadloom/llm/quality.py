@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -107,18 +108,21 @@ def text_stats(w: common.Words) -> dict[str, np.ndarray]:
     return out | dict(zip(X, vector, strict=True))
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row of statistics per document, in one pass over the texts."""
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, " + ", ".join(f"{x} double" for x in X)
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", whole: bool = False) -> DataFrame:
+    """One row of statistics per document, in one pass over the texts; with ``whole``, the row itself too, as ``row``."""
+    fields = T.StructType([T.StructField("row", docs.schema)]).simpleString()[len("struct<") : -1] if whole else ""
+    schema = fields + ", " * whole + "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, " + ", ".join(f"{x} double" for x in X)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in common.batches_of(batch, text):
                 made = text_stats(w)
                 columns = [batch.column(c).slice(i, j - i).cast(t) for c, t in ((key, pa.int64()), (lang, pa.string()), (source, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, made.values())], names=["doc_id", "lang", "source", *made])
+                row = [batch.column("__row").slice(i, j - i)] if whole else []
+                yield pa.RecordBatch.from_arrays([*row, *columns, *map(pa.array, made.values())], names=["row"] * whole + ["doc_id", "lang", "source", *made])
 
-    return docs.select(key, text, lang, source).mapInArrow(run, schema)
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("__row")] if whole else []
+    return docs.select(*row, key, text, lang, source).mapInArrow(run, schema)
 
 
 def _same_group(left: DataFrame, right: DataFrame) -> Column:
@@ -181,24 +185,36 @@ def _concentrate(stats: DataFrame, params: DataFrame, keep: float, scale: float)
     return _estimates(moments, scale)
 
 
-def judge(docs: DataFrame, keep: float = 0.75, alpha: float = 1e-6, steps: int = 3, least: int = 40, **columns: str) -> DataFrame:
-    """Statistics, ``base_failed``, squared distance ``d2`` and verdict ``kept`` of every row."""
-    stats = common.durable(statistics(docs, **columns))
-    near = chi2_quantile(keep, DIMS)
-    scale = keep / chi2_cdf(near, DIMS + 2)
+def estimate(stats: DataFrame, keep: float, steps: int) -> DataFrame:
+    """Minimum-covariance-determinant estimate of each group."""
+    scale = keep / chi2_cdf(chi2_quantile(keep, DIMS), DIMS + 2)
     params = _start(stats)
     for _ in range(steps):
         params = _concentrate(stats, params, keep, scale)
-    found = _with(stats, params)
+    return params
+
+
+def _verdict(stats: DataFrame, params: DataFrame, alpha: float, least: int) -> DataFrame:
     outlier = (F.col("n") >= least) & (F.col("d2") > chi2_quantile(1 - alpha, DIMS))
-    return found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False))).select("doc_id", *STATS, "base_failed", "kept", "d2", *X, *GROUP)
+    return _with(stats, params).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False)))
+
+
+def judge(docs: DataFrame, keep: float = 0.75, alpha: float = 1e-6, steps: int = 3, least: int = 40, **columns: str) -> DataFrame:
+    """Statistics, ``base_failed``, squared distance ``d2`` and verdict ``kept`` of every row."""
+    stats = common.durable(statistics(docs, **columns))
+    return _verdict(stats, estimate(stats, keep, steps), alpha, least).select("doc_id", *STATS, "base_failed", "kept", "d2", *X, *GROUP)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.read(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, that are not rejected. Ids that are not unique are judged together: all must be kept."""
-    rejected = judge(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__rejected"]), "left_anti")
+#: Groups whose estimates are broadcast; with more, the join with them shuffles.
+GROUPS = 20_000
+
+
+def keep_good(docs: DataFrame, keep: float = 0.75, alpha: float = 1e-6, steps: int = 3, least: int = 40) -> DataFrame:
+    """The rows of ``docs``, whole, that are not rejected. The texts are read twice in place of being shuffled."""
+    stats = common.durable(statistics(docs))
+    params = common.durable(estimate(stats, keep, steps))
+    return _verdict(statistics(docs, whole=True), common.small(params, GROUPS), alpha, least).filter("kept").select("row.*")
