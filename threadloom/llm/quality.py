@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -108,21 +107,32 @@ def text_stats(w: common.Words) -> dict[str, np.ndarray]:
     return out | dict(zip(X, vector, strict=True))
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", whole: bool = False) -> DataFrame:
-    """One row of statistics per document, in one pass over the texts; with ``whole``, the row itself too, as ``row``."""
-    fields = T.StructType([T.StructField("row", docs.schema)]).simpleString()[len("struct<") : -1] if whole else ""
-    schema = fields + ", " * whole + "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, " + ", ".join(f"{x} double" for x in X)
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row of statistics per document, in one pass over the texts."""
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, " + ", ".join(f"{x} double" for x in X)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in common.batches_of(batch, text):
                 made = text_stats(w)
                 columns = [batch.column(c).slice(i, j - i).cast(t) for c, t in ((key, pa.int64()), (lang, pa.string()), (source, pa.string()))]
-                row = [batch.column("__row").slice(i, j - i)] if whole else []
-                yield pa.RecordBatch.from_arrays([*row, *columns, *map(pa.array, made.values())], names=["row"] * whole + ["doc_id", "lang", "source", *made])
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, made.values())], names=["doc_id", "lang", "source", *made])
 
-    row = [F.struct(*(docs[c] for c in docs.columns)).alias("__row")] if whole else []
-    return docs.select(*row, key, text, lang, source).mapInArrow(run, schema)
+    return docs.select(key, text, lang, source).mapInArrow(run, schema)
+
+
+def _vectors(texts: pa.Array) -> pa.Array:
+    names = ["base_failed", *X]
+    data, offsets = common.text_buffers(texts)
+    made = [text_stats(common.Words(data, offsets[i : j + 1])) for i, j in common.slices(offsets)]
+    parts = [np.concatenate([m[c] for m in made]) if made else np.zeros(0, bool if c == "base_failed" else float) for c in names]
+    return pa.StructArray.from_arrays([pa.array(p) for p in parts], names=names)
+
+
+def vector_of(text: Column) -> Column:
+    """The base verdict and the vector of each text, beside rows that stay where they are."""
+    kinds = ", ".join(f"{x}: double" for x in X)
+    return F.arrow_udf(_vectors, f"struct<base_failed: boolean, {kinds}>")(text)
 
 
 def _same_group(left: DataFrame, right: DataFrame) -> Column:
@@ -217,4 +227,5 @@ def keep_good(docs: DataFrame, keep: float = 0.75, alpha: float = 1e-6, steps: i
     """The rows of ``docs``, whole, that are not rejected. The texts are read twice in place of being shuffled."""
     stats = common.durable(statistics(docs))
     params = common.durable(estimate(stats, keep, steps))
-    return _verdict(statistics(docs, whole=True), common.small(params, GROUPS), alpha, least).filter("kept").select("row.*")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *GROUP, vector_of(F.col("text")).alias("v")).select("row", *GROUP, "v.*")
+    return _verdict(rows, common.small(params, GROUPS), alpha, least).filter("kept").select("row.*")
