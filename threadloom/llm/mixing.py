@@ -118,7 +118,8 @@ def posteriors(docs: DataFrame, model: Column, mix: Mix) -> DataFrame:
     named = docs.withColumn("__words", words(F.col("text"))).withColumn("__m", model)
     hit = lambda h: (F.get(F.col("__m.quality.w"), h) != 0) | (F.get(F.col("__m.toxic.w"), h) != 0)
     hits = F.array_distinct(F.filter(F.transform("__words", lambda w: bucket(w, mix)), hit))
-    found = named.select(*docs.columns, F.size("__words").cast("long").alias("n_tokens"), hits.alias("__hits"), "__m")
+    # a generator of one row keeps the optimizer from computing the hits again wherever they are used
+    found = named.select(*docs.columns, F.size("__words").cast("long").alias("n_tokens"), "__m", F.explode(F.array(hits)).alias("__hits"))
     yes = {}
     for label in ("quality", "toxic"):
         score = _score(label)
@@ -129,9 +130,14 @@ def posteriors(docs: DataFrame, model: Column, mix: Mix) -> DataFrame:
     return found.select(*docs.columns, "n_tokens", *(s.alias(p) for s, p in zip(shares, P, strict=True)))
 
 
-def moved(rate: Column, step: list[float]) -> Column:
-    """One projected step: ``step`` holds each domain's weighted residual times the step size."""
-    return F.greatest(F.lit(0.0), rate - sum((F.col(p) * F.lit(g) for p, g in zip(P, step, strict=True)), F.lit(0.0)))
+def folded(start: Column, steps: list[list[float]]) -> Column:
+    """The rate that projected steps lead to: each holds every domain's weighted residual times the step size."""
+    if not steps:
+        return start
+    held = F.array(*[F.array(*map(F.lit, s)) for s in steps])
+    # the posteriors are bound outside the fold, which would else compute them anew in every step
+    fold = lambda s: F.aggregate(held, s["start"], lambda r, g: F.greatest(F.lit(0.0), r - sum((s[p] * F.get(g, F.lit(i)) for i, p in enumerate(P)), F.lit(0.0))))
+    return F.get(F.transform(F.array(F.struct(*P, start.alias("start"))), fold), F.lit(0))
 
 
 def fit_steps(table: DataFrame, mix: Mix) -> list[list[float]]:
@@ -153,30 +159,23 @@ def fit_steps(table: DataFrame, mix: Mix) -> list[list[float]]:
     scale = [1 / max(gram[f"g{i}{i}"], 1e-9 * everything) for i in d]
     bound = max(sum(abs(gram[f"g{i}{j}"]) * (scale[i] * scale[j]) ** 0.5 for j in d) for i in d)
     steps: list[list[float]] = []
-    now, rate, since = own, F.lit(1.0), table.withColumn("rate", F.lit(1.0))
-    for k in range(mix.steps):
+    now, since, done = own, table.withColumn("rate", F.lit(1.0)), 0
+    for _ in range(mix.steps):
         if max(abs(a - t) for a, t in zip(now, target, strict=True)) <= mix.tolerance * everything:
             break
-        step = [s * (a - t) / bound for s, a, t in zip(scale, now, target, strict=True)]
-        steps.append(step)
-        rate = moved(F.col("rate") if k % 8 == 0 else rate, step)
-        if k % 8 == 7:
-            since = common.durable(since.withColumn("rate", rate))
+        steps.append([s * (a - t) / bound for s, a, t in zip(scale, now, target, strict=True)])
+        rate = folded(F.col("rate"), steps[done:])
+        if len(steps) - done == 8:
+            since, done = common.durable(since.withColumn("rate", rate)), len(steps)
             rate = F.col("rate")
-        before, now = now, [x or 0.0 for x in since.agg(*(F.sum(F.col("n_tokens") * F.col(p) * rate) for p in P)).first()]
+        before, now = now, _totals(since.withColumn("r", rate))
         if max(abs(a - b) for a, b in zip(now, before, strict=True)) <= 0.01 * mix.tolerance * everything:
             break
     return steps
 
 
-def rate_of(steps: list[list[float]]) -> Column:
-    """The rate that the steps lead to, as one expression of the posteriors."""
-    if not steps:
-        return F.lit(1.0)
-    held = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    # the posteriors are bound outside the fold, which would else compute them anew in every step
-    fold = lambda s: F.aggregate(held, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((s[p] * F.get(g, F.lit(i)) for i, p in enumerate(P)), F.lit(0.0))))
-    return F.get(F.transform(F.array(F.struct(*P)), fold), F.lit(0))
+def _totals(table: DataFrame) -> list[float]:
+    return [x or 0.0 for x in table.agg(*(F.sum(F.col("n_tokens") * F.col(p) * F.col("r")) for p in P)).first()]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Column, list[list[float]], DataFrame]:
@@ -184,7 +183,7 @@ def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Column,
     model = classifier(docs, labels, mix).scalar()
     table = common.durable(posteriors(docs.select("doc_id", "text"), model, mix).drop("text"))
     steps = fit_steps(table, mix)
-    return model, steps, table.withColumn("rate", rate_of(steps))
+    return model, steps, table.withColumn("rate", folded(F.lit(1.0), steps))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,4 +195,5 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
     model, steps, _ = mixed(docs, labels, mix)
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), 11).cast("double") * F.lit(2.0**-53)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), "doc_id", "text")
-    return posteriors(rows, model, mix).filter(u * 0.9 < rate_of(steps)).select("__row.*")
+    scored = posteriors(rows, model, mix).withColumn("rate", folded(F.lit(1.0), steps))
+    return scored.filter(u * 0.9 < F.col("rate")).select("__row.*")
