@@ -165,7 +165,7 @@ class Packer:
 
 
 #: Distinct chunks, and distinct pieces of them, that a worker remembers in each of two generations.
-CHUNKS = 500_000
+CHUNKS, KEPT_PIECES = 400_000, 350_000
 #: The tokenizer's pieces, for printable text below U+0250.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|\n|(?:[^\s\w]|_)+")
 ODD = re.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u024f]|\\|>")
@@ -189,7 +189,7 @@ class Encoder:
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks, self.pieces = common.Kept(CHUNKS), common.Kept(CHUNKS)
+        self.chunks, self.pieces = common.Kept(CHUNKS), common.Kept(KEPT_PIECES)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
