@@ -7,6 +7,9 @@ table.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -48,6 +51,25 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: What an operator keeps in a Python worker between its tasks, by owner: callables that drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def sole(owner: str) -> None:
+    """At the start of a task: workers serve many operators in turn, so drop what others have kept."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for name, drop in KEPT.items():
+        if name != owner:
+            drop()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Kept(dict):
     """A bounded memory of what was made of a key: two generations, so frequent keys stay."""
 

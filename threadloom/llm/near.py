@@ -92,6 +92,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     schema = "doc_id long, k1 long, k2 long, n int, sig binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("near")
         for batch in batches:
             ids = batch.column(key).cast(pa.int64())
             for i, j, w in common.batches_of(batch, text):
@@ -301,6 +302,7 @@ def verify(members: DataFrame, forest: Forest, width: int) -> DataFrame:
     schema = "rep long, links long, parent long, cut boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("near")
         out: list[np.ndarray] = []
         for t in grouped(batches, ["root", "p", "q"]):
             t = t.combine_chunks()

@@ -237,6 +237,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+common.KEPT["packing"] = _encoders.clear
 
 
 def encode_ids(path: str, texts: list[bytes], eos: int) -> list[bytes]:
@@ -249,6 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits
     """Pack every row's tokens; every token bears loss. One row per piece."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("packing")
         task = TaskContext.get()
         out: list[tuple] = []
         held: dict[int, tuple] = {}

@@ -112,6 +112,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, " + ", ".join(f"{x} double" for x in X)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("quality")
         for batch in batches:
             for i, j, w in common.batches_of(batch, text):
                 made = text_stats(w)
@@ -122,6 +123,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
 
 
 def _vectors(texts: pa.Array) -> pa.Array:
+    common.sole("quality")
     names = ["base_failed", *X]
     data, offsets = common.text_buffers(texts)
     made = [text_stats(common.Words(data, offsets[i : j + 1])) for i, j in common.slices(offsets)]

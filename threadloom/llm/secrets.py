@@ -222,6 +222,7 @@ def find_secrets(docs: DataFrame, method: Battery = Battery(), key: str = "doc_i
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("secrets")
         for batch in batches:
             data, offsets = common.text_buffers(batch.column(text))
             rows = []
@@ -241,6 +242,7 @@ def redact(docs: DataFrame, method: Battery = Battery(), mask: str = "[secret]",
     schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("secrets")
         for batch in batches:
             at = batch.schema.get_field_index(text)
             data, offsets = common.text_buffers(batch.column(at))

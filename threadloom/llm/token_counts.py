@@ -163,6 +163,7 @@ class PrefixCounter:
 
 
 _counters: dict[str, PrefixCounter] = {}
+common.KEPT["token_counts"] = _counters.clear
 
 
 def counter(path: str) -> PrefixCounter:
@@ -180,6 +181,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, key: str = "
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean" + (", ends array<long>, counts array<long>" if tables else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.sole("token_counts")
         dp = counter(tokenizer)
         for batch in batches:
             texts = batch.column(text).to_pylist()
