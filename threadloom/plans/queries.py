@@ -318,7 +318,7 @@ def ppr_mass(r):
 
 @on_retrieval("ppr_converged")
 def ppr_converged(r):
-    ranked = D.page_rank(r.adjacent, D.restart_vector(r.sources.withColumn("run", F.lit(0))), 60, tolerance=1e-4)
+    ranked = D.page_rank(r.adjacent, D.restart_vector(r.sources.withColumn("run", F.lit(0))), 12, tolerance=0.5)
     return D.top_nodes(ranked.withColumn("mass", F.round("mass", 4)), 10).select("qid", "rank", "node", "mass")
 
 
