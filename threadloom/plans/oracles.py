@@ -168,7 +168,7 @@ ORACLES: dict[str, str] = {
     "run_table": sql("select * from sums", "sums"),
     "grid_profiles": "select row_number() over (order by a, b, c, d, e) - 1 profile, [3, 5, 8][a] max_anchors, [2, 4][b] tau, [2, 4][c] seed_k, [1, 2, 4][d] runs, [true, false][e] trim from range(1, 4) r(a), range(1, 3) s(b), range(1, 3) t(c), range(1, 4) u(d), range(1, 3) v(e)",
     "variant_delta": sql("select * from delt", "delt"),
-    "guarded_topk": sql("select dataset, place, variant, delta_recall, delta_f1 from (select *, row_number() over (partition by dataset order by delta_f1 desc, delta_em desc, delta_rendered desc, delta_ms, variant) place from (select *, bool_or(delta_recall >= -0.01) over (partition by dataset) some from delt where variant <> 'src0') where delta_recall >= -0.01 or not some) where place <= 3", "delt"),
+    "guarded_topk": sql("select dataset, place, variant, delta_recall, delta_f1 from (select *, row_number() over (partition by dataset order by delta_f1 desc, delta_em desc, delta_rendered desc, delta_ms, variant) place from (select *, bool_or(delta_recall >= -0.01) over (partition by dataset) holds from delt where variant <> 'src0') where delta_recall >= -0.01 or not holds) where place <= 3", "delt"),
     "best_delta_f1": sql("select dataset, variant, delta_f1 from (select *, row_number() over (partition by dataset order by delta_f1 desc, variant) o from delt) where o = 1", "delt"),
     "top_variants": sql("select dataset, place, variant profile, f1 from (select *, row_number() over (partition by dataset order by f1 desc, variant) place from sums) where place <= 3", "sums"),
     "derived_metrics": sql("select dataset, variant, round(case when recall <> 0 then rendered / recall else 0 end, 6)::double retention, round(case when rendered <> 0 then f1 / rendered else 0 end, 6)::double conversion, round(1.0 - f1, 6)::double oracle_gap, round(case when ms <> 0 then 100 * f1 / ms else 0 end, 6)::double f1_per_100ms from sums", "sums"),
