@@ -24,7 +24,18 @@ SLICE_BYTES = 1 << 20
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: Rows of an Arrow batch: texts are long, and the default of 10,000 makes batches of many megabytes on both sides.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches for tables of texts, unless the session has set its own size."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
