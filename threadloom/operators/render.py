@@ -81,15 +81,16 @@ def corridor_context(units: DataFrame, ranked: DataFrame, texts: DataFrame, ques
     Units rank by score + .35 overlap + .20 locality - .30 largest overlap with units placed before.
     """
     best = ranked.filter(F.col("place") <= corridors)
-    rows = units.join(best.select("qid", "corridor", "place", "score"), ["qid", "corridor"]).join(texts, ["qid", "node"]).join(questions.select("qid", F.col("text").alias("question")), "qid")
-    rows = rows.select("qid", "place", "score", "role", "pos", "node", "text", "unit_score", T.tokenize(F.col("text")).alias("tokens"), T.tokenize(F.col("question")).alias("asked"))
+    ends = F.array_join("anchors", " ↔ ") if "anchors" in ranked.columns else F.lit("")
+    rows = units.join(best.select("qid", "corridor", "place", "score", ends.alias("ends")), ["qid", "corridor"]).join(texts, ["qid", "node"]).join(questions.select("qid", F.col("text").alias("question")), "qid")
+    rows = rows.select("qid", "place", "score", "ends", "role", "pos", "node", "text", "unit_score", T.tokenize(F.col("text")).alias("tokens"), T.tokenize(F.col("question")).alias("asked"))
 
     def work(items: list[dict]) -> list[tuple]:
         seen: dict[str, set] = {}
         blocks = []
         for place in sorted({x["place"] for x in items}):
             mine = [x for x in items if x["place"] == place]
-            block = {"place": place, "score": mine[0]["score"], "main": [], "support": []}
+            block = {"place": place, "score": mine[0]["score"], "ends": mine[0]["ends"], "main": [], "support": []}
             for role, most in (("main", main), ("support", support)):
                 pool = [x for x in sorted((x for x in mine if x["role"] == role), key=lambda x: (x["pos"], x["node"])) if x["node"] not in seen]
                 value = []
@@ -110,13 +111,14 @@ def corridor_context(units: DataFrame, ranked: DataFrame, texts: DataFrame, ques
                     b[role].pop()
         lines = []
         for b in blocks:
-            lines.append(f"[Corridor {b['place']}] score={b['score']:.3f}")
+            lines.append(f"[Corridor {b['place']} | score={b['score']:.3f} | anchors={b['ends']}]")
             lines += [f"- {x['text']}" for x in b["main"]]
             if b["support"]:
                 lines += ["Support:", *(f"- {x['text']}" for x in b["support"])]
-        return [("\n".join(lines), count(), cut)]
+        ids = [x["node"] for b in blocks for role in ("main", "support") for x in b[role]]
+        return [("\n".join(lines), ",".join(ids), count(), cut)]
 
-    return _per_question(rows, ["score", "role", "pos", "node", "text", "unit_score", "tokens", "asked"], "place", work, "qid long, context string, units long, truncated boolean")
+    return _per_question(rows, ["score", "ends", "role", "pos", "node", "text", "unit_score", "tokens", "asked"], "place", work, "qid long, context string, unit_ids string, units long, truncated boolean")
 
 
 def excerpts(centers: DataFrame, sentences: DataFrame, before: int = 1, after: int = 1) -> DataFrame:

@@ -149,7 +149,8 @@ class Retrieval:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        align = self.mass.select("qid", "run", "node", F.explode(F.array(F.lit(None).cast("string"))).alias("source"), F.lit(0.0).alias("score")).filter("source is not null")
+        # alignment of a seed with an anchor: nearness, since all anchors walk together
+        align = self.distances.join(self.seeds.select("qid", "run", "node"), ["qid", "node"]).select("qid", "run", "source", "node", (1 / (1 + F.col("dist"))).alias("score"))
         return D.cut(C.pair_shortlist(self.seeds, self.sources, self.distances, align, self.similarity, TAU))
 
     @cached_property
@@ -159,7 +160,9 @@ class Retrieval:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return D.cut(C.corridor_scores(self.units, self.pairs, self.similarity))
+        scored = C.corridor_scores(self.units, self.pairs, self.similarity)
+        ends = self.pairs.select("qid", F.col("rank").alias("corridor"), F.array("source", "seed").alias("anchors"))
+        return D.cut(scored.join(ends, ["qid", "corridor"]))
 
     @cached_property
     def selected(self) -> DataFrame:
