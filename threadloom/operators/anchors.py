@@ -115,3 +115,20 @@ def reduced_edges(adjacent: DataFrame, keep: DataFrame) -> DataFrame:
     k = keep.select("qid", F.col("node")).distinct()
     one = adjacent.join(k.withColumnRenamed("node", "src"), ["qid", "src"], "left_semi")
     return one.join(k.withColumnRenamed("node", "dst"), ["qid", "dst"], "left_semi").select("qid", "src", "dst")
+
+
+def cache_reserve(sources: DataFrame, forward: DataFrame, back: DataFrame, adjacent: DataFrame, degree: DataFrame, most: int = 15) -> DataFrame:
+    """Reserve of each (qid, source) from support lists and neighbours, without a walk.
+
+    Linked units count 1 - .04 rank, what they link back to .82 - .06 rank -
+    .04 rank', plain neighbours .35 + .15 min(1, degree/20); the best of each
+    node. forward and back: qid, node, linked, rank (from 0).
+    """
+    wide = max(2 * most, 8)
+    one = sources.withColumnRenamed("source", "node").join(forward, ["qid", "node"]).filter(F.col("rank") < wide).select("qid", F.col("node").alias("source"), F.col("linked").alias("node"), F.col("rank").alias("r"))
+    near = one.select("qid", "source", "node", (1.0 - 0.04 * F.col("r")).alias("score"))
+    two = one.join(back.filter("rank < 2"), ["qid", "node"]).filter(F.col("linked") != F.col("source")).select("qid", "source", F.col("linked").alias("node"), (0.82 - 0.06 * F.col("r") - 0.04 * F.col("rank")).alias("score"))
+    beside = sources.join(adjacent.withColumnRenamed("src", "source"), ["qid", "source"]).select("qid", "source", F.col("dst").alias("node")).join(degree, ["qid", "node"]).select("qid", "source", "node", (0.35 + 0.15 * F.least(F.lit(1.0), F.col("degree") / 20)).alias("score"))
+    best = near.union(two).union(beside).groupBy("qid", "source", "node").agg(F.round(F.max("score"), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid", "source").orderBy(F.desc("score"), "node")).cast("long")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= most)

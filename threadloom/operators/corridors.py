@@ -192,3 +192,21 @@ def unit_features(selected: DataFrame, units: DataFrame, ranked: DataFrame, ques
         F.coalesce("corridors", F.lit(0)).cast("long").alias("corridors"), F.size(F.array_intersect("asked", T.content_tokens(F.col("text")))).cast("long").alias("overlap"),
         F.round(F.greatest(1.0 / (F.col("pos") + 1), F.coalesce("local", F.lit(0.0))), 6).alias("locality"), F.round("score", 6).alias("base"),
     )
+
+
+#: Weights of the head correction of corridors; redundancy counts against them.
+CORRIDOR_HEAD = {"score": 0.75, "align": 0.10, "support": 0.06, "bridge": 0.05, "semantic": 0.04}
+
+
+def correct_corridors(ranked: DataFrame, head: int = 3, redundancy: float = 0.05) -> DataFrame:
+    """Re-score a question's best corridors by min-maxed features; the rest keeps its order behind them.
+
+    ranked: qid, corridor, place, score, align, support, bridge, semantic, overlap.
+    """
+    mm = lambda c: T.min_max_vector(F.col(c).cast("double"), "qid")
+    top = ranked.filter(F.col("place") <= head)
+    score = sum((w * mm(c) for c, w in CORRIDOR_HEAD.items()), F.lit(0.0)) - redundancy * mm("overlap")
+    order = Window.partitionBy("qid").orderBy(F.desc("corrected"), "place")
+    first = top.withColumn("corrected", F.round(score, 9)).withColumn("new", F.row_number().over(order).cast("long"))
+    rest = ranked.filter(F.col("place") > head).select("qid", "corridor", F.col("place").alias("new"))
+    return first.select("qid", "corridor", "new").union(rest).withColumnRenamed("new", "place")

@@ -186,3 +186,42 @@ def heuristic_answer(contexts: DataFrame, questions: DataFrame) -> DataFrame:
     scored = contexts.join(asked, "qid").withColumn("overlap", F.size(F.array_intersect("asked", T.tokenize(F.col("text")))).cast("long"))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("overlap"), "pos"))
     return scored.withColumn("r", best).filter("r = 1").select("qid", "pos", "overlap", F.col("text").alias("answer"))
+
+
+#: Weights of the head correction: sentences, and redundancy.
+HEAD_WEIGHTS = {"base": 0.60, "best_score": 0.20, "is_main": 0.08, "is_support": 0.04, "overlap": 0.04, "locality": 0.04}
+
+
+def correct_head(features: DataFrame, head: int = 3, redundancy: float = 0.04) -> DataFrame:
+    """Re-order a question's first units by min-maxed features, one by one with a penalty for overlap; the rest stays.
+
+    qid, pos, node and the features; returns qid, place, node.
+    """
+    top = features.filter(F.col("pos") < head)
+    score = sum((w * (F.col(c).cast("double") if c.startswith("is_") else T.min_max_vector(F.col(c).cast("double"), "qid")) for c, w in HEAD_WEIGHTS.items()), F.lit(0.0))
+    rows = top.withColumns({"score": F.round(score, 9), "tokens": F.array_distinct(T.content_tokens(F.col("text")))})
+
+    def work(items: list[dict]) -> list[tuple]:
+        for x in items:
+            x["tokens"] = set(x["tokens"])
+        return [(i + 1, x["node"]) for i, x in enumerate(greedy(items, len(items), redundancy))]
+
+    first = _per_question(rows, ["score", "tokens", "node"], "pos", work, "qid long, place long, node string")
+    return first.unionByName(features.filter(F.col("pos") >= head).select("qid", (F.col("pos") + 1).alias("place"), "node"))
+
+
+def reorder_slice(features: DataFrame, head: int = 3) -> DataFrame:
+    """Sort a question's first units by support, main, overlap, score and rank."""
+    w = Window.partitionBy("qid", F.col("pos") >= head).orderBy(F.when(F.col("pos") >= head, F.col("pos")), F.desc("is_support"), F.desc("is_main"), F.desc("overlap"), F.desc("base"), "pos")
+    inside = F.row_number().over(w).cast("long")
+    return features.select("qid", F.when(F.col("pos") < head, inside).otherwise(F.col("pos") + 1).alias("place"), "node")
+
+
+def clip_bundles(units: DataFrame, budget: int) -> DataFrame:
+    """Keep the best unit of each role (anchor, bridge, answer) of a question, then fill the budget in order."""
+    role = Window.partitionBy("qid", "role").orderBy("pos", "node")
+    kept = units.withColumn("first", F.row_number().over(role) == 1)
+    order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("first"), "pos", "node"))
+    chosen = kept.withColumn("o", order).filter(F.col("o") <= budget)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("pos", "node")).cast("long")
+    return chosen.select("qid", place.alias("place"), "role", "node")

@@ -63,6 +63,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "srcs": (("anch", "adj"), "select qid, 'e::' || tok source from anch where (qid, 'e::' || tok) in (select qid, src from adj)"),
     "f0": (("srcs",), "select qid, source, source node from srcs"),
     "sim": (("sents",), f"select qid, node, round(2 * (case when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end) - 1, 9) sim from (select s.qid, node, list_distinct({content('q.text')}) a, list_distinct({content('s.text')}) b from sents s join benchmark q on s.qid = q.item_id)"),
+    "fwd": (("edges",), "select qid, dst ent, src unit, row_number() over (partition by qid, dst order by src) rn from edges where edge_type = 'mentions'"),
+    "bck": (("edges",), "select qid, src unit, dst ent, row_number() over (partition by qid, src order by dst) rn from edges where edge_type = 'mentions'"),
     "gold": ((), "select item_id qid, doc_id from benchmark b join documents d on contains(d.text, b.text)"),
     "sums": ((), "select lang dataset, source variant, round(avg(quality), 6) recall, round(avg(quality * (1 - toxic)), 6) f1, round(avg(1 - toxic), 6) em, round(avg(n_chars), 6) ms, round(avg(length(text) / 2.0), 6) rendered from documents join labels using (doc_id) group by all"),
     "delt": (("sums",), "select s.dataset, s.variant, " + ", ".join(f"s.{m}, round(s.{m} - b.{m}, 6) delta_{m}" for m in ("recall", "f1", "em", "ms", "rendered")) + " from sums s left join (select * from sums where variant = 'src0') b on s.dataset = b.dataset"),
@@ -155,6 +157,8 @@ ORACLES: dict[str, str] = {
     "heuristic_answer": sql(f"select qid, pos, overlap, text answer from (select *, row_number() over (partition by qid order by overlap desc, pos) k from (select s.qid, s.text, row_number() over (partition by s.qid order by doc_rank, unit_idx) pos, len(list_intersect(list_distinct({tokens('q.text')}), list_distinct({tokens('s.text')}))) overlap from sents s join benchmark q on q.item_id = s.qid)) where k = 1", "sents"),
     "oracle_injection": sql("select qid, row_number() over (partition by qid order by o, pos, node) place, node from (select qid, node, min(o) o, min_by(pos, o) pos from (select qid, doc_id::varchar node, 0 o, 0 pos from gold union all select qid, doc_id::varchar, 1, rank from hits) group by all)", "gold", "hits"),
     "shortlist_decay": sql("select * from (select qid, row_number() over (partition by qid order by score desc, unit) rank, unit, score from (select a.qid, unit, round(max(greatest(0.0, 0.92::double - 0.03::double * s.rank - 0.02::double * (a.rank - 1))), 6) score from anch a join (select qid, src unit, substr(dst, 4) tok, row_number() over (partition by qid, dst order by src) - 1 rank from edges where edge_type = 'mentions') s on a.qid = s.qid and a.tok = s.tok where s.rank < 12 group by a.qid, unit)) where rank <= 256", "anch", "edges"),
+    "cache_reserve": sql("select qid, source, rank, node, round(score, 6) score from (select *, row_number() over (partition by qid, source order by score desc, node) rank from (select qid, source, node, round(max(score), 9) score from (select s.qid, s.source, f.unit node, 1.0::double - 0.04::double * (f.rn - 1) score from srcs s join fwd f on f.qid = s.qid and f.ent = s.source where f.rn <= 30 union all select s.qid, s.source, b.ent, 0.82::double - 0.06::double * (f.rn - 1) - 0.04::double * (b.rn - 1) from srcs s join fwd f on f.qid = s.qid and f.ent = s.source join bck b on b.qid = s.qid and b.unit = f.unit where f.rn <= 30 and b.rn <= 2 and b.ent <> s.source union all select s.qid, s.source, a.dst, 0.35::double + 0.15::double * least(1.0, d.degree / 20.0::double) from srcs s join adj a on a.qid = s.qid and a.src = s.source join deg d on d.qid = s.qid and d.node = a.dst) group by all)) where rank <= 15", "srcs", "fwd", "bck", "adj", "deg"),
+    "generated_answers": sql(f"select qid, text prediction from (select *, row_number() over (partition by qid order by overlap desc, pos) k from (select s.qid, s.text, row_number() over (partition by s.qid order by doc_rank, unit_idx) pos, len(list_intersect(list_distinct({tokens('q.text')}), list_distinct({tokens('s.text')}))) overlap from sents s join benchmark q on q.item_id = s.qid)) where k = 1", "sents"),
     "recall_at_k": sql(RECALL, "gold", "hits"),
     "ablation": sql("select variant, count(*) n, round(avg(recall), 6) recall from (select unnest(['full', 'short', 'naive']) variant, unnest([recall_5, recall_2, recall_1]) recall from (" + RECALL + ")) group by variant", "gold", "hits"),
     "loss_funnel": sql("select stage, round(rate, 6) rate, round(coalesce(lag(rate) over (order by pos) - rate, 0), 6) loss from (select pos, stage, avg(case when h.qid is null then 0 else 1 end) rate from (select distinct qid, doc_id from gold) g, (values (0, 'anchored'), (1, 'proposed'), (2, 'rendered')) s(pos, stage) left join (select distinct a.qid, doc_id, 'anchored' st from anch a join dtok using (tok) union all select qid, doc_id, 'proposed' from hits union all select qid, doc_id, 'rendered' from hits where rank <= 2) h on h.qid = g.qid and h.doc_id = g.doc_id and h.st = stage group by pos, stage)", "gold", "anch", "dtok", "hits"),

@@ -682,5 +682,43 @@ def ablation(spark, sf):
     return M.means(each, ["recall"], ["variant"])
 
 
+@on_retrieval("top1_correction")
+def top1_correction(r):
+    return R.correct_head(r.features)
+
+
+@on_retrieval("slice_reorder")
+def slice_reorder(r):
+    return R.reorder_slice(r.features)
+
+
+@on_retrieval("corridor_top1")
+def corridor_top1(r):
+    f = r.ranked.join(r.pairs.select("qid", F.col("rank").alias("corridor"), "pair_score", "dist"), ["qid", "corridor"])
+    return C.correct_corridors(f.select("qid", "corridor", "place", "score", F.col("pair_score").alias("align"), F.col("base").alias("support"), F.lit(0.0).alias("bridge"), F.col("base").alias("semantic"), "overlap"))
+
+
+@on_retrieval("bundle_clip")
+def bundle_clip(r):
+    roles = r.features.withColumn("role", T.role_of(F.col("overlap"), F.lit(False), F.col("is_support")))
+    return R.clip_bundles(roles, 5)
+
+
+@on_retrieval("cache_reserve")
+def cache_reserve(r):
+    links = r.edges.filter("edge_type = 'mentions'").select("qid", F.col("src").alias("unit"), F.col("dst").alias("entity"))
+    listed = lambda key, value: links.select("qid", F.col(key).alias("node"), F.col(value).alias("linked"), (F.row_number().over(Window.partitionBy("qid", key).orderBy(value)) - 1).alias("rank"))
+    found = A.cache_reserve(r.sources, listed("entity", "unit"), listed("unit", "entity"), r.adjacent, r.degree)
+    return found.select("qid", "source", "rank", "node", F.round("score", 6).alias("score"))
+
+
+@on_retrieval("generated_answers")
+def generated_answers(r):
+    from ..operators import generate
+
+    rows = r.sentences.select("qid", "text", F.row_number().over(Window.partitionBy("qid").orderBy("doc_rank", "unit_idx")).cast("long").alias("pos"))
+    return generate.answers(rows.groupBy("qid").agg(F.array_join(F.collect_list("text"), " ").alias("context")), r.questions, rows).select("qid", "prediction")
+
+
 FLAGSHIP = "recall_at_k"
 
