@@ -76,6 +76,11 @@ def sole(owner: str) -> None:
     for name, drop in KEPT.items():
         if name != owner:
             drop()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

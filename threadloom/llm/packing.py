@@ -246,8 +246,12 @@ def encode_ids(path: str, texts: list[bytes], eos: int) -> list[bytes]:
     return _encoders[path].ids(texts, eos)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pack every row's tokens; every token bears loss. One row per piece."""
+def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
+    """Pack every row's tokens; every token bears loss. One row per piece.
+
+    keep: a worker keeps what it learnt of words for its next partition; off,
+    it drops that, which costs time and saves some hundred megabytes.
+    """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.sole("packing")
@@ -278,6 +282,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits
         packer.flush()
         if out:
             yield _rows(out)
+        if not keep:
+            _encoders.clear()
+            common.trim()
 
     return docs.select(key, text).mapInArrow(pack, SCHEMA)
 
