@@ -22,7 +22,7 @@ from . import common
 
 REGIONS, RACKS = 2, 3
 #: Rows of one shard are numbered in so many independent parts at most.
-PARTS = 4096
+PARTS = 1024
 
 
 @dataclass(frozen=True)
