@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sizes import small
 
 
 def question_tokens(questions: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def hybrid_anchors(questions: DataFrame, anchors: DataFrame, semantic: DataFrame
 
 def proposals(anchors: DataFrame, tokens: DataFrame, most: int = 5) -> DataFrame:
     """Documents by the sum of their anchors' scores: the context of each question."""
-    hit = tokens.join(F.broadcast(anchors.select("qid", "token", "score")), "token")  # questions x anchors rows
+    hit = tokens.join(small(anchors.select("qid", "token", "score")), "token")
     summed = hit.groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 9).alias("score"), F.count(F.lit(1)).alias("n_anchors"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long")
     return summed.withColumn("rank", rank).filter(F.col("rank") <= most)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sizes import small
 
 
 def grid(spark: SparkSession, axes: Mapping[str, Sequence], most: int | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def pareto(variants: DataFrame, dataset: str = "dataset", baseline: str = "base"
 def gap_to(summaries: DataFrame, reference: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Long table of metrics against a reference system's constants: dataset, metric, ours, reference, gap."""
     ours = summaries.select("dataset", "variant", F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "ours"))
-    return ours.join(F.broadcast(reference), ["dataset", "metric"]).select("dataset", "variant", "metric", "ours", "reference", F.round(F.col("ours") - F.col("reference"), 6).alias("gap"))
+    return ours.join(small(reference), ["dataset", "metric"]).select("dataset", "variant", "metric", "ours", "reference", F.round(F.col("ours") - F.col("reference"), 6).alias("gap"))
 
 
 def cross_check(rows: DataFrame, left: str, right: str, by: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import corridors as C
 from ..operators import diffusion as D
 from ..operators import graph as G
 from ..operators import seeds as S
+from ..operators.sizes import small
 
 TAU, STEPS, RUNS, CANDIDATES, SEEDS = 4, 4, 2, 64, 4
 
@@ -181,7 +182,19 @@ class Retrieval:
 
     @cached_property
     def gold(self) -> DataFrame:
-        """Documents that contain a question's text. The questions are a fixed table of a few dozen rows, each tested as a literal substring."""
-        docs = self.docs.select("doc_id", "text")
-        asked = self.questions.select("qid", F.col("text").alias("needle"))
-        return docs.join(F.broadcast(asked), F.contains(docs["text"], F.col("needle"))).select("qid", F.col("doc_id").cast("string").alias("unit_id"), "doc_id")
+        """Documents that contain a question's text.
+
+        A document that contains the text has the text's inner tokens whole,
+        so the rarest of them (by an equi-join) leaves few documents to test.
+        Texts of fewer than three tokens have no inner one: those few are
+        tested against every document.
+        """
+        inner = self.questions.select("qid", "text", F.explode(F.array_distinct(F.slice(T.tokenize(F.col("text")), 2, F.greatest(F.lit(0), F.size(T.tokenize(F.col("text"))) - 2)))).alias("token"))
+        held = self.docs.select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
+        freq = held.join(small(inner.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        rarest = inner.join(freq, "token").groupBy("qid").agg(F.min(F.struct("n", "token", "text")).alias("m")).select("qid", "m.token", F.col("m.text").alias("needle"))
+        some = held.join(small(rarest), "token").select("qid", "doc_id", "needle")
+        short = self.questions.join(inner.select("qid").distinct(), "qid", "left_anti").select("qid", F.col("text").alias("needle"))
+        every = self.docs.select("doc_id").join(small(short))
+        pairs = some.union(every.select("qid", "doc_id", "needle")).join(self.docs, "doc_id").filter(F.contains("text", "needle"))
+        return D.cut(pairs.select("qid", F.col("doc_id").cast("string").alias("unit_id"), "doc_id"))

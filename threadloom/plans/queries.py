@@ -17,6 +17,7 @@ from ..operators import render as R
 from ..operators import reports as P
 from ..operators import seeds as S
 from ..operators import vectors as V
+from ..operators.sizes import small
 from .binding import TAU, Retrieval, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -535,7 +536,7 @@ def support_match_reasons(r):
 @on_retrieval("loss_funnel")
 def loss_funnel(r):
     unit = F.col("doc_id").cast("string").alias("unit_id")
-    asked = r.tokens.join(F.broadcast(r.anchors.select("qid", "token")), "token").select("qid", unit).distinct()
+    asked = r.tokens.join(small(r.anchors.select("qid", "token")), "token").select("qid", unit).distinct()
     top = r.hits.select("qid", unit)
     return M.loss_funnel({"anchored": asked, "proposed": top, "rendered": r.hits.filter("rank <= 2").select("qid", unit)}, r.gold)
 
