@@ -65,6 +65,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "sim": (("sents",), f"select qid, node, round(2 * (case when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end) - 1, 9) sim from (select s.qid, node, list_distinct({content('q.text')}) a, list_distinct({content('s.text')}) b from sents s join benchmark q on s.qid = q.item_id)"),
     "fwd": (("edges",), "select qid, dst ent, src unit, row_number() over (partition by qid, dst order by src) rn from edges where edge_type = 'mentions'"),
     "bck": (("edges",), "select qid, src unit, dst ent, row_number() over (partition by qid, src order by dst) rn from edges where edge_type = 'mentions'"),
+    "prop": (("dist", "sim"), f"select *, greatest(base, 0.05::double) + 0.02::double / rn score from (select *, row_number() over (partition by qid, source order by base desc, node) rn from (select d.qid, source, d.node, 0.90::double * round(0.5::double * (sim + 1), 9) + 0.10::double * (1 - least(dist, {TAU}) / {TAU}.0::double) base from dist d join sim s on s.qid = d.qid and s.node = d.node)) where rn <= 20"),
     "gold": ((), "select item_id qid, doc_id from benchmark b join documents d on contains(d.text, b.text)"),
     "sums": ((), "select lang dataset, source variant, round(avg(quality), 6) recall, round(avg(quality * (1 - toxic)), 6) f1, round(avg(1 - toxic), 6) em, round(avg(n_chars), 6) ms, round(avg(length(text) / 2.0), 6) rendered from documents join labels using (doc_id) group by all"),
     "delt": (("sums",), "select s.dataset, s.variant, " + ", ".join(f"s.{m}, round(s.{m} - b.{m}, 6) delta_{m}" for m in ("recall", "f1", "em", "ms", "rendered")) + " from sums s left join (select * from sums where variant = 'src0') b on s.dataset = b.dataset"),
@@ -149,7 +150,7 @@ ORACLES: dict[str, str] = {
     "bfs_distance": sql("select qid, source, node, dist::bigint dist from dist", "dist"),
     "min_set_distance": sql(f"select a.qid, a.node, least({TAU}, coalesce(d, {TAU}))::bigint dist from (select distinct qid, src node from adj) a left join (select qid, node, min(dist) d from dist group by all) m on a.qid = m.qid and a.node = m.node", "adj", "dist"),
     "edge_drop_runs": sql("select run::int run, qid, src, dst from redges", "redges"),
-    "ppr_fixed_k": sql("select qid, node, round(mass, 6) mass from r4", "r4"),
+    "ppr_fixed_k": sql("select qid, node, round(mass + 1e-10, 6) mass from r4", "r4"),
     "seed_bridges": sql("select k.qid, node, round(least(1.0, k::double / n + case when k >= 2 then 0.2 else 0 end), 6)::double bridge from (select qid, node, count(distinct source) k from dist where dist <= 2 group by all) k join (select qid, count(distinct source) n from dist group by qid) a on k.qid = a.qid", "dist"),
     "render_flat": sql("select qid, md5(string_agg(case when r <= 10 then '[' || r || '] (' || node || ') ' || text end, chr(10) order by r)) context_md5, count(case when r <= 10 then 1 end) units, count(*) > 10 truncated from (select *, row_number() over (partition by qid order by doc_rank, unit_idx) r from sents) group by qid", "sents"),
     "excerpt_window": sql("select qid, rank, doc_id, center, n, md5(excerpt) excerpt_md5 from exc", "exc"),
@@ -157,6 +158,10 @@ ORACLES: dict[str, str] = {
     "heuristic_answer": sql(f"select qid, pos, overlap, text answer from (select *, row_number() over (partition by qid order by overlap desc, pos) k from (select s.qid, s.text, row_number() over (partition by s.qid order by doc_rank, unit_idx) pos, len(list_intersect(list_distinct({tokens('q.text')}), list_distinct({tokens('s.text')}))) overlap from sents s join benchmark q on q.item_id = s.qid)) where k = 1", "sents"),
     "oracle_injection": sql("select qid, row_number() over (partition by qid order by o, pos, node) place, node from (select qid, node, min(o) o, min_by(pos, o) pos from (select qid, doc_id::varchar node, 0 o, 0 pos from gold union all select qid, doc_id::varchar, 1, rank from hits) group by all)", "gold", "hits"),
     "shortlist_decay": sql("select * from (select qid, row_number() over (partition by qid order by score desc, unit) rank, unit, score from (select a.qid, unit, round(max(greatest(0.0, 0.92::double - 0.03::double * s.rank - 0.02::double * (a.rank - 1))), 6) score from anch a join (select qid, src unit, substr(dst, 4) tok, row_number() over (partition by qid, dst order by src) - 1 rank from edges where edge_type = 'mentions') s on a.qid = s.qid and a.tok = s.tok where s.rank < 12 group by a.qid, unit)) where rank <= 256", "anch", "edges"),
+    "anchor_proposals": sql("select qid, source, node, rn - 1 rank, round(score, 6) score from prop", "prop"),
+    "lazy_union": sql("select qid, rank, node, round(score, 6) score, votes from (select *, row_number() over (partition by qid order by anchor desc, (votes >= 2) desc, score desc, node) rank from (select qid, node, max(score) score, max(votes) votes, max(anchor) anchor from (select qid, node, max(round(score, 9)) score, count(distinct source) votes, 0 anchor from prop group by qid, node union all select qid, source, 0.0, 0, 1 from srcs) group by qid, node)) where rank <= 64", "prop", "srcs"),
+    "embedding_fusion": sql("select qid, row_number() over (partition by qid order by fused desc nulls last, case when fused is not null then -sim end, pos) rank, node, round(fused, 6) fused from (select qid, node, pos, sim, case when pos <= 80 then round(0.65::double * (case when bh > bl then (base - bl) / (bh - bl) else 0 end) + 0.35::double * (case when sh > sl then (sim - sl) / (sh - sl) else 0 end), 9) end fused from (select *, min(base) filter (where pos <= 80) over w bl, max(base) filter (where pos <= 80) over w bh, min(sim) filter (where pos <= 80) over w sl, max(sim) filter (where pos <= 80) over w sh from (select s.qid, s.node, sim, row_number() over (partition by s.qid order by doc_rank, unit_idx) pos, round(1.0::double / (doc_rank + 1), 9) base from sents s join sim m on m.qid = s.qid and m.node = s.node) window w as (partition by qid)))", "sents", "sim"),
+    "entity_chunk_scores": sql("select qid, unit, round(list_reduce(list_prepend(0.0::double, l), lambda a, x: greatest(a, 0.65::double * a + 0.35::double * x)), 6) score from (select a.qid, unit, list(round(score, 9) * greatest(0.20::double, 1 - 0.06::double * (f.rn - 1)) order by a.rank, tok) l from anch a join fwd f on f.qid = a.qid and f.ent = 'e::' || a.tok group by a.qid, unit)", "anch", "fwd"),
     "cache_reserve": sql("select qid, source, rank, node, round(score, 6) score from (select *, row_number() over (partition by qid, source order by score desc, node) rank from (select qid, source, node, round(max(score), 9) score from (select s.qid, s.source, f.unit node, 1.0::double - 0.04::double * (f.rn - 1) score from srcs s join fwd f on f.qid = s.qid and f.ent = s.source where f.rn <= 30 union all select s.qid, s.source, b.ent, 0.82::double - 0.06::double * (f.rn - 1) - 0.04::double * (b.rn - 1) from srcs s join fwd f on f.qid = s.qid and f.ent = s.source join bck b on b.qid = s.qid and b.unit = f.unit where f.rn <= 30 and b.rn <= 2 and b.ent <> s.source union all select s.qid, s.source, a.dst, 0.35::double + 0.15::double * least(1.0, d.degree / 20.0::double) from srcs s join adj a on a.qid = s.qid and a.src = s.source join deg d on d.qid = s.qid and d.node = a.dst) group by all)) where rank <= 15", "srcs", "fwd", "bck", "adj", "deg"),
     "generated_answers": sql(f"select qid, text prediction from (select *, row_number() over (partition by qid order by overlap desc, pos) k from (select s.qid, s.text, row_number() over (partition by s.qid order by doc_rank, unit_idx) pos, len(list_intersect(list_distinct({tokens('q.text')}), list_distinct({tokens('s.text')}))) overlap from sents s join benchmark q on q.item_id = s.qid)) where k = 1", "sents"),
     "recall_at_k": sql(RECALL, "gold", "hits"),

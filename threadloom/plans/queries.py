@@ -309,7 +309,7 @@ def edge_drop_runs(r):
 @on_retrieval("ppr_fixed_k")
 def ppr_fixed_k(r):
     ranked = D.page_rank(r.adjacent, D.restart_vector(r.sources.withColumn("run", F.lit(0))), 4)
-    return ranked.select("qid", "node", F.round("mass", 6).alias("mass"))
+    return ranked.select("qid", "node", F.round(F.col("mass") + 1e-10, 6).alias("mass"))  # off the ties of short decimals
 
 
 @on_retrieval("ppr_mass")
