@@ -165,7 +165,7 @@ class Packer:
 
 
 #: Distinct chunks, and distinct pieces of them, that a worker remembers in each of two generations.
-CHUNKS, KEPT_PIECES = 400_000, 350_000
+CHUNKS = 400_000
 #: The tokenizer's pieces, for printable text below U+0250.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|\n|(?:[^\s\w]|_)+")
 ODD = re.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u024f]|\\|>")
@@ -181,7 +181,7 @@ class Encoder:
     tokens; chunks outside the common alphabets are encoded one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
         from tokenizers import Tokenizer
 
@@ -189,7 +189,7 @@ class Encoder:
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks, self.pieces = common.Kept(CHUNKS), common.Kept(KEPT_PIECES)
+        self.chunks, self.pieces = common.Kept(remember), common.Kept(remember * 7 // 8)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -236,21 +236,22 @@ class Encoder:
         return [b"".join(map(get, s)) + end for s in split]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 common.KEPT["packing"] = _encoders.clear
 
 
-def encode_ids(path: str, texts: list[bytes], eos: int) -> list[bytes]:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path].ids(texts, eos)
+def encode_ids(path: str, texts: list[bytes], eos: int, remember: int = CHUNKS) -> list[bytes]:
+    if (path, remember) not in _encoders:
+        _encoders.clear()
+        _encoders[path, remember] = Encoder(path, remember)
+    return _encoders[path, remember].ids(texts, eos)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", remember: int = CHUNKS) -> DataFrame:
     """Pack every row's tokens; every token bears loss. One row per piece.
 
-    keep: a worker keeps what it learnt of words for its next partition; off,
-    it drops that, which costs time and saves some hundred megabytes.
+    remember: chunks that a worker remembers. Fewer take more time; 400,000
+    take about 350 MB of a worker, 100,000 about 180 MB.
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +270,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits
             data, offsets = common.text_buffers(batch.column(text))
             keys = batch.column(key).to_pylist()
             for i, j in common.slices(offsets):
-                coded = encode_ids(tokenizer, [data[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)], eos)
+                coded = encode_ids(tokenizer, [data[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)], eos, remember)
                 for k, ids in zip(keys[i:j], coded, strict=True):
                     held[serial] = (k, ids, len(ids) // 4)
                     packer.add(serial, len(ids) // 4, len(ids) // 4)
@@ -282,9 +283,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits
         packer.flush()
         if out:
             yield _rows(out)
-        if not keep:
-            _encoders.clear()
-            common.trim()
 
     return docs.select(key, text).mapInArrow(pack, SCHEMA)
 
