@@ -98,11 +98,11 @@ class Kept(dict):
         if len(self) + len(keys) > self.most:
             self.old = dict(self)
             self.clear()
-        new = list(keys.difference(self))
+        new = [k for k in keys if k not in self]
         if self.old:
             again = [k for k in new if k in self.old]
             self.update((k, self.old[k]) for k in again)
-            new = list(set(new).difference(again))
+            new = [k for k in new if k not in self]
         if new:
             self.update(zip(new, make(new), strict=True))
 
