@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes up at a time; one longer text is taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -82,6 +82,7 @@ def sole(owner: str) -> None:
 def trim() -> None:
     """Give freed memory back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
                 rows = [pa.array(s) for s in sums]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *rows, pa.array(np.diff(bounds).astype(np.int32)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "k1", "k2", "n", "sig"])
+        common.trim()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

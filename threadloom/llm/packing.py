@@ -269,7 +269,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, eos: int = 2, limits: Limits
         for batch in batches:
             data, offsets = common.text_buffers(batch.column(text))
             keys = batch.column(key).to_pylist()
-            for i, j in common.slices(offsets):
+            for i, j in common.slices(offsets, 1 << 20):
                 coded = encode_ids(tokenizer, [data[a:b].tobytes() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)], eos, remember)
                 for k, ids in zip(keys[i:j], coded, strict=True):
                     held[serial] = (k, ids, len(ids) // 4)

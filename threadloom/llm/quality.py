@@ -118,6 +118,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
                 made = text_stats(w)
                 columns = [batch.column(c).slice(i, j - i).cast(t) for c, t in ((key, pa.int64()), (lang, pa.string()), (source, pa.string()))]
                 yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, made.values())], names=["doc_id", "lang", "source", *made])
+        common.trim()
 
     return docs.select(key, text, lang, source).mapInArrow(run, schema)
 
