@@ -321,3 +321,31 @@ def test_mixing_reaches_targets(spark, empty):
     texts = [r["text"] or "" for r in kept.collect()]
     assert sum("awful" in t for t in texts) <= 3 and len(texts) >= 0.95 * sum("awful" not in (r[1] or "") for r in rows)
     assert mixing.mixed(empty, lab)[2].count() == 0
+
+
+@pytest.mark.parametrize("toxic", [40, 4, 2])
+def test_mixing_of_rare_domains(spark, toxic):
+    """1, 0.1 and 0.05 % of toxic documents go, and clean ones stay."""
+    rng = random.Random(toxic)
+    plain = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*(rng.choice(plain) for _ in range(20)), *(["bad", "awful", "vile"] if i < toxic else [])])) for i in range(4000)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i < toxic)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in mixing.keep_mixed(df, lab, mixing.Mix(wanted=("good_clean", "poor_clean"))).collect()}
+    assert not kept & set(range(toxic)) and len(kept) >= 0.99 * (4000 - toxic)
+
+
+def test_mixing_leaks_and_small_targets(spark):
+    """Posteriors that leak from clean documents take twice the leak at most; a small domain reaches its own target; even posteriors say nothing."""
+    clean, sure = (0.999, 0.0, 0.001, 0.0), (0.0001, 0.0, 0.9999, 0.0)
+    for toxic in (100, 10, 5, 0):
+        df = spark.createDataFrame([(10, *(sure if i < toxic else clean)) for i in range(10_000)], ["n_tokens", *mixing.P])
+        for mix in (mixing.Mix(weights={"good_clean": 1.0}), mixing.Mix(wanted=("good_clean", "poor_clean"))):
+            steps = mixing.fit_steps(df, mix)
+            out = df.withColumn("rate", mixing.held(mix) * mixing.folded(mixing.F.lit(1.0), steps)).toPandas()
+            assert (out.rate[out.p_good_toxic > 0.5] == 0).all() and (out.rate[out.p_good_toxic < 0.5] >= 0.998).all()
+    rare = mixing.Mix(weights={"good_clean": 0.9995, "poor_clean": 0.0005})
+    df = spark.createDataFrame([(10, *((0.0, 1.0, 0.0, 0.0) if i < 10 else (1.0, 0.0, 0.0, 0.0))) for i in range(10_000)], ["n_tokens", *mixing.P])
+    out = df.withColumn("rate", mixing.folded(mixing.F.lit(1.0), mixing.fit_steps(df, rare))).toPandas()
+    assert abs(out.rate[out.p_poor_clean == 1].sum() - 5) < 0.05
+    even = spark.createDataFrame([(10, *[0.25] * 4)], ["n_tokens", *mixing.P])
+    assert even.select(mixing.held(mixing.Mix()).alias("h")).first()["h"] == 1.0

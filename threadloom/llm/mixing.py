@@ -3,15 +3,20 @@
 Two label columns span four domains. A naive-Bayes classifier of word
 presence, fitted on a bounded sample of the labelled table and restricted to
 words whose association with a label is significant, gives every document a
-posterior for each domain. Projected gradient descent then fits nonnegative
-rates, from one for each document, so that the expected tokens of each domain
-(tokens x posterior x rate, summed) come as near to the targets as least
+posterior for each domain. A domain whose target is zero takes from each
+document by its own posterior alone: with a posterior u of such domains a
+document is held to the share 1 - 2u, none from u = 1/2 on. So a document that
+is surely unwanted goes however rare its kind is, and what posteriors leak into
+unwanted domains costs a clean document twice its leak at most, whatever the
+leaks sum to. Projected gradient descent then fits nonnegative rates of what is
+held, from one for each document, so that the expected tokens of each other
+domain (tokens x posterior x rate, summed) come as near to the targets as least
 squares can: a step moves each rate by the product of its posteriors and the
 domains' weighted residuals, and cuts it at zero. All that a step needs from
 the corpus is one distributed sum per domain. Native functions throughout.
 
 Defined cases: a null text has no words and the prior's posterior; without
-labelled documents posteriors are even; labels that are null are left out; a
+labelled documents posteriors are even and unwanted domains take nothing; labels that are null are left out; a
 domain that no document belongs to cannot reach its target; repeated rows and
 repeated ids count as often as they occur; an empty table gives no row; other
 columns are ignored, or kept by ``keep_mixed``.
@@ -44,8 +49,13 @@ class Mix:
     #: least z-score of a word's association with a label
     z: float = 4.0
     steps: int = 40
+    #: of each domain's own target
     tolerance: float = 1e-3
 
+    def unwanted(self) -> list[str]:
+        """Posteriors of the domains whose target is zero."""
+        return [p for p, x in zip(P, DOMAINS, strict=True) if (x not in self.wanted if self.wanted else not self.weights.get(x, 0.0))]
+
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
@@ -140,36 +150,50 @@ def folded(start: Column, steps: list[list[float]]) -> Column:
     return F.get(F.transform(F.array(F.struct(*P, start.alias("start"))), fold), F.lit(0))
 
 
+def held(mix: Mix) -> Column:
+    """The share of a document that domains with a target of zero leave of it."""
+    # bound as in folded; four even posteriors tell nothing
+    share = lambda s: F.when(reduce(lambda a, p: a & (s[p] == 0.25), P, F.lit(True)), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * sum((s[p] for p in mix.unwanted()), F.lit(0.0))))
+    return F.get(F.transform(F.array(F.struct(*P)), share), F.lit(0))
+
+
 def fit_steps(table: DataFrame, mix: Mix) -> list[list[float]]:
     """Projected-gradient steps over a table of ``n_tokens`` and posteriors, until the residuals settle.
 
+    Only domains with a target take part, over what the others leave (``held``);
+    each one's residual counts against its own target, so a small one is not
+    taken for settled. Domains that are to be kept whole need no step.
     The driver holds one number per domain and step. A rate is a function of
     its document's posteriors and the steps so far, so no rate is stored
     between steps but once in eight, when the table is cut anew.
     """
+    if mix.wanted:
+        return []
+    table = table.withColumns({"all_tokens": F.col("n_tokens"), "n_tokens": F.col("n_tokens") * held(mix)})
     d = range(len(P))
-    gram = table.agg(*(F.sum(F.col("n_tokens") * F.col(p)).alias(f"a{i}") for i, p in enumerate(P)), *(F.sum(F.col("n_tokens") * F.col(P[i]) * F.col(P[j])).alias(f"g{i}{j}") for i in d for j in d)).first()
+    gram = table.agg(F.sum("all_tokens").alias("all"), *(F.sum(F.col("n_tokens") * F.col(p)).alias(f"a{i}") for i, p in enumerate(P)), *(F.sum(F.col("n_tokens") * F.col(P[i]) * F.col(P[j])).alias(f"g{i}{j}") for i in d for j in d)).first()
     own = [gram[f"a{i}"] or 0.0 for i in d]
-    everything = sum(own)
-    if not everything:
+    everything = float(gram["all"] or 0)
+    if not sum(own):
         return []
     weights = [mix.weights.get(x, 0.0) for x in DOMAINS]
-    target = [a if x in mix.wanted else 0.0 for x, a in zip(DOMAINS, own, strict=True)] if mix.wanted else [w / sum(weights) * everything for w in weights]
+    target = [w / sum(weights) * everything for w in weights]
+    aims = [i for i in d if target[i]]
     # residuals count in units of what a unit of all rates would change
     scale = [1 / max(gram[f"g{i}{i}"], 1e-9 * everything) for i in d]
-    bound = max(sum(abs(gram[f"g{i}{j}"]) * (scale[i] * scale[j]) ** 0.5 for j in d) for i in d)
+    bound = max(sum(abs(gram[f"g{i}{j}"]) * (scale[i] * scale[j]) ** 0.5 for j in aims) for i in aims)
     steps: list[list[float]] = []
     now, since, done = own, table.withColumn("rate", F.lit(1.0)), 0
     for _ in range(mix.steps):
-        if max(abs(a - t) for a, t in zip(now, target, strict=True)) <= mix.tolerance * everything:
+        if all(abs(now[i] - target[i]) <= mix.tolerance * target[i] for i in aims):
             break
-        steps.append([s * (a - t) / bound for s, a, t in zip(scale, now, target, strict=True)])
+        steps.append([scale[i] * (now[i] - target[i]) / bound if i in aims else 0.0 for i in d])
         rate = folded(F.col("rate"), steps[done:])
         if len(steps) - done == 8:
             since, done = common.durable(since.withColumn("rate", rate)), len(steps)
             rate = F.col("rate")
         before, now = now, _totals(since.withColumn("r", rate))
-        if max(abs(a - b) for a, b in zip(now, before, strict=True)) <= 0.01 * mix.tolerance * everything:
+        if all(abs(now[i] - before[i]) <= 0.01 * mix.tolerance * target[i] for i in aims):
             break
     return steps
 
@@ -183,7 +207,7 @@ def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Column,
     model = classifier(docs, labels, mix).scalar()
     table = common.durable(posteriors(docs.select("doc_id", "text"), model, mix).drop("text"))
     steps = fit_steps(table, mix)
-    return model, steps, table.withColumn("rate", folded(F.lit(1.0), steps))
+    return model, steps, table.withColumn("rate", held(mix) * folded(F.lit(1.0), steps))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,5 +219,5 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
     model, steps, _ = mixed(docs, labels, mix)
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), 11).cast("double") * F.lit(2.0**-53)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), "doc_id", "text")
-    scored = posteriors(rows, model, mix).withColumn("rate", folded(F.lit(1.0), steps))
+    scored = posteriors(rows, model, mix).withColumn("rate", held(mix) * folded(F.lit(1.0), steps))
     return scored.filter(u * 0.9 < F.col("rate")).select("__row.*")
