@@ -262,6 +262,30 @@ def test_randomness_battery():
     assert not any(b.chosen(plain))
 
 
+def test_long_random_tokens(spark):
+    """Base64 runs of any length are tested whole; words and repeats of that length are not called secrets."""
+    rng = random.Random(8)
+    chars = secrets.ALPHABETS["base64"]
+    b = secrets.Battery()
+    for n in (1000, 1410, 2000, 20_000, 100_000):
+        assert sum(b.chosen(["".join(rng.choice(chars) for _ in range(n))])[0] for _ in range(5)) >= 4
+    words = ["getElementByIdentifierName", "some", "Path", "request2Handler", "http", "Window"]
+    assert not any(b.chosen(["".join(rng.choice(words) for _ in range(20_000)), "aB3" * 30_000]))
+    token = "".join(rng.choice(chars) for _ in range(2000))
+    got = secrets.find_secrets(spark.createDataFrame([(1, f"an image {token} here")], "doc_id long, text string")).first()
+    assert got["spans"].endswith("random:9:2009")
+
+
+def test_poisson_tail():
+    for mean in (0.5, 5 / 3, 10.0, 80.0):
+        for k in range(140):
+            below = [j * np.log(mean) - mean - sum(np.log(range(1, j + 1))) for j in range(k)]
+            above = [j * np.log(mean) - mean - sum(np.log(range(1, j + 1))) for j in range(k, k + 300)]
+            want = np.exp(above).sum() if k > mean else 1 - np.exp(below).sum()
+            assert np.isclose(np.exp(secrets.log_poisson_tail(k, mean)), want, rtol=1e-6, atol=0)
+    assert -1e6 < secrets.log_poisson_tail(30_000, 100_000 / 12) < -1000 and secrets.log_poisson_tail(1, 1e5) == 0.0
+
+
 def test_redaction(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns

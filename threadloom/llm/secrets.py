@@ -95,6 +95,25 @@ def chi2_tail(x: float, dof: int) -> float:
     return normal_tail(((max(x, 0.0) / dof) ** (1 / 3) - (1 - c)) / math.sqrt(c))
 
 
+def log_poisson_tail(k: int, mean: float) -> float:
+    """Logarithm of the chance of k or more events: a series of ratios on the side of k that is the smaller."""
+    if k <= 0:
+        return 0.0
+    above = k > mean
+    at = k if above else k - 1
+    term, total, j = 1.0, 1.0, at
+    while term > 1e-17 * total:
+        if above:
+            j += 1
+            term *= mean / j
+        else:
+            term *= j / mean
+            j -= 1
+        total += term
+    log = at * math.log(mean) - mean - math.lgamma(at + 1) + math.log(total)
+    return min(0.0, log) if above else math.log1p(-min(math.exp(log), 1 - 1e-16))
+
+
 def encoding(token: str) -> str:
     chars = set(token)
     return next((k for k, v in _SETS.items() if chars <= v), "mixed")
@@ -147,12 +166,11 @@ def against_text(chi2: float, n: int, alphabet: str, body: str) -> float:
     digits = len(body) - letters
     changes = sum(a.isdigit() != b.isdigit() or (a.isalpha() and b.isalpha() and a.islower() and b.isupper()) for a, b in zip(body, body[1:], strict=False))
     # ordinary names change class rarely: a Poisson tail with one change in twelve characters
-    rare = n / 12
-    p_changes = 1.0 if changes == 0 else 1 - sum(math.exp(-rare) * rare**k / math.factorial(k) for k in range(min(changes, 150)))
+    log_changes = log_poisson_tail(changes, n / 12)
     p_close = normal_tail((mean - chi2) / sd)
     if not digits and body.islower():
         return max(p_close, 1e-3)  # letters of one case alone may be run-together words
-    stat = -2 * (math.log(max(p_close, 1e-300)) + math.log(max(p_changes, 1e-300)))
+    stat = -2 * (math.log(max(p_close, 1e-300)) + log_changes)
     return math.exp(-stat / 2) * (1 + stat / 2)  # Fisher, four degrees of freedom
 
 
