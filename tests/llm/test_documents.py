@@ -85,6 +85,21 @@ def test_quality_rejects_outliers_and_keeps_columns(spark):
     assert good.columns == df.columns and {r["doc_id"] for r in good.collect()} == kept
 
 
+def test_quality_judges_small_groups(spark):
+    """Junk in groups of fewer than 40 rows: by the language's rows, or by all rows where the language is rare too."""
+    rng = random.Random(4)
+    make = lambda letters="abcdefgh", most=9: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, most))) for _ in range(200))
+    junk = lambda: " ".join(w + "$$$" for w in make().split())
+    groups = [("en", f"s{k}") for k in range(5)] + [("en", None)]
+    rows = [(100 * k + i, make(), *g, 0, 1, "r", 7) for k, g in enumerate(groups) for i in range(20)] + [(10_000 + k, junk(), *g, 0, 1, "r", 7) for k, g in enumerate(groups)]
+    # two rare languages, one null, with much longer words
+    rows += [(20_000 + i, make("xyz", 60), ["qq", None][i % 2], f"t{i}", 0, 1, "r", 7) for i in range(10)] + [(30_000 + i, junk(), ["qq", None][i % 2], f"t{i}", 0, 1, "r", 7) for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r[0] for r in rows if "$" not in r[1]}
+    assert {r["doc_id"] for r in quality.judge(df).filter("kept").collect()} == want
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == want
+
+
 def brute_near(rows):
     sets = {}
     for i, text, *_ in rows:

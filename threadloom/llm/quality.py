@@ -16,14 +16,16 @@ shuffled, never texts.
 
 Defined cases: a null text has no words and fails the base rules; a null
 language or source is a value of its own; groups of fewer than ``least`` rows
-have no estimate and only the base rules judge them; repeated rows count as
-often as they occur; other columns are ignored, or kept by ``keep_good``.
+are judged by the estimate of their language's rows, and where these are fewer
+too, by that of all rows without the word length, which differs by language
+(only in a table of fewer than ``least`` rows the base rules judge alone);
+repeated rows count as often as they occur; other columns are ignored, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from . import common
 DIMS = 4
 #: Least standard deviation of each statistic, added to the scatter.
 FLOOR = (0.05, 0.04, 0.12, 0.1)
+#: In place of the first one where languages are mixed: no word length stands out.
+WIDE = 1e3
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 X = [f"x{i}" for i in range(DIMS)]
 GROUP = ["lang", "source"]
@@ -149,7 +153,7 @@ def _with(stats: DataFrame, params: DataFrame) -> DataFrame:
     return joined.withColumn("d2", sum((r * r for r in rows), F.lit(0.0)))
 
 
-def _estimates(moments: DataFrame, scale: float) -> DataFrame:
+def _estimates(moments: DataFrame, scale: float, floor: tuple[float, ...]) -> DataFrame:
     """Centre, and inverse Cholesky factor of the scatter, of each group's moments."""
     pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
     schema = "g_lang string, g_source string, n long, " + ", ".join([*(f"m{i} double" for i in range(DIMS)), *(f"w{i}{j} double" for i, j in pairs)])
@@ -162,7 +166,7 @@ def _estimates(moments: DataFrame, scale: float) -> DataFrame:
             cov = np.zeros((len(k), DIMS, DIMS))
             for i, j in pairs:
                 cov[:, i, j] = cov[:, j, i] = scale * (col[f"s{i}{j}"] / k - mean[:, i] * mean[:, j])
-            cov += np.diag(np.square(FLOOR))
+            cov += np.diag(np.square(floor))
             inverse = np.linalg.inv(np.linalg.cholesky(cov)) if len(k) else cov
             arrays = [b.column("lang"), b.column("source"), pa.array(col["n"], pa.int64())]
             arrays += [pa.array(mean[:, i]) for i in range(DIMS)] + [pa.array(inverse[:, i, j]) for i, j in pairs]
@@ -171,21 +175,22 @@ def _estimates(moments: DataFrame, scale: float) -> DataFrame:
     return moments.mapInArrow(run, schema)
 
 
-def _start(stats: DataFrame) -> DataFrame:
+def _start(stats: DataFrame, floor: tuple[float, ...], hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Medians and scaled median deviations: a diagonal estimate."""
     mid = stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(X[i], 0.5, 1000).alias(f"m{i}") for i in range(DIMS)))
     mid = mid.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
+    mid = hint(mid)
     off = stats.join(mid, _same_group(stats, mid)).groupBy("g_lang", "g_source").agg(
         F.first("n").alias("n"),
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)),
         *(F.percentile_approx(F.abs(F.col(X[i]) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in range(DIMS)),
     )
-    weight = lambda i: 1 / F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR[i] ** 2)
+    weight = lambda i: 1 / F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + floor[i] ** 2)
     w = [(weight(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     return off.select("g_lang", "g_source", "n", *(f"m{i}" for i in range(DIMS)), *w)
 
 
-def _concentrate(stats: DataFrame, params: DataFrame, keep: float, scale: float) -> DataFrame:
+def _concentrate(stats: DataFrame, params: DataFrame, keep: float, scale: float, floor: tuple[float, ...]) -> DataFrame:
     """One concentration step. Bins of distance are 1/16 of a power of two wide."""
     near = _with(stats, params)
     cell = F.floor(16 * F.log2(F.col("d2") + 2.0**-12)).alias("cell")
@@ -195,18 +200,37 @@ def _concentrate(stats: DataFrame, params: DataFrame, keep: float, scale: float)
     before = F.coalesce(F.sum("k").over(by_group.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     nearest = cells.withColumns({"n": F.sum("k").over(by_group), "before": before}).filter(F.col("before") < keep * F.col("n"))
     moments = nearest.groupBy(*GROUP).agg(F.max("n").alias("n"), F.sum("k").alias("k"), *(F.sum(c).alias(c) for c in products))
-    return _estimates(moments, scale)
+    return _estimates(moments, scale, floor)
 
 
-def estimate(stats: DataFrame, keep: float, steps: int) -> DataFrame:
+def estimate(stats: DataFrame, keep: float, steps: int, floor: tuple[float, ...] = FLOOR, hint: Callable[[DataFrame], DataFrame] = lambda params: params) -> DataFrame:
     """Minimum-covariance-determinant estimate of each group."""
     scale = keep / chi2_cdf(chi2_quantile(keep, DIMS), DIMS + 2)
-    params = _start(stats)
+    params = _start(stats, floor, hint)
     for _ in range(steps):
-        params = _concentrate(stats, params, keep, scale)
+        params = _concentrate(stats, hint(params), keep, scale, floor)
     return params
 
 
+def pooled(stats: DataFrame, keep: float, steps: int, least: int) -> DataFrame:
+    """The estimate that each group is judged by: its own, or that of its language, or of all rows, the first of ``least`` rows."""
+    own = common.durable(estimate(stats, keep, steps))
+    few = own.filter(F.col("n") < least).select("g_lang", "g_source")
+    if not few.limit(1).count():
+        return own
+    none = F.lit(None).cast("string")
+    values = own.columns[2:]
+    by_lang = estimate(stats.withColumn("source", none), keep, steps).filter(F.col("n") >= least).select(F.col("g_lang").alias("p_lang"), *values)
+    found = common.durable(few.join(by_lang, few["g_lang"].eqNullSafe(by_lang["p_lang"]), "left").select("g_lang", "g_source", *values))
+    out = own.filter(F.col("n") >= least).union(found.filter("n is not null"))
+    rest = found.filter("n is null").select("g_lang", "g_source")
+    if rest.limit(1).count():
+        # one row for the whole table
+        every = estimate(stats.withColumns({"lang": none, "source": none}), keep, steps, (WIDE, *FLOOR[1:]), F.broadcast).select(*values)
+        out = out.union(rest.crossJoin(F.broadcast(every)))
+    return common.durable(out)
+
+
 def _verdict(stats: DataFrame, params: DataFrame, alpha: float, least: int) -> DataFrame:
     outlier = (F.col("n") >= least) & (F.col("d2") > chi2_quantile(1 - alpha, DIMS))
     return _with(stats, params).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False)))
@@ -215,7 +239,7 @@ def _verdict(stats: DataFrame, params: DataFrame, alpha: float, least: int) -> D
 def judge(docs: DataFrame, keep: float = 0.75, alpha: float = 1e-6, steps: int = 3, least: int = 40, **columns: str) -> DataFrame:
     """Statistics, ``base_failed``, squared distance ``d2`` and verdict ``kept`` of every row."""
     stats = common.durable(statistics(docs, **columns))
-    return _verdict(stats, estimate(stats, keep, steps), alpha, least).select("doc_id", *STATS, "base_failed", "kept", "d2", *X, *GROUP)
+    return _verdict(stats, pooled(stats, keep, steps, least), alpha, least).select("doc_id", *STATS, "base_failed", "kept", "d2", *X, *GROUP)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +253,6 @@ GROUPS = 20_000
 def keep_good(docs: DataFrame, keep: float = 0.75, alpha: float = 1e-6, steps: int = 3, least: int = 40) -> DataFrame:
     """The rows of ``docs``, whole, that are not rejected. The texts are read twice in place of being shuffled."""
     stats = common.durable(statistics(docs))
-    params = common.durable(estimate(stats, keep, steps))
+    params = pooled(stats, keep, steps, least)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *GROUP, vector_of(F.col("text")).alias("v")).select("row", *GROUP, "v.*")
     return _verdict(rows, common.small(params, GROUPS), alpha, least).filter("kept").select("row.*")
