@@ -131,6 +131,39 @@ def test_near_duplicates(spark, rows, empty, block, salt):
     assert got == brute_near(unique)
 
 
+def test_cut_nodes_join_drifting_versions(spark):
+    """Four versions in one node, each near the next: the middle ones are candidates however the node is cut."""
+    rng = np.random.default_rng(1)
+    at = lambda d, trees: [t * near.DEPTH + d for t in trees]
+    every = range(1, near.TREES)  # all trees but the first: there the versions have no node in common
+    first = at(1, every) + at(4, [15]) + at(5, range(1, 4))
+    middle = at(0, every) + at(4, range(1, 15))
+    last = at(2, every) + at(5, range(4, 8))
+    rows, chains = [], 40
+    for k in range(chains):
+        sig = rng.integers(0, 1 << 32, near.TREES * near.DEPTH, np.uint32)
+        versions = [sig.copy()]
+        for changed in (first, middle, last):
+            sig[changed] ^= np.uint32(0x5500)
+            versions.append(sig.copy())
+        rows += [(4 * k + i, bytearray(versions[v].tobytes())) for i, v in enumerate((0, 3, 1, 2))]
+    found = near.candidates(spark.createDataFrame(rows, "rep long, sig binary"), near.Forest(salt=2))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    assert [k for k in range(chains) if root.get(4 * k + 2, -1) != root.get(4 * k + 3, -2)] == []
+
+
+def test_drifting_chain_with_a_small_salt(spark):
+    rng = random.Random(12)
+    text, rows = [f"w{rng.randrange(10**6)}" for _ in range(300)], []
+    for i in range(40):
+        rows.append((i, " ".join(text)))
+        for j in range(5):
+            text[(37 * i + 60 * j) % 300] = f"v{i}x{j}"
+    for salt in (2, 3):
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), near.Forest(block=8, salt=salt)).collect()}
+        assert got == brute_near(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark, docs, rows, empty):
     assert near.near_classes(empty).count() == 0
     assert near.near_classes(docs).count() == len(rows)

@@ -12,7 +12,9 @@ ones), and inside each component all pairs of sets are compared exactly, in
 blocks, and counted without being written out.
 
 Copies (equal sets) are one node throughout. A hot node or component is cut
-into salted parts or pairs of blocks, so no task gets an unbounded group.
+into salted parts or pairs of blocks, so no task gets an unbounded group: the
+rows of each part of a node meet the leaders of every other part, so a cut node
+joins what a whole one would.
 
 Defined cases: a null text has no words; texts of one to four words have one
 shingle, of all their words; a text without words is alone in its class; rows
@@ -160,6 +162,25 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 NOISE = 0.2
 
 
+def _reach(near: float) -> float:
+    """Least estimate of a row and the leader of a row that is similar to it."""
+    return max(0.0, 2 * near - 1) - NOISE
+
+
+def links_across(sig: np.ndarray, leads: np.ndarray, near: float) -> list[tuple[int, int]]:
+    """Links of the rows of one part of a node to the leaders of another, within reach of two steps."""
+    reach = _reach(near)
+    part = np.arange(len(leads))  # of each leader: the part it has been joined to
+    links: list[tuple[int, int]] = []
+    for i in range(len(sig)):
+        alike = np.flatnonzero((leads == sig[i]).mean(1) >= reach)
+        parts, first = np.unique(part[alike], return_index=True)
+        links += [(i, k) for k in alike[first].tolist()]
+        if len(parts) > 1:
+            part[np.isin(part, parts)] = parts[0]
+    return links
+
+
 def leaders_of(sig: np.ndarray, near: float) -> tuple[list[int], list[tuple[int, int]]]:
     """Leader clustering in the given order: leaders, and links of rows to leaders.
 
@@ -167,7 +188,7 @@ def leaders_of(sig: np.ndarray, near: float) -> tuple[list[int], list[tuple[int,
     leaders within reach of two steps, so any two rows that are similar to each
     other are joined through the leader of one of them. Links form a forest.
     """
-    reach = max(0.0, 2 * near - 1) - NOISE
+    reach = _reach(near)
     leaders: list[int] = []
     part = np.zeros(len(sig), np.int64)  # of each leader: the part it has been joined to
     links: list[tuple[int, int]] = []
@@ -185,19 +206,19 @@ def leaders_of(sig: np.ndarray, near: float) -> tuple[list[int], list[tuple[int,
 
 
 def _stars(members: DataFrame, near: float, width: int) -> DataFrame:
-    """Leader clustering of each (node, salt): links, and leaders (``b`` null) for the next round."""
-    schema = "node long, a long, b long, sig binary, cut boolean"
+    """Leader clustering of each (node, salt): links, and leaders (``b`` null) of cut nodes for the next round."""
+    schema = "node long, a long, b long, sig binary, salt long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for t in grouped(batches, ["node", "salt"]):
             t = t.combine_chunks()
             rep, raw = t.column("rep").to_numpy(), t.column("sig").to_pylist()
-            node, cut = t.column("node")[0].as_py(), t.column("cut")[0].as_py()
+            node, salt, cut = (t.column(c)[0].as_py() for c in ("node", "salt", "cut"))
             leaders, links = leaders_of(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), near)
-            out += [(node, int(rep[i]), int(rep[k]), None, cut) for i, k in links if rep[i] != rep[k]]
+            out += [(node, int(rep[i]), int(rep[k]), None, salt) for i, k in links if rep[i] != rep[k]]
             if cut:
-                out += [(node, int(rep[k]), None, raw[k], cut) for k in leaders]
+                out += [(node, int(rep[k]), None, raw[k], salt) for k in leaders]
             if len(out) > 10_000:
                 yield _star_rows(out)
                 out = []
@@ -209,8 +230,28 @@ def _stars(members: DataFrame, near: float, width: int) -> DataFrame:
 
 
 def _star_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "a", "b", "sig", "cut"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "a", "b", "sig", "salt"])
+
+
+def _across(members: DataFrame, leaders: DataFrame, near: float, width: int) -> DataFrame:
+    """The parts of each cut node in pairs: the rows of one meet the leaders of the other, as they would in a whole node."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["node", "p", "q"]):
+            t = t.combine_chunks()
+            rep, lead = t.column("rep").to_numpy(), t.column("lead").to_numpy().astype(bool)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(rep), -1)
+            links = links_across(sig[~lead], sig[lead], near)
+            if links:
+                i, k = np.asarray(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[~lead][i]), pa.array(rep[lead][k])], names=["a", "b"])
+
+    columns = ["node", "p", "q", "rep", "sig", "lead"]
+    low = members.filter("salt < parts - 1").withColumns({"p": F.col("salt"), "q": F.explode(F.sequence(F.col("salt") + 1, F.col("parts") - 1)), "lead": F.lit(0)})
+    high = leaders.filter("salt > 0").withColumns({"p": F.explode(F.sequence(F.lit(0).cast("long"), F.col("salt") - 1)), "q": F.col("salt"), "lead": F.lit(1)})
+    dealt = low.select(columns).union(high.select(columns)).repartition(width, "node", "p", "q").sortWithinPartitions("node", "p", "q")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,13 +289,13 @@ def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
         "parts": F.ceil(F.col("c") / F.lit(forest.salt)),
         "label": F.substring("labels", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)),
     })
-    rows = rows.withColumns({"salt": F.pmod(F.xxhash64("rep"), "parts"), "cut": F.col("parts") > 1})
+    rows = rows.withColumns({"salt": F.pmod(F.xxhash64("node", "rep"), "parts"), "cut": F.col("parts") > 1})
     near = forest.threshold
     edges = common.durable(_stars(rows, near, width))
     links = edges.filter("b is not null").select("a", "b")
-    if edges.filter("cut and b is null").limit(1).count():
-        top = edges.filter("cut and b is null").select("node", F.lit(0).cast("long").alias("salt"), F.col("a").alias("rep"), "sig", F.lit(False).alias("cut"), F.col("sig").alias("label"))
-        links = links.union(_stars(top, near, width).filter("b is not null").select("a", "b"))
+    leaders = edges.filter("b is null").select("node", "salt", F.col("a").alias("rep"), "sig")
+    if leaders.limit(1).count():
+        links = links.union(_across(rows.filter("cut"), leaders, near, width))
     return components(links)
 
 
