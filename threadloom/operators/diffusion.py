@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,11 +61,14 @@ def page_rank(adjacent: DataFrame, restart: DataFrame, steps: int, alpha: float
     Unweighted; the mass of nodes without edges goes back to the restart
     vector. By linearity a sum over sources is one walk from their joint
     vector, so runs with many sources cost no more than one. With
-    ``tolerance`` it stops once the total change is below it.
+    ``tolerance`` each (qid, run) stops on its own, once a step changes its
+    mass by less than that much a node of its graph; looked up every ``every``
+    steps.
     """
     degree = adjacent.groupBy("qid", "src").agg(F.count(F.lit(1)).alias("deg"))
     moves = adjacent.join(degree, ["qid", "src"])
-    rank = restart
+    size = degree.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    rank, settled = restart, []
     for k in range(1, steps + 1):
         spread = rank.withColumnRenamed("node", "src").join(moves, ["qid", "src"]).select("qid", "run", F.col("dst").alias("node"), ((1 - alpha) * F.col("mass") / F.col("deg")).alias("mass"))
         stuck = rank.join(degree.withColumnRenamed("src", "node"), ["qid", "node"], "left_anti").groupBy("qid", "run").agg(F.sum("mass").alias("lost"))
@@ -76,10 +80,17 @@ def page_rank(adjacent: DataFrame, restart: DataFrame, steps: int, alpha: float
             new = settle(new)
             if tolerance is not None:
                 both = new.withColumnRenamed("mass", "now").join(rank, ["qid", "run", "node"], "full_outer")
-                if (both.agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0))))).first()[0] or 0.0) < tolerance:
-                    return new
+                gap = both.groupBy("qid", "run").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0)))).alias("gap"))
+                gap = settle(gap.join(size, "qid", "left").withColumn("still", F.col("gap") >= tolerance * F.coalesce("n", F.lit(1))))
+                left, walkers = gap.agg(F.count_if("still"), F.count(F.lit(1))).first()
+                if not left:
+                    return reduce(DataFrame.union, [*settled, new])
+                if left < walkers:
+                    still = gap.filter("still").select("qid", "run")
+                    settled.append(new.join(still, ["qid", "run"], "left_anti"))
+                    new, restart = settle(new.join(still, ["qid", "run"], "left_semi")), settle(restart.join(still, ["qid", "run"], "left_semi"))
         rank = new
-    return rank
+    return reduce(DataFrame.union, [*settled, rank])
 
 
 def drop_edges(edges: DataFrame, runs: int, share: float = 0.1) -> DataFrame:

@@ -319,13 +319,13 @@ def ppr_mass(r):
 
 @on_retrieval("ppr_converged")
 def ppr_converged(r):
-    ranked = D.page_rank(r.adjacent, D.restart_vector(r.sources.withColumn("run", F.lit(0))), 12, tolerance=0.5)
+    ranked = D.page_rank(r.adjacent, D.restart_vector(r.sources.withColumn("run", F.lit(0))), 100, tolerance=1e-6)
     return D.top_nodes(ranked.withColumn("mass", F.round("mass", 4)), 10).select("qid", "rank", "node", "mass")
 
 
 @on_retrieval("random_walks")
 def random_walks(r):
-    return D.random_walks(r.adjacent, r.sources, walks=64, steps=8).select("qid", "source", "node", F.round("score", 6).alias("score"))
+    return D.random_walks(r.adjacent, r.sources).select("qid", "source", "node", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- seeds and runs
