@@ -12,7 +12,8 @@ uniformity as this token does. The p-values of one document are a family;
 Benjamini-Hochberg with weights that grow with token length controls the
 false discoveries among its tokens.
 
-Defined cases: a null text is empty and has no secret; very long runs are
+Defined cases: a null text is empty and has no secret; tokens of digits alone or
+of lower-case letters alone are no secrets, whatever their length; very long runs are
 tested whole; repeated rows give repeated rows; other columns are ignored, or
 kept by ``redact``.
 """
