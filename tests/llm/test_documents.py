@@ -208,6 +208,40 @@ def test_token_count_query(docs, rows, empty):
     assert token_counts.count_tokens(empty, path, tables=True).count() == 0
 
 
+def test_packing_ids_are_the_librarys():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(path), packing.Encoder(path, remember=3000)
+    rng = random.Random(1)
+    parts = [*"abcABC'sStdrveml  \n\t.,!1²é\u0301\x85\xa0\u3000\x1c😀ßΣ中İǅ«|>½ª×ıſK한", "<|endoftext|>", "<|endo", "<|ENDOFTEXT|>", "'re", "'LL", " the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, ""]
+    texts.append(" ".join(t or "" for t in texts) * 30)  # longer than a slice
+    got = [x for _, _, part in packing.encoded(pa.array(texts, pa.string()), coder) for x in part]
+    assert got == [np.asarray(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    with pytest.raises(ValueError):
+        packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_packing_keeps_prompts_free_of_loss(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 150))), " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    rows += [(120, None, None), rows[3]]
+    limits = packing.Limits(tokens=128, segments=4, loss=40)
+    df = spark.createDataFrame(rows, "doc_id long, prompt string, text string").coalesce(1)
+    got = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), limits=limits, prompt="prompt").collect()
+    bare = {i: len((p or "").split()) for i, p, _ in rows}
+    used = defaultdict(lambda: [0, 0, 0])
+    for r in got:
+        total = used[r["sequence_id"]]
+        total[0] += r["length"]
+        total[1] += 1
+        total[2] += max(0, r["start"] + r["length"] - max(r["start"], bare[r["doc_id"]]))
+    assert all(a <= 128 and b <= 4 and c <= 40 for a, b, c in used.values())
+    assert sum(a for a, _, _ in used.values()) == sum(bare[i] + len((t or "").split()) + 1 for i, _, t in rows)
+
+
 def test_packing_holds_every_token_once(docs, rows, empty):
     from tokenizers import Tokenizer
 
