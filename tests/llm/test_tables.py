@@ -44,14 +44,32 @@ def test_rules_and_parts(spark):
 
 
 def test_held_out_accuracy(spark):
+    """Hosts that the model has not seen: at most 10 % wrong, and 2 % of the ordinary ones."""
     rows = [(r["url"], r["unwanted"]) for r in url_filters.labelled_urls(spark).collect()]
     random.Random(1).shuffle(rows)
-    wrong = 0
+    wrong, total = [0, 0], [0, 0]
     for fold in range(3):
         test, train = rows[fold::3], [r for i, r in enumerate(rows) if i % 3 != fold]
         judged = url_filters.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)], "page_id long, url string"), spark.createDataFrame(train, "url string, unwanted int"), rules=()).collect()
-        wrong += sum((r["verdict"] == "block") != bool(test[r["page_id"]][1]) for r in judged)
-    assert wrong <= 0.3 * len(rows)
+        for r in judged:
+            y = test[r["page_id"]][1]
+            total[y] += 1
+            wrong[y] += (r["verdict"] == "block") != bool(y)
+    assert sum(wrong) <= 0.1 * sum(total) and wrong[0] <= 0.02 * total[0], (wrong, total)
+
+
+def test_hosts_of_other_shapes(spark):
+    """Well-known ordinary hosts and invented ones pass; unwanted ones in other compositions do not."""
+    ordinary = """https://en.wikipedia.org/wiki/Apache_Spark https://www.nytimes.com/section/world https://github.com/apache/spark
+        https://www.ox.ac.uk/admissions https://www.lemonde.fr/international/ https://www.spiegel.de/politik https://elpais.com/internacional/
+        https://www.gutenberg.org/ebooks/84 https://arxiv.org/abs/1706.03762 https://stackoverflow.com/questions/11227809 https://www.bbc.co.uk/news
+        https://www.nasa.gov/missions https://docs.python.org/3/library/re.html http://qzvk.example.org/en/5 https://blog.murlo.example.com/de/77.html""".split()
+    unwanted = """http://royal-poker.example.org/en/1 https://www.megacasino777.com/bonus http://adult-cams-live.net/join
+        https://replica-pills.info/order.html http://xxxporn.example.net/""".split()
+    df = spark.createDataFrame(list(enumerate(ordinary + unwanted)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(df, rules=()).collect()}
+    assert [ordinary[i] for i in range(len(ordinary)) if got[i] == "block"] == []
+    assert [u for i, u in enumerate(unwanted, len(ordinary)) if got[i] != "block"] == []
 
 
 def test_model_is_logistic_regression(spark):
