@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from threadloom.llm import mixing, near, packing, quality, secrets, sharding, substrings, token_counts
+from threadloom.llm import mixing, near, packing, pieces, quality, secrets, sharding, substrings, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -191,10 +191,30 @@ def test_token_counts_at_every_prefix():
     size = lambda s: len(library.encode(s, add_special_tokens=False).ids)
     for _ in range(300):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
-        table = dp.table(text)
+        table, want = dp.table(text), [size(text[:n]) for n in range(len(text) + 1)]
         assert dp.count(text) == size(text)
-        assert [dp.count_at(text, table, n) for n in range(len(text) + 1)] == [size(text[:n]) for n in range(len(text) + 1)]
-        assert table[1][np.searchsorted(table[0], dp.cut(text, table, 5), "right") - 1] <= 5
+        assert [dp.count_at(table, n) for n in range(len(text) + 1)] == want
+        for budget in (0, 1, 5):
+            assert dp.cut(table, budget) == max(n for n, c in enumerate(want) if c <= budget)
+    with pytest.raises(ValueError):
+        token_counts.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_token_counts_of_slices():
+    """Texts of one slice do not touch each other, and parts of a long text add up."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, dp = Tokenizer.from_file(path), token_counts.PrefixCounter(path, remember=3000)
+    rng = random.Random(3)
+    parts = [*"abcABC'sStdrveml  \n\t.,!1²é\u0301\x85\xa0\u3000\x1c😀ßΣ中", "<|endoftext|>", "<|endo", "ftext|>", "'re", " the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, ""]
+    texts.append(" ".join(t or "" for t in texts) * 30)
+    got = np.zeros(len(texts), np.int64)
+    for i, j, s in pieces.slices(pa.array(texts, pa.string())):
+        got[i:j] += dp.counts(s)
+    assert got.tolist() == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
 
 
 def test_token_count_query(docs, rows, empty):
@@ -205,7 +225,9 @@ def test_token_count_query(docs, rows, empty):
     got = sorted(tuple(r) for r in token_counts.count_tokens(docs, path, limit=50).collect())
     want = sorted((r[0], len((r[1] or "").encode()), n := len(library.encode(r[1] or "", add_special_tokens=False).ids), n > 50) for r in rows)
     assert got == want
-    assert token_counts.count_tokens(empty, path, tables=True).count() == 0
+    assert token_counts.count_tokens(empty, path, tables=True, budgets=(5,)).count() == 0
+    for r in token_counts.count_tokens(docs.filter("doc_id < 20"), path, tables=True, budgets=(0, 5)).collect():
+        assert r["counts"][-1] == r["n_tokens"] and r["cuts"][0] == 0 and r["counts"][r["cuts"][1]] <= 5
 
 
 def test_packing_ids_are_the_librarys():
@@ -455,3 +477,47 @@ def test_mixing_leaks_and_small_targets(spark):
     assert abs(out.rate[out.p_poor_clean == 1].sum() - 5) < 0.05
     even = spark.createDataFrame([(10, *[0.25] * 4)], ["n_tokens", *mixing.P])
     assert even.select(mixing.held(mixing.Mix()).alias("h")).first()["h"] == 1.0
+
+
+@pytest.mark.parametrize("salt", [4096, 16])
+def test_forest_recall_against_brute_force(spark, salt):
+    """Versions of 300 texts, near the threshold on both sides: at least 0.99 of the true pairs share a class, and links are exact."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(300):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for v in range(11):
+            text = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4))):
+                text[rng.randrange(120)] = f"x{k}v{v}r{rng.randrange(10**6)}"
+            rows.append((11 * k + v, " ".join(text)))
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    near_pairs = [(a, b) for k in range(300) for a, b in combinations(range(11 * k, 11 * k + 11), 2) if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+    links = Counter(x for p in near_pairs for x in p)
+    got = {r["doc_id"]: r for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), near.Forest(salt=salt)).collect()}
+    assert len(near_pairs) > 3000
+    met = sum(got[a]["class_id"] == got[b]["class_id"] for a, b in near_pairs)
+    assert met >= 0.99 * len(near_pairs), (met, len(near_pairs))
+    exact = sum(got[i]["n_links"] == links[i] for i, _ in rows)
+    assert exact >= 0.99 * len(rows), exact
+
+
+def test_prefixes_shorten_where_few_share_them():
+    """The chance to meet reaches the target, whatever the counts; crowded tries keep long prefixes."""
+    rng = np.random.default_rng(2)
+    for recall in (0.9, 0.99, 0.999, 0.9999):
+        f = near.Forest(recall=recall)
+        shared = rng.integers(1, 50, (200, near.TREES, near.DEPTH + 1 - f.depth()))
+        at = f.shortened(shared)
+        assert (1 - np.prod(1 - 0.8**at, 1) >= recall).all()
+    f = near.Forest()
+    shared = np.ones((1, near.TREES, near.DEPTH + 1 - f.depth()), int)
+    shared[0, :5] = 1000
+    assert f.shortened(shared)[0, :5].min() > f.shortened(shared)[0, 5:].min()
+
+
+def test_keep_one_row_of_repeated_ids(spark):
+    text = "a b c d e f g h"
+    rows = [(1, text, "x"), (1, text, "x"), (2, text, "y"), (3, "other words altogether here now", "z"), (3, "a different text of that id", "z"), (None, text, "n"), (None, text, "n")]
+    got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 1, 3]

@@ -2,14 +2,17 @@
 
 A document is its set of hashed five-word shingles. A forest of ``TREES``
 sorted prefix tries holds one label of ``DEPTH`` minhashes per document and
-tree. Matching starts at whole labels; the matched prefix is shortened one
-minhash at a time until the chance that two sets at the threshold share a
-prefix in some tree reaches the target recall. Inside a node of that depth,
-documents come in trie order, so those that share longer prefixes meet first:
-the first of them becomes a leader and takes in all that the signatures put
-near it. Leaders' stars join into candidate components (a superset of the true
-ones), and inside each component all pairs of sets are compared exactly, in
-blocks, and counted without being written out.
+tree. Each document starts with its whole labels as matched prefixes and
+shortens them one minhash at a time, in each step in the tree where the
+shorter prefix is shared by the fewest others, until the chance that it meets
+a set at the threshold in some tree reaches the target recall. So a document
+keeps long prefixes where its tries are crowded and short ones where they are
+not. All documents below a prefix that one of them has asked for are matched
+with each other. They come in trie order, so those that share longer prefixes
+meet first: the first of them becomes a leader and takes in all that the
+signatures put near it. Leaders' stars join into candidate components (a
+superset of the true ones), and inside each component all pairs of sets are
+compared exactly, in blocks, and counted without being written out.
 
 Copies (equal sets) are one node throughout. A hot node or component is cut
 into salted parts or pairs of blocks, so no task gets an unbounded group: the
@@ -19,7 +22,8 @@ joins what a whole one would.
 Defined cases: a null text has no words; texts of one to four words have one
 shingle, of all their words; a text without words is alone in its class; rows
 with a null id have a null class and no link; rows that share an id count as
-one document; other columns are ignored, or kept by ``keep_one``.
+one document; other columns are ignored, or kept by ``keep_one``, which keeps
+one row of each class.
 """
 
 from __future__ import annotations
@@ -48,12 +52,31 @@ class Forest:
     salt: int = 4096
 
     def depth(self) -> int:
-        """Prefix length at which the target recall is reached."""
+        """Prefix length at which the target recall is reached in any case: no prefix gets shorter."""
         d = DEPTH
         while d > 1 and 1 - (1 - self.threshold**d) ** TREES < self.recall:
             d -= 1
         return d
 
+    def shortened(self, shared: np.ndarray) -> np.ndarray:
+        """Matched prefixes' lengths of each document and tree.
+
+        shared: of each document, tree and length from ``depth()`` on, how many have the same prefix.
+        """
+        least = self.depth()
+        at = np.full(shared.shape[:2], DEPTH)
+        rows = np.arange(len(at))
+        while True:
+            missed = np.log1p(-(self.threshold**at)).sum(1)  # the chance to meet in no tree
+            rows = rows[(missed[rows] > np.log1p(-self.recall)) & (at[rows] > least).any(1)]
+            if not len(rows):
+                return at
+            shorter = at[rows] - 1 - least
+            size = np.take_along_axis(shared[rows], np.maximum(shorter, 0)[:, :, None], 2)[:, :, 0]
+            # of equal ones the longest prefix goes first
+            cost = np.where(shorter < 0, np.inf, size * (DEPTH + 1) - at[rows])
+            at[rows, cost.argmin(1)] -= 1
+
     def similar(self, inter: np.ndarray, union: np.ndarray) -> np.ndarray:
         return 10_000 * inter >= round(10_000 * self.threshold) * union
 
@@ -116,22 +139,45 @@ def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _nodes(reps: DataFrame, depth: int) -> DataFrame:
-    """The trie nodes, at a depth, of each representative: one 64-bit name per tree."""
+def _nodes(reps: DataFrame, least: int) -> DataFrame:
+    """The trie nodes of each representative: a 64-bit name for each tree and each depth from ``least`` on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = _matrix(b.column("sig"), TREES * DEPTH, "<u4").reshape(-1, TREES, DEPTH)[:, :, :depth].astype(np.uint64)
+            sig = _matrix(b.column("sig"), TREES * DEPTH, "<u4").reshape(-1, TREES, DEPTH).astype(np.uint64)
+            names = []
             with np.errstate(over="ignore"):
                 name = np.broadcast_to(common.seeds(TREES, 7), sig.shape[:2]).copy()
-                for d in range(depth):
+                for d in range(DEPTH):
                     name = common.mix64(name * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, d])
-            rep = np.repeat(b.column("rep").to_numpy(), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(name.ravel().view(np.int64)), pa.array(rep), pa.array(np.tile(np.arange(TREES, dtype=np.int32), b.num_rows))], names=["node", "rep", "tree"])
+                    names.append(name)
+            name = np.stack(names[least - 1 :], 2)  # document, tree, depth
+            place = np.arange(TREES, dtype=np.int16)[:, None] * 16 + np.arange(least, DEPTH + 1, dtype=np.int16)
+            rep = np.repeat(b.column("rep").to_numpy(), place.size)
+            yield pa.RecordBatch.from_arrays([pa.array(name.ravel().view(np.int64)), pa.array(rep), pa.array(np.tile(place.ravel(), b.num_rows))], names=["node", "rep", "place"])
+
+    return reps.select("rep", "sig").mapInArrow(run, "node long, rep long, place short")
+
+
+def _asked(shared: DataFrame, forest: Forest) -> DataFrame:
+    """The nodes that some document's matched prefixes end in, of those that it shares with others."""
+    least = forest.depth()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("nodes")
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            node, place, c = (lists.flatten().field(k).to_numpy() for k in range(3))
+            tree, depth = place // 16, place % 16
+            size = np.ones((b.num_rows, TREES, DEPTH + 1 - least), np.int64)
+            size[row, tree, depth - least] = c
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[forest.shortened(size)[row, tree] == depth]))], names=["node"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "node long, rep long, tree int")
+    # at most one entry for each tree and depth
+    lists = shared.groupBy("rep").agg(F.collect_list(F.struct("node", "place", "c")).alias("nodes"))
+    return lists.select("nodes").mapInArrow(run, "node long").distinct()
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -282,7 +328,11 @@ def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
     width = common.width(reps.sparkSession)
     nodes = _nodes(reps, forest.depth())
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = nodes.join(counts, "node")
+    shared = common.durable(nodes.join(counts, "node"))
+    # a node below another one that is asked for adds nothing: of each tree the highest stays
+    depth = F.pmod("place", F.lit(16))
+    below = shared.join(_asked(shared, forest), "node", "left_semi").withColumn("tree", F.shiftright("place", 4))
+    shared = below.groupBy("rep", "tree").agg(F.min(F.struct(depth.alias("depth"), "node", "c")).alias("m")).select("rep", "tree", "m.node", "m.c")
     # one byte of each minhash is enough to estimate by
     slim = reps.mapInArrow(_slim, "rep long, sig binary, labels binary")
     rows = shared.join(slim, "rep").withColumns({
@@ -411,10 +461,19 @@ def near_classes(docs: DataFrame, forest: Forest = Forest(), key: str = "doc_id"
     return out.union(alone)
 
 
-def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """The rows of ``docs``, whole, whose id is the smallest of its class."""
-    gone = near_classes(docs, forest).filter("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def keep_one(docs: DataFrame, forest: Forest = Forest(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs``, whole: of each class one row with its smallest id, and all rows without an id."""
+    gone = near_classes(docs, forest, key, text).filter("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    twice = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col(key).alias("__gone"))
+    if not twice.limit(1).count():
+        return left
+    # of rows that share an id, the one with the smallest hash stays
+    once = left.join(twice, left[key] == twice["__gone"], "left_anti")
+    again = left.join(twice, left[key] == twice["__gone"], "left_semi")
+    row = F.struct(*(docs[c] for c in docs.columns))
+    one = again.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__h"), row.alias("__row")).groupBy("__k").agg(F.min_by("__row", "__h").alias("__row"))
+    return once.union(one.select("__row.*"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
