@@ -5,10 +5,10 @@ presence, fitted on a bounded sample of the labelled table and restricted to
 words whose association with a label is significant, gives every document a
 posterior for each domain. A domain whose target is zero takes from each
 document by its own posterior alone: with a posterior u of such domains a
-document is held to the share 1 - 2u, none from u = 1/2 on. So a document that
-is surely unwanted goes however rare its kind is, and what posteriors leak into
-unwanted domains costs a clean document twice its leak at most, whatever the
-leaks sum to. Projected gradient descent then fits nonnegative rates of what is
+document is held to the share 1 - 2u, none from u = 1/2 on, and whole where u
+is no more than ``leak``. So a document that is surely unwanted goes however
+rare its kind is, and what posteriors leak into unwanted domains costs a clean
+document twice its leak at most, whatever the leaks sum to. Projected gradient descent then fits nonnegative rates of what is
 held, from one for each document, so that the expected tokens of each other
 domain (tokens x posterior x rate, summed) come as near to the targets as least
 squares can: a step moves each rate by the product of its posteriors and the
@@ -19,7 +19,9 @@ Defined cases: a null text has no words and the prior's posterior; without
 labelled documents posteriors are even and unwanted domains take nothing; labels that are null are left out; a
 domain that no document belongs to cannot reach its target; repeated rows and
 repeated ids count as often as they occur; an empty table gives no row; other
-columns are ignored, or kept by ``keep_mixed``.
+columns are ignored, or kept by ``keep_mixed``, which writes a row as often as
+its rate says: the whole part of the rate, and once more for a share of rows,
+drawn by hash of id, that is the rest.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ class Mix:
 
     weights: dict[str, float] = field(default_factory=lambda: {"good_clean": 0.95, "poor_clean": 0.05})
     wanted: tuple[str, ...] = ()
+    #: posterior of unwanted domains that is taken for the classifier's noise
+    leak: float = 0.05
     #: rows of the labelled table that the classifier is fitted on, at most about
     sample: int = 20_000
     buckets: int = 1 << 16
@@ -153,7 +157,8 @@ def folded(start: Column, steps: list[list[float]]) -> Column:
 def held(mix: Mix) -> Column:
     """The share of a document that domains with a target of zero leave of it."""
     # bound as in folded; four even posteriors tell nothing
-    share = lambda s: F.when(reduce(lambda a, p: a & (s[p] == 0.25), P, F.lit(True)), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * sum((s[p] for p in mix.unwanted()), F.lit(0.0))))
+    kept = lambda u: F.when(u <= mix.leak, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 * u))
+    share = lambda s: F.when(reduce(lambda a, p: a & (s[p] == 0.25), P, F.lit(True)), 1.0).otherwise(kept(sum((s[p] for p in mix.unwanted()), F.lit(0.0))))
     return F.get(F.transform(F.array(F.struct(*P)), share), F.lit(0))
 
 
@@ -215,9 +220,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_mixed(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of ``docs``, whole, drawn by their rates: by hash of id, a share of ``rate``; all from a rate of 0.9 on."""
+    """The rows of ``docs``, whole, each as often as its rate says, so that expected totals are those of the fit."""
     model, steps, _ = mixed(docs, labels, mix)
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), 11).cast("double") * F.lit(2.0**-53)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), "doc_id", "text")
     scored = posteriors(rows, model, mix).withColumn("rate", held(mix) * folded(F.lit(1.0), steps))
-    return scored.filter(u * 0.9 < F.col("rate")).select("__row.*")
+    times = (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
+    drawn = scored.select("__row", times.alias("__times")).filter("__times > 0")
+    if steps:  # without steps no rate exceeds one
+        drawn = drawn.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times"))))
+    return drawn.select("__row.*")
