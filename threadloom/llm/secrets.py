@@ -1,20 +1,23 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on other tokens.
 
 Tokens are runs of 20 or more characters of ``A-Za-z0-9+/_=-``. Each is read
-in its inferred encoding (decimal, hex, base32, lower- or upper-case base36,
-base62, base64, URL base64). Under the hypothesis that a token is uniformly
-random in that alphabet, three tests are made: chi-squared on the symbols, the
-number of runs above and below the alphabet's middle, and lag-one serial
-correlation. A token that one of them rejects at a Bonferroni share of
-``reject`` is no secret. What is left is held against ordinary text: the
-p-value is the chance that letters drawn as in words come as close to
-uniformity as this token does. The p-values of one document are a family;
-Benjamini-Hochberg with weights that grow with token length controls the
-false discoveries among its tokens.
-
-Defined cases: a null text is empty and has no secret; tokens of digits alone or
-of lower-case letters alone are no secrets, whatever their length; very long runs are
-tested whole; repeated rows give repeated rows; other columns are ignored, or
+in its inferred encoding (decimal, hex, letters of one case, base32, lower- or
+upper-case base36, base62, base64, URL base64), and three statistics are taken of it: chi-squared
+of its symbols against a uniform alphabet, runs (of symbols above and below the
+alphabet's middle, and of character classes), and lag-one serial correlation.
+
+Each statistic is held against two hypotheses. Under randomness a token that
+one of them rejects at a Bonferroni share of ``reject`` is no secret. Under
+ordinary text (letters drawn as in words, few changes of class) it gives the
+chance that text looks as random as this token does, and the three chances
+combine by Brown's method, with weights and an allowance for their dependence. Those combined
+p-values of one document are a family; Benjamini-Hochberg with weights that
+grow with token length controls the false discoveries among its tokens.
+
+Defined cases: a null text is empty and has no secret; tokens of digits alone
+are no secrets, whatever their length; letters of one case alone may be
+run-together words, so their p-value is bounded below, by less the longer they
+are; very long runs are tested whole; repeated rows give repeated rows; other columns are ignored, or
 kept by ``redact``.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -44,6 +48,8 @@ ALPHABETS = {
     "decimal": _LETTERS["digit"],
     "hex": _LETTERS["digit"] + "abcdef",
     "HEX": _LETTERS["digit"] + "ABCDEF",
+    "lower": _LETTERS["lower"],
+    "upper": _LETTERS["upper"],
     "base32": _LETTERS["upper"] + "234567",
     "base36": _LETTERS["digit"] + _LETTERS["lower"],
     "BASE36": _LETTERS["digit"] + _LETTERS["upper"],
@@ -120,15 +126,61 @@ def encoding(token: str) -> str:
     return next((k for k, v in _SETS.items() if chars <= v), "mixed")
 
 
+def log_gamma_tail(x: float, dof: float) -> float:
+    """Logarithm of the chance that chi-squared exceeds x: a continued fraction, or a series for small x."""
+    a, y = dof / 2, x / 2
+    if y <= 0:
+        return 0.0
+    front = a * math.log(y) - y - math.lgamma(a)
+    if y < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > 1e-16 * total:
+            k += 1
+            term *= y / k
+            total += term
+        return math.log1p(-min(math.exp(front + math.log(total)), 1 - 1e-16))
+    b = y + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 500):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b)
+        c = b + an / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-13:
+            break
+    return min(0.0, front + math.log(h))
+
+
+def log_normal_tail(z: float) -> float:
+    """Logarithm of the upper tail, by its asymptotic form where the tail is too small for a float."""
+    return math.log(normal_tail(z)) if z < 30 else -z * z / 2 - math.log(z * math.sqrt(2 * math.pi))
+
+
+#: Weights of the three statistics (neighbours in words tell the least), and the correlation that Brown's method allows for.
+WEIGHTS, DEPENDENT = (1.0, 1.0, 0.2), 0.1
+
+
+def combined(logs: list[float]) -> float:
+    """Logarithm of the combined p-value of weighted, dependent ones."""
+    mean, square = 2 * sum(WEIGHTS), sum(w * w for w in WEIGHTS)
+    var = 4 * square + (sum(WEIGHTS) ** 2 - square) * DEPENDENT * (3.25 + 0.75 * DEPENDENT)
+    total = -2 * sum(w * x for w, x in zip(WEIGHTS, logs, strict=True))
+    return log_gamma_tail(total * 2 * mean / var, 2 * mean * mean / var)
+
+
 def battery(token: str) -> tuple[str, tuple[float, float, float], float]:
-    """Encoding, p-values of the three tests of randomness, and the p-value against ordinary text."""
+    """Encoding, p-values of the three tests of randomness, and the combined p-value of the same statistics under ordinary text."""
     body = token.rstrip("=").replace("=", "")
     name = encoding(body)
     alphabet = ALPHABETS[name]
     n, m = len(body), len(alphabet)
     if n < 2:
         return name, (0.0, 0.0, 0.0), 1.0
-    codes = np.asarray([alphabet.index(c) for c in body])
+    place = {c: i for i, c in enumerate(alphabet)}
+    codes = np.fromiter(map(place.__getitem__, body), np.int64, n)
     counts = np.bincount(codes, minlength=m)
     chi2 = float(((counts - n / m) ** 2).sum() * m / n)
     # for few symbols a cell the statistic is spread a little less than chi-squared
@@ -145,12 +197,12 @@ def battery(token: str) -> tuple[str, tuple[float, float, float], float]:
     x = codes - (m - 1) / 2
     r = float((x[1:] * x[:-1]).sum()) / ((m * m - 1) / 12)
     p_serial = 2 * normal_tail(abs(r) / math.sqrt(n - 1))
-    return name, (p_chi, p_runs, p_serial), against_text(chi2, n, alphabet, body)
+    return name, (p_chi, p_runs, p_serial), against_text(chi2, r, alphabet, body)
 
 
-def against_text(chi2: float, n: int, alphabet: str, body: str) -> float:
-    """Chance that n characters drawn as in words are as close to uniformity over the alphabet."""
-    m = len(alphabet)
+def against_text(chi2: float, r: float, alphabet: str, body: str) -> float:
+    """Chance that characters drawn as in words look as random: by uniformity, by runs of classes, by serial correlation."""
+    n, m = len(body), len(alphabet)
     q = np.zeros(m)
     for c, w in zip(_LETTERS["lower"], _TEXT, strict=True):
         at = [i for i in (alphabet.find(c), alphabet.find(c.upper())) if i >= 0]
@@ -160,19 +212,23 @@ def against_text(chi2: float, n: int, alphabet: str, body: str) -> float:
         return 1.0
     q = q / q.sum() * 0.98 + 0.02 / m
     mean = m * float((q * (1 - q)).sum()) + n * m * float(((q - 1 / m) ** 2).sum())
-    third = float((q**3).sum())
-    second = float((q**2).sum())
+    third, second = float((q**3).sum()), float((q**2).sum())
     sd = m * math.sqrt(max(1e-9, 2 * second**2 + 4 * n * (third - second**2)))
-    letters = sum(c.isalpha() for c in body)
-    digits = len(body) - letters
-    changes = sum(a.isdigit() != b.isdigit() or (a.isalpha() and b.isalpha() and a.islower() and b.isupper()) for a, b in zip(body, body[1:], strict=False))
-    # ordinary names change class rarely: a Poisson tail with one change in twelve characters
-    log_changes = log_poisson_tail(changes, n / 12)
-    p_close = normal_tail((mean - chi2) / sd)
-    if not digits and body.islower():
-        return max(p_close, 1e-3)  # letters of one case alone may be run-together words
-    stat = -2 * (math.log(max(p_close, 1e-300)) + log_changes)
-    return math.exp(-stat / 2) * (1 + stat / 2)  # Fisher, four degrees of freedom
+    log_close = log_normal_tail((mean - chi2) / sd)
+    if body.isalpha() and (body.islower() or body.isupper()):
+        return max(math.exp(log_close), 10 ** -(3 + max(0, n - 20) / 16))
+    # classes: lower case (a capital begins a word), digits; ordinary names change class once in twelve characters
+    kinds = np.frombuffer(body.encode(), np.uint8)
+    digit, lower = (kinds >= 0x30) & (kinds <= 0x39), (kinds >= 0x61) & (kinds <= 0x7A)
+    upper = (kinds >= 0x41) & (kinds <= 0x5A)
+    changes = int(((digit[1:] != digit[:-1]) | (lower[:-1] & upper[1:])).sum())
+    log_runs = log_poisson_tail(changes, n / 12)
+    # neighbours of words lie on one side of the alphabet's middle together
+    place = (np.arange(m) - (m - 1) / 2) / math.sqrt((m * m - 1) / 12)
+    one, two = float((q * place).sum()), float((q * place**2).sum())
+    spread = (n - 1) * (two * two - one**4) + 2 * max(0, n - 2) * one * one * (two - one * one)
+    log_serial = log_normal_tail((one * one * (n - 1) - r) / math.sqrt(max(1e-9, spread)))
+    return math.exp(combined([log_close, log_runs, log_serial]))
 
 
 @dataclass(frozen=True)
@@ -199,6 +255,19 @@ def base_spans(text: str) -> list[Span]:
     return found + [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
 
 
+def free(tokens: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """Tokens, in order and apart from each other, that no span overlaps."""
+    ends = sorted((s, e) for _, s, e in spans)
+    starts, reach, out = [s for s, _ in ends], [], []
+    for _, e in ends:
+        reach.append(max(e, reach[-1] if reach else 0))
+    for a, b in tokens:
+        k = bisect_left(starts, b)  # spans that begin before the token ends
+        if not k or reach[k - 1] <= a:
+            out.append((a, b))
+    return out
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, method: Battery) -> Iterator[list[Span]]:
     """Spans of each text: base ones and those the method adds, by start, then kind."""
     n = len(offsets) - 1
@@ -222,11 +291,14 @@ def scan(data: np.ndarray, offsets: np.ndarray, method: Battery) -> Iterator[lis
         lo, hi = int(offsets[doc]), int(offsets[doc + 1])
         raw = seen[lo:hi]
         text = raw.decode("utf-8", "replace")
-        ascii_only = len(text) == len(raw)
-        at = (lambda b: b - lo) if ascii_only else (lambda b: len(seen[lo:b].decode("utf-8", "replace")))  # noqa: B023
+        at = lambda b: b - lo  # noqa: B023, E731
+        if len(text) != len(raw):  # code points before each byte
+            before = np.zeros(hi - lo + 1, np.int64)
+            np.cumsum((data[lo:hi] & 0xC0) != 0x80, out=before[1:])
+            at = lambda b: int(before[b - lo])  # noqa: B023, E731
         spans = base_spans(text)
         spans += [("hex", at(a), at(b)) for a, b in hexes.get(doc, ())]
-        rest = [(a, b) for a, b in ((at(a), at(b)) for a, b in tokens.get(doc, ())) if not any(s < b and a < e for _, s, e in spans)]
+        rest = free([(at(a), at(b)) for a, b in tokens.get(doc, ())], spans)
         words = [text[a:b] for a, b in rest]
         spans += [("random", a, b) for (a, b), yes in zip(rest, method.chosen(words), strict=True) if yes]
         yield sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
