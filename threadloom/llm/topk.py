@@ -3,12 +3,14 @@
 Vectors are turned to integers and sorted by descending length into blocks. An
 orthogonal rotation by the eigenvectors of their Gram matrix (the right
 singular vectors of all of them) moves most of every vector into its first
-coordinates. Queries are cut into blocks too and meet every block of vectors.
-The longest vectors come first and give each query a threshold; after that a
-block whose longest vector times the query's length stays below the threshold
-is skipped, partial sums over the leading coordinates plus the Cauchy-Schwarz
-bound of the rest drop most vectors, and only what is left is scored, exactly,
-in integers.
+coordinates. Queries are cut into blocks too and meet the blocks of vectors in
+tiers: the longest block first, then each time eight times as many, shorter
+ones. A tier starts from the thresholds that the tiers before have left. Pairs
+of blocks whose longest vectors cannot reach any threshold are dropped before
+their vectors are joined; within a task a query's threshold rises with every
+block it meets. Then partial sums over the leading coordinates plus the
+Cauchy-Schwarz bound of the rest drop most vectors, and only what is left is
+scored, exactly, in integers.
 
 A row of the shuffle is a packed block, so the stated queries meet all vectors
 in pairs of blocks and no pair of rows is ever written out.
@@ -31,6 +33,11 @@ from pyspark.sql import functions as F
 from . import common
 #: Vectors and queries of a packed block; coordinates of the partial sums.
 BLOCK, QUERIES, HEAD = 8192, 1024, 16
+#: Blocks of a tier for each one of the tier before.
+TIER = 8
+#: Query blocks whose thresholds a task remembers.
+KNOWN = 256
+FOUND = "q_block long, query_id long, vec_id long, score long"
 BLOCKED = "block long, top double, n int, ids binary, vectors binary"
 
 
@@ -171,28 +178,58 @@ class Searcher:
             yield i, ids[at[order]], score[order]
 
 
-def _search(pairs: DataFrame, k: int, dims: int, turn: np.ndarray) -> DataFrame:
-    """Best k of every pair of blocks. ``kths``: queries' thresholds known so far."""
-    schema = "q_block long, query_id long, vec_id long, score long"
+def raised(floor: np.ndarray, held: np.ndarray, found: list[tuple[int, np.ndarray]]) -> None:
+    """Enter new scores into each query's best ones so far, and raise its threshold to the last of them.
+
+    held: best scores of each query in rising order, -inf for none; both are changed in place.
+    """
+    for i, score in found:
+        best = np.sort(np.concatenate([held[i], score]))[-held.shape[1] :]
+        held[i] = best
+        floor[i] = max(floor[i], best[0])
 
+
+def _search(pairs: DataFrame, k: int, dims: int, turn: np.ndarray) -> DataFrame:
+    """Best k of every pair of blocks that a query's threshold leaves open. ``kths``: thresholds of the tiers before."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Searcher(k, turn)
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for row in range(b.num_rows):
                 r = {c: b.column(c)[row].as_py() for c in b.schema.names}
                 qid, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, v = (np.frombuffer(r[c]).reshape(-1, dims) for c in ("q_vectors", "vectors"))
-                known = {x["query_id"]: x["kth"] for x in r["kths"] or ()}
-                floor = np.asarray([known.get(x, -np.inf) for x in qid.tolist()], float)
+                if r["q_block"] not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    given = {x["query_id"]: x["kth"] for x in r["kths"] or ()}
+                    known[r["q_block"]] = np.asarray([given.get(x, -np.inf) for x in qid.tolist()], float), np.full((len(qid), k), -np.inf)
+                floor, held = known[r["q_block"]]
                 out = []
                 for lo in range(0, len(qid), 128):
                     part = slice(lo, lo + 128)
-                    for i, found, score in s.top(qid[part], q[part], floor[part], ids, v, r["top"]):
-                        out.append(np.stack([np.full(len(found), r["q_block"]), np.full(len(found), qid[lo + i]), found, score]))
+                    found = list(s.top(qid[part], q[part], floor[part], ids, v, r["top"]))
+                    out += [np.stack([np.full(len(at), r["q_block"]), np.full(len(at), qid[lo + i]), at, score]) for i, at, score in found]
+                    # scores as doubles may round up: the threshold stays a little below
+                    raised(floor, held, [(lo + i, score.astype(float) * (1 - 1e-12 * np.sign(score)) - 1e-6) for i, _, score in found])
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=[c.split()[0] for c in schema.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return pairs.select("q_block", "q_ids", "q_vectors", "kths", "top", "ids", "vectors").mapInArrow(run, schema)
+    return pairs.select("q_block", "q_ids", "q_vectors", "kths", "top", "ids", "vectors").mapInArrow(run, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def tiers(blocks: int) -> list[tuple[int, int]]:
+    """Ranges of blocks in order of their longest vector."""
+    out, at, size = [], 0, 1
+    while at < blocks:
+        out.append((at, min(blocks, at + size)))
+        at, size = at + size, size * TIER
+    return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -203,23 +240,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     facts = table.agg(F.max("dims"), F.count(F.lit(1))).first()
     dims, n = max(1, facts[0] or 0), facts[1]
     turn = rotation(gram(table, dims))
-    parts = max(1, min(common.width(spark), -(-n // BLOCK)))
-    blocks = common.durable(packed(table, dims, BLOCK, parts))
-    q = packed(asks, dims, QUERIES, max(1, min(common.width(spark), -(-n // (50 * QUERIES))))).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    q = common.durable(q)
     width = common.width(spark)
-    longest = blocks.orderBy(F.col("top").desc(), "block").limit(1)  # one packed block
-    kinds = "array<struct<query_id: long, kth: double>>"
-    seed = _search(q.withColumn("kths", F.lit(None).cast(kinds)).join(F.broadcast(longest), F.lit(True)), k, dims, turn)
-    kth = seed.groupBy("q_block", "query_id").agg(F.array_sort(F.collect_list("score")).alias("s"))  # at most k scores a query
-    kth = kth.filter(F.size("s") >= k).select("q_block", "query_id", F.get("s", F.size("s") - k).cast("double").alias("kth"))
-    kths = kth.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "kth")).alias("kths"))  # at most QUERIES entries
-    # every query block goes to every group of vector blocks, and meets the blocks there
-    asked = q.join(kths, "q_block", "left").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).repartition(width, "group")
-    pairs = asked.join(blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(width)).cast("int")), "group")
-    best = _search(pairs, k, dims, turn)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = max(1, min(width, -(-n // BLOCK)))
+    blocks = common.durable(packed(table, dims, BLOCK, parts))
+    q = packed(asks, dims, QUERIES, max(1, min(width, -(-n // (50 * QUERIES)))))
+    q = common.durable(q.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("top").alias("q_top"), F.col("n").alias("q_n")))
+    found = _best(spark.createDataFrame([], FOUND), k).drop("rank")
+    above = None
+    for lo, hi in tiers(total := blocks.count()):
+        tier = blocks if above is None else blocks.filter(F.col("top") < above)
+        if hi < total:  # one number for each block tells where the tier ends
+            above = blocks.select("top", F.row_number().over(Window.orderBy(F.desc("top"))).alias("r")).filter(F.col("r") == hi).first()["top"]
+            tier = tier.filter(F.col("top") >= above)
+        # query blocks go to all groups of the tier's vector blocks and meet the blocks there that are long enough
+        groups = max(1, min(width, hi - lo))
+        asked = q.join(_thresholds(found, k), "q_block", "left").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "group")
+        low = F.when(F.col("known") == F.col("q_n"), F.col("low")).otherwise(float("-inf"))
+        reach = F.col("q_top") * F.col("top") * (1 + 1e-9) + 1e-6 >= low
+        pairs = asked.join(tier.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")), "group").filter(reach)
+        found = common.durable(_best(found.union(_search(pairs, k, dims, turn)), k).drop("rank"))
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _thresholds(found: DataFrame, k: int) -> DataFrame:
+    """Of each block of queries: the k-th best scores known so far, the smallest of them, and how many are known."""
+    last = found.groupBy("q_block", "query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").cast("double").alias("kth")).filter(F.col("c") >= k)
+    # at most QUERIES entries
+    return last.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "kth")).alias("kths"), F.min("kth").alias("low"), F.count(F.lit(1)).alias("known"))
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
