@@ -128,8 +128,8 @@ def seeds(n: int, salt: int) -> np.ndarray:
 _BYTE = seeds(256, 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTE_2 = seeds(256, 2)
+_BASES = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -151,12 +151,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each pair, by prefix sums of a polynomial."""
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """Hash of values[start:end] for each pair, by prefix sums of a polynomial; with ``other``, by another one."""
+    base, inverse = _BASES[other]
     with np.errstate(over="ignore"):
         sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(_BASE, len(values)), out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * powers(_BASE_INV, len(values) + 1)[starts]
+        np.cumsum(values * powers(base, len(values)), out=sums[1:])
+        raw = (sums[ends] - sums[starts]) * powers(inverse, len(values) + 1)[starts]
         return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -200,8 +201,9 @@ class Words:
         #: of each text: index of its first word; one more at the end
         self.bounds = np.searchsorted(self.starts, self.offsets, "left")
 
-    def hashes(self) -> np.ndarray:
-        return span_hash(_BYTE[self.data], self.starts, self.ends)
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """A hash of each word; with ``other``, one that is independent of the first."""
+        return span_hash((_BYTE_2 if other else _BYTE)[self.data], self.starts, self.ends, other)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start words of the k-word windows inside one text, and their hashes."""

@@ -7,7 +7,9 @@ smallest hash stands for it, the same one wherever the passage occurs, so the
 first level needs only about two half windows in ``half + 2`` and still misses
 no repeat. Full windows whose stand-in occurs once have no candidates and are
 never looked at again. At the second level each full window that is left is
-held against all others; every occurrence but the first is covered.
+held against all others, by 128 bits of hash; every occurrence but the first is
+covered. ``longest_repeats`` goes on from there: windows of twice the length
+whose two halves repeat, again and again, until no candidates survive.
 
 Positions travel as packed arrays dealt by hash. Occurrences that repeat
 inside one batch or group are settled there and only its first goes on, so a
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -39,8 +42,8 @@ GROUPS = 2
 GATHER = 1 << 21
 _LAST = np.iinfo(np.int64).max
 _START = np.int64((1 << 40) - 1)
-#: h: hash; d: document; q: start word, and above 40 bits the number of the row among those of its id.
-DEALT = "bucket int, h binary, d binary, q binary, settled_d binary, settled_q binary"
+#: h: hash; g: another hash, of the full windows alone; d: document; q: start word, and above 40 bits the number of the row among those of its id.
+DEALT = "bucket int, h binary, g binary, d binary, q binary, settled_d binary, settled_q binary"
 FOUND = "part long, d binary, q binary"
 
 
@@ -77,35 +80,44 @@ class TextWindows:
         self.chosen = stand_ins(self.half_hashes, span)[self.starts]
 
 
-def _deal(h: np.ndarray, d: np.ndarray, q: np.ndarray, buckets: int, any_repeat: bool) -> pa.RecordBatch:
-    """Settle repeats among these entries; deal the first of each hash, and the settled ones, to buckets.
+def _repeats(h: np.ndarray, g: np.ndarray, d: np.ndarray, q: np.ndarray, any_repeat: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the entries by hash and place; which of them, so ordered, begin a hash; which of them are found to repeat.
 
-    any_repeat: all occurrences of a repeated hash are settled (level one);
-    else all but the first (level two).
+    any_repeat: all occurrences of a repeated hash (level one); else all but
+    those at the first place (level two).
     """
-    order = np.lexsort((q & _START, d, h))
+    order = np.lexsort((q & _START, d, g, h)) if len(g) else np.lexsort((q & _START, d, h))
     h, d, q = h[order], d[order], q[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
+    if len(g):
+        g = g[order]
+        new[1:] |= g[1:] != g[:-1]
     group = np.cumsum(new) - 1
     if any_repeat:
-        settled = (np.bincount(group)[group] > 1) if len(h) else new
-    else:  # windows at the very place of the first are not covered by it
-        first = np.flatnonzero(new)[group]
-        settled = (d != d[first]) | ((q & _START) != (q[first] & _START))
-        new |= ~settled  # all rows at the first place stay in play
+        return order, new, (np.bincount(group)[group] > 1) if len(h) else new
+    first = np.flatnonzero(new)[group]
+    return order, new, (d != d[first]) | ((q & _START) != (q[first] & _START))
+
+
+def _deal(h: np.ndarray, g: np.ndarray, d: np.ndarray, q: np.ndarray, buckets: int, any_repeat: bool) -> pa.RecordBatch:
+    """Settle repeats among these entries; deal the first of each hash, and the settled ones, to buckets."""
+    order, new, settled = _repeats(h, g, d, q, any_repeat)
+    h, g, d, q = h[order], g[order] if len(g) else g, d[order], q[order]
+    if not any_repeat:  # all rows at the first place stay in play
+        new = new | ~settled
     bucket = (common.mix64(h) >> np.uint64(33)) % np.uint64(buckets)
     # settled entries go anywhere, evenly
     spread = (common.mix64(d.view(np.uint64) ^ np.uint64(0x5BD1E995)) >> np.uint64(33)) % np.uint64(buckets)
     rows: dict[int, list[bytes]] = {}
-    for k, (which, to, parts) in enumerate(((new, bucket, (h, d, q)), (settled, spread, (d, q)))):
+    for first, which, to, parts in ((0, new, bucket, (h, g, d, q)), (4, settled, spread, (d, q))):
         at = np.flatnonzero(which)
         at = at[np.argsort(to[at], kind="stable")]
         names, begin = np.unique(to[at], return_index=True)
         for b, i, j in zip(names.tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)][: len(names)], strict=True):
-            row = rows.setdefault(int(b), [b""] * 5)
-            row[3 * k : 3 * k + len(parts)] = [x[at[i:j]].tobytes() for x in parts]
-    columns = list(zip(*rows.values(), strict=True)) or [()] * 5
+            row = rows.setdefault(int(b), [b""] * 6)
+            row[first : first + len(parts)] = [x[at[i:j]].tobytes() if len(x) else b"" for x in parts]
+    columns = list(zip(*rows.values(), strict=True)) or [()] * 6
     return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=[c.split()[0] for c in DEALT.split(", ")])
 
 
@@ -114,25 +126,16 @@ def _gather(batches: Iterable[pa.RecordBatch], names: list[str]) -> list[np.ndar
     for b in batches:
         for n in names:
             held[n] += b.column(n).to_pylist()
-    return [np.frombuffer(b"".join(held[n]), np.uint64 if n == "h" else np.int64) for n in names]
+    return [np.frombuffer(b"".join(held[n]), np.uint64 if n in "hg" else np.int64) for n in names]
 
 
 def _settle(dealt: DataFrame, parts: int, buckets: int, any_repeat: bool) -> DataFrame:
     """Decide each bucket's hashes; send what is found back to the parts of the documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, d, q, more_d, more_q = _gather(batches, ["h", "d", "q", "settled_d", "settled_q"])
-        order = np.lexsort((q & _START, d, h))
-        h, d, q = h[order], d[order], q[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        group = np.cumsum(new) - 1
-        if any_repeat:
-            found = (np.bincount(group)[group] > 1) if len(h) else new
-        else:
-            first = np.flatnonzero(new)[group]
-            found = (d != d[first]) | ((q & _START) != (q[first] & _START))
-        d, q = np.concatenate([d[found], more_d]), np.concatenate([q[found], more_q])
+        h, g, d, q, more_d, more_q = _gather(batches, ["h", "g", "d", "q", "settled_d", "settled_q"])
+        order, _, found = _repeats(h, g, d, q, any_repeat)
+        d, q = np.concatenate([d[order][found], more_d]), np.concatenate([q[order][found], more_q])
         part = d % np.int64(parts)
         order = np.argsort(part, kind="stable")
         d, q, part = d[order], q[order], part[order]
@@ -161,7 +164,7 @@ def first_level(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 t = TextWindows(w, window)
                 at = np.unique(t.chosen)
                 doc = w.doc[at]
-                held.append((t.half_hashes[at], ids[i + doc], at - w.bounds[doc]))
+                held.append((t.half_hashes[at], np.zeros(0, np.uint64), ids[i + doc], at - w.bounds[doc]))
                 count += len(at)
                 if count >= GATHER:
                     yield _deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, True)
@@ -214,19 +217,22 @@ class Group:
         return out
 
 
-def second_level(docs: DataFrame, found: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Full windows whose stand-in repeats, dealt by hash."""
+def second_level(docs: DataFrame, found: DataFrame, window: int, buckets: int, every: bool = False) -> DataFrame:
+    """Full windows whose stand-in repeats, dealt by hash. every: the first place counts as a repeat too."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         g = Group(left, right)
-        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if len(g.d):
             for i, j, w in g.slices():
                 t = TextWindows(w, window)
                 at = t.starts[g.marks(i, j, w, False)[t.chosen]]
                 doc = w.doc[at]
-                held.append((common.span_hash(t.hashes, at, at + window), g.ids[i + doc], (g.number[i + doc] << 40) + at - w.bounds[doc]))
-        return pa.Table.from_batches([_deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, False)])
+                if not len(at):
+                    continue
+                second = common.span_hash(w.hashes(other=True), at, at + window, other=True)
+                held.append((common.span_hash(t.hashes, at, at + window), second, g.ids[i + doc], (g.number[i + doc] << 40) + at - w.bounds[doc]))
+        return pa.Table.from_batches([_deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, every)])
 
     return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, DEALT)
 
@@ -257,14 +263,65 @@ def apply_removals(docs: DataFrame, found: DataFrame, window: int, texts: bool)
     return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, schema)
 
 
+def _doubled(docs: DataFrame, found: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Windows of ``length`` words whose halves both repeat, dealt by hash."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        g = Group(left, right)
+        none = np.zeros(0, np.uint64)
+        held = [(none, none, none.view(np.int64), none.view(np.int64))]
+        if len(g.d):
+            for i, j, w in g.slices():
+                marks = g.marks(i, j, w, True)
+                at = np.flatnonzero(marks[: -(length // 2)] & marks[length // 2 :]) if len(marks) > length // 2 else np.zeros(0, np.int64)
+                at = at[at + length <= len(marks)]
+                at = at[w.doc[at] == w.doc[at + length - 1]]
+                if not len(at):
+                    continue
+                doc = w.doc[at]
+                one, two = (common.span_hash(w.hashes(o), at, at + length, o) for o in (False, True))
+                held.append((one, two, g.ids[i + doc], (g.number[i + doc] << 40) + at - w.bounds[doc]))
+        return pa.Table.from_batches([_deal(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, True)])
+
+    return docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(run, DEALT)
+
+
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int, int]:
+    width = common.width(docs.sparkSession)
+    parts = GROUPS * width + 1
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return slim, slim.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(int(_LAST))), F.lit(parts))), width, parts
+
+
+def longest_repeats(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of every document with a repeated window: the longest length ``window``, 2 ``window``, 4 ``window``, ...
+    at which a window of it occurs at another place too. One row per id: ``doc_id, words``."""
+    slim, grouped, width, parts = _grouped(docs, key, text)
+    repeated = _settle(first_level(slim, window, width), parts, width, True)
+    level, length, levels = _settle(second_level(grouped, repeated, window, width, every=True), parts, width, True), window, []
+    while True:
+        level = common.durable(level)
+        if not level.limit(1).count():  # no candidate survives
+            break
+        levels.append(level.mapInArrow(_documents, "doc_id long").distinct().select("doc_id", F.lit(length).cast("long").alias("words")))
+        length *= 2
+        level = _settle(_doubled(grouped, level, length, width), parts, width, True)
+    if not levels:
+        return docs.sparkSession.createDataFrame([], "doc_id long, words long")
+    return reduce(DataFrame.union, levels).groupBy("doc_id").agg(F.max("words").alias("words"))
+
+
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = np.unique(np.frombuffer(b"".join(b.column("d").to_pylist()), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _LAST)], names=["doc_id"])
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """Words, removed words and digest of the kept words of every row; with ``texts``, the kept text too."""
     if window < 2:
         raise ValueError("a window has at least two words")
-    width = common.width(docs.sparkSession)
-    parts = GROUPS * width + 1
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    grouped = slim.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(int(_LAST))), F.lit(parts)))
+    slim, grouped, width, parts = _grouped(docs, key, text)
     repeated = _settle(first_level(slim, window, width), parts, width, True)
     covered = _settle(second_level(grouped, repeated, window, width), parts, width, False)
     return apply_removals(grouped, covered, window, texts)
