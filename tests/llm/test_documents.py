@@ -331,6 +331,24 @@ def test_substring_dedup(spark, window):
     assert sorted(got) == sorted(want)
 
 
+def test_longest_repeats(spark):
+    """The longest doubling of the window at which some window of a document occurs twice."""
+    rng = random.Random(40)
+    make = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    a, b, c = make(100), make(45), make(20)
+    rows = [(1, make(30) + a + make(9)), (2, a + make(50)), (3, make(3) + b), (4, b + make(60)), (5, make(40)), (6, c + make(7) + c), (7, ["x"] * 41), (None, make(2) + c)]
+    text = [(i, " ".join(w)) for i, w in rows]
+    want = {}
+    for i, w in rows:
+        length = 4
+        while any(sum(w[k : k + length] == o[m : m + length] for _, o in rows for m in range(len(o) - length + 1)) > 1 for k in range(len(w) - length + 1)):
+            want[i] = length
+            length *= 2
+    got = {r["doc_id"]: r["words"] for r in substrings.longest_repeats(spark.createDataFrame(text, "doc_id long, text string"), 4).collect()}
+    assert got == want and max(want.values()) == 64
+    assert substrings.longest_repeats(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).count() == 0
+
+
 def test_substring_dedup_of_odd_tables(docs, rows, empty):
     assert substrings.dedup_substrings(empty).count() == 0
     assert substrings.dedup_substrings(docs, texts=True).count() == len(rows)
@@ -373,6 +391,8 @@ def test_long_random_tokens(spark):
     b = secrets.Battery()
     for n in (1000, 1410, 2000, 20_000, 100_000):
         assert sum(b.chosen(["".join(rng.choice(chars) for _ in range(n))])[0] for _ in range(5)) >= 4
+    for kind in ("lower", "upper"):  # one case alone, long enough
+        assert sum(b.chosen(["".join(rng.choice(secrets._LETTERS[kind]) for _ in range(256))])[0] for _ in range(20)) >= 15
     words = ["getElementByIdentifierName", "some", "Path", "request2Handler", "http", "Window"]
     assert not any(b.chosen(["".join(rng.choice(words) for _ in range(20_000)), "aB3" * 30_000]))
     token = "".join(rng.choice(chars) for _ in range(2000))
@@ -521,3 +541,148 @@ def test_keep_one_row_of_repeated_ids(spark):
     rows = [(1, text, "x"), (1, text, "x"), (2, text, "y"), (3, "other words altogether here now", "z"), (3, "a different text of that id", "z"), (None, text, "n"), (None, text, "n")]
     got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 1, 3]
+
+
+def brute_posteriors(rows, labels, mix):
+    """Naive Bayes of significant hashed words in plain Python: ids, tokens and the posterior of each domain."""
+    import xxhash
+
+    bucket = lambda w: (h - (1 << 64) if (h := xxhash.xxh64_intdigest(w.encode(), 42)) >> 63 else h) % mix.buckets
+    found = {i: {bucket(w) for w in words(t)} for i, t in rows}
+    yes = []
+    for label in (1, 2):
+        n1 = sum(r[label] for r in labels)
+        n0 = len(labels) - n1
+        c1, c0 = Counter(), Counter()
+        for r in labels:
+            (c1 if r[label] else c0).update(found[r[0]])
+        base, weight = np.log((n1 + 0.5) / (n0 + 0.5)), {}
+        for b in c1 | c0:
+            p1, p0, p = (c1[b] + 0.5) / (n1 + 1), (c0[b] + 0.5) / (n0 + 1), (c1[b] + c0[b] + 0.5) / (n1 + n0 + 1)
+            if abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / (n1 + 0.5) + 1 / (n0 + 0.5))) >= mix.z:
+                base += np.log((1 - p1) / (1 - p0))
+                weight[b] = np.log(p1 / p0) - np.log((1 - p1) / (1 - p0))
+        yes.append({i: 1 / (1 + np.exp(-np.clip(base + sum(weight.get(b, 0.0) for b in f), -40, 40))) for i, f in found.items()})
+    good, toxic = yes
+    return {i: (len(words(t)), (good[i] * (1 - toxic[i]), (1 - good[i]) * (1 - toxic[i]), good[i] * toxic[i], (1 - good[i]) * toxic[i])) for i, t in rows}
+
+
+def brute_rates(table, mix):
+    """Projected gradient over all documents' rates at once."""
+    ids = sorted(table)
+    n, post = np.asarray([table[i][0] for i in ids], float), np.asarray([table[i][1] for i in ids])
+    unwanted = post[:, [k for k, d in enumerate(mixing.DOMAINS) if not mix.weights.get(d)]].sum(1)
+    share = np.where(unwanted <= mix.leak, 1.0, np.maximum(0, 1 - 2 * unwanted))
+    target = np.asarray([mix.weights.get(d, 0.0) for d in mixing.DOMAINS]) / sum(mix.weights.values()) * n.sum()
+    a = (post * (n * share)[:, None]).T  # domains by documents
+    gram = post.T @ a.T
+    aims = np.flatnonzero(target)
+    scale = 1 / np.maximum(np.diag(gram), 1e-9 * n.sum())
+    bound = max(sum(abs(gram[i, j]) * np.sqrt(scale[i] * scale[j]) for j in aims) for i in aims)
+    rate, now = np.ones(len(ids)), a.sum(1)
+    for _ in range(mix.steps):
+        if (abs(now - target)[aims] <= mix.tolerance * target[aims]).all():
+            break
+        g = np.zeros(len(target))
+        g[aims] = (scale * (now - target) / bound)[aims]
+        rate = np.maximum(0, rate - post @ g)
+        before, now = now, a @ rate
+        if (abs(now - before)[aims] <= 0.01 * mix.tolerance * target[aims]).all():
+            break
+    return dict(zip(ids, share * rate, strict=True))
+
+
+@pytest.fixture(scope="module")
+def mixable():
+    rng = random.Random(31)
+    plain = [f"w{i}" for i in range(150)]
+    rows, labels = [], []
+    for i in range(1200):
+        good, toxic = rng.random() < 0.6, rng.random() < 0.1
+        text = [rng.choice(plain) for _ in range(rng.randint(5, 80))]
+        text += [w for w in ("bad", "awful", "vile") if toxic and rng.random() < 0.8] + [w for w in ("%%", "lorem") if not good and rng.random() < 0.7]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(good), int(toxic)))
+    return rows, labels
+
+
+def test_mixing_against_brute_force(spark, mixable):
+    rows, labels = mixable
+    mix = mixing.Mix(weights={"good_clean": 0.8, "poor_clean": 0.2})
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int")
+    want = brute_posteriors(rows, labels[:600], mix)
+    rates = brute_rates(want, mix)
+    for r in mixing.mixed(df, lab, mix)[2].collect():
+        n, p = want[r["doc_id"]]
+        assert r["n_tokens"] == n and np.allclose([r[c] for c in mixing.P], p, atol=1e-5)
+        assert np.isclose(r["rate"], rates[r["doc_id"]], atol=1e-3)
+
+
+def test_mixing_posteriors_on_held_out_rows(spark, mixable):
+    """Accuracy on rows that the classifier has not seen, and its confidence: what it calls 90 % is right in 80 % at least."""
+    rows, labels = mixable
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int")
+    out = mixing.mixed(df, lab)[2].filter("doc_id >= 600").toPandas().set_index("doc_id")
+    truth = {i: (q, t) for i, q, t in labels}
+    toxic, good = out.p_good_toxic + out.p_poor_toxic, out.p_good_clean + out.p_good_toxic
+    for p, k, least in ((toxic, 1, 0.97), (good, 0, 0.85)):
+        y = np.asarray([truth[i][k] for i in out.index])
+        assert ((p > 0.5) == y).mean() >= least
+        sure = np.maximum(p, 1 - p) >= 0.9
+        assert ((p > 0.5) == y)[sure].mean() >= 0.8
+
+
+def test_mixing_draws_meet_the_fit(spark, mixable):
+    """Rows repeat where a rate exceeds one, and the totals of the drawn table are those of the rates."""
+    rows, labels = mixable
+    mix = mixing.Mix(weights={"good_clean": 0.3, "poor_clean": 0.7})
+    df, lab = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, rate string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    table = {r["doc_id"]: r for r in mixing.mixed(df, lab, mix)[2].collect()}
+    drawn = Counter(r["doc_id"] for r in mixing.keep_mixed(df, lab, mix).collect())
+    assert max(r["rate"] for r in table.values()) > 1 and all(int(r["rate"]) <= drawn[i] <= int(r["rate"]) + 1 for i, r in table.items())
+    for p in mixing.P[:2]:
+        want = sum(r["n_tokens"] * r[p] * r["rate"] for r in table.values())
+        assert abs(sum(r["n_tokens"] * r[p] * drawn[i] for i, r in table.items()) - want) <= 0.06 * want
+
+
+def test_mixing_of_odd_labels(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (None, "c", "y"), (2, None, "z"), (2, "", "z")], "doc_id long, text string, p_good_clean string")
+    for labels in ([], [(1, None, None)], [(1, 1, 0), (1, 0, 1)], [(None, 1, 1)]):
+        lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        out = mixing.mixed(df.drop("p_good_clean"), lab)[2].collect()
+        assert len(out) == 4 and all(np.isfinite(r["rate"]) and r["rate"] >= 0 for r in out)
+        assert mixing.keep_mixed(df, lab, mixing.Mix(wanted=("good_clean", "poor_clean"))).columns == df.columns
+
+
+def test_long_text_with_many_tokens(spark):
+    """Spans in code points of a long text that is not ASCII, each token judged once, in time that grows with the text."""
+    rng = random.Random(14)
+    chars = secrets.ALPHABETS["base62"]
+    parts, want, at = [], [], 0
+    for k in range(3000):
+        word = "é" * (k % 7 + 1) + " "
+        token = "".join(rng.choice(chars) for _ in range(60))
+        parts += [word, token, " "]
+        want.append((at + len(word), at + len(word) + 60))
+        at += len(word) + 61
+    got = secrets.find_secrets(spark.createDataFrame([(1, "".join(parts))], "doc_id long, text string")).first()["spans"]
+    found = {tuple(map(int, s.split(":")[1:])) for s in got.split(",") if s.startswith("random")}
+    assert found <= set(want) and len(found) >= 2900
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Rows without an id, and rows that repeat, take part in every operator over documents."""
+    text = "one two three four five six seven eight nine ten " * 3 + "tail"
+    rows = [(None, text, "en", "s", None, None, None, None), (None, text, "en", "s", None, None, None, None), (1, text, None, None, 5, 1, "x", 2), (1, text, None, None, 5, 1, "x", 2), (None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    lab = spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    byte, word = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    outs = {
+        "tokens": token_counts.count_tokens(df, byte), "mixing": mixing.mixed(df, lab)[2], "secrets": secrets.find_secrets(df), "quality": quality.judge(df),
+        "substrings": substrings.dedup_substrings(df), "sharding": sharding.shard_documents(df), "near": near.near_classes(df),
+    }
+    for name, out in outs.items():
+        assert sorted(r["doc_id"] or 0 for r in out.select("doc_id").collect()) == [0, 0, 0, 1, 1], name
+    packed = packing.pack_documents(df, word, limits=packing.Limits(tokens=64, loss=64)).collect()
+    assert sum(r["length"] for r in packed) == 4 * 32 + 1
+    assert sum(r["doc_id"] is None for r in packed) >= 3
