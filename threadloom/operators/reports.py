@@ -122,6 +122,48 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__r", rank).filter("__r = 1").drop("__r")
 
 
-def recommendation(share: Column) -> Column:
-    """What to work on first, by the share of the largest stage."""
-    return F.when(share >= 0.6, "A").when(share >= 0.45, "B").when(share >= 0.3, "C").when(share >= 0.2, "D").otherwise("E")
+#: Stages of each category of work, by the case that it stands for.
+CASES = {
+    "A": ("phase1_ppr_ms", "phase1_run_scoring_ms"),
+    "B": ("phase2_pair_shortlist_ms", "phase2_refine_ms"),
+    "C": ("query_embed_ms", "semantic_lookup_entity_ms", "semantic_lookup_chunk_ms"),
+    "D": ("proposal_union_ms", "proposal_subgraph_build_ms"),
+    "E": ("sentence_rerank_ms", "render_ms"),
+}
+
+
+def recommendation(means: DataFrame) -> DataFrame:
+    """Adds ``case``, the category with the largest mean time, and ``primary_stage``, the slowest stage; first wins ties.
+
+    means: the stages' columns, retrieval_total_ms and proposal_subgraph_nodes.
+    Where rendering leads, proposals go first if they take 15 % of retrieval
+    and build 5,000 nodes or more.
+    """
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    sums = {case: sum((zero(c) for c in stages[1:]), zero(stages[0])) for case, stages in CASES.items()}
+    stages = [c for group in CASES.values() for c in group]
+
+    def first_of(values: dict[str, Column]) -> Column:
+        top, out = F.greatest(*values.values()), F.lit(None).cast("string")
+        for name, value in reversed(values.items()):
+            out = F.when(value == top, name).otherwise(out)
+        return out
+
+    share = T.ratio(zero("proposal_subgraph_build_ms"), zero("retrieval_total_ms"))
+    heavy = (share >= 0.15) & (zero("proposal_subgraph_nodes") >= 5000)
+    case = first_of(sums)
+    return means.withColumns({"case": F.when((case == "E") & heavy, "D").otherwise(case), "primary_stage": first_of({c: zero(c) for c in stages})})
+
+
+def recomputed(predictions: DataFrame, golds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Both sets of answer metrics over stored predictions: means by group, in the older and the newer definition.
+
+    predictions: the group's columns, qid, prediction, golds; golds: qid, golds,
+    which take the place of the stored ones where present.
+    """
+    from .metrics import score_answers
+
+    joined = predictions.join(golds.select("qid", F.col("golds").alias("__new")), "qid", "left").withColumn("golds", F.coalesce("__new", "golds")).drop("__new")
+    old = score_answers(joined, mode="legacy").withColumnsRenamed({"em": "em_legacy", "f1": "f1_legacy"})
+    both = score_answers(old).withColumnsRenamed({"em": "em_parity", "f1": "f1_parity"})
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("em_legacy", "f1_legacy", "em_parity", "f1_parity")))
