@@ -19,7 +19,7 @@ DEFAULTS: dict[str, Any] = {
     "max_main_sentences_per_corridor": 3, "max_support_per_corridor": 2, "max_total_sentences": 14, "delivery_mode": "sentence_compressed",
     "chunk_grounding_enabled": False, "chunk_grounding_mode": "sentence_backfill", "chunk_grounding_top_k_packages": 4, "chunk_excerpt_max_total_sentences": 4,
     "max_chunk_packages": 4, "max_excerpt_sentences_per_package": 3, "package_score_support_weight": 0.15, "package_score_chunk_grounding_weight": 0.15,
-    "evaluator_mode": "legacy", "generator": "heuristic",
+    "evaluator_mode": "legacy", "generator": "heuristic", "retrieval_objective_mode": "baseline", "render_mode": "flat", "order_strategy": "score",
 }
 
 RUN_WEIGHTS = ("semantic", "anchor", "structure", "bridge", "redundancy", "pair_coverage", "completeness", "grounding", "dispersion", "seed_bridge", "seed_coverage")
@@ -53,10 +53,32 @@ OBJECTIVES: dict[str, tuple[bool | None, bool | None, bool | None, str]] = {
     "r2_plus_path_preserve_guarded": (None, True, False, "BL"),
     "r2_plus_path_preserve_compact_lite": (None, True, False, "BL"),
     "seed_run_connector_core": (None, True, False, "CC"),
+    "seed_run_connector_core_corridor_compact": (None, True, False, "CC"),
+    "seed_run_connector_core_corridor_answer_preserve": (None, True, False, "CC"),
+    "seed_run_connector_core_corridor_bridge_purity": (None, True, False, "CC"),
+    "seed_run_connector_core_corridor_compact_answer_preserve": (None, True, False, "CC"),
     "p3_answer_preserve_base": (None, True, False, "CC"),
     "p3_answer_preserve_guarded_hotpot": (None, True, False, "CC"),
     "p3_answer_preserve_confidence_gated": (None, True, False, "CC"),
 }
+#: Modes that score chunks by their role.
+ROLE_CHUNKS = ("role_aware_chunk_scoring", "bridge_coverage_full", "r2_plus_r3_anchor_light", "r2_plus_r3_answer_light")
+_COMPACT, _ANSWER, _PURITY = {"compact": 0.18}, {"answer_preserve": 0.22}, {"bridge_purity": 0.22}
+_PATH = {"path_preserve": 0.26, "path_incomplete": 0.14}
+#: Corridor shaping of the modes that have any.
+SHAPES: dict[str, dict[str, Any]] = {
+    "r2_plus_path_preserve": _PATH,
+    "r2_plus_path_preserve_compact": _COMPACT | _PATH | {"path_compact": 0.14},
+    "r2_plus_path_preserve_guarded": {"path_preserve": 0.20, "path_incomplete": 0.10, "path_guarded": True, "guard_scale": 0.60, "guard_complete": 0.74, "guard_pair": 0.60, "guard_density": 0.66},
+    "r2_plus_path_preserve_compact_lite": _COMPACT | {"path_preserve": 0.23, "path_incomplete": 0.14, "path_compact": 0.08, "path_compact_lite": True, "lite_scale": 0.55, "lite_overflow": 0.012, "lite_cap": 0.06},
+    "seed_run_connector_core_corridor_compact": _COMPACT,
+    "seed_run_connector_core_corridor_answer_preserve": _ANSWER,
+    "seed_run_connector_core_corridor_bridge_purity": _PURITY,
+    "seed_run_connector_core_corridor_compact_answer_preserve": _COMPACT | _ANSWER,
+    "p3_answer_preserve_base": _ANSWER,
+    "p3_answer_preserve_guarded_hotpot": _ANSWER | {"guarded_dataset": True},
+    "p3_answer_preserve_confidence_gated": {"answer_preserve": 0.18, "confidence_gated": True, "light_boost": 0.55},
+}
 #: Budget profiles as (proposal steps, exploration steps).
 BUDGETS = {"off": (0, 0), "g1_proposal": (1, 0), "g2_exploration": (0, 1), "g_shared": (1, 1), "t_hotpot": (0, 2), "t_2wiki": (2, 0)}
 
@@ -156,9 +178,9 @@ def delivery(values: Mapping[str, Any]) -> dict[str, Any]:
 
 
 def objective(mode: str) -> dict[str, Any]:
-    """Flags and weights of an objective mode."""
+    """Flags, weights and corridor shaping of an objective mode."""
     recall, bridge, coverage, profile = OBJECTIVES[mode]
-    return {"anchor_recall": recall, "bridge_induction": bridge, "coverage_selection": coverage, "weights": dict(zip(RUN_WEIGHTS, PROFILES[profile], strict=True))}
+    return {"role_chunks": mode in ROLE_CHUNKS, "shaping": SHAPES.get(mode, {}), "anchor_recall": recall, "bridge_induction": bridge, "coverage_selection": coverage, "weights": dict(zip(RUN_WEIGHTS, PROFILES[profile], strict=True))}
 
 
 def budgeted(values: Mapping[str, Any], profile: str) -> dict[str, Any]:

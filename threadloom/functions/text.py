@@ -104,6 +104,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def settled(value: Column, digits: int = 6) -> Column:
+    """Rounded a hair above, off the ties of short decimals, so that all engines round them alike."""
+    return F.round(value + 10.0 ** -(digits + 3), digits)
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """0 where the denominator is not positive."""
     return F.when(denominator > 0, numerator / denominator).otherwise(0.0)

@@ -73,8 +73,8 @@ def proposals(anchors: DataFrame, tokens: DataFrame, most: int = 5) -> DataFrame
 def lexical_proposals(distances: DataFrame, scores: DataFrame, tau: int = 4, local: int = 20) -> DataFrame:
     """Per anchor: nodes by .90 score + .10 nearness; proposal score max(base, .05) + .02/(rank + 1)."""
     joined = distances.join(scores, ["qid", "node"]).withColumn("base", 0.90 * F.col("score") + 0.10 * (1 - F.least(F.col("dist"), F.lit(tau)) / tau))
-    rank = F.row_number().over(Window.partitionBy("qid", "source").orderBy(F.desc("base"), "node")).cast("long") - 1
-    kept = joined.withColumn("rank", rank).filter(F.col("rank") < local)
+    place = F.row_number().over(Window.partitionBy("qid", "source").orderBy(F.desc("base"), "node"))
+    kept = joined.withColumn("place", place).filter(F.col("place") <= local).withColumn("rank", F.col("place").cast("long") - 1)
     return kept.select("qid", "source", "node", "rank", (F.greatest(F.col("base"), F.lit(0.05)) + 0.02 / (F.col("rank") + 1)).alias("score"))
 
 
@@ -133,3 +133,97 @@ def cache_reserve(sources: DataFrame, forward: DataFrame, back: DataFrame, adjac
     best = near.union(two).union(beside).groupBy("qid", "source", "node").agg(F.round(F.max("score"), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid", "source").orderBy(F.desc("score"), "node")).cast("long")
     return best.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
+#: What each proposal mode scales the caps by, and its least values.
+LEVELS = {
+    "off": {"entity": (1.0, 1), "chunk": (1.0, 1), "reserve": (1.0, 1), "support": 4, "mix": (0.0, 1), "local": 1.0, "hops": None},
+    "mild": {"entity": (0.95, 8), "chunk": (0.95, 6), "reserve": (0.90, 6), "support": 4, "mix": (0.6, 2), "local": 0.90, "hops": 3},
+    "medium": {"entity": (0.85, 6), "chunk": (0.80, 5), "reserve": (0.75, 5), "support": 3, "mix": (0.5, 2), "local": 0.75, "hops": 3},
+    "aggressive": {"entity": (0.70, 5), "chunk": (0.65, 4), "reserve": (0.60, 4), "support": 2, "mix": (0.35, 1), "local": 0.60, "hops": 2},
+}
+
+
+def proposal_level(mode: str, entities: int = 16, chunks: int = 16, reserve: int = 8, local: int = 40, hops: int = 4) -> dict[str, int]:
+    """Caps of a proposal mode; an unknown mode is ``off``."""
+    level = LEVELS.get(str(mode or "off").strip().lower(), LEVELS["off"])
+    cap = lambda name, top: max(level[name][1], round(level[name][0] * top))
+    mix = max(1, min(reserve, 3)) if level["mix"][0] == 0 else cap("mix", reserve)
+    return {
+        "entity": cap("entity", entities), "chunk": cap("chunk", chunks), "reserve": cap("reserve", reserve), "support": level["support"], "mix": mix,
+        "entity_pool": max(entities, 2 * entities), "chunk_pool": max(chunks, 2 * chunks), "local": max(8, round(level["local"] * max(8, local))),
+        "hops": hops if level["hops"] is None else max(1, min(hops, level["hops"])),
+    }
+
+
+def leveled_proposals(scores: DataFrame, distances: DataFrame, reserve: DataFrame, links: DataFrame, level: dict[str, int], shared: int = 24, fallback: int = 16) -> DataFrame:
+    """Proposals of one mode: per anchor high-confidence nodes, semantic nodes and the reserve; nodes that several anchors
+    are sure of; and the best of the rest of all.
+
+    scores: qid, node, kind (entity or chunk), score; distances: qid, source,
+    node, dist; reserve: qid, source, node, rank, score; links: qid, node,
+    linked, rank (from 0). Returns qid, node, part (anchor, shared or global),
+    votes, score, one row per node and part.
+    """
+    first = lambda *keys: Window.partitionBy(*keys)
+    pool = F.row_number().over(first("qid", "kind").orderBy(F.desc("score"), "node"))
+    pooled = scores.withColumn("o", pool).filter((F.col("o") <= level["entity_pool"]) & (F.col("kind") == "entity") | (F.col("o") <= level["chunk_pool"]) & (F.col("kind") == "chunk"))
+    sources = distances.select("qid", "source").distinct()
+    near = distances.select("qid", "source", "node", F.least(F.col("dist"), F.lit(level["hops"])).alias("d"))
+    ranked = pooled.join(sources, "qid").join(near, ["qid", "source", "node"], "left")
+    value = F.round(0.90 * F.col("score") + 0.10 * F.coalesce(1 - F.col("d") / level["hops"], F.lit(0.0)), 9)
+    ranked = ranked.withColumn("value", value).withColumn("r", F.row_number().over(first("qid", "source", "kind").orderBy(F.desc("value"), "node")))
+    semantic = ranked.filter((F.col("r") <= level["entity"]) & (F.col("kind") == "entity") | (F.col("r") <= level["chunk"]) & (F.col("kind") == "chunk"))
+    held = reserve.filter(F.col("rank") <= level["reserve"]).select("qid", "source", "node", F.col("rank").alias("r"), F.col("score").alias("sure"))
+    head = semantic.filter((F.col("kind") == "entity") & (F.col("r") <= max(3, level["entity"] // 2)))
+    linked = head.select("qid", "source", "node", F.col("r").alias("e")).join(links.filter(F.col("rank") < level["support"]), ["qid", "node"]).select("qid", "source", F.col("linked").alias("node"), "e", F.col("rank").alias("k"))
+    sure = linked.select("qid", "source", "node", F.lit(0).alias("g"), "e", "k").union(held.select("qid", "source", "node", F.lit(1), "r", F.lit(0).cast("long")))
+    sure = sure.groupBy("qid", "source", "node").agg(F.min(F.struct("g", "e", "k")).alias("o"))
+    sure = sure.withColumn("p", F.row_number().over(first("qid", "source").orderBy("o", "node"))).filter(F.col("p") <= max(2, level["reserve"]))
+    # one list for each anchor: itself, sure nodes, semantic ones, the reserve
+    lists = sources.select("qid", "source", F.col("source").alias("node"), F.lit(0).alias("g"), F.lit(0).alias("r"))
+    lists = lists.union(sure.select("qid", "source", "node", F.lit(1), "p")).union(semantic.select("qid", "source", "node", F.when(F.col("kind") == "entity", 2).otherwise(3), "r")).union(held.select("qid", "source", "node", F.lit(4), F.col("r").cast("int")))
+    merged = lists.groupBy("qid", "source", "node").agg(F.min(F.struct("g", "r")).alias("o"))
+    merged = merged.withColumn("rank", F.row_number().over(first("qid", "source").orderBy("o", "node"))).filter(F.col("rank") <= level["local"])
+    floor = merged.join(sure.select("qid", "source", "node", F.lit(0.10).alias("floor")), ["qid", "source", "node"], "left").join(held.select("qid", "source", "node", F.lit(0.05).alias("low")), ["qid", "source", "node"], "left")
+    best = floor.join(scores.select("qid", "node", "score"), ["qid", "node"], "left")
+    base = F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("floor", "low", F.lit(0.0))) + 0.02 / F.col("rank")
+    anchors = best.groupBy("qid", "node").agg(F.round(F.max(base), 6).alias("score"), F.count(F.lit(1)).alias("votes")).select("qid", "node", F.lit("anchor").alias("part"), "votes", "score")
+    votes = sure.join(held.select("qid", "source", "node", "sure"), ["qid", "source", "node"], "left").join(scores.select("qid", "node", "score"), ["qid", "node"], "left")
+    votes = votes.groupBy("qid", "node").agg(F.count(F.lit(1)).alias("votes"), F.round(F.max(F.coalesce("sure", "score", F.lit(0.0))), 6).alias("score"))
+    some = F.max(F.col("votes") >= 2).over(first("qid"))
+    agreed = votes.withColumn("some", some).filter((F.col("votes") >= 2) | ~F.col("some"))
+    agreed = agreed.withColumn("o", F.row_number().over(first("qid").orderBy(F.desc(F.when(F.col("some"), F.col("votes")).otherwise(0)), F.desc("score"), "node"))).filter(F.col("o") <= shared)
+    rest = pooled.join(agreed.select("qid", "node"), ["qid", "node"], "left_anti")
+    rest = rest.withColumn("o", F.row_number().over(first("qid").orderBy(F.desc("score"), "node"))).filter(F.col("o") <= fallback)
+    return anchors.union(agreed.select("qid", "node", F.lit("shared"), "votes", "score")).union(rest.select("qid", "node", F.lit("global"), F.lit(0).cast("long"), F.round("score", 6)))
+
+
+def with_bridges(proposed: DataFrame, bridges: DataFrame, sources: DataFrame, local: int = 48) -> DataFrame:
+    """Bridge candidates behind every anchor's list, cut at the local cap; a node keeps its larger score.
+
+    proposed: qid, source, node, rank (from 0), score; bridges: qid, node, rank, score.
+    """
+    added = bridges.select("qid", "node", F.col("rank").alias("r"), F.col("score").alias("bridge")).join(sources.select("qid", "source").distinct(), "qid")
+    both = proposed.select("qid", "source", "node", F.lit(0).alias("g"), F.col("rank").cast("long").alias("r"), "score", F.lit(None).cast("double").alias("bridge")).unionByName(added.select("qid", "source", "node", F.lit(1).alias("g"), F.col("r").cast("long").alias("r"), F.lit(None).cast("double").alias("score"), "bridge"))
+    merged = both.groupBy("qid", "source", "node").agg(F.min(F.struct("g", "r")).alias("o"), F.max(F.greatest("score", "bridge")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("qid", "source").orderBy("o", "node"))
+    return merged.withColumn("place", place).filter(F.col("place") <= max(8, local)).select("qid", "source", "node", (F.col("place") - 1).cast("long").alias("rank"), "score")
+
+
+def diffusion_scope(adjacent: DataFrame, sources: DataFrame, degree: DataFrame, text: Column, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The graph that walks of an entity-chunk graph run on: without text nodes but those that are anchors; and the anchors
+    in it, or the entities of the highest degree for questions without one.
+
+    text: whether a ``node`` is a text unit.
+    """
+    keep = adjacent.select("qid", F.col("src").alias("node")).distinct().join(sources.select("qid", F.col("source").alias("node"), F.lit(True).alias("anchor")).distinct(), ["qid", "node"], "left")
+    keep = keep.filter(~text | F.coalesce("anchor", F.lit(False)))
+    edges = reduced_edges(adjacent, keep)
+    inside = edges.select("qid", F.col("src").alias("source")).distinct()
+    named = sources.select("qid", "source").distinct().join(inside, ["qid", "source"], "left_semi")
+    bare = inside.select("qid").distinct().join(named.select("qid").distinct(), "qid", "left_anti")
+    inner = edges.groupBy("qid", F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("d")).join(bare, "qid", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("d"), "source"))
+    top = inner.withColumn("r", rank).filter(F.col("r") <= most).select("qid", "source")
+    return edges, named.union(top)

@@ -16,7 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 

@@ -48,7 +48,7 @@ def with_retries(provider: Provider, attempts: int = 3, pause: float = 0.2) -> P
     return again
 
 
-def generate(prompts: DataFrame, provider: Provider, batch: int = 16) -> DataFrame:
+def generate(prompts: DataFrame, provider: Provider, batch: int = 16, ident: str = "long") -> DataFrame:
     """qid, raw, failed: a batch that the provider cannot answer is marked, with the error as its raw text."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +61,7 @@ def generate(prompts: DataFrame, provider: Provider, batch: int = 16) -> DataFra
                     raw, failed = [f"[generation failed] {e}"] * len(part), True
                 yield pd.DataFrame({"qid": part.qid, "raw": raw, "failed": failed})
 
-    return prompts.select("qid", "prompt").mapInPandas(run, "qid long, raw string, failed boolean")
+    return prompts.select("qid", "prompt").mapInPandas(run, f"qid {ident}, raw string, failed boolean")
 
 
 def answers(contexts: DataFrame, questions: DataFrame, units: DataFrame, provider: Provider | None = None) -> DataFrame:
@@ -79,5 +79,25 @@ def answers(contexts: DataFrame, questions: DataFrame, units: DataFrame, provide
     return full.select("qid", F.coalesce(good, "plain", F.lit("")).alias("prediction"), "raw")
 
 
+def http_provider(url: str, model: str, limit: int = 64, timeout: float = 60.0) -> Provider:
+    """A chat-completions service behind HTTP; one request a prompt, both names of its token limit tried."""
+    import json
+    from urllib import error, request
+
+    def call(prompts: list[str], **limits: int) -> list[str]:
+        out = []
+        for text in prompts:
+            body = json.dumps({"model": model, "temperature": 0, "messages": [{"role": "user", "content": text}], **limits}).encode()
+            asked = request.Request(f"{url.rstrip('/')}/chat/completions", body, {"Content-Type": "application/json"})
+            try:
+                with request.urlopen(asked, timeout=timeout) as answer:
+                    out.append(json.load(answer)["choices"][0]["message"]["content"] or "")
+            except error.HTTPError as refused:
+                raise ValueError(refused.read().decode("utf-8", "replace")) from refused
+        return out
+
+    return with_token_limit(call, limit)
+
+
 def oracle(golds: DataFrame) -> DataFrame:
     return golds.select("qid", F.coalesce(F.get("golds", F.lit(0)), F.lit("")).alias("prediction"))

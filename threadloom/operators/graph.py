@@ -139,7 +139,8 @@ def support_maps(edges: DataFrame, k: int = 32) -> tuple[DataFrame, DataFrame]:
     pairs = edges.filter(F.col("support_layer").isin("entity_chunk", "")).select(F.col("dst").alias("entity"), F.col("src").alias("chunk")).distinct()
 
     def first(key: str, value: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(value)).cast("long") - 1
-        return pairs.withColumn("rank", rank).filter(F.col("rank") < k).select(key, value, "rank")
+        # a filter on the bare row number lets each task keep its first k of a group, however hot the group is
+        place = F.row_number().over(Window.partitionBy(key).orderBy(value))
+        return pairs.withColumn("place", place).filter(F.col("place") <= k).select(key, value, (F.col("place").cast("long") - 1).alias("rank"))
 
     return first("entity", "chunk"), first("chunk", "entity")

@@ -21,10 +21,14 @@ def flat(selected: DataFrame, most: int = 10) -> DataFrame:
     return lines.select("qid", text.alias("context"), F.size("l").cast("long").alias("units"), (F.col("n") > most).alias("truncated"))
 
 
+#: Weight of connector-adjacent units, and of support units, in the flat order.
+CONNECTOR, SUPPORT = 0.20, 0.20
+
+
 def linear_score(f: DataFrame) -> Column:
-    """base + .35 corridor + .45 main + .20 support + .12 overlap + .08 locality."""
+    """base + .35 corridor + .45 main + .20 support + .20 connector + .12 overlap + .08 locality."""
     flag = lambda c: F.col(c).cast("double")
-    return F.col("base") + 0.35 * F.col("best_score") + 0.45 * flag("is_main") + 0.20 * flag("is_support") + 0.12 * F.col("overlap") + 0.08 * F.col("locality")
+    return F.col("base") + 0.35 * F.col("best_score") + 0.45 * flag("is_main") + 0.20 * flag("is_support") + CONNECTOR * flag("is_connector") + 0.12 * F.col("overlap") + 0.08 * F.col("locality")
 
 
 def _jaccard(a: set, b: set) -> float:
@@ -57,9 +61,28 @@ def _per_question(rows: DataFrame, fields: list[str], order: str, work: Callable
     return grouped.mapInPandas(run, schema)
 
 
-def mmr(features: DataFrame, most: int = 10, weight: float = 0.25, title_weight: float = 0.2, role_weight: float = 0.1) -> DataFrame:
-    """Corridor-aware flat order: linear score, then greedy diversity with penalties for repeated documents and lopsided roles."""
-    scored = features.withColumns({"score": F.round(linear_score(features), 9), "tokens": F.array_distinct(T.tokenize(F.col("text"))), "role": T.role_of(F.col("overlap"), F.lit(False), F.col("is_support")), "title": F.regexp_extract("node", r"^[a-z]::(.*):\d+$", 1)})
+def flat_role() -> Column:
+    return T.role_of(F.col("overlap"), F.col("is_connector"), F.col("is_support"))
+
+
+def mmr(features: DataFrame, most: int = 10, weight: float = 0.25, corridors: int | None = None) -> DataFrame:
+    """Corridor-aware flat order: linear score, then greedy diversity.
+
+    A pick loses ``weight`` x its largest overlap with those taken and .20 x
+    ``weight`` for each one of its document; connector-adjacent units gain a
+    quarter of their weight; a bridge loses .04 for each bridge beyond the
+    answers, an answer .04 for each answer beyond the bridges and one.
+    corridors: only units of the first so many, if there are any.
+    """
+    if corridors:
+        inside = F.col("best_rank") <= corridors
+        some = F.max(inside).over(Window.partitionBy("qid"))
+        features = features.withColumn("__keep", inside | ~some).filter("__keep").drop("__keep")
+    scored = features.withColumns({
+        "score": F.round(linear_score(features) + 0.25 * CONNECTOR * F.col("is_connector").cast("double"), 9),
+        "tokens": F.array_distinct(T.tokenize(F.col("text"))), "role": flat_role(), "title": F.regexp_extract("node", r"^[a-z]::(.*):\d+$", 1),
+    })
+    balance = 0.10 * (CONNECTOR + SUPPORT)
 
     def work(items: list[dict]) -> list[tuple]:
         for x in items:
@@ -67,14 +90,73 @@ def mmr(features: DataFrame, most: int = 10, weight: float = 0.25, title_weight:
 
         def extra(x: dict, taken: list[dict]) -> float:
             same = sum(y["title"] == x["title"] for y in taken)
-            role = sum(y["role"] == x["role"] for y in taken) / max(1, len(taken))
-            return -title_weight * weight * same - role_weight * role
+            bridges, answers = (sum(y["role"] == r for y in taken) for r in ("bridge", "answer"))
+            lopsided = {"bridge": max(0, bridges - answers), "answer": max(0, answers - bridges - 1)}.get(x["role"], 0)
+            return -0.20 * weight * same - balance * lopsided
 
         return [(i + 1, x["node"], round(x["value"], 6)) for i, x in enumerate(greedy(items, most, weight, extra))]
 
     return _per_question(scored, ["node", "score", "tokens", "role", "title"], "pos", work, "qid long, place long, node string, value double")
 
 
+def ordered(picked: DataFrame, features: DataFrame, strategy: str = "score") -> DataFrame:
+    """Picked units (qid, node, value) in the order of a strategy: score, retrieval, corridor_rank or query_bridge_answer.
+
+    Flags after a ``+`` switch the relation order on or off, as do the bare names.
+    """
+    base, *flags = [t.strip() for t in strategy.lower().split("+") if t.strip()] or ["score"]
+    if base not in ("score", "retrieval", "corridor_rank", "query_bridge_answer", "qba"):
+        flags, base = [*flags, base], "score"
+    on, off = ({f"relation_{w}" for w in ws} for ws in (("on", "enabled", "ordering_on"), ("off", "disabled", "ordering_off")))
+    base = "score" if off & set(flags) else "query_bridge_answer" if on & set(flags) else base
+    rows = picked.join(features.select("qid", "node", "pos", "best_rank", flat_role().alias("role")), ["qid", "node"])
+    role = F.when(F.col("role") == "query", 0).when(F.col("role") == "bridge", 1).otherwise(2)
+    order = {"retrieval": ["pos"], "corridor_rank": ["best_rank", F.desc("value"), "pos"], "score": [F.desc("value"), "pos"]}.get(base, ["best_rank", role, F.desc("value"), "pos"])
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long")
+    return rows.select("qid", place.alias("place"), "node", "role", "value")
+
+
+def backfill_centers(units: DataFrame, ranked: DataFrame, base: DataFrame, corridors: int = 3, per_corridor: int = 1) -> DataFrame:
+    """Centers of excerpts: of each of the first corridors the units that come first among those rendered (base: qid, node, place)."""
+    best = ranked.filter(F.col("place") <= corridors).select("qid", "corridor", F.col("place").alias("corridor_place"))
+    pool = units.select("qid", "corridor", "node", "role", "pos").join(best, ["qid", "corridor"]).join(base.select("qid", "node", "place"), ["qid", "node"], "left")
+    once = pool.groupBy("qid", "corridor_place", "node").agg(F.min(F.struct(F.when(F.col("role") == "main", 0).otherwise(1).alias("r"), "pos")).alias("o"), F.min("place").alias("place"))
+    w = Window.partitionBy("qid", "corridor_place").orderBy(F.col("place").asc_nulls_last(), "o", "node")
+    kept = once.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= per_corridor)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("corridor_place", "k")).cast("long")
+    parsed = kept.select("qid", rank.alias("rank"), F.regexp_extract("node", r"^[a-z]::(.*):\d+$", 1).alias("doc_id"), F.regexp_extract("node", r":(\d+)$", 1).cast("long").alias("unit_idx"))
+    return parsed
+
+
+def excerpt_units(packages: DataFrame, base: DataFrame, most: int = 4, dedup: bool = True) -> DataFrame:
+    """Excerpt sentences in package order, without those rendered or taken before, cut at ``most``.
+
+    packages: qid, rank, pos, node, text; base: qid, node. Adds ``candidates``,
+    the sentences that could have been taken.
+    """
+    rows = packages.filter(F.trim("text") != "")
+    if dedup:
+        rows = rows.join(base.select("qid", "node").distinct(), ["qid", "node"], "left_anti")
+        first = F.row_number().over(Window.partitionBy("qid", "node").orderBy("rank", "pos"))
+        rows = rows.withColumn("__f", first).filter("__f = 1").drop("__f")
+    w = Window.partitionBy("qid")
+    placed = rows.withColumn("place", F.row_number().over(w.orderBy("rank", "pos", "node")).cast("long")).withColumn("candidates", F.count(F.lit(1)).over(w))
+    return placed.filter(F.col("place") <= most).select("qid", "place", "rank", "node", "text", "candidates")
+
+
+def grounded_context(base: DataFrame, excerpts: DataFrame, most: int = 12, extra: int = 4) -> DataFrame:
+    """A context with a block of grounded excerpts behind it, within what the budget leaves.
+
+    base: qid, context, units; excerpts: qid, place, text.
+    """
+    room = F.greatest(F.lit(0), F.least(F.lit(extra), F.lit(most) - F.col("units")))
+    joined = excerpts.join(base.select("qid", "units"), "qid").filter(F.col("place") <= room)
+    lines = joined.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("l"))
+    block = F.concat(F.lit("[Grounded Chunk Excerpts]\n"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["text"])), "\n"))
+    both = base.join(lines, "qid", "left")
+    return both.select("qid", F.when(F.size("l") > 0, F.concat("context", F.lit("\n\n"), block)).otherwise(F.col("context")).alias("context"), (F.col("units") + F.coalesce(F.size("l"), F.lit(0))).cast("long").alias("units"), F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("excerpts"))
+
+
 def corridor_context(units: DataFrame, ranked: DataFrame, texts: DataFrame, questions: DataFrame, corridors: int = 3, main: int = 3, support: int = 2, budget: int = 8) -> DataFrame:
     """Pack the best corridors under a budget of units: overflow drops low corridors, then support, then main units.
 
@@ -121,6 +203,43 @@ def corridor_context(units: DataFrame, ranked: DataFrame, texts: DataFrame, ques
     return _per_question(rows, ["score", "ends", "role", "pos", "node", "text", "unit_score", "tokens", "asked"], "place", work, "qid long, context string, unit_ids string, units long, truncated boolean")
 
 
+def bundles(units: DataFrame, ranked: DataFrame, features: DataFrame, strategy: str = "", corridors: int = 3, main: int = 3, support: int = 2) -> DataFrame:
+    """Path bundles: of each of the best corridors its anchor, bridge and answer units, by score.
+
+    Flags in ``strategy``: ``compact_lite`` caps corridors and units at two,
+    ``dedup`` gives bridge and answer units to the first bundle only. Returns
+    qid, bundle, role, place and node.
+    """
+    flags = set(strategy.lower().replace("+", " ").split())
+    if "compact_lite" in flags:
+        corridors, main, support = min(corridors, 2), min(main, 2), max(1, min(support, 2))
+    best = ranked.filter(F.col("place") <= corridors).select("qid", "corridor", F.col("place").alias("bundle"))
+    rows = units.join(best, ["qid", "corridor"]).join(features.select("qid", "node", (F.col("base") + 0.35 * F.col("overlap")).alias("value")), ["qid", "node"])
+    once = rows.groupBy("qid", "bundle", "node", "role").agg(F.max("value").alias("value"), F.min("pos").alias("pos"))
+    w = Window.partitionBy("qid", "bundle", "role").orderBy(F.desc(F.round("value", 6)), "pos", "node")
+    placed = once.withColumn("r", F.row_number().over(w))
+    bridge = max(1, support // 2) if support else 0
+    role = F.when(F.col("role") == "main", "anchor").when(F.col("r") <= bridge, "bridge").otherwise("answer")
+    kept = placed.filter(((F.col("role") == "main") & (F.col("r") <= main)) | ((F.col("role") == "support") & (F.col("r") <= support)))
+    kept = kept.select("qid", "bundle", role.alias("role"), F.col("r").alias("place"), "node")
+    if "dedup" in flags:
+        first = F.min(F.when(F.col("role") != "anchor", F.col("bundle"))).over(Window.partitionBy("qid", "node"))
+        kept = kept.withColumn("first", first).filter((F.col("role") == "anchor") | (F.col("first") == F.col("bundle"))).drop("first")
+    order = F.when(F.col("role") == "anchor", 0).when(F.col("role") == "bridge", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("qid", "bundle").orderBy(order, "place", "node")).cast("long")
+    return kept.select("qid", "bundle", "role", place.alias("place"), "node")
+
+
+def bundle_metrics(found: DataFrame) -> DataFrame:
+    """Of each question: bundles, units a bundle, share with a bridge next to an answer, first complete bundle, share with an answer."""
+    roles = found.groupBy("qid", "bundle").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("role") == "anchor").cast("int")).alias("a"), F.max((F.col("role") == "bridge").cast("int")).alias("b"), F.max((F.col("role") == "answer").cast("int")).alias("c"))
+    whole = F.col("a") * F.col("b") * F.col("c")
+    return roles.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("path_bundle_count"), F.round(F.avg("n"), 6).alias("avg_chunks_per_bundle"), F.round(F.avg(F.col("b") * F.col("c")), 6).alias("bridge_answer_adjacency_rate"),
+        F.coalesce(F.min(F.when(whole == 1, F.col("bundle"))), F.lit(0)).cast("long").alias("first_complete_path_rank"), F.round(F.avg("c"), 6).alias("answer_path_coverage"),
+    )
+
+
 def excerpts(centers: DataFrame, sentences: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """Sentences within a window around each center of the same document: an equi-join on the document, then a range test.
 
@@ -142,7 +261,7 @@ def package_scores(packed: DataFrame, features: DataFrame, questions: DataFrame)
     return joined.withColumn("score", F.round(score, 6))
 
 
-def choose_packages(scored: DataFrame, most: int = 4, weight: float = 0.2) -> DataFrame:
+def choose_packages(scored: DataFrame, most: int = 4, weight: float = 0.1) -> DataFrame:
     rows = scored.withColumn("tokens", F.array_distinct(T.tokenize(F.col("excerpt"))))
 
     def work(items: list[dict]) -> list[tuple]:

@@ -46,12 +46,11 @@ def objective_weights(scored: DataFrame) -> DataFrame:
 
 def choose_seeds(weight: np.ndarray, dist: np.ndarray, k: int, tau: int) -> list[int]:
     """Greedy weighted k-median: each round takes the first candidate that lowers the sum of weighted distances most."""
-    best = np.full(len(weight), float(tau), np.float32)
+    best = np.full(len(weight), float(tau))
     chosen: list[int] = []
-    cost = np.minimum(dist, tau).astype(np.float32)
-    w = weight.astype(np.float32)
+    cost = np.minimum(dist, tau).astype(float)
     for _ in range(min(k, len(weight))):
-        value = np.minimum(best[:, None], cost).T @ w
+        value = np.round(np.minimum(best[:, None], cost).T @ weight, 7)  # so that ties are ties in any order of the sum
         value[chosen] = np.inf
         j = int(np.argmin(value))
         chosen.append(j)
@@ -99,7 +98,7 @@ def precheck(candidates: DataFrame, seeds: DataFrame, distances: DataFrame, tau:
     seed_mass = T.ratio(none("mass"), F.col("total"))
     coverage = T.ratio(none("covered"), none("anchors"))
     bridge = T.ratio(none("bridges"), none("picked"))
-    return full.select("qid", "run", F.round(0.40 * seed_mass + 0.25 * coverage + 0.20 * none("semantic") + 0.15 * bridge, 6).alias("pre_score"))
+    return full.select("qid", "run", T.settled(0.40 * seed_mass + 0.25 * coverage + 0.20 * none("semantic") + 0.15 * bridge).alias("pre_score"))
 
 
 def pair_distances(seeds: DataFrame, table: DataFrame, cap: int) -> DataFrame:
@@ -115,7 +114,7 @@ def pair_distances(seeds: DataFrame, table: DataFrame, cap: int) -> DataFrame:
 def dispersion(seeds: DataFrame, table: DataFrame, tau: int = 4) -> DataFrame:
     """Mean pairwise distance of a run's seeds over tau; 0 for one seed."""
     mean = pair_distances(seeds, table, tau).groupBy("qid", "run").agg((F.avg("dist") / tau).alias("x"))
-    return seeds.select("qid", "run").distinct().join(mean, ["qid", "run"], "left").select("qid", "run", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("dispersion"))
+    return seeds.select("qid", "run").distinct().join(mean, ["qid", "run"], "left").select("qid", "run", T.settled(F.coalesce("x", F.lit(0.0))).alias("dispersion"))
 
 
 def connectivity(weights: DataFrame, near: DataFrame, spread: DataFrame, tau: int = 4) -> DataFrame:
@@ -124,7 +123,7 @@ def connectivity(weights: DataFrame, near: DataFrame, spread: DataFrame, tau: in
     weights: qid, node, weight; near: qid, run, node, dist (to the seed set, at most tau).
     """
     kept = near.join(weights.filter("weight > 0"), ["qid", "node"]).groupBy("qid", "run").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * (1 - F.least(F.col("dist"), F.lit(tau)) / tau)).alias("k"))
-    return kept.join(spread, ["qid", "run"]).select("qid", "run", F.round(F.greatest(F.lit(0.0), T.ratio(F.col("k"), F.col("w")) - 0.5 * F.col("dispersion")), 6).alias("connectivity"))
+    return kept.join(spread, ["qid", "run"]).select("qid", "run", T.settled(F.greatest(F.lit(0.0), T.ratio(F.col("k"), F.col("w")) - 0.5 * F.col("dispersion"))).alias("connectivity"))
 
 
 def pair_coverage(seeds: DataFrame, distances: DataFrame, tau: int = 4) -> DataFrame:
@@ -132,7 +131,7 @@ def pair_coverage(seeds: DataFrame, distances: DataFrame, tau: int = 4) -> DataF
     anchors = distances.select("qid", "source").distinct()
     pairs = seeds.select("qid", "run", "node").join(anchors, "qid").join(distances, ["qid", "source", "node"], "left")
     each = pairs.groupBy("qid", "run", "source").agg(F.avg(F.when(F.col("dist") <= tau, 1.0).otherwise(0.0)).alias("rate"))
-    return each.groupBy("qid", "run").agg(F.round(F.avg("rate"), 6).alias("coverage"), F.round(F.stddev_pop("rate"), 6).alias("anchor_dispersion"))
+    return each.groupBy("qid", "run").agg(T.settled(F.avg("rate")).alias("coverage"), T.settled(F.stddev_pop("rate")).alias("anchor_dispersion"))
 
 
 def bridge_completeness(nodes: DataFrame, distances: DataFrame, tau: int = 4) -> DataFrame:
@@ -142,13 +141,13 @@ def bridge_completeness(nodes: DataFrame, distances: DataFrame, tau: int = 4) ->
     near = nodes.select("qid", "run", "node").join(distances.filter(F.col("dist") <= tau), ["qid", "node"])
     met = near.alias("a").join(near.alias("b"), F.expr("a.qid = b.qid and a.run = b.run and a.node = b.node and a.source < b.source")).select("a.qid", "a.run", F.col("a.source").alias("l"), F.col("b.source").alias("r")).distinct().groupBy("qid", "run").agg(F.count(F.lit(1)).alias("k"))
     runs = nodes.select("qid", "run").distinct()
-    return runs.join(met, ["qid", "run"], "left").join(all_pairs, "qid", "left").select("qid", "run", F.round(T.ratio(F.coalesce("k", F.lit(0)), F.coalesce("n", F.lit(0))), 6).alias("completeness"))
+    return runs.join(met, ["qid", "run"], "left").join(all_pairs, "qid", "left").select("qid", "run", T.settled(T.ratio(F.coalesce("k", F.lit(0)), F.coalesce("n", F.lit(0)))).alias("completeness"))
 
 
 def bridge_utility(nodes: DataFrame, distances: DataFrame, tau: int = 4) -> DataFrame:
     """Share of a run's nodes within tau of two anchors or more."""
     near = distances.filter(F.col("dist") <= tau).groupBy("qid", "node").agg(F.count_distinct("source").alias("k"))
-    return nodes.select("qid", "run", "node").join(near, ["qid", "node"], "left").groupBy("qid", "run").agg(F.round(F.avg(F.when(F.col("k") >= 2, 1.0).otherwise(0.0)), 6).alias("utility"))
+    return nodes.select("qid", "run", "node").join(near, ["qid", "node"], "left").groupBy("qid", "run").agg(T.settled(F.avg(F.when(F.col("k") >= 2, 1.0).otherwise(0.0))).alias("utility"))
 
 
 def run_score(parts: DataFrame) -> DataFrame:
@@ -156,7 +155,7 @@ def run_score(parts: DataFrame) -> DataFrame:
     w = {"semantic": 0.30, "anchor": 0.20, "structure": 0.25, "bridge": 0.15}
     total = sum(w.values()) + 0.10
     score = (sum((x * F.col(c) for c, x in w.items()), F.lit(0.0)) - 0.10 * F.col("redundancy")) / total
-    return parts.withColumn("run_score", F.round(score, 6))
+    return parts.withColumn("run_score", T.settled(score))
 
 
 def shortlist_runs(scored: DataFrame, score: str, most: int) -> DataFrame:
@@ -167,17 +166,48 @@ def shortlist_runs(scored: DataFrame, score: str, most: int) -> DataFrame:
 def rerank_runs(head: DataFrame) -> DataFrame:
     """Light rerank of the head: .72 base + .12 semantic + .08 coverage + .08 bridge, each to 0..1."""
     mm = lambda c: T.min_max_vector(F.col(c), "qid")
-    score = F.round(0.72 * mm("base") + 0.12 * mm("semantic") + 0.08 * mm("coverage") + 0.08 * mm("bridge"), 6)
+    score = T.settled(0.72 * mm("base") + 0.12 * mm("semantic") + 0.08 * mm("coverage") + 0.08 * mm("bridge"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "run")).cast("long")
     return head.withColumn("score", score).withColumn("place", rank)
 
 
 def surrogate_weights(scores: DataFrame, runs: int, most: int = 128) -> DataFrame:
     """Mean score of a node over all runs, absent ones as 0; the heaviest stay."""
-    mean = scores.groupBy("qid", "node").agg((F.sum("mass") / runs).alias("weight"))
+    mean = scores.groupBy("qid", "node").agg(T.settled(F.sum("mass") / runs, 9).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("weight"), "node"))
     return mean.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
 
 
 def mean_positive(similarity: Column) -> Column:
     return F.avg(F.greatest(F.lit(0.0), similarity))
+
+
+def semantic_redundancy(seeds: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Mean positive pairwise similarity of a run's seeds that have a text (a handful each); 0 for one.
+
+    tokens: qid, node, tokens. Token overlap stands in for the cosine of an encoder's vectors.
+    """
+    named = seeds.select("qid", "run", "node").join(tokens, ["qid", "node"])
+    a, b = named.alias("a"), named.alias("b")
+    pairs = a.join(b, F.expr("a.qid = b.qid and a.run = b.run and a.node < b.node"))
+    mean = pairs.groupBy("a.qid", "a.run").agg(mean_positive(T.jaccard(F.col("a.tokens"), F.col("b.tokens"))).alias("x")).select("qid", "run", "x")
+    return seeds.select("qid", "run").distinct().join(mean, ["qid", "run"], "left").select("qid", "run", T.settled(F.coalesce("x", F.lit(0.0))).alias("redundancy"))
+
+
+def chunk_grounding(seeds: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Share of a run's linked seeds of which a linked node is in the run.
+
+    links: qid, node, linked, in both directions; nodes: qid, run, node.
+    """
+    joined = seeds.select("qid", "run", "node").join(links, ["qid", "node"]).join(nodes.select("qid", "run", F.col("node").alias("linked"), F.lit(1).alias("inside")), ["qid", "run", "linked"], "left")
+    each = joined.groupBy("qid", "run", "node").agg(F.max(F.coalesce("inside", F.lit(0))).alias("inside"))
+    share = each.groupBy("qid", "run").agg(F.avg("inside").alias("x"))
+    return seeds.select("qid", "run").distinct().join(share, ["qid", "run"], "left").select("qid", "run", T.settled(F.coalesce("x", F.lit(0.0))).alias("grounding"))
+
+
+def fallback_pairs(pairs: DataFrame, chosen: DataFrame, seeds: DataFrame, anchors: DataFrame, most: int = 6) -> DataFrame:
+    """All pairs of anchors and the chosen run's seeds, best seeds first, for questions without a pair."""
+    bare = chosen.select("qid", "run").join(pairs.select("qid").distinct(), "qid", "left_anti")
+    made = bare.join(seeds.select("qid", "run", "node", "seed_score"), ["qid", "run"]).join(anchors.select("qid", "source").distinct(), "qid")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("seed_score"), "source", "node"))
+    return made.withColumn("rank", rank).filter(F.col("rank") <= most).select("qid", F.col("rank").cast("long").alias("rank"), "source", F.col("node").alias("seed"), "run")

@@ -100,16 +100,52 @@ def two_tier(shortlist: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
 
 def decayed_shortlist(anchors: DataFrame, support: DataFrame, base: float = 0.92, item_decay: float = 0.03, anchor_decay: float = 0.02, per_anchor: int = 12, most: int = 256) -> DataFrame:
     """Units supported by ranked entities: base - decays by rank, the best over entities, at least 0."""
-    joined = anchors.select("qid", "token", (F.col("rank") - 1).alias("e")).join(support.filter(F.col("rank") < per_anchor).select("token", "unit", F.col("rank").alias("c")), "token")
+    keys = ["qid", "token"] if "qid" in support.columns else ["token"]
+    joined = anchors.select("qid", "token", (F.col("rank") - 1).alias("e")).join(support.filter(F.col("rank") < per_anchor).select(*keys, "unit", F.col("rank").alias("c")), keys)
     score = F.greatest(F.lit(0.0), F.lit(base) - item_decay * F.col("c") - anchor_decay * F.col("e"))
     merged = joined.groupBy("qid", "unit").agg(F.round(F.max(score), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit")).cast("long")
     return merged.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def lookup(strategy: str, cached: DataFrame, scanned: DataFrame, wanted: int, enough: float = 0.8) -> DataFrame:
+    """Scores of one lookup strategy: ``full`` scans, ``cache_only`` takes what caches give, ``two_tier`` scans for questions
+    with fewer than ``wanted`` cached rows, ``adaptive`` for those with less than the share ``enough`` of them.
+
+    cached, scanned: qid, node, score; where both have a node the larger score stays.
+    """
+    if strategy == "full":
+        chosen = scanned
+    elif strategy == "cache_only":
+        chosen = cached
+    else:
+        least = wanted if strategy == "two_tier" else enough * wanted
+        full = cached.groupBy("qid").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least).select("qid")
+        chosen = cached.select("qid", "node", "score").union(scanned.join(full, "qid", "left_anti").select("qid", "node", "score"))
+    best = chosen.groupBy("qid", "node").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node"))
+    return best.withColumn("place", place).filter(F.col("place") <= wanted).select("qid", F.col("place").cast("long").alias("rank"), "node", "score")
+
+
+def expand_support(entities: DataFrame, support: DataFrame, scale: float = 0.85, decay: float = 0.03, most: int = 4) -> DataFrame:
+    """Entity scores carried to the first chunks that support them: score x (.85 - .03 rank), the best over entities.
+
+    entities: qid, token, score; support: qid, token, unit, rank (from 0).
+    """
+    joined = entities.select("qid", "token", "score").join(support.filter(F.col("rank") < most), ["qid", "token"])
+    return joined.groupBy("qid", "unit").agg(F.round(F.max(F.col("score") * (scale - decay * F.col("rank"))), 6).alias("score"))
+
+
+def signature(rows: DataFrame, ident: str) -> DataFrame:
+    """One row: the number of rows and a fingerprint of their ids that does not depend on their order."""
+    part = F.conv(F.substring(F.sha1(F.col(ident).cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count(ident).alias("n"), F.sum(part).cast("string").alias("fingerprint"))
+
+
 def cache_boost(entities: DataFrame, support: DataFrame, chunk_scale: float = 0.92, chunk_decay: float = 0.03, entity_scale: float = 0.96, entity_decay: float = 0.02) -> DataFrame:
     """Chunk scores from entity scores by rank decay: entity x (.92 - .03 r) x (.96 - .02 e), the best over entities."""
-    joined = entities.select("qid", "token", "sim", (F.col("rank") - 1).alias("e")).join(support.select("token", "unit", F.col("rank").alias("r")), "token")
+    keys = ["qid", "token"] if "qid" in support.columns else ["token"]
+    joined = entities.select("qid", "token", "sim", (F.col("rank") - 1).alias("e")).join(support.select(*keys, "unit", F.col("rank").alias("r")), keys)
     score = F.col("sim") * F.greatest(F.lit(0.0), chunk_scale - chunk_decay * F.col("r")) * F.greatest(F.lit(0.0), entity_scale - entity_decay * F.col("e"))
     return joined.groupBy("qid", "unit").agg(F.round(F.max(score), 6).alias("score"))
 
