@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,25 +18,47 @@ from ..operators.sizes import small
 TAU, STEPS, RUNS, CANDIDATES, SEEDS = 4, 4, 2, 64, 4
 
 
+#: Tables of texts, where work a row is large.
+TEXTS = ("documents", "conversations")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one of texts in fewer files than there are cores is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in TEXTS and df.rdd.getNumPartitions() < cores else df
+
+
+#: Bound tables of this process by session and folder: later queries go on from the stages that earlier ones have cut.
+_KNOWN: dict[tuple[str, str], Retrieval] = {}
+_MOST = 2
+
+
+def forget() -> None:
+    """Drop what is kept, so the next query starts from its tables."""
+    _KNOWN.clear()
 
 
 class Retrieval:
     """All questions at once: anchors, context graphs, diffusion, seeds, corridors and selected units.
 
-    questions: qid, text; docs: doc_id, text. Stages that several others read
+    questions: qid, text; docs: doc_id, text; shaping: settings of the corridors' shaping terms. Stages that several others read
     are cut with a checkpoint, so a plan stays small and a lost executor costs
     little.
     """
 
-    def __init__(self, questions: DataFrame, docs: DataFrame):
-        self.questions, self.docs = questions, docs
+    def __init__(self, questions: DataFrame, docs: DataFrame, shaping: dict | None = None):
+        self.questions, self.docs, self.shaping = questions, docs, shaping
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Retrieval:
-        questions = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-        return cls(questions, read(spark, sf_dir, "documents").select("doc_id", "text"))
+        key = (spark._jsparkSession.sessionUUID(), sf_dir)
+        if key not in _KNOWN:
+            while len(_KNOWN) >= _MOST:
+                _KNOWN.pop(next(iter(_KNOWN)))
+            questions = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+            _KNOWN[key] = cls(questions, read(spark, sf_dir, "documents").select("doc_id", "text"))
+        return _KNOWN[key]
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -108,17 +130,46 @@ class Retrieval:
         share = T.jaccard(F.col("asked"), F.array_distinct(T.content_tokens(F.col("text"))))
         return D.cut(joined.select("qid", "node", F.round(2 * share - 1, 9).alias("sim")))
 
+    @cached_property
+    def unit_tokens(self) -> DataFrame:
+        return D.cut(self.sentences.select("qid", "node", F.array_distinct(T.content_tokens(F.col("text"))).alias("tokens")))
+
+    @cached_property
+    def anchor_similarity(self) -> DataFrame:
+        """Similarity of a unit and the question's anchors in -1..1."""
+        named = self.anchors.groupBy("qid").agg(F.collect_set("token").alias("named"))
+        return self.unit_tokens.join(named, "qid").select("qid", "node", F.round(2 * T.jaccard(F.col("named"), F.col("tokens")) - 1, 9).alias("near_anchors"))
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """Units of each entity and entities of each unit: qid, node, linked, rank (from 0)."""
+        pairs = self.edges.filter("edge_type = 'mentions'").select("qid", F.col("src").alias("unit"), F.col("dst").alias("entity"))
+
+        def listed(key: str, value: str) -> DataFrame:
+            place = F.row_number().over(Window.partitionBy("qid", key).orderBy(value))
+            return pairs.select("qid", F.col(key).alias("node"), F.col(value).alias("linked"), (place - 1).cast("long").alias("rank"))
+
+        return listed("entity", "unit").union(listed("unit", "entity"))
+
+    @cached_property
+    def grounding(self) -> DataFrame:
+        """Of each entity: how well its first units fit the question."""
+        links = self.mentions.filter(F.col("node").startswith("e::")).withColumnRenamed("linked", "unit")
+        return S.grounding_bonus(links, self.similarity).select("qid", "node", F.round("ground", 9).alias("ground"))
+
     @cached_property
     def candidates(self) -> DataFrame:
-        return D.top_nodes(self.mass.withColumn("mass", F.round("mass", 9)), CANDIDATES)
+        return D.top_nodes(self.mass.withColumn("mass", T.settled(F.col("mass"), 9)), CANDIDATES)
 
     @cached_property
     def components(self) -> DataFrame:
         """Seed components of the candidates: graph, semantic, anchor, bridge, ground, coverage."""
         near = self.distances.groupBy("qid", "node").agg(F.min("dist").alias("near"))
-        joined = self.candidates.join(self.similarity, ["qid", "node"], "left").join(S.bridge_bonus(self.distances, 2), ["qid", "node"], "left").join(near, ["qid", "node"], "left")
+        joined = self.candidates
+        for part in (self.similarity, self.anchor_similarity, S.bridge_bonus(self.distances, TAU), self.grounding, near):
+            joined = joined.join(part, ["qid", "node"], "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        return joined.select("qid", "run", "node", "rank", F.col("mass").alias("graph"), zero("sim").alias("semantic"), F.lit(0.0).alias("anchor"), zero("bridge").alias("bridge"), F.lit(0.0).alias("ground"), F.when(F.col("near") <= 1, 1.0).otherwise(0.0).alias("coverage"))
+        return joined.select("qid", "run", "node", "rank", F.col("mass").alias("graph"), zero("sim").alias("semantic"), zero("near_anchors").alias("anchor"), zero("bridge").alias("bridge"), zero("ground").alias("ground"), F.when(F.col("near") <= 1, 1.0).otherwise(0.0).alias("coverage"))
 
     @cached_property
     def seed_scores(self) -> DataFrame:
@@ -136,43 +187,56 @@ class Retrieval:
         picked = S.greedy_seeds(self.seed_scores.select("qid", "run", "rank", "node", "weight"), pairs, SEEDS, TAU)
         return D.cut(picked.join(self.seed_scores, ["qid", "run", "node"]))
 
-    @cached_property
-    def best_seeds(self) -> DataFrame:
-        """The best candidates of each run by weight: what a greedy choice starts from."""
-        w = F.row_number().over(self._by_weight())
-        return self.seed_scores.withColumn("pick", w).filter(F.col("pick") <= SEEDS)
-
-    @staticmethod
-    def _by_weight():
-        from pyspark.sql import Window
-
-        return Window.partitionBy("qid", "run").orderBy(F.desc("weight"), "node")
-
     @cached_property
     def pairs(self) -> DataFrame:
         # alignment of a seed with an anchor: nearness, since all anchors walk together
         align = self.distances.join(self.seeds.select("qid", "run", "node"), ["qid", "node"]).select("qid", "run", "source", "node", (1 / (1 + F.col("dist"))).alias("score"))
         return D.cut(C.pair_shortlist(self.seeds, self.sources, self.distances, align, self.similarity, TAU))
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        return D.cut(C.shortest_paths(self.pairs, self.adjacent, self.distances, TAU))
+
     @cached_property
     def units(self) -> DataFrame:
-        paths = C.shortest_paths(self.pairs, self.adjacent, self.distances, TAU)
-        return D.cut(C.payloads(paths, self.adjacent))
+        return D.cut(C.payloads(self.paths, self.adjacent))
+
+    @cached_property
+    def refined(self) -> DataFrame:
+        """Local refinement of the pairs: qid, corridor, place, node, score."""
+        hops = TAU + 1
+        ends = self.pairs.select("qid", F.col("source")).distinct(), self.pairs.select("qid", F.col("seed").alias("source")).distinct()
+        near, far = (D.distances(self.adjacent, e, hops) for e in ends)
+        nodes = C.local_nodes(self.pairs, near, far, self.paths, self.similarity)
+        return D.cut(C.refine(D.cut(nodes), self.adjacent, self.pairs, self.mass, hops))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Scores of each question's runs and what they are made of."""
+        cover = S.pair_coverage(self.seeds, self.distances, TAU)
+        spread = S.dispersion(self.seeds, self.seed_distances, TAU)
+        bridge = S.bridge_utility(self.candidates, self.distances, TAU)
+        weights = S.surrogate_weights(self.mass, RUNS)
+        starts = self.seeds.select("qid", "run", F.col("node").alias("source"))
+        near = self.seed_distances.join(starts, ["qid", "source"]).groupBy("qid", "run", "node").agg(F.min("dist").alias("dist"))
+        sim = self.seeds.groupBy("qid", "run").agg(F.max(0.5 * (F.col("semantic") + 1)).alias("semantic"))
+        full = cover.join(S.connectivity(weights, near, spread, TAU), ["qid", "run"])
+        for part in (bridge, sim, S.semantic_redundancy(self.seeds, self.unit_tokens), spread):
+            full = full.join(part, ["qid", "run"])
+        return D.cut(S.run_score(full.select("qid", "run", "semantic", F.col("coverage").alias("anchor"), F.col("connectivity").alias("structure"), F.col("utility").alias("bridge"), "redundancy", "dispersion")))
 
     @cached_property
     def ranked(self) -> DataFrame:
-        scored = C.corridor_scores(self.units, self.pairs, self.similarity)
+        scored = C.corridor_scores(self.units, self.pairs, self.similarity, shaping=self.shaping)
         ends = self.pairs.select("qid", F.col("rank").alias("corridor"), F.array("source", "seed").alias("anchors"))
         return D.cut(scored.join(ends, ["qid", "corridor"]))
 
     @cached_property
     def selected(self) -> DataFrame:
         """Units of the corridors in order of score: qid, pos, node, text, score."""
-        from pyspark.sql import Window
-
         best = self.mass.groupBy("qid", "node").agg(F.max("mass").alias("mass"))
         found = self.units.select("qid", "node").distinct().join(best, ["qid", "node"], "left").join(self.similarity, ["qid", "node"]).join(self.sentences.select("qid", "node", "text"), ["qid", "node"])
-        score = F.round(F.coalesce("mass", F.lit(0.0)) + 0.5 * (F.col("sim") + 1), 9)
+        score = T.settled(F.coalesce("mass", F.lit(0.0)) + 0.5 * (F.col("sim") + 1), 9)
         pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node")).cast("long") - 1
         return D.cut(found.withColumn("score", score).withColumn("pos", pos).select("qid", "pos", "node", "text", "score"))
 
@@ -186,15 +250,16 @@ class Retrieval:
 
         A document that contains the text has the text's inner tokens whole,
         so the rarest of them (by an equi-join) leaves few documents to test.
-        Texts of fewer than three tokens have no inner one: those few are
-        tested against every document.
+        Texts of fewer than three tokens have no inner one: the documents are
+        scanned once for all of those, which are broadcast.
         """
         inner = self.questions.select("qid", "text", F.explode(F.array_distinct(F.slice(T.tokenize(F.col("text")), 2, F.greatest(F.lit(0), F.size(T.tokenize(F.col("text"))) - 2)))).alias("token"))
         held = self.docs.select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
         freq = held.join(small(inner.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         rarest = inner.join(freq, "token").groupBy("qid").agg(F.min(F.struct("n", "token", "text")).alias("m")).select("qid", "m.token", F.col("m.text").alias("needle"))
         some = held.join(small(rarest), "token").select("qid", "doc_id", "needle")
+        found = some.join(self.docs, "doc_id").filter(F.contains("text", "needle")).select("qid", "doc_id")
         short = self.questions.join(inner.select("qid").distinct(), "qid", "left_anti").select("qid", F.col("text").alias("needle"))
-        every = self.docs.select("doc_id").join(small(short))
-        pairs = some.union(every.select("qid", "doc_id", "needle")).join(self.docs, "doc_id").filter(F.contains("text", "needle"))
-        return D.cut(pairs.select("qid", F.col("doc_id").cast("string").alias("unit_id"), "doc_id"))
+        if short.limit(1).count():
+            found = found.union(self.docs.join(small(short), F.contains(F.col("text"), F.col("needle"))).select("qid", "doc_id"))
+        return D.cut(found.select("qid", F.col("doc_id").cast("string").alias("unit_id"), "doc_id"))

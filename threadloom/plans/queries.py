@@ -18,7 +18,7 @@ from ..operators import reports as P
 from ..operators import seeds as S
 from ..operators import vectors as V
 from ..operators.sizes import small
-from .binding import TAU, Retrieval, read
+from .binding import RUNS, TAU, Retrieval, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,7 +212,7 @@ def question_graph(r):
 
 @on_retrieval("bridge_candidates")
 def bridge_candidates(r):
-    return A.bridge_candidates(r.distances, r.similarity, r.degree, 2).select("qid", "rank", "node", F.round("score", 6).alias("score"), "pairs")
+    return A.bridge_candidates(r.distances, r.similarity, r.degree, TAU).select("qid", "rank", "node", F.round("score", 6).alias("score"), "pairs")
 
 
 @on_retrieval("graph_reserve")
@@ -251,12 +251,11 @@ def cosine_topk(spark, sf):
 
 @query
 def dense_rerank(spark, sf):
-    """Vectors of a query's label, rescored."""
-    e = read(spark, sf, "embeddings")
-    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), "label")
-    short = q.select("qid", "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("qid", "id")
-    return V.rerank(short, v, q.select("qid", "vector"), 5).select("qid", "rank", "id", F.round("sim", 4).alias("sim"))
+    """The twenty nearest by cosine, rescored by inner product."""
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = v.filter("id % 50 = 0").withColumnRenamed("id", "qid")
+    short = V.cosine_top_k(v, q, 20).select("qid", "id")
+    return V.rerank(short, v, q, 5).select("qid", "rank", "id", F.round("sim", 4).alias("sim"))
 
 
 @query
@@ -268,17 +267,13 @@ def normalized_norms(spark, sf):
 def _support(r: Retrieval) -> DataFrame:
     """Sentences of a question's contexts that mention a token, in order of id."""
     pairs = r.edges.filter("edge_type = 'mentions'").select("qid", F.col("src").alias("unit"), F.substring("dst", 4, 1000).alias("token"))
-    rank = F.row_number().over(Window.partitionBy("qid", "token").orderBy("unit")).cast("long") - 1
-    return pairs.withColumn("rank", rank)
+    place = F.row_number().over(Window.partitionBy("qid", "token").orderBy("unit"))
+    return pairs.withColumn("rank", (place - 1).cast("long"))
 
 
 @on_retrieval("shortlist_decay")
 def shortlist_decay(r):
-    merged = r.anchors.join(_support(r).filter("rank < 12").withColumnRenamed("rank", "c"), ["qid", "token"])
-    score = F.greatest(F.lit(0.0), 0.92 - 0.03 * F.col("c") - 0.02 * (F.col("rank") - 1))
-    best = merged.groupBy("qid", "unit").agg(F.round(F.max(score), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "unit")).cast("long")
-    return best.withColumn("rank", rank).filter("rank <= 256").select("qid", "rank", "unit", "score")
+    return V.decayed_shortlist(r.anchors, _support(r)).select("qid", "rank", "unit", "score")
 
 
 @on_retrieval("embedding_fusion")
@@ -333,7 +328,7 @@ def random_walks(r):
 
 @on_retrieval("seed_bridges")
 def seed_bridges(r):
-    return S.bridge_bonus(r.distances, 2).select("qid", "node", F.round("bridge", 6).alias("bridge"))
+    return S.bridge_bonus(r.distances, TAU).select("qid", "node", F.round("bridge", 6).alias("bridge"))
 
 
 @on_retrieval("seed_components")
@@ -353,28 +348,17 @@ def seed_dispersion(r):
 
 @on_retrieval("seed_pair_coverage")
 def seed_pair_coverage(r):
-    return S.pair_coverage(r.candidates, r.distances, 2)
+    return S.pair_coverage(r.candidates, r.distances, TAU)
 
 
 @on_retrieval("bridge_completeness")
 def bridge_completeness(r):
-    return S.bridge_completeness(r.candidates, r.distances, 2)
+    return S.bridge_completeness(r.candidates, r.distances, TAU)
 
 
 @on_retrieval("bridge_utility")
 def bridge_utility(r):
-    return S.bridge_utility(r.candidates, r.distances, 2)
-
-
-def _runs(r: Retrieval) -> DataFrame:
-    cover = S.pair_coverage(r.seeds, r.distances, TAU)
-    spread = S.dispersion(r.seeds, r.seed_distances, TAU)
-    bridge = S.bridge_utility(r.candidates, r.distances, TAU)
-    weights = S.surrogate_weights(r.mass, 2)
-    near = r.seed_distances.join(r.seeds.select("qid", "run", F.col("node").alias("source")), ["qid", "source"]).groupBy("qid", "run", "node").agg(F.min("dist").alias("dist"))
-    sim = r.seeds.groupBy("qid", "run").agg(F.max(0.5 * (F.col("semantic") + 1)).alias("semantic"), F.lit(0.0).alias("redundancy"))
-    full = cover.join(S.connectivity(weights, near, spread, TAU), ["qid", "run"]).join(bridge, ["qid", "run"]).join(sim, ["qid", "run"])
-    return S.run_score(full.select("qid", "run", "semantic", F.col("coverage").alias("anchor"), F.col("connectivity").alias("structure"), F.col("utility").alias("bridge"), "redundancy"))
+    return S.bridge_utility(r.candidates, r.distances, TAU)
 
 
 @on_retrieval("run_precheck")
@@ -385,12 +369,12 @@ def run_precheck(r):
 
 @on_retrieval("run_choice")
 def run_choice(r):
-    return S.shortlist_runs(_runs(r), "run_score", 1).select("qid", "run", "run_score")
+    return S.shortlist_runs(r.runs, "run_score", 1).select("qid", "run", "run_score")
 
 
 @on_retrieval("run_rerank")
 def run_rerank(r):
-    head = _runs(r).select("qid", "run", F.col("run_score").alias("base"), "semantic", F.col("anchor").alias("coverage"), "bridge")
+    head = r.runs.select("qid", "run", F.col("run_score").alias("base"), "semantic", F.col("anchor").alias("coverage"), "bridge")
     return S.rerank_runs(head).select("qid", "place", "run", "score")
 
 
@@ -409,7 +393,7 @@ def corridor_nodes(r):
 
 @on_retrieval("corridor_rerank")
 def corridor_rerank(r):
-    return r.ranked
+    return r.ranked.withColumn("anchors", F.array_join("anchors", "|"))
 
 
 @on_retrieval("corridor_coverage_order")
@@ -428,10 +412,8 @@ def trim(r):
 
 @on_retrieval("entity_chunk_scores")
 def entity_chunk_scores(r):
-    hits = r.anchors.select("qid", "token", "rank", F.round("score", 9).alias("sim")).join(_support(r).withColumnRenamed("rank", "r"), ["qid", "token"])
-    lift = F.col("sim") * F.greatest(F.lit(0.20), 1 - 0.06 * F.col("r"))
-    listed = hits.groupBy("qid", "unit").agg(F.array_sort(F.collect_list(F.struct("rank", "token", lift.alias("lift")))).alias("l"))
-    return listed.select("qid", "unit", F.round(F.aggregate("l", F.lit(0.0), lambda s, x: F.greatest(s, 0.65 * s + 0.35 * x["lift"])), 6).alias("score"))
+    found = C.entity_chunk_scores(r.anchors.select("qid", "token", "rank", F.round("score", 9).alias("sim")), _support(r))
+    return found.select("qid", "rank", "unit", "score")
 
 
 @on_retrieval("unit_features")
@@ -475,20 +457,24 @@ def excerpt_window(r):
     return R.excerpts(_centers(r), sents).select("qid", "rank", "doc_id", "center", "n", F.md5("excerpt").alias("excerpt_md5"))
 
 
-@on_retrieval("package_score")
-def package_score(r):
+def _packages(r: Retrieval) -> DataFrame:
     sents = r.sentences.select("doc_id", F.col("unit_idx").cast("long").alias("unit_idx"), "text").distinct()
     packed = R.excerpts(_centers(r), sents)
-    f = packed.select("qid", "rank", F.lit(10**9).cast("long").alias("best_rank"), F.lit(False).alias("bridge"), F.lit(0).alias("support"))
-    return R.package_scores(packed, f, r.questions).select("qid", "rank", "doc_id", "score")
+    known = r.features.select("qid", "node", "best_rank", "is_connector", "corridors")
+    named = packed.withColumn("node", G.sentence_node(F.col("doc_id"), F.col("center"))).join(known, ["qid", "node"], "left")
+    rank, bridge = F.coalesce("best_rank", F.lit(10**9).cast("long")), F.coalesce("is_connector", F.lit(False))
+    f = named.select("qid", "rank", rank.alias("best_rank"), bridge.alias("bridge"), F.least(F.lit(4), F.coalesce("corridors", F.lit(0))).alias("support"))
+    return R.package_scores(packed, f, r.questions)
+
+
+@on_retrieval("package_score")
+def package_score(r):
+    return _packages(r).select("qid", "rank", "doc_id", "score")
 
 
 @on_retrieval("package_choice")
 def package_choice(r):
-    sents = r.sentences.select("doc_id", F.col("unit_idx").cast("long").alias("unit_idx"), "text").distinct()
-    packed = R.excerpts(_centers(r), sents)
-    f = packed.select("qid", "rank", F.lit(10**9).cast("long").alias("best_rank"), F.lit(False).alias("bridge"), F.lit(0).alias("support"))
-    return R.choose_packages(R.package_scores(packed, f, r.questions).select("qid", "rank", "score", "excerpt"))
+    return R.choose_packages(_packages(r).select("qid", "rank", "score", "excerpt"))
 
 
 @on_retrieval("corridor_lift")
@@ -522,17 +508,27 @@ def recall_at_k(r):
     return t.select("qid", *(F.round(c, 6).alias(c) for c in t.columns[1:]))
 
 
-@on_retrieval("support_match_reasons")
-def support_match_reasons(r):
+def _support_units(r: Retrieval) -> tuple[DataFrame, DataFrame]:
     """Chunks of the proposed documents against gold sentences (the questions' texts)."""
     chunks = G.chunk_table(r.contexts, ("qid", "doc_id", "doc_rank"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("doc_rank", "unit_idx")).cast("long")
     units = chunks.select("qid", rank.alias("rank"), T.chunk_unit(F.concat(F.lit("doc"), "doc_id"), F.col("unit_idx")).alias("unit_id"), "text")
     gold = r.gold.join(r.questions, "qid").select("qid", T.sentence_unit(F.concat(F.lit("doc"), "doc_id"), F.lit(0)).alias("unit_id"), F.concat(F.lit("doc"), "doc_id").alias("title"), "text")
-    found = M.support_matches(units, gold)
+    return units, gold
+
+
+@on_retrieval("support_match_reasons")
+def support_match_reasons(r):
+    found = M.support_matches(*_support_units(r))
     return found.select("qid", "rank", "unit_id", F.array_join("matched", ",").alias("matched"), "reason")
 
 
+@on_retrieval("support_debug")
+def support_debug(r):
+    units, gold = _support_units(r)
+    return M.support_debug(M.support_matches(units.filter("rank <= 40"), gold), gold)
+
+
 @on_retrieval("loss_funnel")
 def loss_funnel(r):
     unit = F.col("doc_id").cast("string").alias("unit_id")
@@ -564,9 +560,12 @@ def bottleneck_rank(spark, sf):
 
 @query
 def error_buckets(spark, sf):
-    e = read(spark, sf, "events")
-    bucket = M.error_bucket(F.col("value") > 10, F.col("value") > 20, F.pmod("user_id", F.lit(3)) > 0, F.col("event_type") != "error")
-    return M.histogram(e.withColumn("bucket", bucket), "bucket", ["event_type"])
+    """Events as questions whose rates are made of their ids."""
+    rate = lambda n: F.pmod("event_id", F.lit(n)) / n
+    named = {"run_bridge_coverage": rate(3), "seed_bridge_recall": rate(5), "rendered_recall": rate(7), "seed_answer_recall": rate(4), "answer_side_density": rate(6), "precision": rate(11), "rendered_precision": rate(13), "bridge_noise_ratio": rate(9), "redundancy_rate": rate(8), "f1": rate(10)}
+    rows = read(spark, sf, "events").withColumns(named | {"qa_executed": F.col("event_type") != "error"})
+    flagged = M.evidence_flags(rows)
+    return M.histogram(flagged.withColumn("bucket", M.error_bucket(*(F.col(c) for c in ("bridge", "answer", "failed", "noisy")))), "bucket", ["event_type"])
 
 
 @query
@@ -629,7 +628,11 @@ def top_variants(spark, sf):
 
 @query
 def derived_metrics(spark, sf):
-    return M.derived(summaries(spark, sf).withColumn("ceiling", F.lit(1.0))).select("dataset", "variant", "retention", "conversion", "oracle_gap", "f1_per_100ms")
+    rows = summaries(spark, sf).withColumns({
+        "recall_at_5": F.col("recall"), "retrieval_ms": F.col("ms") / 2, "total_ms": F.col("ms"), "ceiling": F.when(F.col("variant") != "src1", 1.0),
+        "reference_f1": F.lit(0.5154), "reference_r5": F.when(F.col("dataset") != "fr", 0.95),
+    })
+    return M.derived(rows).select("dataset", "variant", "retention", "conversion", "oracle_gap", "f1_per_100ms", "r5_per_100ms", "oracle_gap_per_ms", "gap_to_reference_f1", "gap_to_reference_r5")
 
 
 @query
@@ -695,21 +698,23 @@ def slice_reorder(r):
 
 @on_retrieval("corridor_top1")
 def corridor_top1(r):
-    f = r.ranked.join(r.pairs.select("qid", F.col("rank").alias("corridor"), "pair_score", "dist"), ["qid", "corridor"])
-    return C.correct_corridors(f.select("qid", "corridor", "place", "score", F.col("pair_score").alias("align"), F.col("base").alias("support"), F.lit(0.0).alias("bridge"), F.col("base").alias("semantic"), "overlap"))
+    f = r.ranked.join(r.pairs.select("qid", F.col("rank").alias("corridor"), "pair_score", "align", "bridges"), ["qid", "corridor"])
+    return C.correct_corridors(f.select("qid", "corridor", "place", "score", "align", F.col("base").alias("support"), F.col("bridges").alias("bridge"), F.col("pair_score").alias("semantic"), "overlap"))
 
 
 @on_retrieval("bundle_clip")
 def bundle_clip(r):
-    roles = r.features.withColumn("role", T.role_of(F.col("overlap"), F.lit(False), F.col("is_support")))
+    roles = r.features.withColumn("role", R.flat_role())
     return R.clip_bundles(roles, 5)
 
 
+def _lists(r: Retrieval) -> tuple[DataFrame, DataFrame]:
+    return r.mentions.filter(F.col("node").startswith("e::")), r.mentions.filter(F.col("node").startswith("s::"))
+
+
 @on_retrieval("cache_reserve")
 def cache_reserve(r):
-    links = r.edges.filter("edge_type = 'mentions'").select("qid", F.col("src").alias("unit"), F.col("dst").alias("entity"))
-    listed = lambda key, value: links.select("qid", F.col(key).alias("node"), F.col(value).alias("linked"), (F.row_number().over(Window.partitionBy("qid", key).orderBy(value)) - 1).alias("rank"))
-    found = A.cache_reserve(r.sources, listed("entity", "unit"), listed("unit", "entity"), r.adjacent, r.degree)
+    found = A.cache_reserve(r.sources, *_lists(r), r.adjacent, r.degree)
     return found.select("qid", "source", "rank", "node", F.round("score", 6).alias("score"))
 
 
@@ -721,5 +726,294 @@ def generated_answers(r):
     return generate.answers(rows.groupBy("qid").agg(F.array_join(F.collect_list("text"), " ").alias("context")), r.questions, rows).select("qid", "prediction")
 
 
+# ---------------------------------------------------------------- vectors, caches and proposals by their operators
+
+
+def _fitting(r: Retrieval) -> DataFrame:
+    """Anchors as entities with a similarity: qid, token, rank, sim."""
+    return r.anchors.select("qid", "token", "rank", F.round("score", 9).alias("sim"))
+
+
+@on_retrieval("cache_boost")
+def cache_boost(r):
+    return V.cache_boost(_fitting(r), _support(r))
+
+
+@on_retrieval("support_expansion")
+def support_expansion(r):
+    return V.expand_support(_fitting(r).withColumnRenamed("sim", "score"), _support(r))
+
+
+@on_retrieval("grounding_bonus")
+def grounding_bonus(r):
+    return r.grounding.select("qid", "node", F.round("ground", 6).alias("ground"))
+
+
+def _unit_scores(r: Retrieval) -> tuple[DataFrame, DataFrame]:
+    cached = V.cache_boost(_fitting(r), _support(r)).select("qid", F.col("unit").alias("node"), "score")
+    return cached, r.similarity.select("qid", "node", T.settled(0.5 * (F.col("sim") + 1)).alias("score"))
+
+
+@on_retrieval("semantic_lookup")
+def semantic_lookup(r):
+    """Units of each question under every lookup strategy."""
+    cached, scanned = _unit_scores(r)
+    parts = [V.lookup(s, cached, scanned, 16).withColumn("strategy", F.lit(s)) for s in ("full", "cache_only", "two_tier", "adaptive")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).select("strategy", "qid", "rank", "node", "score")
+
+
+@query
+def two_tier_lookup(spark, sf):
+    """A query's label as its shortlist: questions with fewer than ten vectors of their label are scanned."""
+    e = read(spark, sf, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
+    short = asked.join(e.filter("vec_id % 10 = 3").select(F.col("vec_id").alias("id"), "label"), "label").select("qid", "id")
+    return V.two_tier(short, v, q, 5, 5).select("qid", "rank", "id", "tier", F.round("sim", 4).alias("sim"))
+
+
+@on_retrieval("hybrid_anchors")
+def hybrid_anchors(r):
+    """Lexical anchors and the entities that lie next to several of them."""
+    near = r.distances.filter("dist = 2 and node like 'e::%'").groupBy("qid", "node").agg(F.count_distinct("source").alias("k"))
+    semantic = near.select("qid", F.substring("node", 4, 1000).alias("token"), T.settled(F.col("k") / 5.0 - 0.5).alias("sim"))
+    return A.hybrid_anchors(r.questions, r.anchors, semantic, r.support).select("qid", "rank", "token", "added")
+
+
+@on_retrieval("proposal_levels")
+def proposal_levels(r):
+    """Proposals of the four modes."""
+    units = r.similarity.select("qid", "node", F.lit("chunk").alias("kind"), T.settled(0.5 * (F.col("sim") + 1)).alias("score"))
+    named = r.grounding.select("qid", "node", F.lit("entity").alias("kind"), T.settled(F.col("ground")).alias("score"))
+    reserve = A.cache_reserve(r.sources, *_lists(r), r.adjacent, r.degree).select("qid", "source", "node", "rank", "score")
+    made = []
+    for mode in A.LEVELS:
+        found = A.leveled_proposals(units.union(named), r.distances, reserve, r.mentions.filter(F.col("node").startswith("e::")), A.proposal_level(mode))
+        made.append(found.groupBy("part", F.lit(mode).alias("mode")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("votes").cast("long").alias("votes"), F.round(F.sum("score"), 3).alias("score")).select("mode", "part", "nodes", "votes", "score"))
+    return made[0].union(made[1]).union(made[2]).union(made[3])
+
+
+@on_retrieval("bridged_proposals")
+def bridged_proposals(r):
+    """Bridge candidates behind every anchor's proposals."""
+    bridges = A.bridge_candidates(r.distances, r.similarity, r.degree, TAU)
+    found = A.with_bridges(_proposed(r), bridges, r.sources)
+    return found.select("qid", "source", "rank", "node", F.round("score", 6).alias("score"))
+
+
+@on_retrieval("diffusion_scope")
+def diffusion_scope(r):
+    """Size of the entity graph that walks run on, and its anchors, by question."""
+    edges, anchors = A.diffusion_scope(r.adjacent, r.sources, r.degree, G.is_text(F.col("node")))
+    return edges.groupBy("qid").agg(F.count(F.lit(1)).alias("edges")).join(anchors.groupBy("qid").agg(F.count(F.lit(1)).alias("anchors")), "qid", "full_outer")
+
+
+# ---------------------------------------------------------------- runs, refinement and corridor shaping
+
+
+@on_retrieval("run_scores")
+def run_scores(r):
+    return r.runs
+
+
+@on_retrieval("chunk_grounding")
+def chunk_grounding(r):
+    return S.chunk_grounding(r.seeds, r.candidates, r.mentions)
+
+
+@on_retrieval("fallback_pairs")
+def fallback_pairs(r):
+    """Pairs for the questions of odd number, as if none of theirs had been found."""
+    chosen = S.shortlist_runs(r.runs, "run_score", 1)
+    return S.fallback_pairs(r.pairs.filter("qid % 2 = 0"), chosen, r.seeds, r.sources)
+
+
+@on_retrieval("local_refinement")
+def local_refinement(r):
+    return r.refined
+
+
+@on_retrieval("refinement_merge")
+def refinement_merge(r):
+    units, edges = C.merge_refined(r.refined, r.adjacent)
+    return units.groupBy("qid").agg(F.count(F.lit(1)).alias("units"), F.max("score").alias("best")).join(edges.groupBy("qid").agg(F.count(F.lit(1)).alias("edges")), "qid", "left")
+
+
+#: Every shaping term at once, as the guarded and light settings have them.
+SHAPED = {"compact": 0.05, "answer_preserve": 0.08, "bridge_purity": 0.06, "path_preserve": 0.10, "path_incomplete": 0.05, "path_compact": 0.04, "path_guarded": True, "path_compact_lite": True, "confidence_gated": True, "guarded_dataset": True}
+
+
+@on_retrieval("corridor_components")
+def corridor_components(r):
+    made = C.shaped(C.corridor_components(r.units, r.pairs, r.similarity), SHAPED)
+    return made.select("qid", "corridor", "path_complete", *(T.settled(F.col(c).cast("double")).alias(c) for c in ("structure", "semantic", "answer", "bridge_purity", "answer_side_density", "support_set_compactness", "bridge_answer_pair_retention", "path_complete_rate", "chain_compactness", "incomplete_path_rate", "shaping")))
+
+
+@on_retrieval("connector_metrics")
+def connector_metrics(r):
+    parts = C.shaped(C.corridor_components(r.units, r.pairs, r.similarity), SHAPED).join(r.ranked.select("qid", "corridor", "place"), ["qid", "corridor"])
+    chosen = S.shortlist_runs(r.runs, "run_score", 1).select("qid", "run", F.col("dispersion").alias("seed_diversity"), F.col("redundancy").alias("seed_redundancy"), F.col("bridge").alias("utility"))
+    seeds = r.seeds.join(chosen.select("qid", "run"), ["qid", "run"], "left_semi")
+    nodes = r.candidates.join(chosen.select("qid", "run"), ["qid", "run"], "left_semi")
+    cover = seeds.join(r.distances, ["qid", "node"]).groupBy("qid").agg(F.count_distinct("source").alias("c"))
+    share = r.distances.groupBy("qid").agg(F.count_distinct("source").alias("n")).join(cover, "qid", "left").select("qid", T.ratio(F.coalesce("c", F.lit(0)), F.col("n")).alias("seed_anchor_recall"))
+    like = nodes.join(r.similarity, ["qid", "node"], "left").select("qid", "node", (0.5 * (F.coalesce("sim", F.lit(0.0)) + 1)).alias("s"))
+    top = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "node"))
+    positive = like.withColumns({"r": top, "any": F.max(F.col("s") >= 0.5).over(Window.partitionBy("qid"))}).filter((F.col("s") >= 0.5) | (~F.col("any") & (F.col("r") <= 4)))
+    answers = positive.join(seeds.select("qid", "node", F.lit(1).alias("hit")), ["qid", "node"], "left").groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("seed_answer_recall"))
+    runs = chosen.join(share, "qid").join(answers, "qid").join(S.bridge_completeness(seeds, r.distances, TAU).select("qid", F.col("completeness").alias("seed_bridge_recall")), "qid")
+    runs = runs.join(S.bridge_completeness(nodes, r.distances, TAU).select("qid", F.col("completeness").alias("proxy")), "qid").join(_redundancy(r), "qid", "left").fillna(0.0, ["redundancy_rate"])
+    runs = runs.withColumn("run_bridge_coverage", F.greatest("utility", "proxy")).drop("run", "utility", "proxy")
+    return M.connector_metrics(parts, runs)
+
+
+def _redundancy(r: Retrieval) -> DataFrame:
+    """Mean pairwise overlap of a question's corridors (a handful each)."""
+    sets = r.units.groupBy("qid", "corridor").agg(F.collect_set("node").alias("nodes"))
+    pairs = sets.alias("a").join(sets.alias("b"), F.expr("a.qid = b.qid and a.corridor < b.corridor"))
+    return pairs.groupBy("a.qid").agg(F.avg(T.jaccard(F.col("a.nodes"), F.col("b.nodes"))).alias("redundancy_rate"))
+
+
+# ---------------------------------------------------------------- rendering beyond the flat list
+
+
+@on_retrieval("ordered_units")
+def ordered_units(r):
+    """Ten units of each question under every order strategy."""
+    picked = r.features.filter("pos < 10").select("qid", "node", T.settled(R.linear_score(r.features)).alias("value"))
+    parts = [R.ordered(picked, r.features, s).withColumn("strategy", F.lit(s)) for s in ("score", "retrieval", "corridor_rank", "score+relation_on")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).select("strategy", "qid", "place", "node", "role")
+
+
+def _backfill(r: Retrieval) -> DataFrame:
+    """Excerpts around the corridors' centers, as sentences: qid, rank, pos, node, text."""
+    base = r.features.filter("pos < 6").select("qid", "node", (F.col("pos") + 1).alias("place"))
+    centers = R.backfill_centers(r.units, r.ranked, base)
+    sents = r.sentences.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("unit_idx").cast("long").alias("unit_idx"), "text").distinct()
+    near = centers.withColumnRenamed("unit_idx", "center").join(sents, "doc_id").filter(F.abs(F.col("unit_idx") - F.col("center")) <= 1)
+    return near.select("qid", "rank", F.col("unit_idx").alias("pos"), G.sentence_node(F.col("doc_id"), F.col("unit_idx")).alias("node"), "text")
+
+
+@on_retrieval("backfill_packages")
+def backfill_packages(r):
+    return _backfill(r).select("qid", "rank", "pos", "node")
+
+
+@on_retrieval("excerpt_selection")
+def excerpt_selection(r):
+    base = r.features.filter("pos < 6").select("qid", "node")
+    return R.excerpt_units(_backfill(r), base).select("qid", "place", "rank", "node", "candidates")
+
+
+@on_retrieval("grounded_context")
+def grounded_context(r):
+    lines = r.features.filter("pos < 6")
+    base = R.flat(lines.select("qid", "node", "text", "pos"), 6)
+    found = R.grounded_context(base, R.excerpt_units(_backfill(r), lines.select("qid", "node")), 8)
+    return found.select("qid", F.md5("context").alias("context_md5"), "units", "excerpts")
+
+
+@on_retrieval("path_bundles")
+def path_bundles(r):
+    return R.bundles(r.units, r.ranked, r.features, "dedup").select("qid", "bundle", "role", "place", "node")
+
+
+@on_retrieval("bundle_metrics")
+def bundle_metrics(r):
+    return R.bundle_metrics(R.bundles(r.units, r.ranked, r.features, "compact_lite"))
+
+
+@query
+def retrieved_units(spark, sf):
+    """A settings-driven run by similarity alone."""
+    from ..functions import config
+    from . import runs
+
+    r = Retrieval.of(spark, sf)
+    return runs.retrieve(r.questions, r.docs, config.settings(overrides={"method": "flat"})).select("qid", "rank", "unit_id", F.round("score", 6).alias("score"))
+
+
+@query
+def run_answers(spark, sf):
+    """A settings-driven run from questions to answers, with corridor contexts."""
+    from ..functions import config
+    from . import runs
+
+    r = Retrieval.of(spark, sf)
+    return runs.answer(r.questions, r.docs, values=config.settings(overrides={"render_mode": "corridor"}))["answers"].select("qid", "prediction")
+
+
+@on_retrieval("context_grid")
+def context_grid(r):
+    """One retrieval pass rendered under every budget and order: size of each context."""
+    picked = r.features.select("qid", "node", T.settled(R.linear_score(r.features)).alias("value"))
+    texts = r.features.select("qid", "node", F.size(T.tokenize(F.col("text"))).alias("tokens"))
+    budgets = r.questions.sparkSession.sql("select explode(array(3, 5, 8)) as budget")
+    parts = []
+    for strategy in ("score", "corridor_rank"):
+        rows = R.ordered(picked, r.features, strategy).join(texts, ["qid", "node"]).join(F.broadcast(budgets), F.col("place") <= F.col("budget"))
+        parts.append(rows.groupBy(F.lit(strategy).alias("strategy"), F.col("budget").cast("long").alias("budget")).agg(F.count_distinct("qid").alias("questions"), F.count(F.lit(1)).alias("units"), F.sum("tokens").cast("long").alias("tokens")))
+    return parts[0].union(parts[1])
+
+
+# ---------------------------------------------------------------- profiles and summaries
+
+
+STAGES = [s.removesuffix("_ms") for group in P.CASES.values() for s in group]
+
+
+def _timings(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as stage timings: qid, stage, ms."""
+    names = F.array(*map(F.lit, STAGES))
+    return read(spark, sf, "events").select(F.col("user_id").alias("qid"), F.get(names, F.pmod("event_id", F.lit(len(STAGES))).cast("int")).alias("stage"), F.col("value").alias("ms"))
+
+
+@query
+def profile_record(spark, sf):
+    return M.profile_records(_timings(spark, sf), STAGES)
+
+
+@query
+def profile_subset(spark, sf):
+    return M.profile_subset(M.profile_records(_timings(spark, sf), STAGES).select("qid", "total_ms"), "qid", range(0, 60, 3), 12)
+
+
+@query
+def priority_recommendation(spark, sf):
+    """What to work on first, by type of event."""
+    rows = read(spark, sf, "events").withColumn("stage", F.get(F.array(*map(F.lit, STAGES)), F.pmod("event_id", F.lit(len(STAGES))).cast("int")))
+    means = rows.groupBy("event_type").agg(*(F.round(F.avg(F.when(F.col("stage") == s, F.col("value"))), 6).alias(f"{s}_ms") for s in STAGES), F.round(F.sum("value") / 1000, 6).alias("retrieval_total_ms"), F.max("event_id").alias("proposal_subgraph_nodes"))
+    return P.recommendation(means).select("event_type", "case", "primary_stage")
+
+
+@on_retrieval("run_summary")
+def run_summary(r):
+    t = M.recall_table(_matches(r), r.gold, (1, 2, 5))
+    sizes = r.hits.groupBy("qid").agg(F.count(F.lit(1)).alias("proposed"), F.sum("n_anchors").cast("long").alias("anchored"))
+    rows = t.join(sizes, "qid", "left")
+    return M.run_summary(rows, ["recall", "precision", "recall_1", "recall_2", "recall_5", "proposed", "anchored"], F.col("recall") > 0)
+
+
+@query
+def recomputed_metrics(spark, sf):
+    """Stored answers scored anew; every third question has another gold answer."""
+    pairs = answer_pairs(spark, sf).withColumns({"qid": F.concat_ws("-", "conv_id", "turn"), "golds": F.array("gold"), "odd": F.pmod("conv_id", F.lit(2)).cast("long")})
+    new = pairs.filter("conv_id % 3 = 0").select("qid", F.array(F.substring_index("gold", " ", 5), "gold").alias("golds"))
+    return P.recomputed(pairs, new, ["odd"])
+
+
+@query
+def feasible_profiles(spark, sf):
+    """The best variant of each language that keeps the baseline's EM, gains F1 and is faster."""
+    rows = summaries(spark, sf).filter("dataset = 'en'").withColumnRenamed("variant", "profile")
+    return P.feasible_best(rows, {"em": 0.9, "f1": 0.5}, {"f1": 0.6, "ms": 5000.0}).select("profile", "feasible", "f1", "em", "ms")
+
+
+@on_docs("node_signature")
+def node_signature(d):
+    return V.signature(G.corpus_graph(d).select(F.col("src").alias("node")).distinct(), "node")
+
+
 FLAGSHIP = "recall_at_k"
 
