@@ -686,3 +686,70 @@ def test_null_ids_and_repeated_rows(spark):
     packed = packing.pack_documents(df, word, limits=packing.Limits(tokens=64, loss=64)).collect()
     assert sum(r["length"] for r in packed) == 4 * 32 + 1
     assert sum(r["doc_id"] is None for r in packed) >= 3
+
+
+def brute_kept(rows, keep=0.75, alpha=1e-6, steps=3):
+    """One group's verdicts by plain numpy: medians, then concentration steps over bins of distance."""
+    from math import floor, log2
+
+    made = {r[0]: stats(r[1]) for r in rows}
+    lines = {r[0]: sum(WORD.search(x) is not None for x in (r[1] or "").split("\n")) for r in rows}
+    ids = list(made)
+    n, chars, symbols, dup, repeat = (np.asarray([made[i][k] for i in ids], float) for k in range(5))
+    x = np.stack([np.log((chars + 250) / (n + 50)), np.sqrt(symbols / (chars + 50)), np.sqrt(dup / (np.asarray([lines[i] for i in ids]) + 2)), np.sqrt(repeat / (n + 20))], 1)
+    middle = lambda v: np.sort(v, 0)[(len(v) + 1) // 2 - 1]
+    centre = middle(x)
+    spread = np.diag((1.4826 * middle(abs(x - centre))) ** 2 + np.square(quality.FLOOR))
+    far = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(spread), x - centre)
+    for _ in range(steps):
+        cells = np.asarray([floor(16 * log2(d + 2.0**-12)) for d in np.round(far(), 6)])
+        before = np.asarray([(cells < c).sum() for c in cells])
+        near = x[before < keep * len(x)]
+        share = len(near) / len(x)
+        scale = 1.0 if share >= 1 else share / quality.chi2_cdf(quality.chi2_quantile(share, 4), 6)
+        centre, spread = near.mean(0), scale * np.cov(near.T, bias=True) + np.diag(np.square(quality.FLOOR))
+    outlier = np.round(far(), 6) > quality.chi2_quantile(1 - alpha, 4)
+    return {i for i, o in zip(ids, outlier, strict=True) if not o and made[i][0] >= 10 and 100 * made[i][4] <= 20 * made[i][0]}
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    rng = random.Random(50)
+    word = lambda most=9: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, most)))
+    rows = []
+    for i in range(400):
+        words = [word() if rng.random() < 0.97 else word(30) for _ in range(rng.randint(5, 150))]
+        words = [w + "$" * rng.randint(0, 3) if rng.random() < i / 1600 else w for w in words]
+        lines = [" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+        lines += [rng.choice(lines) for _ in range(rng.choice((0, 0, 0, 1, 5)))]
+        rows.append((i, "\n".join(lines), "en", "s", 0, 1, "r", 7))
+    want = brute_kept(rows)
+    got = {r["doc_id"] for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).filter("kept").collect()}
+    assert got == want and 100 < len(want) < 390
+
+
+def test_sharding_places_against_brute_force(spark):
+    import math
+
+    import xxhash
+
+    def drawn(key, name, weight):
+        bits = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.encode(), 42)) >> 12
+        return -weight / math.log((bits + 0.5) * 2.0**-52)
+
+    def down(key, children):
+        best = max(enumerate(children), key=lambda c: (drawn(key, c[1].name, c[1].weight), c[0]))[1]
+        return down(key, best.children) if best.children else best.shard
+
+    tree = sharding.topology(24)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(None, None)], "doc_id long, text string")
+    for r in sharding.shard_documents(df).collect():
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (down(key, tree), down(key, sharding.grown(tree, 24)))
+
+
+def test_substring_dedup_with_clashing_columns(spark):
+    """Columns named like the operator's own change nothing."""
+    rows = [(i, f"a b c d e f {i} x y", 1, b"z", 2) for i in range(5)]
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, part long, h binary, n_words long"), 4).collect()
+    plain = substrings.dedup_substrings(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), 4).collect()
+    assert sorted(got) == sorted(plain) and sum(r["n_removed"] for r in got) == 24

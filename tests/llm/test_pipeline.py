@@ -44,3 +44,23 @@ def test_stages(spark, tmp_path):
 
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """An empty table, null and repeated ids, and columns with the operators' own names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rate double, kept boolean, rep long, node long, __row string"
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    row = lambda i, t: (i, t, "en", None, None, 0.5, False, 1, 2, "r")
+    tables = {"empty": [], "odd": [row(None, text), row(None, None), row(1, text), row(1, text), row(2, text + " more"), row(3, "")]}
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, rows in tables.items():
+        docs = spark.createDataFrame(rows, schema)
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, docs, str(tmp_path))
+            assert (out.columns == docs.columns) == (stage != "sequence_packing")
+            found = out.count()
+            assert (found == 0) == (name == "empty") and (found <= len(rows) or stage == "sequence_packing"), (name, stage)
+    odd = spark.createDataFrame(tables["odd"], schema)
+    assert corpus_pipeline.quality_rules(spark, odd, str(tmp_path)).count() == 4  # two have too few words
+    assert corpus_pipeline.near_duplicates(spark, odd, str(tmp_path)).filter("doc_id = 1").count() == 1
+    assert corpus_pipeline.mixing_to_targets(spark, odd, str(tmp_path)).count() == 6

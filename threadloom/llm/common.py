@@ -48,7 +48,10 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -87,27 +90,6 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-class Kept(dict):
-    """A bounded memory of what was made of a key: two generations, so frequent keys stay."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def fill(self, keys: set, make: Callable[[list], Iterable]) -> None:
-        """See that all the keys are present; ``make`` gives the values of those not known."""
-        if len(self) + len(keys) > self.most:
-            self.old = dict(self)
-            self.clear()
-        new = [k for k in keys if k not in self]
-        if self.old:
-            again = [k for k in new if k in self.old]
-            self.update((k, self.old[k]) for k in again)
-            new = [k for k in new if k not in self]
-        if new:
-            self.update(zip(new, make(new), strict=True))
-
-
 # ---------------------------------------------------------------- numpy kernel
 
 

@@ -150,11 +150,23 @@ def _with(stats: DataFrame, params: DataFrame) -> DataFrame:
     """Squared distance of every row to its group's estimate."""
     joined = stats.join(params, _same_group(stats, params), "left").drop("g_lang", "g_source")
     rows = [sum((F.col(f"w{i}{j}") * (F.col(X[j]) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(DIMS)]
-    return joined.withColumn("d2", sum((r * r for r in rows), F.lit(0.0)))
+    # rounded, since sums over a group depend on the order of its rows in their last digits
+    return joined.withColumn("d2", F.round(sum((r * r for r in rows), F.lit(0.0)), 6))
 
 
-def _estimates(moments: DataFrame, scale: float, floor: tuple[float, ...]) -> DataFrame:
-    """Centre, and inverse Cholesky factor of the scatter, of each group's moments."""
+def consistency(share: np.ndarray) -> np.ndarray:
+    """What the scatter of the nearest share of normal vectors is multiplied by to be that of all."""
+    low, high = np.zeros(len(share)), np.full(len(share), 200.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        below = 1 - np.exp(-mid / 2) * (1 + mid / 2) < share
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    six = 1 - np.exp(-high / 2) * (1 + high / 2 + high * high / 8)
+    return np.where(share >= 1, 1.0, share / np.maximum(six, 1e-12))
+
+
+def _estimates(moments: DataFrame, floor: tuple[float, ...]) -> DataFrame:
+    """Centre, and inverse Cholesky factor of the scatter, of each group's moments; scaled by the share that was really taken."""
     pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
     schema = "g_lang string, g_source string, n long, " + ", ".join([*(f"m{i} double" for i in range(DIMS)), *(f"w{i}{j} double" for i, j in pairs)])
 
@@ -162,6 +174,7 @@ def _estimates(moments: DataFrame, scale: float, floor: tuple[float, ...]) -> Da
         for b in batches:
             col = {k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names if k not in GROUP}
             k = np.maximum(col["k"], 1).astype(float)
+            scale = consistency(k / np.maximum(col["n"], 1))
             mean = np.stack([col[f"s{i}"] / k for i in range(DIMS)], 1)
             cov = np.zeros((len(k), DIMS, DIMS))
             for i, j in pairs:
@@ -190,7 +203,7 @@ def _start(stats: DataFrame, floor: tuple[float, ...], hint: Callable[[DataFrame
     return off.select("g_lang", "g_source", "n", *(f"m{i}" for i in range(DIMS)), *w)
 
 
-def _concentrate(stats: DataFrame, params: DataFrame, keep: float, scale: float, floor: tuple[float, ...]) -> DataFrame:
+def _concentrate(stats: DataFrame, params: DataFrame, keep: float, floor: tuple[float, ...]) -> DataFrame:
     """One concentration step. Bins of distance are 1/16 of a power of two wide."""
     near = _with(stats, params)
     cell = F.floor(16 * F.log2(F.col("d2") + 2.0**-12)).alias("cell")
@@ -200,15 +213,14 @@ def _concentrate(stats: DataFrame, params: DataFrame, keep: float, scale: float,
     before = F.coalesce(F.sum("k").over(by_group.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     nearest = cells.withColumns({"n": F.sum("k").over(by_group), "before": before}).filter(F.col("before") < keep * F.col("n"))
     moments = nearest.groupBy(*GROUP).agg(F.max("n").alias("n"), F.sum("k").alias("k"), *(F.sum(c).alias(c) for c in products))
-    return _estimates(moments, scale, floor)
+    return _estimates(moments, floor)
 
 
 def estimate(stats: DataFrame, keep: float, steps: int, floor: tuple[float, ...] = FLOOR, hint: Callable[[DataFrame], DataFrame] = lambda params: params) -> DataFrame:
-    """Minimum-covariance-determinant estimate of each group."""
-    scale = keep / chi2_cdf(chi2_quantile(keep, DIMS), DIMS + 2)
+    """Minimum-covariance-determinant estimate of each group: so many concentration steps from one start."""
     params = _start(stats, floor, hint)
     for _ in range(steps):
-        params = _concentrate(stats, hint(params), keep, scale, floor)
+        params = _concentrate(stats, hint(params), keep, floor)
     return params
 
 
