@@ -133,7 +133,7 @@ def expand_support(entities: DataFrame, support: DataFrame, scale: float = 0.85,
     entities: qid, token, score; support: qid, token, unit, rank (from 0).
     """
     joined = entities.select("qid", "token", "score").join(support.filter(F.col("rank") < most), ["qid", "token"])
-    return joined.groupBy("qid", "unit").agg(F.round(F.max(F.col("score") * (scale - decay * F.col("rank"))), 6).alias("score"))
+    return joined.groupBy("qid", "unit").agg(T.settled(F.max(F.col("score") * (scale - decay * F.col("rank")))).alias("score"))
 
 
 def signature(rows: DataFrame, ident: str) -> DataFrame:
@@ -147,7 +147,7 @@ def cache_boost(entities: DataFrame, support: DataFrame, chunk_scale: float = 0.
     keys = ["qid", "token"] if "qid" in support.columns else ["token"]
     joined = entities.select("qid", "token", "sim", (F.col("rank") - 1).alias("e")).join(support.select(*keys, "unit", F.col("rank").alias("r")), keys)
     score = F.col("sim") * F.greatest(F.lit(0.0), chunk_scale - chunk_decay * F.col("r")) * F.greatest(F.lit(0.0), entity_scale - entity_decay * F.col("e"))
-    return joined.groupBy("qid", "unit").agg(F.round(F.max(score), 6).alias("score"))
+    return joined.groupBy("qid", "unit").agg(T.settled(F.max(score)).alias("score"))
 
 
 def fuse(rows: DataFrame, weight: float = 0.35, head: int = 80) -> DataFrame:

@@ -143,7 +143,7 @@ def parts(content) -> Parts:
             case when g.qid is not null and contains(lower(c.text), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) then 'doc' || c.doc_id || '::0' else '' end matched,
             case when g.qid is null then 'chunk_title_not_in_gold' when c.text = '' then 'chunk_text_missing' when contains(lower(c.text), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) then 'chunk_contains_gold_sentence' else 'chunk_text_no_gold_sentence_match' end reason
             from qchunks c join benchmark b on b.item_id = c.qid left join gold g on g.qid = c.qid and g.doc_id = c.doc_id"""),
-        "boost": (("anch", "fwd"), "select a.qid, unit, round(max(round(score, 9) * greatest(0.0, 0.92::double - 0.03::double * (f.rn - 1)) * greatest(0.0, 0.96::double - 0.02::double * (a.rank - 1))), 6) score from anch a join fwd f on f.qid = a.qid and f.ent = 'e::' || a.tok group by a.qid, unit"),
+        "boost": (("anch", "fwd"), f"select a.qid, unit, {settled('max(round(score, 9) * greatest(0.0, 0.92::double - 0.03::double * (f.rn - 1)) * greatest(0.0, 0.96::double - 0.02::double * (a.rank - 1)))')} score from anch a join fwd f on f.qid = a.qid and f.ent = 'e::' || a.tok group by a.qid, unit"),
         "links": (("fwd", "bck"), "select qid, ent node, unit linked from fwd union all select qid, unit, ent from bck"),
     }
     for k in range(1, STEPS + 1):
@@ -232,7 +232,7 @@ def oracles(sql, tokens, content) -> dict[str, str]:
             when bare then 'same_title_chunk_text_missing' else 'same_title_chunk_without_gold_sentence_containment' end reason from gold g left join (
             select qid, doc_id, bool_or(matched <> '') m, bool_or(reason = 'chunk_text_missing') bare from smatch where rank <= 40 group by all) x on x.qid = g.qid and x.doc_id = g.doc_id""", "gold", "smatch"),
         "cache_boost": sql("select qid, unit, score from boost", "boost"),
-        "support_expansion": sql("select a.qid, unit, round(max(round(score, 9) * (0.85::double - 0.03::double * (f.rn - 1))), 6) score from anch a join fwd f on f.qid = a.qid and f.ent = 'e::' || a.tok where f.rn <= 4 group by a.qid, unit", "anch", "fwd"),
+        "support_expansion": sql(f"select a.qid, unit, {settled('max(round(score, 9) * (0.85::double - 0.03::double * (f.rn - 1)))')} score from anch a join fwd f on f.qid = a.qid and f.ent = 'e::' || a.tok where f.rn <= 4 group by a.qid, unit", "anch", "fwd"),
         "grounding_bonus": sql("select qid, node, round(ground, 6) ground from grnd", "grnd"),
         "semantic_lookup": sql(" union all ".join(lookup.format(s=s, body=b) for s, b in body.items()), "sim", "boost"),
         "entity_chunk_scores": sql("select * from (select qid, row_number() over (partition by qid order by score desc, unit) rank, unit, score from (select qid, unit, round(list_reduce(list_prepend(0.0::double, l), lambda a, x: greatest(a, 0.65::double * a + 0.35::double * x)), 6) score from (select a.qid, unit, list(round(score, 9) * greatest(0.20::double, 1 - 0.06::double * (f.rn - 1)) order by a.rank, tok) l from anch a join fwd f on f.qid = a.qid and f.ent = 'e::' || a.tok group by a.qid, unit))) where rank <= 20", "anch", "fwd"),
