@@ -63,4 +63,6 @@ def test_stages_on_odd_tables(spark, tmp_path):
     odd = spark.createDataFrame(tables["odd"], schema)
     assert corpus_pipeline.quality_rules(spark, odd, str(tmp_path)).count() == 4  # two have too few words
     assert corpus_pipeline.near_duplicates(spark, odd, str(tmp_path)).filter("doc_id = 1").count() == 1
-    assert corpus_pipeline.mixing_to_targets(spark, odd, str(tmp_path)).count() == 6
+    # one label tells next to nothing, so rates lie between zero and one; rows of one id are drawn together
+    drawn = [r["doc_id"] for r in corpus_pipeline.mixing_to_targets(spark, odd, str(tmp_path)).collect()]
+    assert drawn.count(1) in (0, 2) and drawn.count(None) in (0, 2)

@@ -55,9 +55,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def width(spark: SparkSession) -> int:
-    """Tasks that a hand-made shuffle deals to: what the session plans for."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Stored bytes of input for each task of a hand-made shuffle, and the most tasks of one.
+TASK_BYTES, MOST_TASKS = 64 << 20, 50_000
+
+
+def width(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Tasks that a hand-made shuffle deals to: what the session plans for, and more where ``df`` is a scan of so many
+    bytes that a task would get over ``TASK_BYTES`` of them."""
+    planned = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    if df is None:
+        return planned
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 55  # beyond, the planner does not know
+    return max(planned, min(MOST_TASKS, -(-size // TASK_BYTES))) if known else planned
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -323,9 +323,9 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def candidates(reps: DataFrame, forest: Forest) -> DataFrame:
-    """Candidate components of the representatives that share a node."""
-    width = common.width(reps.sparkSession)
+def candidates(reps: DataFrame, forest: Forest, width: int | None = None) -> DataFrame:
+    """Candidate components of the representatives that share a node. width: tasks of its shuffles."""
+    width = width or common.width(reps.sparkSession)
     nodes = _nodes(reps, forest.depth())
     counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = common.durable(nodes.join(counts, "node"))
@@ -440,12 +440,11 @@ def _verified(parts: list[np.ndarray]) -> pa.RecordBatch:
 def near_classes(docs: DataFrame, forest: Forest = Forest(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``class_id`` (smallest id of its group), ``copy_id`` (smallest id with
     the same shingles) and ``n_links`` (other documents at or above the threshold, copies included)."""
-    spark = docs.sparkSession
-    width = common.width(spark)
+    width = common.width(docs.sparkSession, docs)
     sig = common.durable(signatures(docs, key, text))
     whole = sig.filter("n > 0 and doc_id is not null")
     classes = common.durable(whole.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count(F.lit(1)).alias("size")).select("k1", "k2", "m.doc_id", "m.sig", "size").withColumnRenamed("doc_id", "rep"))
-    found = candidates(classes.select("rep", "sig"), forest)
+    found = candidates(classes.select("rep", "sig"), forest, width)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     tagged = found.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), "size"), "node").select("root", F.col("node").alias("rep"), "size", F.ceil(F.col("members") / F.lit(forest.block)).alias("blocks"))
     texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))

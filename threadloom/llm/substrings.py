@@ -287,7 +287,7 @@ def _doubled(docs: DataFrame, found: DataFrame, length: int, buckets: int) -> Da
 
 
 def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int, int]:
-    width = common.width(docs.sparkSession)
+    width = common.width(docs.sparkSession, docs)
     parts = GROUPS * width + 1
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim, slim.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(int(_LAST))), F.lit(parts))), width, parts
