@@ -235,15 +235,18 @@ def test_runs_by_settings(spark):
     docs = table(spark, [(1, "Lyon lies on the Rhone. The Rhone ends at the Mediterranean. Boats go there."), (2, "Marie Curie was a physicist. She lived in Paris."), (3, "The Rhone rises in a glacier. Glaciers melt.")], "doc_id long, text string")
     asked = table(spark, [(1, "Where does the Rhone of Lyon end, the Mediterranean?"), (2, "Was Curie a physicist in Paris?")], "qid long, text string")
     golds = table(spark, [(1, ["The Rhone ends at the Mediterranean."]), (2, ["yes"])], "qid long, golds array<string>")
+    values = config.settings(overrides={"delivery_mode": "chunk_package_basic"})
+    r = runs.bound(asked, docs, values)
     for method in ("main", "flat", "ppr"):
-        found = runs.retrieve(asked, docs, config.settings(overrides={"method": method})).collect()
-        assert {r["qid"] for r in found} == {1, 2} and min(r["rank"] for r in found) == 1
+        assert {x["qid"] for x in runs.METHODS[method](r, values).collect()} == {1, 2}
+    selected = runs.METHODS["main"](r, values)
     for mode in ("flat", "corridor", "corridor_aware_flat", "path_bundle"):
-        out = runs.answer(asked, docs, golds, config.settings(overrides={"delivery_mode": "chunk_package_basic"}) | {"render_mode": mode}, provider=lambda prompts: ["Answer: yes"] * len(prompts))
-        assert out["contexts"].filter("units > 0").count() == 2 and {r["prediction"] for r in out["answers"].collect()} == {"yes"}
-        assert out["summary"].first()["em"] == 0.5
+        assert runs.render(r, values | {"render_mode": mode}, selected).filter("units > 0").count() == 2
+    out = runs.answer(asked, docs, golds, values | {"method": "flat"}, provider=lambda prompts: ["Answer: yes"] * len(prompts))
+    assert {x["prediction"] for x in out["answers"].collect()} == {"yes"} and out["summary"].first()["em"] == 0.5
+    assert min(x["rank"] for x in out["retrieval"].collect()) == 1
     stored = table(spark, [(1, 1, "s::9:9", "A stored sentence on the Rhone.", 1.0)], "qid long, rank long, unit_id string, text string, score double")
-    again = runs.answer(asked, docs, stored=stored)
+    again = runs.answer(asked, docs, values=config.settings(overrides={"method": "flat"}), stored=stored)
     assert {r["qid"]: r["prediction"] for r in again["answers"].collect()}[1] == "A stored sentence on the Rhone."
     with pytest.raises(KeyError):
         runs.retrieve(asked, docs, config.settings(overrides={"method": "nonsense"}))

@@ -176,7 +176,7 @@ def coverage_greedy(corridors: DataFrame, gain: float = 0.35, redundancy: float
                     value = [x[1] + gain * (len(x[2] - seen) / max(1, len(x[2]))) - redundancy * max((_overlap(x[2], y) for y in chosen), default=0.0) for x in rest]
                     k = max(range(len(rest)), key=lambda i: (value[i], -i))
                     name, _, nodes = rest.pop(k)
-                    out.append((qid, len(chosen) + 1, name, round(value[k], 6)))
+                    out.append((qid, len(chosen) + 1, name, round(value[k] + 1e-9, 6)))
                     chosen.append(nodes)
                     seen |= nodes
             yield pd.DataFrame(out, columns=["qid", "place", "corridor", "value"])

@@ -94,7 +94,7 @@ def mmr(features: DataFrame, most: int = 10, weight: float = 0.25, corridors: in
             lopsided = {"bridge": max(0, bridges - answers), "answer": max(0, answers - bridges - 1)}.get(x["role"], 0)
             return -0.20 * weight * same - balance * lopsided
 
-        return [(i + 1, x["node"], round(x["value"], 6)) for i, x in enumerate(greedy(items, most, weight, extra))]
+        return [(i + 1, x["node"], round(x["value"] + 1e-9, 6)) for i, x in enumerate(greedy(items, most, weight, extra))]
 
     return _per_question(scored, ["node", "score", "tokens", "role", "title"], "pos", work, "qid long, place long, node string, value double")
 
@@ -267,7 +267,7 @@ def choose_packages(scored: DataFrame, most: int = 4, weight: float = 0.1) -> Da
     def work(items: list[dict]) -> list[tuple]:
         for x in items:
             x["tokens"] = set(x["tokens"])
-        return [(i + 1, x["rank"], round(x["value"], 6)) for i, x in enumerate(greedy(items, most, weight))]
+        return [(i + 1, x["rank"], round(x["value"] + 1e-9, 6)) for i, x in enumerate(greedy(items, most, weight))]
 
     return _per_question(rows, ["score", "tokens"], "rank", work, "qid long, place long, rank long, value double")
 

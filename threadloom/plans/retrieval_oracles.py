@@ -212,11 +212,15 @@ def oracles(sql, tokens, content) -> dict[str, str]:
             select u.qid, doc_id, list_sort(list(idx)) l, round(count(*) + 0.1::double * len(list_intersect(list_distinct({content("any_value(q.text)")}), {content("'doc' || doc_id")})), 6) score from (
             select distinct qid, node, regexp_extract(node, '^s::(.*):\\d+$', 1) doc_id, regexp_extract(node, ':(\\d+)$', 1)::bigint idx from units where node like 's::%') u join benchmark q on q.item_id = u.qid group by u.qid, doc_id)) where rank <= 2""", "units"),
         "corridor_components": sql(SHAPED_SQL, "ccomp"),
-        "package_score": sql(f"""select qid, rank, doc_id, round(0.50::double / rank + 0.20::double * bridge::int + 0.15::double * least(4, corridors) / 4 + 0.15::double * (case when len(a) > 0 then len(list_intersect(a, b))::double / len(a) else 0.0 end) + 0.05::double / (case when best_rank < 1000000000 then best_rank + 1 else 1000 end), 6) score from (
-            select e.qid, e.rank, e.doc_id, coalesce(f.best_rank, 1000000000) best_rank, coalesce(f.is_connector, false) bridge, coalesce(f.corridors, 0) corridors, list_distinct({tokens("q.text")}) a, list_distinct({tokens("excerpt")}) b
-            from exc e join benchmark q on q.item_id = e.qid left join feat f on f.qid = e.qid and f.node = 's::' || e.doc_id || ':' || e.center)""", "exc", "feat"),
+        "package_score": sql(f"select qid, rank, doc_id, score from ({packages(tokens)})", "exc", "feat"),
         "ordered_units": sql(" union all ".join(f"select '{s}' strategy, qid, row_number() over (partition by qid order by {o}) place, node, role from {picked.format(where=' where pos < 10')}" for s, o in order.items()), "lin"),
         "context_grid": sql(" union all ".join(f"select '{s}' strategy, budget, count(distinct qid) questions, count(*) units, sum(n)::bigint tokens from (select qid, row_number() over (partition by qid order by {order[s]}) place, len({tokens('text')}) n from {picked.format(where='')}) r join (select unnest([3, 5, 8])::bigint budget) b on place <= budget group by budget" for s in ("score", "corridor_rank")), "lin"),
+        "connector_metrics": sql(connector_metrics(chosen), "ccomp", "ranked", "runs", "seeds", "cand", "dist", "sim", "units"),
+        "node_signature": sql("select count(*) n, sum(('0x' || substr(sha1(src), 1, 15))::bigint)::varchar fingerprint from (select distinct src from cedge)", "cedge"),
+        "top1_correction": sql(head_correction(content), "feat"),
+        "package_choice": sql(package_rounds(tokens), "exc", "feat"),
+        "corridor_coverage_order": sql(coverage_rounds(), "cbase", "ranked"),
+        "render_mmr": sql(mmr_rounds(tokens), "lin"),
         "path_bundles": sql(BUNDLES.format(main=3, support=2, bridge=1, corridors=3, dedup="where role = 'anchor' or first = bundle"), "units", "ranked", "feat"),
         "bundle_metrics": sql("""select qid, count(*) path_bundle_count, round(avg(n), 6) avg_chunks_per_bundle, round(avg(b * c), 6) bridge_answer_adjacency_rate, coalesce(min(bundle) filter (a * b * c = 1), 0) first_complete_path_rank, round(avg(c), 6) answer_path_coverage
             from (select qid, bundle, count(*) n, max((role = 'anchor')::int) a, max((role = 'bridge')::int) b, max((role = 'answer')::int) c from (""" + BUNDLES.format(main=2, support=2, bridge=1, corridors=2, dedup="") + """) group by all) group by qid""", "units", "ranked", "feat"),
@@ -250,10 +254,100 @@ BUNDLES = """select qid, bundle, role, row_number() over (partition by qid, bund
     select u.qid, r.place bundle, u.node, u.role, max(f.base + 0.35::double * f.overlap) value, min(u.pos) pos from units u join ranked r on r.qid = u.qid and r.corridor = u.corridor and r.place <= {corridors}
     join feat f on f.qid = u.qid and f.node = u.node group by all)) where (role = 'main' and r <= {main}) or (role = 'support' and r <= {support}))) {dedup}"""
 
+
+
+def connector_metrics(chosen: str) -> str:
+    weighed = {
+        "bridge_purity": "purity", "answer_side_density": "answer_side_density", "support_set_compactness": "compactness", "bridge_noise_ratio": "noise",
+        "answer_preserve_activation_rate": "(open and gain > 0)::int::double", "preserved_answer_usefulness": "0.0::double", "path_complete_rate": "case when path_complete then 1.0::double else path_score end",
+        "bridge_answer_pair_retention": "retention", "incomplete_path_rate": "incomplete", "chain_compactness": "chain",
+        "path_preserve_activation_rate": "(path_complete and path_score >= 0.70::double and retention >= 0.55::double and answer_side_density >= 0.62::double)::int::double",
+    }
+    unit = lambda x: f"least(greatest({x}, 0.0), 1.0)"
+    shares = {f"{c}_role_share": f"{c} / greatest(1e-8::double, anchor + bridge + answer)" for c in ("anchor", "bridge", "answer")}
+    mean = ", ".join([f"sum({unit(v)} / place) / sum(1.0::double / place) {k}" for k, v in weighed.items()] + [f"sum(({v}) / place) / sum(1.0::double / place) {k}" for k, v in shares.items()])
+    top = ", ".join(f"max({unit(c)}) max_{c}" for c in ("anchor", "bridge", "answer"))
+    zero = dict.fromkeys(weighed, "0.0") | {"support_set_compactness": "1.0", "chain_compactness": "1.0", "bridge_noise_ratio": "1.0"} | dict.fromkeys(shares, "(1.0::double / 3)") | dict.fromkeys(("max_anchor", "max_bridge", "max_answer"), "0.0")
+    filled = ", ".join(f"coalesce(p.{k}, {v}) {k}" for k, v in zero.items())
+    both = "run_bridge_coverage >= 0.35::double and (max_answer >= 0.35::double or answer_side_density >= 0.35::double)"
+    flag = lambda x: f"({both} and {x})::int::double"
+    names = {c: c for c in ("seed_diversity", "seed_redundancy", "seed_anchor_recall", "seed_answer_recall", "seed_bridge_recall", "redundancy_rate", "run_bridge_coverage", *weighed, *shares, "corridor_role_coverage")}
+    three = ", ".join(shares)
+    names |= {
+        "anchor_bridge_balance": unit(f"1 - (greatest({three}) - least({three}))"),
+        "useful_bridge_rate": flag("bridge_purity >= 0.40::double"),
+        "bridge_to_answer_path_hit": flag("corridor_role_coverage >= 0.45::double and bridge_purity >= 0.35::double"),
+        "conversion_after_bridge_proxy": flag("answer_side_density >= 0.35::double and bridge_purity >= 0.35::double"),
+        "conversion_after_preserve_proxy": flag("answer_preserve_activation_rate >= 0.5::double and preserved_answer_usefulness >= 0.35::double"),
+        "conversion_after_path_preserve_proxy": flag("path_preserve_activation_rate >= 0.25::double and path_complete_rate >= 0.45::double and incomplete_path_rate <= 0.55::double"),
+        "connector_quality": "(seed_bridge_recall + run_bridge_coverage + corridor_role_coverage + path_complete_rate + bridge_purity + chain_compactness) / 6",
+    }
+    out = ", ".join(f"round({v}, 6) {k}" for k, v in names.items())
+    return f"""select qid, {out} from (select *, (max_anchor + max_bridge + max_answer) / 3 corridor_role_coverage from (
+        select c.qid, c.dispersion seed_diversity, c.redundancy seed_redundancy, coalesce(v.c, 0)::double / a.n seed_anchor_recall, w.r seed_answer_recall, s.completeness seed_bridge_recall,
+            coalesce(o.redundancy_rate, 0.0) redundancy_rate, greatest(c.bridge, x.completeness) run_bridge_coverage, {filled} from {chosen} c
+        join (select qid, count(distinct source) n from dist group by qid) a on a.qid = c.qid
+        left join (select s.qid, s.run, count(distinct source) c from seeds s join dist d on d.qid = s.qid and d.node = s.node group by all) v on v.qid = c.qid and v.run = c.run
+        join (select qid, run, avg(hit) r from (select n.qid, n.run, (e.node is not null)::int hit from (
+            select *, row_number() over (partition by qid, run order by s desc, node) k, bool_or(s >= 0.5::double) over (partition by qid, run) any_ from (
+            select n.qid, n.run, n.node, 0.5::double * (coalesce(sim, 0.0) + 1) s from cand n left join sim m on m.qid = n.qid and m.node = n.node)) n
+            left join seeds e on e.qid = n.qid and e.run = n.run and e.node = n.node where s >= 0.5::double or (not any_ and k <= 4)) group by all) w on w.qid = c.qid and w.run = c.run
+        join ({completeness("seeds")}) s on s.qid = c.qid and s.run = c.run join ({completeness("cand")}) x on x.qid = c.qid and x.run = c.run
+        left join (select a.qid, avg({jaccard("a.l", "b.l")}) redundancy_rate from (select qid, corridor, list_distinct(list(node)) l from units group by all) a
+            join (select qid, corridor, list_distinct(list(node)) l from units group by all) b on b.qid = a.qid and a.corridor < b.corridor group by a.qid) o on o.qid = c.qid
+        left join (select z.qid, {mean}, {top} from ({SHAPED_ROWS}) z join ranked r on r.qid = z.qid and r.corridor = z.corridor group by z.qid) p on p.qid = c.qid))"""
+
+
+def packages(tokens) -> str:
+    return f"""select *, round(0.50::double / rank + 0.20::double * bridge::int + 0.15::double * least(4, corridors) / 4 + 0.15::double * (case when len(a) > 0 then len(list_intersect(a, b))::double / len(a) else 0.0 end) + 0.05::double / (case when best_rank < 1000000000 then best_rank + 1 else 1000 end), 6) score from (
+        select e.qid, e.rank, e.doc_id, coalesce(f.best_rank, 1000000000) best_rank, coalesce(f.is_connector, false) bridge, coalesce(f.corridors, 0) corridors, list_distinct({tokens("q.text")}) a, list_distinct({tokens("excerpt")}) b
+        from exc e join benchmark q on q.item_id = e.qid left join feat f on f.qid = e.qid and f.node = 's::' || e.doc_id || ':' || e.center)"""
+
+
+def rounds(items: str, count: int, value: str, extra: str = "0.0") -> str:
+    """Greedy picks one by one, as a chain of named rounds.
+
+    items: qid, o (order), score and toks of each item; value: of an item x,
+    given ``red``, its largest overlap with the picks before, and ``extra``, an
+    aggregate over the picks before (alias t).
+    """
+    chain = [f"items as materialized ({items})", "k0 as materialized (select qid, o, 0 pick, 0.0::double value from items where false)"]
+    for k in range(1, count + 1):
+        chain.append(f"""n{k} as materialized (select qid, o, {k} pick, value from (select *, {value} value from (select x.qid, x.o, any_value(x) x, coalesce(max({jaccard("x.toks", "t.toks")}), 0.0) red, {extra} extra
+            from items x left join (select i.*, pick from items i join k{k - 1} p on p.qid = i.qid and p.o = i.o) t on t.qid = x.qid
+            where not exists (select 1 from k{k - 1} p where p.qid = x.qid and p.o = x.o) group by x.qid, x.o)) qualify row_number() over (partition by qid order by value desc, o) = 1)""")
+        chain.append(f"k{k} as materialized (select * from k{k - 1} union all select * from n{k})")
+    return "with " + ", ".join(chain)
+
+
+def head_correction(content) -> str:
+    mm = lambda c: spread(f"{c}::double", "qid", "1e-12")
+    score = f"round(0.60::double * {mm('base')} + 0.20::double * {mm('best_score')} + 0.08::double * is_main::int + 0.04::double * is_support::int + 0.04::double * {mm('overlap')} + 0.04::double * {mm('locality')}, 9)"
+    items = f"select qid, pos o, node, {score} score, list_distinct({content('text')}) toks from feat where pos < 3"
+    return f"select * from ({rounds(items, 3, 'x.score - 0.04::double * red')} select k.qid, pick::bigint place, node from k3 k join items i on i.qid = k.qid and i.o = k.o) union all select qid, pos + 1, node from feat where pos >= 3"
+
+
+def package_rounds(tokens) -> str:
+    items = f"select qid, rank o, score, b toks from ({packages(tokens)})"
+    return f"select qid, pick::bigint place, o rank, {settled("value")} value from ({rounds(items, 4, 'x.score - 0.1::double * red')} select * from k4)"
+
+
+def coverage_rounds() -> str:
+    """Corridors one by one: the share of units that no pick before has, and the overlap with the picks."""
+    items = "select qid, corridor o, base score, toks from (select r.qid, r.corridor, r.base, b.nodes toks from ranked r join cbase b on b.qid = r.qid and b.corridor = r.corridor)"
+    fresh = "len(list_filter(x.toks, lambda u: not list_contains(coalesce(extra, []), u)))::double / greatest(1, len(x.toks))"
+    return f"select qid, pick::bigint place, o corridor, {settled("value")} value from ({rounds(items, 6, f'x.score + 0.35::double * ({fresh}) - 0.20::double * red', 'flatten(list(t.toks) filter (t.toks is not null))')} select * from k6)"
+
+
+def mmr_rounds(tokens) -> str:
+    items = f"select qid, pos o, node, role, regexp_extract(node, '^[a-z]::(.*):\\d+$', 1) title, round(value + 0.05::double * is_connector::int, 9) score, list_distinct({tokens('text')}) toks from lin"
+    extra = "{'same': count(*) filter (t.title = x.title), 'b': count(*) filter (t.role = 'bridge'), 'a': count(*) filter (t.role = 'answer')}"
+    value = "x.score - 0.25::double * red + (-0.20::double * 0.25::double * extra.same - 0.04::double * (case x.role when 'bridge' then greatest(0, extra.b - extra.a) when 'answer' then greatest(0, extra.a - extra.b - 1) else 0 end))"
+    return f"select k.qid, pick::bigint place, node, {settled("value")} value from ({rounds(items, 10, value, extra)} select k.*, i.node from k10 k join items i on i.qid = k.qid and i.o = k.o) k"
+
+
 #: The guarded and light settings of every shaping term, written out.
-SHAPED_SQL = f"""select qid, corridor, path_complete, {settled("structure")} structure, {settled("semantic")} semantic, {settled("answer")} answer, {settled("purity")} bridge_purity, {settled("answer_side_density")} answer_side_density,
-    {settled("compactness")} support_set_compactness, {settled("retention")} bridge_answer_pair_retention, {settled("case when path_complete then 1.0::double else path_score end")} path_complete_rate, {settled("chain")} chain_compactness, {settled("incomplete")} incomplete_path_rate,
-    {settled("round(0.05::double * compactness + (case when path_complete and path_score >= 0.70::double and retention >= 0.55::double and answer_side_density >= 0.62::double then 0.10::double * path_score * (0.6::double + 0.4::double * retention) * 0.70::double when not path_complete then -(0.05::double * incomplete * least(greatest(answer_chain, 0.0), 1.0)) else 0.0 end) + 0.04::double * (chain - 0.5::double) * 0.65::double - least(0.08::double, 0.015::double * greatest(0, n_support - 3)) + (case when open and gain > 0 then gain else 0.0 end) + 0.06::double * (purity - 0.5::double * noise), 9)")} shaping from (
+SHAPED_ROWS = """
     select *, 0.08::double * ((case when open0 then 0.65::double else 1.0::double end) * (case when 0.5::double * (anchor + bridge) >= 0.70::double then 0.35::double else 1.0::double end) * (case when density >= 0.40::double then 0.35::double else 1.0::double end) * answer_side_density - 0.5::double * greatest(0.0, 0.30::double - answer_side_density)) gain,
         open0 and answer_side_density < 0.72::double as open from (
     select *, least(greatest(1 - purity, 0.0), 1.0) noise, least(greatest(least(anchor_chain, bridge_chain, answer_chain), 0.0), 1.0) path_score, (answer_chain >= 0.55::double and not path_complete)::int::double incomplete,
@@ -261,4 +355,7 @@ SHAPED_SQL = f"""select qid, corridor, path_complete, {settled("structure")} str
         least(greatest(compactness * (0.5::double + 0.5::double * retention) * (1 - 0.4::double * least(1.0, abs(answer_chain - bridge_chain))), 0.0), 1.0) chain from (
     select *, anchor_chain >= 0.35::double and bridge_chain >= 0.35::double and answer_chain >= 0.55::double and retention > 0 as path_complete from (
     select *, greatest(anchor, (n_main > 0)::int::double) anchor_chain, greatest(bridge, purity, density) bridge_chain, greatest(answer, answer_side_density) answer_chain from (
-    select *, greatest(semantic, anchor) answer, coalesce(useful, least(greatest(bridge, 0.0), 1.0)) purity, 1.0::double / (1 + greatest(0, n_support - 1)) compactness, kept::double / greatest(1, answers) retention, n_support::double / greatest(1, n) density from ccomp)))))"""
+    select *, greatest(semantic, anchor) answer, coalesce(useful, least(greatest(bridge, 0.0), 1.0)) purity, 1.0::double / (1 + greatest(0, n_support - 1)) compactness, kept::double / greatest(1, answers) retention, n_support::double / greatest(1, n) density from ccomp))))"""
+SHAPED_SQL = f"""select qid, corridor, path_complete, {settled("structure")} structure, {settled("semantic")} semantic, {settled("answer")} answer, {settled("purity")} bridge_purity, {settled("answer_side_density")} answer_side_density,
+    {settled("compactness")} support_set_compactness, {settled("retention")} bridge_answer_pair_retention, {settled("case when path_complete then 1.0::double else path_score end")} path_complete_rate, {settled("chain")} chain_compactness, {settled("incomplete")} incomplete_path_rate,
+    {settled("round(0.05::double * compactness + (case when path_complete and path_score >= 0.70::double and retention >= 0.55::double and answer_side_density >= 0.62::double then 0.10::double * path_score * (0.6::double + 0.4::double * retention) * 0.70::double when not path_complete then -(0.05::double * incomplete * least(greatest(answer_chain, 0.0), 1.0)) else 0.0 end) + 0.04::double * (chain - 0.5::double) * 0.65::double - least(0.08::double, 0.015::double * greatest(0, n_support - 3)) + (case when open and gain > 0 then gain else 0.0 end) + 0.06::double * (purity - 0.5::double * noise), 9)")} shaping from ({SHAPED_ROWS})"""
