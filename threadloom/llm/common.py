@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes up at a time; one longer text is taken whole.
 SLICE_BYTES = 1 << 18
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 #: Rows of an Arrow batch: texts are long, and the default of 10,000 makes batches of many megabytes on both sides.
@@ -121,36 +121,47 @@ _BYTE = seeds(256, 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE_2 = seeds(256, 2)
-_BASES = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.ones(size, np.uint64)
-            done = 1
-            step = base
-            while done < size:
-                have[done : 2 * done] = have[:done] * step
-                step = np.uint64(int(step) * int(step) & int(_M))
-                done *= 2
-        if size <= 1 << 22:
-            _powers[int(base)] = have
-    return have[:n]
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
-    """Hash of values[start:end] for each pair, by prefix sums of a polynomial; with ``other``, by another one."""
-    base, inverse = _BASES[other]
+#: Values of a span that are mixed in one by one; what follows them is digested whole.
+LONG = 48
+#: First state, multiplier and shift of the two hashes.
+_MIX = [(np.uint64(0x9AE16A3B2F90404F), np.uint64(0xD6E8FEB86659FD93), np.uint64(29)), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F), np.uint64(31))]
+
+
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False, raw: np.ndarray | None = None) -> np.ndarray:
+    """Hash of values[start:end] for each pair; with ``other``, by another function.
+
+    Each value is mixed in by a multiplication and a shift, in order, for all
+    spans at once; spans are taken in order of length, so only those that go on
+    are touched. Past ``LONG`` values the rest goes through a cryptographic
+    digest, of the bytes of ``raw`` if given (one for each value).
+    """
+    state, factor, shift = _MIX[other]
+    size = ends - starts
+    short = np.minimum(size, LONG + 1).astype(np.uint8)
+    goes_on = len(size) - np.cumsum(np.bincount(short, minlength=LONG + 2))  # [k]: spans of more than k values
+    uniform = not len(size) or goes_on[short[0]] == 0 and goes_on[max(int(short[0]) - 1, 0)] == len(size)
+    order = slice(None) if uniform else np.argsort(short, kind="stable")[::-1]
+    at = starts[order]
+    h = np.full(len(size), state, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(base, len(values)), out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * powers(inverse, len(values) + 1)[starts]
-        return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for k in range(LONG):
+            n = int(goes_on[k])
+            if not n:
+                break
+            x = h[:n]
+            x ^= values[at[:n] + k]
+            x *= factor
+            x ^= x >> shift
+        if goes_on[LONG]:
+            source, last = values if raw is None else raw, ends[order]
+            for i in range(int(goes_on[LONG])):
+                digest = hashlib.blake2b(source[int(at[i]) + LONG : int(last[i])].tobytes(), digest_size=8, person=b"b" if other else b"a").digest()
+                h[i] ^= np.uint64(int.from_bytes(digest, "little"))
+        out = h
+        if not uniform:
+            out = np.empty_like(h)
+            out[order] = h
+        return mix64(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +206,7 @@ class Words:
 
     def hashes(self, other: bool = False) -> np.ndarray:
         """A hash of each word; with ``other``, one that is independent of the first."""
-        return span_hash((_BYTE_2 if other else _BYTE)[self.data], self.starts, self.ends, other)
+        return span_hash((_BYTE_2 if other else _BYTE)[self.data], self.starts, self.ends, other, self.data)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start words of the k-word windows inside one text, and their hashes."""

@@ -2,9 +2,11 @@
 
 A run of texts becomes one array of code points. Each code point has a kind;
 borders between kinds, texts and special strings give the pieces, by array
-operations alone. Pieces are named by 64-bit hashes of their code points, and a
-bounded ``Store`` holds what was made of each distinct one, so the slow work is
-done once for a piece and gathered for all its occurrences.
+operations alone. Pieces are looked up by 64-bit hashes of their code points in
+a bounded ``Store`` that holds what was made of each distinct one, so the slow
+work is done once for a piece and gathered for all its occurrences. A hash only
+says where to look: each piece is compared with the code points that it is
+taken for, and one of equal hash but other code points is worked out by itself.
 """
 
 from __future__ import annotations
@@ -97,11 +99,49 @@ def _gap(data: np.ndarray, start: int, end: int) -> int | None:
     return None
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all the spans, joined."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def spans_equal(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Which spans hold the same code points as their counterparts."""
+    same = sizes == other_sizes
+    at = np.flatnonzero(same)
+    differs = codes[spread(starts[at], sizes[at])] != others[spread(other_starts[at], sizes[at])]
+    if differs.any():
+        same[np.repeat(at, sizes[at])[differs]] = False
+    return same
+
+
+class Flat:
+    """Arrays of different sizes, one after the other."""
+
+    def __init__(self, kind: str):
+        self.count = self.used = 0
+        self.flat = np.zeros(1 << 16, kind)
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        first, used = self.count, self.used
+        self.count, self.used = first + len(sizes), used + len(flat)
+        for name, need in (("flat", self.used), ("start", self.count), ("length", self.count)):
+            have = getattr(self, name)
+            if need > len(have):
+                more = np.zeros(max(need, 2 * len(have)), have.dtype)
+                more[: len(have)] = have
+                setattr(self, name, more)
+        self.flat[used : self.used] = flat
+        self.start[first : self.count] = used + np.cumsum(sizes) - sizes
+        self.length[first : self.count] = sizes
+
+
 class Store:
-    """Arrays remembered by the hash of a piece, in a table of open addresses.
+    """Arrays remembered by a piece's code points, in a table of open addresses by hash.
 
     All are dropped when there are more than ``most`` of them, or more than
-    32 values of each on average.
+    32 values or code points of each on average.
     """
 
     def __init__(self, most: int, kind: str):
@@ -109,9 +149,8 @@ class Store:
         self._clear()
 
     def _clear(self) -> None:
-        self.count = self.used = 0
-        self.flat = np.zeros(1 << 16, self.kind)
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.made, self.codes = Flat(self.kind), Flat("<u4")
+        self.entered = 0
         self._table(1 << 14)
 
     def _table(self, size: int) -> None:
@@ -141,46 +180,48 @@ class Store:
             self.at[slot[won]] = rows[won]
             hashes, rows, slot = hashes[~won], rows[~won], (slot[~won] + np.uint64(1)) & mask
 
-    def rows(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Numbers of the distinct hashes' arrays. ``make`` gives the arrays at the places that are not known: joined, and their sizes."""
-        hashes = np.maximum(hashes, np.uint64(1))  # zero marks a free place
-        got = self.find(hashes)
+    def rows(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Numbers of the pieces' arrays. ``make`` gives the arrays at the places that are not known: joined, and their sizes.
+
+        The hashes are distinct; pieces beyond them share the hash of another
+        one here, and get arrays that are not entered in the table.
+        """
+        hashes, n = np.maximum(hashes, np.uint64(1)), len(hashes)  # zero marks a free place
+        got = np.full(len(starts), -1, np.int64)
+        got[:n] = self.find(hashes)
+        known = np.flatnonzero(got >= 0)
+        held = got[known]
+        taken = known[~spans_equal(codes, starts[known], sizes[known], self.codes.flat, self.codes.start[held], self.codes.length[held])]
+        got[taken] = -1
         new = np.flatnonzero(got < 0)
-        if len(new) and (self.count + len(new) > self.most or self.used > 32 * self.most):
+        if len(new) and (self.made.count + len(new) > self.most or max(self.made.used, self.codes.used) > 32 * self.most):
             self._clear()
-            new = np.arange(len(hashes))
+            taken, new = taken[:0], np.arange(len(starts))
         if len(new):
-            flat, sizes = make(new)
-            first, used = self.count, self.used
-            self.count, self.used = first + len(new), used + len(flat)
-            for name, need in (("flat", self.used), ("start", self.count), ("length", self.count)):
-                have = getattr(self, name)
-                if need > len(have):
-                    more = np.zeros(max(need, 2 * len(have)), have.dtype)
-                    more[: len(have)] = have
-                    setattr(self, name, more)
-            self.flat[used : self.used] = flat
-            self.start[first : self.count] = used + np.cumsum(sizes) - sizes
-            self.length[first : self.count] = sizes
-            if 2 * self.count > len(self.keys):
+            first = self.made.count
+            self.made.add(*make(new))
+            self.codes.add(codes[spread(starts[new], sizes[new])], sizes[new])
+            got[new] = np.arange(first, self.made.count)
+            enter = np.setdiff1d(new[new < n], taken)
+            self.entered += len(enter)
+            if 2 * self.entered > len(self.keys):
                 full = self.keys != 0
                 keys, at = self.keys[full], self.at[full]
-                self._table(1 << (4 * self.count - 1).bit_length())
+                self._table(1 << (4 * self.entered - 1).bit_length())
                 self._enter(keys, at)
-            self._enter(hashes[new], np.arange(first, self.count))
-            got[new] = np.arange(first, self.count)
+            self._enter(hashes[enter], got[enter])
         return got
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The arrays of these numbers, joined, and the bounds of each."""
-        sizes = self.length[rows]
+        sizes = self.made.length[rows]
         ends = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
-        return self.flat[np.repeat(self.start[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+        return self.made.flat[spread(self.made.start[rows], sizes)], ends
 
     def last(self, rows: np.ndarray) -> np.ndarray:
         """The last value of each array."""
-        return self.flat[self.start[rows] + self.length[rows] - 1]
+        return self.made.flat[self.made.start[rows] + self.made.length[rows] - 1]
 
 
 def named(s: Slice, starts: np.ndarray, ends: np.ndarray, store: Store, make: Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]], codes: np.ndarray | None = None) -> np.ndarray:
@@ -190,10 +231,16 @@ def named(s: Slice, starts: np.ndarray, ends: np.ndarray, store: Store, make: Ca
     """
     if not len(starts):
         return np.zeros(0, np.int64)
+    codes = s.codes if codes is None else codes
     distinct, first, inverse = np.unique(s.hashes(starts, ends, codes), return_index=True, return_inverse=True)
+    sizes, stand = ends - starts, first[inverse]
+    odd = np.flatnonzero(~spans_equal(codes, starts, sizes, codes, starts[stand], sizes[stand]))
+    if len(odd):
+        inverse[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
 
     def texts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = first[places]
         return make([s.text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], at)
 
-    return store.rows(distinct, texts)[inverse]
+    return store.rows(distinct, codes, starts[first], sizes[first], texts)[inverse]

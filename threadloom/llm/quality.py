@@ -72,7 +72,7 @@ def line_counts(w: common.Words) -> tuple[np.ndarray, np.ndarray]:
     has_word = np.searchsorted(w.starts, starts) < np.searchsorted(w.starts, stops)
     starts, stops, doc = starts[has_word], stops[has_word], doc[has_word]
     with np.errstate(over="ignore"):
-        key = common.mix64(common.span_hash(common._BYTE[w.data], starts, stops) + doc.astype(np.uint64) * _ODD)
+        key = common.mix64(common.span_hash(common._BYTE[w.data], starts, stops, raw=w.data) + doc.astype(np.uint64) * _ODD)
     _, first = np.unique(key, return_index=True)
     lines = np.bincount(doc, minlength=texts)
     return lines, lines - np.bincount(doc[first], minlength=texts)
