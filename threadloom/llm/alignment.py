@@ -30,6 +30,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +42,16 @@ from . import common, lookups, pieces
 from .token_counts import byte_alphabet, kinds
 
 #: Distinct parts that a worker remembers, and id pairs whose counts go to every task.
-REMEMBERED, KNOWN = 500_000, 1 << 20
+REMEMBERED, KNOWN = 1_000_000, 1 << 20
+#: Parts that are encoded as one text.
+JOINED = 2000
 #: Labels of a byte: no end, an end of A, of B, of both.
 LABELS = b"-ab+"
 GROUP = re.compile(rb"[-ab]*\+")
 
 
 class Parts(pieces.Store):
-    """Of each distinct part: tokens of A and B and groups (all zero if it has none), then its links; and its groups as text."""
+    """Of each distinct part: tokens of A and B and groups (all zero if it has none), then its links; and its groups as text, each with a semicolon behind it."""
 
     def _clear(self) -> None:
         super()._clear()
@@ -81,6 +84,9 @@ class Aligner:
             raise ValueError(f"{piece_path}: tokens may span a space after other characters")
         self.two_bytes = [bytes([int(p[3:5], 16)]) if self.two.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.one_size, self.two_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.one_bytes, self.two_bytes))
+        # decimal ids, each with what may follow it
+        self.names = [b"%d%c" % (i, c) for i in range(len(self.one_bytes)) for c in b",|"] + [b"%d%c" % (i, c) for i in range(len(self.two_bytes)) for c in b",;"]
+        self.name_size = np.fromiter(map(len, self.names), np.int64, len(self.names))
         self.store = Parts(remember, "<i8")
 
     def cut(self, s: pieces.Slice) -> np.ndarray:
@@ -101,47 +107,112 @@ class Aligner:
             at = at[after < s.bounds[np.searchsorted(s.bounds, at, "right")]]
         return np.union1d(np.flatnonzero(first), at)
 
-    def _make(self, texts: list[str], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and of B of parts as one text each, joined."""
         one = [e.ids for e in self.one.encode_batch_fast(texts, add_special_tokens=False)]
         two = self.two.encode([t[1:] for t in texts], num_threads=1)
+        return tuple(np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (one, two))
+
+    def _joined(self, texts: list[str], raw: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], ...]:
+        """Ids of A and of B, and how many each part has, in runs of many parts: those that end in a character that is not white
+        are encoded as one text, which is cut at their ends anyway."""
+        ids, sizes = ([], []), np.fromiter(map(len, raw), np.int64, len(raw))
+        for lo in range(0, len(texts), JOINED):
+            hi = min(lo + JOINED, len(texts))
+            found = self._encoded(["".join(texts[lo:hi])])
+            whole = b"".join(raw[lo:hi])
+            ends = np.cumsum(sizes[lo:hi])
+            fits = all(b"".join(map(names.__getitem__, x.tolist())) == whole for x, names in zip(found, (self.one_bytes, self.two_bytes), strict=True))
+            stops = [np.cumsum(size[x]) for x, size in zip(found, (self.one_size, self.two_size), strict=True)] if fits else []
+            if fits and all(np.isin(ends, stop).all() for stop in stops):
+                cuts = [np.searchsorted(stop, ends, "right") for stop in stops]
+            else:  # some part is not what its tokens say: each one by itself
+                alone = [self._encoded([t]) for t in texts[lo:hi]]
+                found = [np.concatenate([x[k] for x in alone]) for k in (0, 1)]
+                cuts = [np.cumsum([len(x[k]) for x in alone]) for k in (0, 1)]
+            for k in (0, 1):
+                ids[k].append((found[k], np.diff(cuts[k], prepend=0)))
+        return ids
+
+    def _make(self, texts: list[str], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of new parts: tokens, groups and links; their groups' text goes to the store."""
         raw = [t.encode() for t in texts]
-        good = [b"".join(map(self.one_bytes.__getitem__, a)) == t == b"".join(map(self.two_bytes.__getitem__, b)) for a, b, t in zip(one, two, raw, strict=True)]
-        kept = [i for i, g in enumerate(good) if g]
-        a, b = (np.fromiter((x for i in kept for x in ids[i]), np.int64) for ids in (one, two))
-        label = np.zeros(int(self.one_size[a].sum()), np.uint8)
+        white = np.fromiter((t[-1].isspace() or not t[-1].isprintable() for t in texts), bool, len(texts))
+        order = np.argsort(white, kind="stable")
+        plain = int(len(texts) - white.sum())
+        texts, raw = [texts[i] for i in order.tolist()], [raw[i] for i in order.tolist()]
+        made = self._joined(texts[:plain], raw[:plain])
+        for t in texts[plain:]:
+            for k, x in enumerate(self._encoded([t])):
+                made[k].append((x, np.asarray([len(x)])))
+        (a, na), (b, nb) = ((np.concatenate(x) for x in zip(*m, strict=True)) for m in made)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        good = self._faithful(a, na, b, nb, raw, size)
+        a, b = a[np.repeat(good, na)], b[np.repeat(good, nb)]
+        na, nb, size = na * good, nb * good, size * good
+        label = np.zeros(int(size.sum()), np.uint8)
         label[np.cumsum(self.one_size[a]) - 1] += 1
         label[np.cumsum(self.two_size[b]) - 1] += 2
         ends = np.flatnonzero(label)
         kind = label[ends]
         # the token of each side that the overlap ending here is part of
-        links = (a[np.cumsum(kind & 1) - (kind & 1)] << 32) | b[np.cumsum(kind >> 1) - (kind >> 1)] if len(ends) else ends
-        names = np.frombuffer(LABELS, np.uint8)[label].tobytes()
-        a_names, b_names = ([b"%d" % i for i in x.tolist()] for x in (a, b))
-        spans, i, j = [], 0, 0
-        for found in GROUP.finditer(names):
-            span = found[0]
-            na, nb = span.count(b"a") + 1, span.count(b"b") + 1
-            spans.append((b",".join(a_names[i : i + na]) + b"|" + b",".join(b_names[j : j + nb]), na, nb, found.end()))
-            i, j = i + na, j + nb
-        flat, sizes, at, link, stop = [], [], 0, 0, 0
-        for g, t in zip(good, raw, strict=True):
-            if not g:
-                self.store.groups.append(b"")
-                flat.append(np.zeros(3, np.int64))
-                sizes.append(3)
-                continue
-            stop += len(t)
-            begin = at
-            while at < len(spans) and spans[at][3] <= stop:
-                at += 1
-            mine = spans[begin:at]
-            na, nb = sum(m[1] for m in mine), sum(m[2] for m in mine)
-            n = na + nb - len(mine)
-            self.store.groups.append(b";".join(m[0] for m in mine))
-            flat += [np.asarray([na, nb, len(mine)], np.int64), links[link : link + n]]
-            link += n
-            sizes.append(3 + n)
-        return np.concatenate(flat), np.asarray(sizes, np.int64)
+        links = (a[np.cumsum(kind & 1, dtype=np.int64) - (kind & 1)] << 32) | b[np.cumsum(kind >> 1, dtype=np.int64) - (kind >> 1)]
+        # groups: spans of labels up to one of both
+        spans = np.fromiter((m.end() for m in GROUP.finditer(np.frombuffer(LABELS, np.uint8)[label].tobytes())), np.int64)
+        one_ends, two_ends = np.searchsorted(ends[(kind & 1) > 0], spans - 1, "right"), np.searchsorted(ends[kind > 1], spans - 1, "right")
+        names, place = self._names(a, b, one_ends, two_ends)
+        stops = np.cumsum(size)
+        groups = np.diff(np.searchsorted(spans, stops, "right"), prepend=0)
+        n_links = np.diff(np.searchsorted(ends, stops - 1, "right"), prepend=0) * (size > 0)
+        text_ends = np.concatenate([[0], place])[np.cumsum(groups)].tolist()
+        held = [names[i:j] for i, j in zip([0, *text_ends], text_ends, strict=False)]
+        facts = np.stack([na, nb, groups], 1)
+        sizes = 3 + n_links
+        flat = np.empty(int(sizes.sum()), np.int64)
+        head = np.cumsum(sizes) - sizes
+        flat[head[:, None] + np.arange(3)] = facts
+        rest = np.ones(len(flat), bool)
+        rest[head[:, None] + np.arange(3)] = False
+        flat[rest] = links
+        back = np.argsort(order)
+        self.store.groups += [held[i] for i in back.tolist()]
+        return flat[pieces.spread(head[back], sizes[back])], sizes[back]
+
+    def _faithful(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, raw: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Which parts' bytes are those of their tokens of both sides."""
+        good = np.ones(len(raw), bool)
+        for ids, n, lengths, names in ((a, na, self.one_size, self.one_bytes), (b, nb, self.two_size, self.two_bytes)):
+            part = np.repeat(np.arange(len(raw)), n)
+            good &= np.bincount(part, lengths[ids], len(raw)).astype(np.int64) == size
+        kept = np.flatnonzero(good)
+        want = np.frombuffer(b"".join([raw[i] for i in kept.tolist()]), np.uint8)
+        owner = np.repeat(kept, size[kept])
+        for ids, n, names in ((a, na, self.one_bytes), (b, nb, self.two_bytes)):
+            have = np.frombuffer(b"".join(map(names.__getitem__, ids[np.repeat(good, n)].tolist())), np.uint8)
+            if (wrong := have != want).any():
+                good[owner[wrong]] = False
+                return self._faithful_rest(a, na, b, nb, raw, good)
+        return good
+
+    def _faithful_rest(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, raw: list[bytes], good: np.ndarray) -> np.ndarray:
+        """The same, part by part."""
+        for ids, n, names in ((a, na, self.one_bytes), (b, nb, self.two_bytes)):
+            cuts = np.cumsum(n)
+            for i in np.flatnonzero(good).tolist():
+                good[i] = b"".join(map(names.__getitem__, ids[cuts[i] - n[i] : cuts[i]].tolist())) == raw[i]
+        return good
+
+    def _names(self, a: np.ndarray, b: np.ndarray, one_ends: np.ndarray, two_ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All groups as text, ``;`` after each, and where each one ends."""
+        bar, comma = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        bar[one_ends - 1], comma[two_ends - 1] = 1, 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        # tokens of A come behind the tokens of B of all groups before, those of B behind the tokens of A up to their own group
+        one = np.arange(len(a)) + np.repeat(np.concatenate([[0], two_ends])[:-1], np.diff(one_ends, prepend=0))
+        two = np.arange(len(b)) + np.repeat(one_ends, np.diff(two_ends, prepend=0))
+        codes[one], codes[two] = 2 * a + bar, 2 * (len(self.one_bytes) + b) + comma
+        ends = np.cumsum(self.name_size[codes])
+        return b"".join(map(self.names.__getitem__, codes.tolist())), ends[one_ends + two_ends - 1]
 
     def parts(self, s: pieces.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the parts of a slice in the store, and the bounds of each text's."""
@@ -285,11 +356,11 @@ def _rows(docs: DataFrame, byte_path: str, piece_path: str, key: str, text: str,
                     row.good &= not bad[k]
                     row.facts += per_text[k]
                     if hi > lo:
-                        joined = b";".join(map(a.store.groups.__getitem__, rows[lo:hi].tolist()))
+                        joined = b"".join(map(a.store.groups.__getitem__, rows[lo:hi].tolist()))
                         if row.digest is None:
-                            row.digest = hashlib.sha256(joined)
+                            row.digest = hashlib.sha256(joined[:-1])
                         else:
-                            row.digest.update(b";" + joined)
+                            row.digest.update(b";" + joined[:-1])
                         rare = back[lo:hi][has_miss[lo:hi]]
                         if len(rare):
                             row.rare.append(misses[pieces.spread(miss_ends[rare], miss_ends[rare + 1] - miss_ends[rare])])
