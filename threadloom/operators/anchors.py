@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,42 @@ def reduced_edges(adjacent: DataFrame, keep: DataFrame) -> DataFrame:
     return one.join(k.withColumnRenamed("node", "dst"), ["qid", "dst"], "left_semi").select("qid", "src", "dst")
 
 
+def path_nodes(targets: DataFrame, distances: DataFrame, adjacent: DataFrame, tau: int) -> DataFrame:
+    """Nodes of all shortest paths from sources to targets (qid, source, node) that are at most tau apart.
+
+    The search's distances make it a graph of parents: from the farthest level
+    down, a node's parents are its neighbours one step nearer to the source, so
+    each node enters once, however many paths lead through it.
+    """
+    ends = targets.select("qid", "source", "node").join(distances, ["qid", "source", "node"]).filter(F.col("dist") <= tau)
+    level, found = None, []
+    for d in range(tau, -1, -1):
+        here = ends.filter(F.col("dist") == d).select("qid", "source", "node")
+        if level is not None:
+            beside = level.withColumnRenamed("node", "src").join(adjacent, ["qid", "src"]).select("qid", "source", F.col("dst").alias("node"))
+            here = here.union(beside.join(distances.filter(F.col("dist") == d), ["qid", "source", "node"], "left_semi"))
+        level = here.distinct()
+        found.append(level)
+    return reduce(DataFrame.union, found)
+
+
+def reduced_nodes(adjacent: DataFrame, sources: DataFrame, proposed: DataFrame, distances: DataFrame, degree: DataFrame, relation: Column, tau: int = 4, reserve: int = 15, cap: int = 30_000) -> DataFrame:
+    """Nodes of the reduced graph of each question: anchors, proposals, the shortest paths to each anchor's first
+    proposals, and relations beside them; by priority where there are more than ``cap``, anchors always.
+
+    proposed: qid, source, node, rank (from 0), score; relation: whether a ``node`` is one.
+    """
+    paths = path_nodes(proposed.filter(F.col("rank") < max(1, reserve // 2)), distances, adjacent, tau)
+    zero = F.lit(0.0)
+    kept = sources.select("qid", F.col("source").alias("node"), F.lit(1).alias("must"), zero.alias("score")).union(proposed.select("qid", "node", F.lit(0), "score")).union(paths.select("qid", "node", F.lit(0), zero))
+    kept = kept.groupBy("qid", "node").agg(F.max("must").alias("must"), F.max("score").alias("score"))
+    beside = kept.select("qid", F.col("node").alias("src")).join(adjacent, ["qid", "src"]).select("qid", F.col("dst").alias("node")).filter(relation).distinct()
+    kept = kept.union(beside.join(kept, ["qid", "node"], "left_anti").select("qid", "node", F.lit(0), zero))
+    value = F.round(F.col("score") + 0.02 * F.least(F.lit(1.0), F.coalesce("degree", F.lit(0)) / 25), 9)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("must"), F.desc("value"), "node"))
+    return kept.join(degree, ["qid", "node"], "left").withColumn("value", value).withColumn("place", place).filter((F.col("place") <= cap) | (F.col("must") == 1)).select("qid", "node", "must", "value")
+
+
 def cache_reserve(sources: DataFrame, forward: DataFrame, back: DataFrame, adjacent: DataFrame, degree: DataFrame, most: int = 15) -> DataFrame:
     """Reserve of each (qid, source) from support lists and neighbours, without a walk.
 

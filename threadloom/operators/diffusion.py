@@ -61,6 +61,7 @@ def restart_vector(sources: DataFrame) -> DataFrame:
 def page_rank(adjacent: DataFrame, restart: DataFrame, steps: int, alpha: float = RESTART, prune: float = 0.0, every: int = 4, settle: Callable[[DataFrame], DataFrame] = cut, tolerance: float | None = None) -> DataFrame:
     """Personalized PageRank of each (qid, run) by power iteration.
 
+    Where ``adjacent`` has a column ``run``, each run walks on its own graph.
     Unweighted; the mass of nodes without edges goes back to the restart
     vector. By linearity a sum over sources is one walk from their joint
     vector, so runs with many sources cost no more than one. With
@@ -68,15 +69,21 @@ def page_rank(adjacent: DataFrame, restart: DataFrame, steps: int, alpha: float
     mass by less than that much a node of its graph; looked up every ``every``
     steps.
     """
-    degree = adjacent.groupBy("qid", "src").agg(F.count(F.lit(1)).alias("deg"))
-    moves = adjacent.join(degree, ["qid", "src"])
-    size = degree.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    walkers = restart.select("qid", "run").distinct()
+    if "run" not in adjacent.columns:
+        adjacent = adjacent.join(walkers, "qid")
+    at = ["qid", "run", "src"]
+    degree = adjacent.groupBy(*at).agg(F.count(F.lit(1)).alias("deg"))
+    size = degree.groupBy("qid", "run").agg(F.count(F.lit(1)).alias("n"))
+    # a node without edges moves to the restart nodes: so a step is one join, and a plan of several steps stays a line
+    ends = adjacent.select("qid", "run", F.col("dst").alias("src")).union(restart.select("qid", "run", F.col("node").alias("src"))).distinct().join(degree, at, "left_anti")
+    back = ends.join(restart.select("qid", "run", F.col("node").alias("dst"), ((1 - alpha) * F.col("mass")).alias("share")), ["qid", "run"]).select(*at, "dst", "share")
+    moves = settle(adjacent.join(degree, at).select(*at, "dst", ((1 - alpha) / F.col("deg")).alias("share")).union(back))
     rank, settled = restart, []
     for k in range(1, steps + 1):
-        spread = rank.withColumnRenamed("node", "src").join(moves, ["qid", "src"]).select("qid", "run", F.col("dst").alias("node"), ((1 - alpha) * F.col("mass") / F.col("deg")).alias("mass"))
-        stuck = rank.join(degree.withColumnRenamed("src", "node"), ["qid", "node"], "left_anti").groupBy("qid", "run").agg(F.sum("mass").alias("lost"))
-        back = restart.join(stuck, ["qid", "run"], "left").select("qid", "run", "node", ((alpha + (1 - alpha) * F.coalesce("lost", F.lit(0.0))) * F.col("mass")).alias("mass"))
-        new = spread.union(back).groupBy("qid", "run", "node").agg(F.sum("mass").alias("mass"))
+        spread = rank.withColumnRenamed("node", "src").join(moves, at).select("qid", "run", F.col("dst").alias("node"), (F.col("mass") * F.col("share")).alias("mass"))
+        again = restart.select("qid", "run", "node", (alpha * F.col("mass")).alias("mass"))
+        new = spread.union(again).groupBy("qid", "run", "node").agg(F.sum("mass").alias("mass"))
         if prune:
             new = new.filter(F.col("mass") >= prune)
         if k % every == 0 and k < steps:
@@ -84,11 +91,11 @@ def page_rank(adjacent: DataFrame, restart: DataFrame, steps: int, alpha: float
             if tolerance is not None:
                 both = new.withColumnRenamed("mass", "now").join(rank, ["qid", "run", "node"], "full_outer")
                 gap = both.groupBy("qid", "run").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0)))).alias("gap"))
-                gap = settle(gap.join(size, "qid", "left").withColumn("still", F.col("gap") >= tolerance * F.coalesce("n", F.lit(1))))
-                left, walkers = gap.agg(F.count_if("still"), F.count(F.lit(1))).first()
+                gap = settle(gap.join(size, ["qid", "run"], "left").withColumn("still", F.col("gap") >= tolerance * F.coalesce("n", F.lit(1))))
+                left, all_of_them = gap.agg(F.count_if("still"), F.count(F.lit(1))).first()
                 if not left:
                     return reduce(DataFrame.union, [*settled, new])
-                if left < walkers:
+                if left < all_of_them:
                     still = gap.filter("still").select("qid", "run")
                     settled.append(new.join(still, ["qid", "run"], "left_anti"))
                     new, restart = settle(new.join(still, ["qid", "run"], "left_semi")), settle(restart.join(still, ["qid", "run"], "left_semi"))

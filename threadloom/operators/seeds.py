@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 SEED_WEIGHTS = {"graph": 0.45, "semantic": 0.35, "anchor": 0.20, "bridge": 0.0, "ground": 0.0}
+RUN_WEIGHTS = {"semantic": 0.30, "anchor": 0.20, "structure": 0.25, "bridge": 0.15, "redundancy": 0.10}
 
 
 def bridge_bonus(distances: DataFrame, tau: int = 4) -> DataFrame:
@@ -39,9 +40,9 @@ def seed_scores(parts: DataFrame, weights: dict[str, float] | None = None, keys:
     return parts.withColumn("seed_score", F.round(sum(terms, F.lit(0.0)), 9))
 
 
-def objective_weights(scored: DataFrame) -> DataFrame:
+def objective_weights(scored: DataFrame, bridge: float = 0.20, coverage: float = 0.10) -> DataFrame:
     """What the seed set is chosen by: score + .20 bridge + .15 grounding + .10 anchor coverage."""
-    return scored.withColumn("weight", F.round(F.col("seed_score") + 0.20 * F.col("bridge") + 0.15 * F.col("ground") + 0.10 * F.col("coverage"), 9))
+    return scored.withColumn("weight", F.round(F.col("seed_score") + bridge * F.col("bridge") + 0.15 * F.col("ground") + coverage * F.col("coverage"), 9))
 
 
 def choose_seeds(weight: np.ndarray, dist: np.ndarray, k: int, tau: int) -> list[int]:
@@ -150,12 +151,21 @@ def bridge_utility(nodes: DataFrame, distances: DataFrame, tau: int = 4) -> Data
     return nodes.select("qid", "run", "node").join(near, ["qid", "node"], "left").groupBy("qid", "run").agg(T.settled(F.avg(F.when(F.col("k") >= 2, 1.0).otherwise(0.0))).alias("utility"))
 
 
-def run_score(parts: DataFrame) -> DataFrame:
-    """.30 semantic + .20 anchor + .25 structure + .15 bridge - .10 redundancy, over the sum of all five weights."""
-    w = {"semantic": 0.30, "anchor": 0.20, "structure": 0.25, "bridge": 0.15}
-    total = sum(w.values()) + 0.10
-    score = (sum((x * F.col(c) for c, x in w.items()), F.lit(0.0)) - 0.10 * F.col("redundancy")) / total
-    return parts.withColumn("run_score", T.settled(score))
+#: What lowers a run's score.
+COSTS = ("redundancy", "dispersion")
+
+
+def run_score(parts: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Weighted sum of what a run has, less what it costs (redundancy, dispersion), over the sum of all weights.
+
+    weights: any of semantic, anchor, structure, bridge, redundancy,
+    pair_coverage, completeness, grounding, dispersion; negative ones count as none.
+    """
+    w = {k: max(0.0, x) for k, x in (weights or RUN_WEIGHTS).items()}
+    total = sum(w.values()) or 1.0
+    gains = sum((x * F.col(c) for c, x in w.items() if x and c not in COSTS), F.lit(0.0))
+    costs = sum((x * F.col(c) for c, x in w.items() if x and c in COSTS), F.lit(0.0))
+    return parts.withColumn("run_score", T.settled((gains - costs) / total))
 
 
 def shortlist_runs(scored: DataFrame, score: str, most: int) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import config
 from ..functions import text as T
 from ..operators import anchors as A
 from ..operators import corridors as C
@@ -15,7 +19,47 @@ from ..operators import graph as G
 from ..operators import seeds as S
 from ..operators.sizes import small
 
-TAU, STEPS, RUNS, CANDIDATES, SEEDS = 4, 4, 2, 64, 4
+#: What the registered queries run with, and their SQL: distance, walk steps, perturbed graphs, candidates, seeds.
+TAU, STEPS, RUNS, CANDIDATES, SEEDS = 4, 40, 3, 20, 4
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Numbers that the stages work with.
+
+    tolerance: walks also end once a step changes less than that a node, looked
+    up now and then. stable: only the best of a question's runs goes on. trim:
+    selected units that hold nothing together are dropped.
+    """
+
+    tau: int = TAU
+    steps: int = STEPS
+    tolerance: float | None = None
+    runs: int = RUNS
+    candidates: int = CANDIDATES
+    seeds: int = SEEDS
+    anchors: int = 5
+    documents: int = 5
+    pairs: int = 6
+    run_weights: Mapping[str, float] | None = None
+    seed_bridge: float = 0.20
+    seed_coverage: float = 0.10
+    stable: bool = False
+    trim: bool = False
+    light_runs: int = 3
+    full_runs: int = 2
+
+    @classmethod
+    def of(cls, values: Mapping[str, Any], stable: bool = False, trim: bool = False) -> Limits:
+        """What settings stand for; walks go on to the tolerance."""
+        weights = dict(config.objective(str(values["retrieval_objective_mode"]))["weights"])
+        bridge, coverage = weights.pop("seed_bridge"), weights.pop("seed_coverage")
+        number = lambda k: max(1, int(values[k]))
+        return cls(
+            tau=number("tau"), steps=100, tolerance=1e-6, runs=number("samples_per_anchor"), candidates=number("candidate_top_t"), seeds=number("seed_k"), anchors=number("max_anchors"),
+            pairs=number("pair_shortlist_topb"), run_weights=weights, seed_bridge=bridge, seed_coverage=coverage, stable=stable, trim=trim,
+            light_runs=number("phase1_run_preshortlist_topm"), full_runs=number("phase1_full_run_score_topk"),
+        )
 
 
 #: Tables of texts, where work a row is large.
@@ -29,8 +73,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.repartition(cores) if table in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
-#: Bound tables of this process by session and folder: later queries go on from the stages that earlier ones have cut.
-_KNOWN: dict[tuple[str, str], Retrieval] = {}
+def written(df: DataFrame) -> tuple:
+    """Names, sizes and times of a table's files, as Spark's reader sees them: another write is another table."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    count, digest = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    return count, str(digest)
+
+
+#: Bound tables of this process by session, folder and the state of its files: later queries go on from the stages that earlier ones have cut.
+_KNOWN: dict[tuple, Retrieval] = {}
 _MOST = 2
 
 
@@ -47,12 +98,12 @@ class Retrieval:
     little.
     """
 
-    def __init__(self, questions: DataFrame, docs: DataFrame, shaping: dict | None = None):
-        self.questions, self.docs, self.shaping = questions, docs, shaping
+    def __init__(self, questions: DataFrame, docs: DataFrame, shaping: dict | None = None, limits: Limits = Limits()):
+        self.questions, self.docs, self.shaping, self.limits = questions, docs, shaping, limits
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Retrieval:
-        key = (spark._jsparkSession.sessionUUID(), sf_dir)
+        key = (spark._jsparkSession.sessionUUID(), sf_dir, *(written(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in ("benchmark", "documents")))
         if key not in _KNOWN:
             while len(_KNOWN) >= _MOST:
                 _KNOWN.pop(next(iter(_KNOWN)))
@@ -70,11 +121,11 @@ class Retrieval:
 
     @cached_property
     def anchors(self) -> DataFrame:
-        return D.cut(A.lexical_anchors(self.questions, self.support))
+        return D.cut(A.lexical_anchors(self.questions, self.support, self.limits.anchors))
 
     @cached_property
     def hits(self) -> DataFrame:
-        return A.proposals(self.anchors, self.tokens)
+        return A.proposals(self.anchors, self.tokens, self.limits.documents)
 
     @cached_property
     def contexts(self) -> DataFrame:
@@ -99,22 +150,19 @@ class Retrieval:
 
     @cached_property
     def distances(self) -> DataFrame:
-        return D.cut(D.distances(self.adjacent, self.sources, TAU))
+        return D.cut(D.distances(self.adjacent, self.sources, self.limits.tau))
 
     @cached_property
     def run_edges(self) -> DataFrame:
-        """Perturbed graphs; a run is part of the question's key."""
-        kept = D.drop_edges(self.edges.select("qid", "src", "dst").distinct(), RUNS)
-        return kept
+        """Perturbed graphs of each question: qid, run, src, dst."""
+        return D.drop_edges(self.edges.select("qid", "src", "dst").distinct(), self.limits.runs)
 
     @cached_property
     def mass(self) -> DataFrame:
-        """PageRank of every question and run."""
-        keyed = self.run_edges.withColumn("qid", F.col("qid") * RUNS + F.col("run")).select("qid", "src", "dst")
-        runs = self.sources.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
-        start = D.restart_vector(runs.select((F.col("qid") * RUNS + F.col("run")).alias("qid"), F.lit(0).alias("run"), "source"))
-        ranked = D.page_rank(G.both_ways(keyed, ("qid",)), start, STEPS)
-        return D.cut(ranked.select(F.floor(F.col("qid") / RUNS).alias("qid"), F.pmod("qid", F.lit(RUNS)).cast("int").alias("run"), "node", "mass"))
+        """PageRank of every question and run: qid, run, node, mass."""
+        start = D.restart_vector(self.sources.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(self.limits.runs - 1)))))
+        ranked = D.page_rank(D.cut(G.both_ways(self.run_edges, ("qid", "run"))), start, self.limits.steps, tolerance=self.limits.tolerance)
+        return D.cut(ranked.select("qid", F.col("run").cast("int").alias("run"), "node", "mass"))
 
     @cached_property
     def sentences(self) -> DataFrame:
@@ -159,43 +207,44 @@ class Retrieval:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return D.top_nodes(self.mass.withColumn("mass", T.settled(F.col("mass"), 9)), CANDIDATES)
+        return D.top_nodes(self.mass.withColumn("mass", T.settled(F.col("mass"), 9)), self.limits.candidates)
 
     @cached_property
     def components(self) -> DataFrame:
         """Seed components of the candidates: graph, semantic, anchor, bridge, ground, coverage."""
         near = self.distances.groupBy("qid", "node").agg(F.min("dist").alias("near"))
         joined = self.candidates
-        for part in (self.similarity, self.anchor_similarity, S.bridge_bonus(self.distances, TAU), self.grounding, near):
+        for part in (self.similarity, self.anchor_similarity, S.bridge_bonus(self.distances, self.limits.tau), self.grounding, near):
             joined = joined.join(part, ["qid", "node"], "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
         return joined.select("qid", "run", "node", "rank", F.col("mass").alias("graph"), zero("sim").alias("semantic"), zero("near_anchors").alias("anchor"), zero("bridge").alias("bridge"), zero("ground").alias("ground"), F.when(F.col("near") <= 1, 1.0).otherwise(0.0).alias("coverage"))
 
     @cached_property
     def seed_scores(self) -> DataFrame:
-        return D.cut(S.objective_weights(S.seed_scores(self.components)))
+        return D.cut(S.objective_weights(S.seed_scores(self.components), self.limits.seed_bridge, self.limits.seed_coverage))
 
     @cached_property
     def seed_distances(self) -> DataFrame:
-        """Distances between the candidates of one run (at most CANDIDATES of them), up to TAU."""
+        """Distances between the candidates of one run (some dozen), up to tau."""
         starts = self.candidates.select("qid", F.col("node").alias("source")).distinct()
-        return D.cut(D.distances(self.adjacent, starts, TAU).join(starts.withColumnRenamed("source", "node"), ["qid", "node"], "left_semi"))
+        return D.cut(D.distances(self.adjacent, starts, self.limits.tau).join(starts.withColumnRenamed("source", "node"), ["qid", "node"], "left_semi"))
 
     @cached_property
     def seeds(self) -> DataFrame:
         pairs = self.seed_distances.join(self.candidates.select("qid", "run", "node"), ["qid", "node"]).select("qid", "run", F.col("source").alias("other"), "node", "dist")
-        picked = S.greedy_seeds(self.seed_scores.select("qid", "run", "rank", "node", "weight"), pairs, SEEDS, TAU)
+        picked = S.greedy_seeds(self.seed_scores.select("qid", "run", "rank", "node", "weight"), pairs, self.limits.seeds, self.limits.tau)
         return D.cut(picked.join(self.seed_scores, ["qid", "run", "node"]))
 
     @cached_property
     def pairs(self) -> DataFrame:
         # alignment of a seed with an anchor: nearness, since all anchors walk together
-        align = self.distances.join(self.seeds.select("qid", "run", "node"), ["qid", "node"]).select("qid", "run", "source", "node", (1 / (1 + F.col("dist"))).alias("score"))
-        return D.cut(C.pair_shortlist(self.seeds, self.sources, self.distances, align, self.similarity, TAU))
+        seeds = self.seeds.join(self.chosen, ["qid", "run"], "left_semi") if self.limits.stable else self.seeds
+        align = self.distances.join(seeds.select("qid", "run", "node"), ["qid", "node"]).select("qid", "run", "source", "node", (1 / (1 + F.col("dist"))).alias("score"))
+        return D.cut(C.pair_shortlist(seeds, self.sources, self.distances, align, self.similarity, self.limits.tau, self.limits.pairs))
 
     @cached_property
     def paths(self) -> DataFrame:
-        return D.cut(C.shortest_paths(self.pairs, self.adjacent, self.distances, TAU))
+        return D.cut(C.shortest_paths(self.pairs, self.adjacent, self.distances, self.limits.tau))
 
     @cached_property
     def units(self) -> DataFrame:
@@ -204,7 +253,7 @@ class Retrieval:
     @cached_property
     def refined(self) -> DataFrame:
         """Local refinement of the pairs: qid, corridor, place, node, score."""
-        hops = TAU + 1
+        hops = self.limits.tau + 1
         ends = self.pairs.select("qid", F.col("source")).distinct(), self.pairs.select("qid", F.col("seed").alias("source")).distinct()
         near, far = (D.distances(self.adjacent, e, hops) for e in ends)
         nodes = C.local_nodes(self.pairs, near, far, self.paths, self.similarity)
@@ -213,17 +262,40 @@ class Retrieval:
     @cached_property
     def runs(self) -> DataFrame:
         """Scores of each question's runs and what they are made of."""
-        cover = S.pair_coverage(self.seeds, self.distances, TAU)
-        spread = S.dispersion(self.seeds, self.seed_distances, TAU)
-        bridge = S.bridge_utility(self.candidates, self.distances, TAU)
-        weights = S.surrogate_weights(self.mass, RUNS)
+        cover = S.pair_coverage(self.seeds, self.distances, self.limits.tau)
+        spread = S.dispersion(self.seeds, self.seed_distances, self.limits.tau)
+        bridge = S.bridge_utility(self.candidates, self.distances, self.limits.tau)
+        weights = S.surrogate_weights(self.mass, self.limits.runs)
         starts = self.seeds.select("qid", "run", F.col("node").alias("source"))
         near = self.seed_distances.join(starts, ["qid", "source"]).groupBy("qid", "run", "node").agg(F.min("dist").alias("dist"))
         sim = self.seeds.groupBy("qid", "run").agg(F.max(0.5 * (F.col("semantic") + 1)).alias("semantic"))
-        full = cover.join(S.connectivity(weights, near, spread, TAU), ["qid", "run"])
+        full = cover.join(S.connectivity(weights, near, spread, self.limits.tau), ["qid", "run"])
         for part in (bridge, sim, S.semantic_redundancy(self.seeds, self.unit_tokens), spread):
             full = full.join(part, ["qid", "run"])
-        return D.cut(S.run_score(full.select("qid", "run", "semantic", F.col("coverage").alias("anchor"), F.col("connectivity").alias("structure"), F.col("utility").alias("bridge"), "redundancy", "dispersion")))
+        named = full.select("qid", "run", "semantic", F.col("coverage").alias("anchor"), F.col("connectivity").alias("structure"), F.col("utility").alias("bridge"), "redundancy", "dispersion")
+        weights = self.limits.run_weights
+        if weights is None:
+            return D.cut(S.run_score(named))
+        # what only some weight profiles look at
+        more = S.bridge_completeness(self.seeds, self.distances, self.limits.tau).join(self.seeds.groupBy("qid", "run").agg(F.avg("ground").alias("grounding")), ["qid", "run"])
+        return D.cut(S.run_score(named.join(more, ["qid", "run"]).withColumn("pair_coverage", F.col("anchor")), dict(weights)))
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        """The run that each question goes on with: a light score first, the full one for its head, the best of these."""
+        c = self.candidates.withColumnRenamed("mass", "score").join(self.similarity, ["qid", "node"], "left").fillna(0.0, ["sim"])
+        light = S.shortlist_runs(S.precheck(c, self.seeds, self.distances, self.limits.tau), "pre_score", min(self.limits.light_runs, self.limits.full_runs)).select("qid", "run")
+        return D.cut(S.shortlist_runs(self.runs.join(light, ["qid", "run"], "left_semi"), "run_score", 1).select("qid", "run"))
+
+    @cached_property
+    def trimmed(self) -> DataFrame:
+        """Nodes of the corridors that hold their question's anchors and seeds together: qid, node."""
+        ends = self.pairs.select("qid", F.col("source").alias("node"), F.lit(True).alias("anchor"), F.lit(False).alias("seed")).union(self.pairs.select("qid", F.col("seed").alias("node"), F.lit(False), F.lit(True)))
+        on_path = self.paths.select("qid", F.explode("path").alias("node")).union(self.units.select("qid", "node"))
+        nodes = on_path.select("qid", "node", F.lit(False).alias("anchor"), F.lit(False).alias("seed")).union(ends)
+        nodes = D.cut(nodes.groupBy("qid", "node").agg(F.max("anchor").alias("anchor"), F.max("seed").alias("seed")))
+        edges = A.reduced_edges(self.adjacent, nodes).filter("src < dst")
+        return C.trim(nodes, edges)
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -235,7 +307,10 @@ class Retrieval:
     def selected(self) -> DataFrame:
         """Units of the corridors in order of score: qid, pos, node, text, score."""
         best = self.mass.groupBy("qid", "node").agg(F.max("mass").alias("mass"))
-        found = self.units.select("qid", "node").distinct().join(best, ["qid", "node"], "left").join(self.similarity, ["qid", "node"]).join(self.sentences.select("qid", "node", "text"), ["qid", "node"])
+        units = self.units.select("qid", "node").distinct()
+        if self.limits.trim:
+            units = units.join(self.trimmed, ["qid", "node"], "left_semi")
+        found = units.join(best, ["qid", "node"], "left").join(self.similarity, ["qid", "node"]).join(self.sentences.select("qid", "node", "text"), ["qid", "node"])
         score = T.settled(F.coalesce("mass", F.lit(0.0)) + 0.5 * (F.col("sim") + 1), 9)
         pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "node")).cast("long") - 1
         return D.cut(found.withColumn("score", score).withColumn("pos", pos).select("qid", "pos", "node", "text", "score"))

@@ -154,6 +154,14 @@ HYBRID = sql(f"""select qid, row_number() over (partition by qid order by lexica
     from (select qid, substr(node, 4) token, {retrieval_oracles.settled("k / 5.0::double - 0.5::double")} sim from (select qid, node, count(distinct source) k from dist where dist = 2 and node like 'e::%' group by all)) n
     join sup s on s.tok = n.token left join qtok q on q.qid = n.qid and q.tok = n.token)) where place <= 24) z anti join anch a on a.qid = z.qid and a.tok = z.token) where k <= 2) qualify rank <= 5""", "anch", "dist", "sup", "qtok")
 
+# the reduced graph: from each anchor's first proposals back over all parents
+PARTS["ptop"] = (("prop", "dist"), f"select p.qid, p.source, p.node, d.dist from prop p join dist d on d.qid = p.qid and d.source = p.source and d.node = p.node where p.rn <= 7 and d.dist <= {TAU}")
+for _k in range(TAU, -1, -1):
+    _more = f" union select c.qid, c.source, x.node from up{_k + 1} c join adj a on a.qid = c.qid and a.src = c.node join dist x on x.qid = c.qid and x.source = c.source and x.node = a.dst and x.dist = {_k}" if _k < TAU else ""
+    PARTS[f"up{_k}"] = (("ptop", "adj", "dist", *([f"up{_k + 1}"] if _k < TAU else [])), f"select qid, source, node from ptop where dist = {_k}{_more}" if _more else f"select distinct qid, source, node from ptop where dist = {_k}")
+PARTS["keep"] = (("srcs", "prop", "deg", *(f"up{k}" for k in range(TAU + 1))), "select qid, node from (select k.qid, k.node, must, row_number() over (partition by k.qid order by must desc, round(score + 0.02::double * least(1.0::double, coalesce(degree, 0) / 25.0::double), 9) desc, k.node) place from (select qid, node, max(must) must, max(score) score from (select qid, source node, 1 must, 0.0::double score from srcs union all select qid, node, 0, score from prop union all "
+    + " union all ".join(f"select qid, node, 0, 0.0::double from up{k}" for k in range(TAU + 1)) + ") group by qid, node) k left join deg g on g.qid = k.qid and g.node = k.node) where place <= 30000 or must = 1")
+
 ORACLES: dict[str, str] = {
     "token_stats": f"select doc_id, len({tokens('text')}) n_tokens, len({content('text')}) n_content, md5({joined_text(content('text'))}) content_md5 from documents",
     "entity_tokens": f"select doc_id, {joined_text(entity('text'))} tokens from documents",
@@ -198,7 +206,7 @@ ORACLES: dict[str, str] = {
     "cache_reserve": sql("select qid, source, rank, node, round(score, 6) score from (select *, row_number() over (partition by qid, source order by score desc, node) rank from (select qid, source, node, round(max(score), 9) score from (select s.qid, s.source, f.unit node, 1.0::double - 0.04::double * (f.rn - 1) score from srcs s join fwd f on f.qid = s.qid and f.ent = s.source where f.rn <= 30 union all select s.qid, s.source, b.ent, 0.82::double - 0.06::double * (f.rn - 1) - 0.04::double * (b.rn - 1) from srcs s join fwd f on f.qid = s.qid and f.ent = s.source join bck b on b.qid = s.qid and b.unit = f.unit where f.rn <= 30 and b.rn <= 2 and b.ent <> s.source union all select s.qid, s.source, a.dst, 0.35::double + 0.15::double * least(1.0, d.degree / 20.0::double) from srcs s join adj a on a.qid = s.qid and a.src = s.source join deg d on d.qid = s.qid and d.node = a.dst) group by all)) where rank <= 15", "srcs", "fwd", "bck", "adj", "deg"),
     "generated_answers": sql(f"select qid, text prediction from (select *, row_number() over (partition by qid order by overlap desc, pos) k from (select s.qid, s.text, row_number() over (partition by s.qid order by doc_rank, unit_idx) pos, len(list_intersect(list_distinct({tokens('q.text')}), list_distinct({tokens('s.text')}))) overlap from sents s join benchmark q on q.item_id = s.qid)) where k = 1", "sents"),
     "recall_at_k": sql(RECALL, "gold", "hits"),
-    "ablation": sql("select variant, count(*) n, round(avg(recall), 6) recall from (select unnest(['full', 'short', 'naive']) variant, unnest([recall_5, recall_2, recall_1]) recall from (" + RECALL + ")) group by variant", "gold", "hits"),
+    "recall_cuts": sql("select variant, count(*) n, round(avg(recall), 6) recall from (select unnest(['full', 'short', 'first']) variant, unnest([recall_5, recall_2, recall_1]) recall from (" + RECALL + ")) group by variant", "gold", "hits"),
     "loss_funnel": sql("select stage, round(rate, 6) rate, round(coalesce(lag(rate) over (order by pos) - rate, 0), 6) loss from (select pos, stage, avg(case when h.qid is null then 0 else 1 end) rate from (select distinct qid, doc_id from gold) g, (values (0, 'anchored'), (1, 'proposed'), (2, 'rendered')) s(pos, stage) left join (select distinct a.qid, doc_id, 'anchored' st from anch a join dtok using (tok) union all select qid, doc_id, 'proposed' from hits union all select qid, doc_id, 'rendered' from hits where rank <= 2) h on h.qid = g.qid and h.doc_id = g.doc_id and h.st = stage group by pos, stage)", "gold", "anch", "dtok", "hits"),
     "latency_describe": describe("value", "event_type", "events"),
     "latency_pearson": "select event_type, round(corr(value, hour(ts)), 6) pearson from events group by event_type",
@@ -220,7 +228,7 @@ ORACLES: dict[str, str] = {
     "latest_results": "select conv_id, max(turn) turn, md5(max_by(text, turn)) text_md5 from conversations where role = 'assistant' group by conv_id",
     "backfilled": "select doc_id, case when doc_id % 2 = 0 then n_chars else length(text) end n_chars from documents",
     "bridge_candidates": sql("select qid, rank, node, round(score, 6) score, pairs from bcand", "bcand"),
-    "reduced_subgraph": sql("select a.qid, a.src, a.dst from adj a semi join (select distinct qid, node from dist where dist <= 2) k on k.qid = a.qid and k.node = a.src semi join (select distinct qid, node from dist where dist <= 2) l on l.qid = a.qid and l.node = a.dst", "adj", "dist"),
+    "reduced_subgraph": sql("select a.qid, a.src, a.dst from adj a semi join keep k on k.qid = a.qid and k.node = a.src semi join keep l on l.qid = a.qid and l.node = a.dst", "adj", "keep"),
     "dense_rerank": "select qid, rank, id, round(dot, 4) sim from (select *, row_number() over (partition by qid order by dot desc, id) rank from (select *, row_number() over (partition by qid order by sim desc, id) c from (select q.vec_id qid, v.vec_id id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) sim, round(list_dot_product(q.embedding::double[], v.embedding::double[]), 6) dot from embeddings q, embeddings v where q.vec_id % 50 = 0)) where c <= 20) where rank <= 5",
     "seed_bridges": sql("select qid, node, round(bridge, 6) bridge from brdg", "brdg"),
     "paragraph_chunks": f"""select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int unit_idx, text from (select doc_id, text, min(p * 1000000 + i) k from (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..operators import reports as P
 from ..operators import seeds as S
 from ..operators import vectors as V
 from ..operators.sizes import small
+from . import runs
 from .binding import RUNS, TAU, Retrieval, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,7 +239,9 @@ def lazy_union(r):
 
 @on_retrieval("reduced_subgraph")
 def reduced_subgraph(r):
-    return A.reduced_edges(r.adjacent, r.distances.filter("dist <= 2").select("qid", "node"))
+    """The graph that later stages look at: anchors, proposals and the shortest paths between them, with all edges among these."""
+    kept = A.reduced_nodes(r.adjacent, r.sources, _proposed(r), r.distances, r.degree, G.node_kind(F.col("node")) == "relation", TAU)
+    return A.reduced_edges(r.adjacent, kept)
 
 
 # ---------------------------------------------------------------- vectors
@@ -678,14 +682,27 @@ def backfilled(spark, sf):
 
 
 @query
-def ablation(spark, sf):
+def recall_cuts(spark, sf):
     """Recall of the full proposal list, of a shorter one, and of the first document alone."""
     r = Retrieval.of(spark, sf)
     t = M.recall_table(_matches(r), r.gold, (1, 2, 5))
-    each = t.select("qid", F.explode(F.create_map(F.lit("full"), F.col("recall_5"), F.lit("short"), F.col("recall_2"), F.lit("naive"), F.col("recall_1"))).alias("variant", "recall"))
+    each = t.select("qid", F.explode(F.create_map(F.lit("full"), F.col("recall_5"), F.lit("short"), F.col("recall_2"), F.lit("first"), F.col("recall_1"))).alias("variant", "recall"))
     return M.means(each, ["recall"], ["variant"])
 
 
+@on_retrieval("ablation")
+def ablation(r):
+    """Recall and number of units of the method with run choice and trim, without trim, and without both."""
+    gold = r.gold.select("qid", "doc_id").distinct()
+    each = []
+    for name, v in runs.variants(r.questions, r.docs, r).items():
+        found = v.selected.select("qid", "node", F.regexp_extract("node", r"^[a-z]::(.*):\d+$", 1).cast("long").alias("doc_id"))
+        counts = found.groupBy("qid").agg(F.count(F.lit(1)).alias("units"))
+        hit = gold.join(found.select("qid", "doc_id").distinct().withColumn("hit", F.lit(1)), ["qid", "doc_id"], "left").groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+        each.append(hit.join(counts, "qid", "left").select(F.lit(name).alias("variant"), "recall", F.coalesce("units", F.lit(0)).alias("units")))
+    return M.means(reduce(DataFrame.union, each), ["recall", "units"], ["variant"])
+
+
 @on_retrieval("top1_correction")
 def top1_correction(r):
     return R.correct_head(r.features)

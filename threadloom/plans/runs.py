@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -13,16 +14,15 @@ from ..functions import text as T
 from ..operators import generate
 from ..operators import metrics as M
 from ..operators import render as R
-from ..operators import seeds as S
 from ..sources.datasets import Registry
-from .binding import Retrieval
+from .binding import Limits, Retrieval
 
 METHODS = Registry("method")
 RENDERS = Registry("render mode")
 Built = Callable[[Retrieval, Mapping[str, Any]], DataFrame]
 
 
-@METHODS.register("main", "corridor")
+@METHODS.register("main", "corridor", "main_untrimmed", "naive")
 def corridors(r: Retrieval, values: Mapping[str, Any]) -> DataFrame:
     """Units of the corridors, most relevant first: qid, pos, node, text, score."""
     return r.selected
@@ -34,15 +34,34 @@ def by_similarity(r: Retrieval, values: Mapping[str, Any]) -> DataFrame:
     return _placed(r.sentences.join(r.similarity, ["qid", "node"]).select("qid", "node", "text", T.settled(0.5 * (F.col("sim") + 1), 9).alias("score")))
 
 
-@METHODS.register("ppr", "naive")
+@METHODS.register("ppr")
 def by_mass(r: Retrieval, values: Mapping[str, Any]) -> DataFrame:
     """Units of the proposed documents by their mass over all runs."""
     best = r.mass.groupBy("qid", "node").agg(F.max("mass").alias("mass"))
     return _placed(r.sentences.join(best, ["qid", "node"]).select("qid", "node", "text", T.settled(F.col("mass"), 9).alias("score")))
 
 
+#: Methods that go on with the best run alone, and those that trim what they have selected. ``naive`` does neither.
+STABLE, TRIMMED = ("main", "corridor", "main_untrimmed"), ("main", "corridor")
+
+
 def bound(questions: DataFrame, docs: DataFrame, values: Mapping[str, Any]) -> Retrieval:
-    return Retrieval(questions, docs, config.objective(str(values["retrieval_objective_mode"]))["shaping"])
+    """The stages with the settings' numbers, for the settings' method."""
+    method = str(values["method"])
+    limits = Limits.of(values, stable=method in STABLE, trim=method in TRIMMED)
+    return Retrieval(questions, docs, config.objective(str(values["retrieval_objective_mode"]))["shaping"], limits)
+
+
+def variants(questions: DataFrame, docs: DataFrame, base: Retrieval, methods: Sequence[str] = ("main", "main_untrimmed", "naive")) -> dict[str, Retrieval]:
+    """The same stages for several methods: those up to the runs' scores are made once, by ``base``, for all of them."""
+    shared = ("tokens", "support", "anchors", "hits", "contexts", "edges", "adjacent", "degree", "sources", "distances", "run_edges", "mass", "sentences", "similarity", "unit_tokens", "anchor_similarity", "mentions", "grounding", "candidates", "components", "seed_scores", "seed_distances", "seeds", "runs")
+    out = {}
+    for m in methods:
+        r = Retrieval(questions, docs, base.shaping, replace(base.limits, stable=m in STABLE, trim=m in TRIMMED))
+        for stage in shared:
+            vars(r)[stage] = getattr(base, stage)  # cached properties live in the instance
+        out[m] = r
+    return out
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -129,9 +148,3 @@ def answer(questions: DataFrame, docs: DataFrame, golds: DataFrame | None = None
         out["summary"] = M.run_summary(sized, ["em", "f1", "units"], F.col("f1") > 0)
     return out
 
-
-def chosen_runs(r: Retrieval, values: Mapping[str, Any]) -> DataFrame:
-    """Runs that the settings keep: a light score first, then the full one of its head."""
-    c = r.candidates.withColumnRenamed("mass", "score").join(r.similarity, ["qid", "node"], "left").fillna(0.0, ["sim"])
-    head = S.shortlist_runs(S.precheck(c, r.seeds, r.distances), "pre_score", int(values["phase1_run_preshortlist_topm"])).select("qid", "run")
-    return S.shortlist_runs(r.runs.join(head, ["qid", "run"], "left_semi"), "run_score", 1)
