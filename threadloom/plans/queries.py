@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import config
 from ..functions import text as T
 from ..operators import anchors as A
 from ..operators import corridors as C
@@ -337,7 +338,7 @@ def seed_bridges(r):
 
 @on_retrieval("seed_components")
 def seed_components(r):
-    return r.seed_scores.select("qid", "run", "node", F.round("graph", 6).alias("graph"), F.round("seed_score", 5).alias("seed_score"), F.round("weight", 5).alias("weight"))
+    return r.seed_scores.select("qid", "run", "node", T.settled(F.col("graph"), 5).alias("graph"), T.settled(F.col("seed_score"), 5).alias("seed_score"), T.settled(F.col("weight"), 5).alias("weight"))
 
 
 @on_retrieval("greedy_seeds")
@@ -951,14 +952,11 @@ def retrieved_units(spark, sf):
     return runs.retrieve(r.questions, r.docs, config.settings(overrides={"method": "flat"})).select("qid", "rank", "unit_id", F.round("score", 6).alias("score"))
 
 
-@query
-def run_answers(spark, sf):
-    """A settings-driven run from questions to answers, with corridor contexts."""
-    from ..functions import config
-    from . import runs
-
-    r = Retrieval.of(spark, sf)
-    return runs.answer(r.questions, r.docs, values=config.settings(overrides={"render_mode": "corridor"}))["answers"].select("qid", "prediction")
+@on_retrieval("run_answers")
+def run_answers(r):
+    """A run from questions to answers, with corridor contexts, without choice of a run and trim."""
+    values = config.settings(overrides={"method": "naive", "render_mode": "corridor"})
+    return runs.answer(r.questions, r.docs, values=values, stages=r)["answers"].select("qid", "prediction")
 
 
 @on_retrieval("context_grid")

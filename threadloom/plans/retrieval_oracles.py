@@ -175,7 +175,7 @@ def oracles(sql, tokens, content) -> dict[str, str]:
     corr = lambda v, eps="1e-12": spread(v, "qid", eps)
     return {
         "ppr_mass": sql(f"select qid, run::int run, round(sum(mass), 6) mass, count(*) nodes from m{STEPS} group by all", f"m{STEPS}"),
-        "seed_components": sql("select qid, run::int run, node, round(graph, 6) graph, round(seed_score, 5) seed_score, round(weight, 5) weight from scored", "scored"),
+        "seed_components": sql(f"select qid, run::int run, node, {settled('graph', 5)} graph, {settled('seed_score', 5)} seed_score, {settled('weight', 5)} weight from scored", "scored"),
         "greedy_seeds": sql("select qid, run::int run, pick::bigint pick, node from seeds", "seeds"),
         "seed_dispersion": sql("select qid, run::int run, dispersion from disp", "disp"),
         "seed_pair_coverage": sql(coverage("cand"), "cand", "dist").replace("select qid, run,", "select qid, run::int run,", 0),

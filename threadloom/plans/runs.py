@@ -127,14 +127,15 @@ def render(r: Retrieval, values: Mapping[str, Any], selected: DataFrame) -> Data
     return grounded.join(made.select("qid", "truncated"), "qid").select("qid", "context", "units", "truncated")
 
 
-def answer(questions: DataFrame, docs: DataFrame, golds: DataFrame | None = None, values: Mapping[str, Any] | None = None, provider: generate.Provider | None = None, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+def answer(questions: DataFrame, docs: DataFrame, golds: DataFrame | None = None, values: Mapping[str, Any] | None = None, provider: generate.Provider | None = None, stored: DataFrame | None = None, stages: Retrieval | None = None) -> dict[str, DataFrame]:
     """A whole run: ``retrieval``, ``contexts``, ``answers`` and, with golds (qid, golds), ``summary``.
 
     stored: retrieval results (qid, rank, unit_id, text, score) of a run before,
-    which take the place of retrieval for their questions.
+    which take the place of retrieval for their questions. stages: bound ones, with
+    their own numbers, in place of new ones by the settings.
     """
     values = values or config.settings()
-    r = bound(questions, docs, values)
+    r = stages or bound(questions, docs, values)
     selected = METHODS[str(values["method"])](r, values)
     if stored is not None:
         kept = stored.select("qid", (F.col("rank") - 1).cast("long").alias("pos"), F.col("unit_id").alias("node"), "text", "score")
