@@ -60,3 +60,69 @@ def test_random_walks_take_all_walks_and_steps(spark):
     total = 512 * 25  # the start counts as a visit
     assert all(abs(r["score"] * total - round(r["score"] * total)) < 0.02 for r in got) and abs(sum(r["score"] for r in got) - 1) < 1e-5
     assert all(abs(r["score"] - want[r["node"]]) < 0.03 for r in got)
+
+
+def walkers(spark, rows):
+    return spark.createDataFrame(rows, "qid long, node string, mass double")
+
+
+def one_graph(spark, edges):
+    return graph.both_ways(spark.createDataFrame(edges, "src string, dst string"))
+
+
+def test_push_stays_within_its_tolerance(spark):
+    """Below the exact mass by no more than the tolerance, and what is missing is in the residuals."""
+    edges = PATH + [("hub", f"p{i}") for i in range(0, 11, 2)] + STAR
+    for most in (10_000, 2):  # whole nodes, and hubs in parts of two neighbours
+        table = diffusion.push_table(one_graph(spark, edges), most)
+        got = diffusion.forward_push(table, walkers(spark, [(2**62, "p0", 0.5), (2**62, "p4", 0.5), (2**53 + 1, "c", 1.0)])).collect()
+        for q, sources in ((2**62, ["p0", "p4"]), (2**53 + 1, ["c"])):
+            want = brute(edges, sources)
+            mine = {r["node"]: r for r in got if r["qid"] == q}
+            assert all(-1e-12 <= want[n] - r["mass"] <= 1e-4 for n, r in mine.items())
+            assert all(m <= 1e-4 for n, m in want.items() if n not in mine)
+            assert abs(sum(r["mass"] + r["residual"] for r in mine.values()) - 1) < 1e-9
+
+
+def test_push_touches_what_it_reaches(spark):
+    """A walker leaves far nodes of a long path alone, and rows outside the graph have no walk."""
+    long_path = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(400)]
+    got = diffusion.forward_push(diffusion.push_table(one_graph(spark, long_path)), walkers(spark, [(1, "n000", 1.0), (2, "nowhere", 1.0)])).collect()
+    assert {r["qid"] for r in got} == {1} and len(got) < 80
+    empty = diffusion.forward_push(diffusion.push_table(one_graph(spark, long_path).limit(0)), walkers(spark, [(1, "n000", 1.0)]))
+    assert empty.count() == 0
+
+
+def test_push_never_shuffles_its_edges_again(spark):
+    """The plan of a round brings the walkers to the edges: no exchange above the table's own scan."""
+    F = diffusion.F
+    table = diffusion.push_table(one_graph(spark, PATH))
+    state = walkers(spark, [(1, "p0", 1.0)]).select("qid", "node", F.lit(0.0).alias("mass"), F.col("mass").alias("residual"), F.lit(1).cast("long").alias("ends"), F.lit(1).alias("parts"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = diffusion.push_round(diffusion.push_round(state, table, F.col("residual") > 0), table, F.col("residual") > 0)
+        plan = moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    # two rounds: each shuffles its rows to the edges and then by walker and node, never the edges
+    assert plan.count("Exchange hashpartitioning(src") == 2 and plan.count("Exchange hashpartitioning(qid") == 2 and plan.count("Exchange") == 4, plan
+
+
+def test_corpus_diffusion_equals_power_iteration(spark):
+    from threadloom.plans.binding import Retrieval
+
+    texts = ["Amber Falls lies near Birch Town. Birch Town trades with Cedar Port.", "Cedar Port ships amber to Delta City.", "Delta City hosts the Elm Fair.", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = Retrieval(spark.createDataFrame([(7, "Where is Birch Town?"), (8, "Who hosts the Elm Fair near Cedar Port?"), (9, None)], "qid long, text string"), docs)
+    edges = [(e["src"], e["dst"]) for e in graph.corpus_graph(docs).collect()]
+    got = queries.corpus_diffusion(r).collect()
+    asked = {}
+    for row in r.corpus_sources.collect():
+        asked.setdefault(row["qid"], []).append(row["node"])
+    assert set(asked) == {7, 8} == {x["qid"] for x in got}
+    for q, sources in asked.items():
+        want, mine = brute(edges, sources, 300), [x for x in got if x["qid"] == q]
+        assert len(mine) == min(20, len(want)) and all(abs(x["mass"] - want[x["node"]]) < 1.6e-4 for x in mine)
+        best = sorted(want.values(), reverse=True)[: len(mine)]
+        assert all(abs(x["mass"] - b) < 1.6e-4 for x, b in zip(sorted(mine, key=lambda x: x["rank"]), best, strict=True))

@@ -6,9 +6,11 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 RESTART = 0.15
 
 
@@ -103,6 +105,79 @@ def page_rank(adjacent: DataFrame, restart: DataFrame, steps: int, alpha: float
     return reduce(DataFrame.union, [*settled, rank])
 
 
+def push_table(adjacent: DataFrame, most: int = 10_000) -> DataFrame:
+    """One graph laid out for pushes of any number of walkers: src, part, dst, ends, parts.
+
+    A node of more than ``most`` neighbours is split into parts, so no task
+    holds a hub whole; ``ends`` and ``parts`` are the neighbours and parts of
+    ``dst``. Dealt and sorted by (src, part) and kept that way, so that the
+    rounds of a push bring their rows to it and never shuffle it again.
+    """
+    spark = adjacent.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    degree = cut(adjacent.groupBy("src").agg(F.count(F.lit(1)).alias("deg")))
+    parts = F.ceil(F.col("deg") / most).cast("int")
+    # every node but hubs is one part, so the first join meets few nodes; the second has one row a node on its side, and hot ones are split at run time
+    hubs = small(degree.filter(F.col("deg") > most).select("src", parts.alias("own")))
+    into = degree.select(F.col("src").alias("dst"), F.col("deg").alias("ends"), parts.alias("parts"))
+    own = F.coalesce("own", F.lit(1))
+    dealt = cut(adjacent.join(hubs, "src", "left").join(into, "dst").select("src", F.pmod(F.xxhash64("dst"), own).cast("int").alias("part"), "dst", "ends", "parts"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a checkpoint keeps the partitioning of a plan that cannot change any more
+    try:
+        return cut(dealt.repartition(width, "src", "part").sortWithinPartitions("src", "part"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def push_round(state: DataFrame, table: DataFrame, ready: Column, alpha: float = RESTART) -> DataFrame:
+    """One round of pushes; state: qid, node, mass, residual, ends, parts, and ``ready`` says which rows spread."""
+    # part -1 carries a row's own state past the edges; the other parts meet the edges of the node
+    parts = F.concat(F.array(F.lit(-1)), F.when(ready, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array().cast("array<int>")))
+    sent = state.select("*", ready.alias("ready"), F.explode(parts).alias("part")).withColumnRenamed("node", "src").withColumnsRenamed({"ends": "own_ends", "parts": "own_parts"})
+    met = sent.join(table, ["src", "part"], "left")
+    own = F.col("part") == -1
+    moved = met.select(
+        "qid",
+        F.when(own, F.col("src")).otherwise(F.col("dst")).alias("node"),
+        F.when(own, F.col("mass") + F.when(F.col("ready"), alpha * F.col("residual")).otherwise(0.0)).otherwise(0.0).alias("mass"),
+        F.when(own, F.when(F.col("ready"), 0.0).otherwise(F.col("residual"))).otherwise((1 - alpha) * F.col("residual") / F.col("own_ends")).alias("residual"),
+        F.when(own, F.col("own_ends")).otherwise(F.col("ends")).alias("ends"),
+        F.when(own, F.col("own_parts")).otherwise(F.col("parts")).alias("parts"),
+    ).filter("node is not null")
+    return moved.groupBy("qid", "node").agg(F.sum("mass").alias("mass"), F.sum("residual").alias("residual"), F.first("ends").alias("ends"), F.first("parts").alias("parts"))
+
+
+def forward_push(table: DataFrame, restart: DataFrame, tolerance: float = 1e-4, alpha: float = RESTART, every: int = 4, rounds: int = 400, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """Personalized PageRank of many walkers over one undirected graph: qid, node, mass, residual.
+
+    table: ``push_table`` of the graph; restart: qid, node, mass (nodes outside
+    the graph are left out, and a walker without nodes has no rows).
+
+    A walker keeps settled mass and a residual for each node it has reached.
+    In a round every residual of at least epsilon a neighbour leaves its share
+    alpha behind and spreads the rest; the others wait, so a walker touches
+    1 / (alpha * epsilon) edges at most, however large the graph. Residuals
+    below epsilon a neighbour take at most epsilon * (neighbours of u) from the
+    mass of a node u; with epsilon = tolerance / (largest number of
+    neighbours) no mass is more than ``tolerance`` below the exact one, and
+    none is above it. Raises where residuals are left after ``rounds`` rounds.
+    """
+    known = table.groupBy(F.col("dst").alias("node")).agg(F.first("ends").alias("ends"), F.first("parts").alias("parts"))
+    state = settle(restart.groupBy("qid", "node").agg(F.sum("mass").alias("residual")).join(known, "node").select("qid", "node", F.lit(0.0).alias("mass"), "residual", "ends", "parts"))
+    largest = table.agg(F.max("ends")).first()[0]
+    if largest is None:
+        return state.select("qid", "node", "mass", "residual")
+    ready = F.col("residual") >= F.col("ends") * F.lit(tolerance / largest)
+    for k in range(1, rounds + 1):
+        state = push_round(state, table, ready, alpha)
+        if k % every == 0 or k == rounds:
+            state = settle(state)
+            if state.filter(ready).limit(1).count() == 0:
+                return state.select("qid", "node", "mass", "residual")
+    raise RuntimeError(f"residuals are left after {rounds} rounds; raise rounds or the tolerance")
+
+
 def drop_edges(edges: DataFrame, runs: int, share: float = 0.1) -> DataFrame:
     """Perturbed copies of a graph: a stable hash of run and edge drops a share of the edges, the same in every engine."""
     run = edges.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))

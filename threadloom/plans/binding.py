@@ -164,6 +164,22 @@ class Retrieval:
         ranked = D.page_rank(D.cut(G.both_ways(self.run_edges, ("qid", "run"))), start, self.limits.steps, tolerance=self.limits.tolerance)
         return D.cut(ranked.select("qid", F.col("run").cast("int").alias("run"), "node", "mass"))
 
+    @cached_property
+    def corpus_sources(self) -> DataFrame:
+        """Even mass on each question's anchors as entities of the whole corpus: qid, node, mass."""
+        named = self.anchors.select("qid", G.entity_node(F.col("token")).alias("node")).distinct()
+        return named.join(self.corpus_adjacent.select(F.col("src").alias("node")).distinct(), "node", "left_semi").withColumn("mass", 1 / F.count(F.lit(1)).over(Window.partitionBy("qid")))
+
+    @cached_property
+    def corpus_adjacent(self) -> DataFrame:
+        """The corpus graph both ways: src, dst."""
+        return D.cut(G.both_ways(G.corpus_graph(self.docs)))
+
+    @cached_property
+    def corpus_mass(self) -> DataFrame:
+        """PageRank of every question over the corpus graph: qid, node, mass, residual."""
+        return D.forward_push(D.push_table(self.corpus_adjacent), self.corpus_sources)
+
     @cached_property
     def sentences(self) -> DataFrame:
         """Text units of the contexts: qid, node, doc_id, unit_idx, text."""

@@ -323,6 +323,13 @@ def ppr_converged(r):
     return D.top_nodes(ranked.withColumn("mass", F.round("mass", 4)), 10).select("qid", "rank", "node", "mass")
 
 
+@on_retrieval("corpus_diffusion")
+def corpus_diffusion(r):
+    """The 20 nodes of the whole corpus graph that each question's walk reaches most."""
+    ranked = r.corpus_mass.withColumn("mass", T.settled(F.col("mass"), 4))
+    return D.top_nodes(ranked, 20, ("qid",)).select("qid", "rank", "node", "mass")
+
+
 @on_retrieval("random_walks")
 def random_walks(r):
     return D.random_walks(r.adjacent, r.sources).select("qid", "source", "node", F.round("score", 6).alias("score"))
