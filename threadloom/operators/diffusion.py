@@ -148,34 +148,48 @@ def push_round(state: DataFrame, table: DataFrame, ready: Column, alpha: float =
     return moved.groupBy("qid", "node").agg(F.sum("mass").alias("mass"), F.sum("residual").alias("residual"), F.first("ends").alias("ends"), F.first("parts").alias("parts"))
 
 
-def forward_push(table: DataFrame, restart: DataFrame, tolerance: float = 1e-4, alpha: float = RESTART, every: int = 4, rounds: int = 400, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
-    """Personalized PageRank of many walkers over one undirected graph: qid, node, mass, residual.
+def forward_push(table: DataFrame, restart: DataFrame, tolerance: float = 1e-4, side: Callable[[Column], Column] | None = None, alpha: float = RESTART, every: int = 4, rounds: int = 400, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """Personalized PageRank of many walkers over one undirected graph: qid, node, mass, each within ``tolerance``.
 
     table: ``push_table`` of the graph; restart: qid, node, mass (nodes outside
-    the graph are left out, and a walker without nodes has no rows).
+    the graph are left out, and a walker without nodes has no rows). side: of
+    a graph whose edges all join two sides, true for the nodes of one.
 
     A walker keeps settled mass and a residual for each node it has reached.
     In a round every residual of at least epsilon a neighbour leaves its share
     alpha behind and spreads the rest; the others wait, so a walker touches
     1 / (alpha * epsilon) edges at most, however large the graph. Residuals
     below epsilon a neighbour take at most epsilon * (neighbours of u) from the
-    mass of a node u; with epsilon = tolerance / (largest number of
-    neighbours) no mass is more than ``tolerance`` below the exact one, and
-    none is above it. Raises where residuals are left after ``rounds`` rounds.
+    mass of a node u; epsilon is tolerance / (largest number of neighbours).
+
+    A walker that has reached the whole graph ends sooner: residuals in
+    proportion to the neighbours spread in closed form (as those of opposite
+    sign on two sides do, damped), so only what departs from the proportion
+    counts. Raises where walkers are left after ``rounds`` rounds.
     """
-    known = table.groupBy(F.col("dst").alias("node")).agg(F.first("ends").alias("ends"), F.first("parts").alias("parts"))
+    side = side or (lambda node: F.lit(True))
+    known = settle(table.groupBy(F.col("dst").alias("node")).agg(F.first("ends").alias("ends"), F.first("parts").alias("parts")))
     state = settle(restart.groupBy("qid", "node").agg(F.sum("mass").alias("residual")).join(known, "node").select("qid", "node", F.lit(0.0).alias("mass"), "residual", "ends", "parts"))
-    largest = table.agg(F.max("ends")).first()[0]
+    largest, here, there = known.agg(F.max("ends"), F.count_if(side(F.col("node"))), F.count_if(~side(F.col("node")))).first()
     if largest is None:
-        return state.select("qid", "node", "mass", "residual")
+        return state.select("qid", "node", "mass")
     ready = F.col("residual") >= F.col("ends") * F.lit(tolerance / largest)
+    each, one = F.col("residual") / F.col("ends"), side(F.col("node"))
+    level = lambda of, nodes: F.when(F.count_if(of) == nodes, (F.max(F.when(of, each)) + F.min(F.when(of, each))) / 2)
+    apart = lambda of: F.coalesce((F.max(F.when(of, each)) - F.min(F.when(of, each))) / 2, F.lit(0.0))
     for k in range(1, rounds + 1):
         state = push_round(state, table, ready, alpha)
         if k % every == 0 or k == rounds:
             state = settle(state)
-            if state.filter(ready).limit(1).count() == 0:
-                return state.select("qid", "node", "mass", "residual")
-    raise RuntimeError(f"residuals are left after {rounds} rounds; raise rounds or the tolerance")
+            # levels are null where a side is not reached whole, and of no account where it has no nodes
+            ends = state.groupBy("qid").agg(level(one, here).alias("a"), (level(~one, there) if there else F.max(F.lit(0.0))).alias("b"), F.greatest(apart(one), apart(~one)).alias("apart"), F.count_if(ready).alias("waiting"))
+            even = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("apart") * largest <= tolerance)
+            ends = settle(ends.select("qid", "a", "b", "waiting", even.alias("even")))
+            if ends.filter((F.col("waiting") > 0) & ~F.col("even")).limit(1).count() == 0:
+                same, turned = ((F.col("a") + F.col("b")) / 2, (F.col("a") - F.col("b")) / 2) if there else (F.col("a"), F.lit(0.0))
+                rest = F.col("ends") * (same + F.when(one, turned).otherwise(-turned) * (alpha / (2 - alpha)))
+                return state.join(ends, "qid").select("qid", "node", (F.col("mass") + F.when(F.col("even"), rest).otherwise(0.0)).alias("mass"))
+    raise RuntimeError(f"walkers are left after {rounds} rounds; raise rounds or the tolerance")
 
 
 def drop_edges(edges: DataFrame, runs: int, share: float = 0.1) -> DataFrame:

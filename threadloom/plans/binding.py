@@ -177,8 +177,8 @@ class Retrieval:
 
     @cached_property
     def corpus_mass(self) -> DataFrame:
-        """PageRank of every question over the corpus graph: qid, node, mass, residual."""
-        return D.forward_push(D.push_table(self.corpus_adjacent), self.corpus_sources)
+        """PageRank of every question over the corpus graph, whose edges join chunks and entities: qid, node, mass."""
+        return D.forward_push(D.push_table(self.corpus_adjacent), self.corpus_sources, side=G.is_text)
 
     @cached_property
     def sentences(self) -> DataFrame:
