@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import tempfile
 from collections.abc import Callable
 from functools import reduce
@@ -148,12 +150,11 @@ def push_round(state: DataFrame, table: DataFrame, ready: Column, alpha: float =
     return moved.groupBy("qid", "node").agg(F.sum("mass").alias("mass"), F.sum("residual").alias("residual"), F.first("ends").alias("ends"), F.first("parts").alias("parts"))
 
 
-def forward_push(table: DataFrame, restart: DataFrame, tolerance: float = 1e-4, side: Callable[[Column], Column] | None = None, alpha: float = RESTART, every: int = 4, rounds: int = 400, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def forward_push(table: DataFrame, restart: DataFrame, tolerance: float = 1e-4, alpha: float = RESTART, wide: float = 0.1, every: int = 2, rounds: int = 400, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Personalized PageRank of many walkers over one undirected graph: qid, node, mass, each within ``tolerance``.
 
     table: ``push_table`` of the graph; restart: qid, node, mass (nodes outside
-    the graph are left out, and a walker without nodes has no rows). side: of
-    a graph whose edges all join two sides, true for the nodes of one.
+    the graph are left out, and a walker without nodes has no rows).
 
     A walker keeps settled mass and a residual for each node it has reached.
     In a round every residual of at least epsilon a neighbour leaves its share
@@ -162,34 +163,83 @@ def forward_push(table: DataFrame, restart: DataFrame, tolerance: float = 1e-4,
     below epsilon a neighbour take at most epsilon * (neighbours of u) from the
     mass of a node u; epsilon is tolerance / (largest number of neighbours).
 
-    A walker that has reached the whole graph ends sooner: residuals in
-    proportion to the neighbours spread in closed form (as those of opposite
-    sign on two sides do, damped), so only what departs from the proportion
-    counts. Raises where walkers are left after ``rounds`` rounds.
+    A walker that has reached more than the share ``wide`` of the nodes goes
+    on in ``wide_push`` from what it has. Looked up every ``every`` rounds;
+    raises where walkers are left after ``rounds``.
     """
-    side = side or (lambda node: F.lit(True))
     known = settle(table.groupBy(F.col("dst").alias("node")).agg(F.first("ends").alias("ends"), F.first("parts").alias("parts")))
     state = settle(restart.groupBy("qid", "node").agg(F.sum("mass").alias("residual")).join(known, "node").select("qid", "node", F.lit(0.0).alias("mass"), "residual", "ends", "parts"))
-    largest, here, there = known.agg(F.max("ends"), F.count_if(side(F.col("node"))), F.count_if(~side(F.col("node")))).first()
+    largest, nodes = known.agg(F.max("ends"), F.count(F.lit(1))).first()
     if largest is None:
         return state.select("qid", "node", "mass")
     ready = F.col("residual") >= F.col("ends") * F.lit(tolerance / largest)
-    each, one = F.col("residual") / F.col("ends"), side(F.col("node"))
-    level = lambda of, nodes: F.when(F.count_if(of) == nodes, (F.max(F.when(of, each)) + F.min(F.when(of, each))) / 2)
-    apart = lambda of: F.coalesce((F.max(F.when(of, each)) - F.min(F.when(of, each))) / 2, F.lit(0.0))
+    done, reached = [], []
     for k in range(1, rounds + 1):
         state = push_round(state, table, ready, alpha)
-        if k % every == 0 or k == rounds:
-            state = settle(state)
-            # levels are null where a side is not reached whole, and of no account where it has no nodes
-            ends = state.groupBy("qid").agg(level(one, here).alias("a"), (level(~one, there) if there else F.max(F.lit(0.0))).alias("b"), F.greatest(apart(one), apart(~one)).alias("apart"), F.count_if(ready).alias("waiting"))
-            even = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("apart") * largest <= tolerance)
-            ends = settle(ends.select("qid", "a", "b", "waiting", even.alias("even")))
-            if ends.filter((F.col("waiting") > 0) & ~F.col("even")).limit(1).count() == 0:
-                same, turned = ((F.col("a") + F.col("b")) / 2, (F.col("a") - F.col("b")) / 2) if there else (F.col("a"), F.lit(0.0))
-                rest = F.col("ends") * (same + F.when(one, turned).otherwise(-turned) * (alpha / (2 - alpha)))
-                return state.join(ends, "qid").select("qid", "node", (F.col("mass") + F.when(F.col("even"), rest).otherwise(0.0)).alias("mass"))
-    raise RuntimeError(f"walkers are left after {rounds} rounds; raise rounds or the tolerance")
+        if k % every and k < rounds:
+            continue
+        state = settle(state)
+        fate = F.when(F.count_if(ready) == 0, "done").when(F.count(F.lit(1)) > wide * nodes, "wide").otherwise("going")
+        walkers = settle(state.groupBy("qid").agg(fate.alias("fate")))
+        counts = dict(walkers.groupBy("fate").count().collect())
+        if counts.get("going", 0) < sum(counts.values()):
+            told = state.join(small(walkers), "qid")
+            done.append(told.filter("fate = 'done'").select("qid", "node", "mass"))
+            if "wide" in counts:
+                reached.append(told.filter("fate = 'wide'").drop("fate"))
+            state = settle(told.filter("fate = 'going'").drop("fate")) if "going" in counts else None
+        if not counts.get("going"):
+            break
+    else:
+        raise RuntimeError(f"walkers are left after {rounds} rounds; raise rounds or the tolerance")
+    if reached:
+        done.append(wide_push(table, reduce(DataFrame.union, reached), tolerance, largest, alpha, settle=settle))
+    return reduce(DataFrame.union, done) if done else state.select("qid", "node", "mass")
+
+
+def wide_push(table: DataFrame, state: DataFrame, tolerance: float, largest: int, alpha: float = RESTART, together: int = 16, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """The rest of walks that fill the graph: qid, node, mass, from the state of ``push_round``.
+
+    Up to ``together`` walkers share the rows of a block, a column each, so an
+    edge is met once for all of them. The residuals are solved for by the
+    second-order Richardson iteration for a symmetric walk, whose values lie
+    within b = 1 - alpha of zero; its factors are the same in all rounds, so the
+    rounds share their compiled code. Over nodes weighed by 1 / neighbours, a
+    residual of norm t leaves an error of at most t * sqrt(neighbours of u) at
+    u, and k rounds shrink it to q^k * (1 + k * sqrt(1 - b^2)) of it or less,
+    with q = (1 - sqrt(1 - b^2)) / b; so the number of rounds is known before
+    the first.
+    """
+    ids = state.select("qid").distinct()
+    n = ids.count()
+    if not n:
+        return state.select("qid", "node", "mass")
+    shelves = -(-n // 4096)  # numbered apart, so no task numbers all walkers
+    each = min(together, n)
+    place = F.row_number().over(Window.partitionBy("shelf").orderBy("qid")) - 1
+    seats = settle(
+        ids.withColumn("shelf", F.pmod(F.xxhash64("qid"), F.lit(shelves))).withColumn("place", place)
+        .select("qid", (F.col("shelf") * (1 << 32) + F.floor(F.col("place") / each)).alias("block"), (F.col("place") % each).alias("seat"))
+    )
+    norm = state.groupBy("qid").agg(F.sqrt(F.sum(F.col("residual") * F.col("residual") / F.col("ends"))).alias("norm")).agg(F.max("norm")).first()[0]
+    reach = 1 - alpha
+    root = math.sqrt(1 - reach * reach)
+    q, goal = (1 - root) / reach, tolerance / math.sqrt(largest)
+    rounds = next(k for k in itertools.count() if norm * q**k * (1 + k * root) <= goal)
+    at, slots = ["block", "node"], range(each)
+    of = lambda name, value: [F.sum(F.when(F.col("seat") == i, value).otherwise(0.0)).alias(f"{name}{i}") for i in slots]
+    # x: settled mass in units of alpha; r: residual; d: the step to take
+    now = state.join(small(seats), "qid").groupBy(*at).agg(F.first("ends").alias("ends"), F.first("parts").alias("parts"), *of("x", F.col("mass") / alpha), *of("r", F.col("residual")), *of("d", F.col("residual")))
+    now = settle(now)
+    for _ in range(rounds):
+        sent = now.select("block", F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *((reach * F.col(f"d{i}") / F.col("ends")).alias(f"d{i}") for i in slots))
+        met = sent.join(table, ["src", "part"]).groupBy("block", F.col("dst").alias("node"))
+        moved = met.agg(F.first("ends").alias("to_ends"), F.first("parts").alias("to_parts"), *(F.sum(f"d{i}").alias(f"m{i}") for i in slots))
+        both = now.join(moved, at, "full_outer").fillna(0.0, [f"{c}{i}" for c in "xrdm" for i in slots])
+        left = both.select(*at, F.coalesce("ends", "to_ends").alias("ends"), F.coalesce("parts", "to_parts").alias("parts"), *((F.col(f"x{i}") + F.col(f"d{i}")).alias(f"x{i}") for i in slots), *((F.col(f"r{i}") - F.col(f"d{i}") + F.col(f"m{i}")).alias(f"r{i}") for i in slots), *(f"d{i}" for i in slots))
+        now = settle(left.select(*at, "ends", "parts", *(f"{c}{i}" for c in "xr" for i in slots), *((q * q * F.col(f"d{i}") + (1 + q * q) * F.col(f"r{i}")).alias(f"d{i}") for i in slots)))
+    single = now.select(*at, F.posexplode(F.array(*(alpha * F.col(f"x{i}") for i in slots))).alias("seat", "mass")).filter("mass > 0")
+    return single.join(small(seats), ["block", "seat"]).select("qid", "node", "mass")
 
 
 def drop_edges(edges: DataFrame, runs: int, share: float = 0.1) -> DataFrame:
