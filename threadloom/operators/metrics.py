@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .quantiles import beside, quantiles, tails
 
 RECALL_KS = (1, 2, 5, 10, 20, 30, 50, 100, 150, 200)
 
@@ -165,8 +166,9 @@ def loss_funnel(stages: dict[str, DataFrame], gold: DataFrame) -> DataFrame:
 
 def describe(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Count, mean, median, 90th percentile (linear interpolation) and maximum."""
-    q = lambda p: F.round(F.percentile(F.col(value), F.lit(p)), 6)
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), F.round(F.max(value), 6).alias("max"))
+    told = rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("max"))
+    found = quantiles(rows, by, {value: {"median": 0.5, "p90": 0.9}})
+    return beside(told, by, found, [*by, "n", "mean", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"), "max"])
 
 
 def pearson(rows: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
@@ -175,12 +177,9 @@ def pearson(rows: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.round(F.when(~flat, F.corr(x, y)), 6).alias("pearson"))
 
 
-def fast_slow(rows: DataFrame, value: str, ident: str, by: Sequence[str], share: float = 0.3) -> DataFrame:
-    """Means of the fastest and slowest share of each group (at least one row each)."""
-    w = Window.partitionBy(*by)
-    ranked = rows.select(*by, value, F.row_number().over(w.orderBy(value, ident)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    k = F.greatest(F.lit(1), F.floor(F.col("n") * share))
-    return ranked.groupBy(*by).agg(F.round(F.avg(F.when(F.col("r") <= k, F.col(value))), 6).alias("fast_mean"), F.round(F.avg(F.when(F.col("r") > F.col("n") - k, F.col(value))), 6).alias("slow_mean"))
+def fast_slow(rows: DataFrame, value: str, by: Sequence[str], share: float = 0.3) -> DataFrame:
+    """Means of the fastest and slowest share of each group (at least one row each); rows without a value take no part."""
+    return tails(rows, value, by, share).select(*by, F.round("low", 6).alias("fast_mean"), F.round("high", 6).alias("slow_mean"))
 
 
 def bottlenecks(rows: DataFrame, stage: str, value: str) -> DataFrame:

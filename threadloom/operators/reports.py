@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .quantiles import beside, quantiles
 from .sizes import small
 
 
@@ -93,11 +94,11 @@ def backfill(summaries: DataFrame, computed: DataFrame, keys: Sequence[str], col
 def length_audit(rows: DataFrame, text: str, by: Sequence[str], max_chars: int, max_tokens: int) -> DataFrame:
     """Lengths and clip rates: mean, exact percentiles, shares above the limits."""
     measured = rows.select(*by, F.length(text).alias("chars"), F.size(T.tokenize(F.col(text))).alias("tokens"))
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 4)
     over = lambda c, most: F.round(F.avg(F.when(F.col(c) > most, 1.0).otherwise(0.0)), 6)
-    return measured.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("chars"), 4).alias("mean_chars"), q("chars", 0.5).alias("p50_chars"), q("chars", 0.95).alias("p95_chars"), q("chars", 0.99).alias("p99_chars"), F.max("chars").cast("long").alias("max_chars"), over("chars", max_chars).alias("char_clip_rate"), q("tokens", 0.95).alias("p95_tokens"), over("tokens", max_tokens).alias("token_clip_rate")
-    )
+    told = measured.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("chars"), 4).alias("mean_chars"), F.max("chars").cast("long").alias("max_chars"), over("chars", max_chars).alias("char_clip_rate"), over("tokens", max_tokens).alias("token_clip_rate"))
+    found = quantiles(measured, by, {"chars": {"p50_chars": 0.5, "p95_chars": 0.95, "p99_chars": 0.99}, "tokens": {"p95_tokens": 0.95}})
+    q = [F.round(c, 4).alias(c) for c in ("p50_chars", "p95_chars", "p99_chars")]
+    return beside(told, by, found, [*by, "n", "mean_chars", *q, "max_chars", "char_clip_rate", F.round("p95_tokens", 4).alias("p95_tokens"), "token_clip_rate"])
 
 
 def weighted(parts: DataFrame, rates: Sequence[str], weight: str = "n") -> DataFrame:
@@ -108,7 +109,9 @@ def prompt_gate(prompts: DataFrame, text: str, most: int) -> DataFrame:
     """Token estimate of prompts (a quarter of the characters): percentiles, share above the limit, and whether none is."""
     size = prompts.select(F.ceil(F.length(text) / 4).alias("t"))
     over = F.avg(F.when(F.col("t") > most, 1.0).otherwise(0.0))
-    return size.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("t", F.lit(0.95)), 4).alias("p95"), F.round(F.percentile("t", F.lit(0.99)), 4).alias("p99"), F.max("t").cast("long").alias("most"), F.round(over, 6).alias("over_rate"), (over == 0).alias("passed"))
+    told = size.agg(F.count(F.lit(1)).alias("n"), F.max("t").cast("long").alias("most"), F.round(over, 6).alias("over_rate"), (over == 0).alias("passed"))
+    found = quantiles(size, (), {"t": {"p95": 0.95, "p99": 0.99}})
+    return beside(told, (), found, ["n", F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"), "most", "over_rate", "passed"])
 
 
 def pending_runs(planned: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -562,7 +562,7 @@ def latency_pearson(spark, sf):
 
 @query
 def fast_slow_groups(spark, sf):
-    return M.fast_slow(read(spark, sf, "events"), "value", "event_id", ["event_type"])
+    return M.fast_slow(read(spark, sf, "events"), "value", ["event_type"])
 
 
 @query
