@@ -7,10 +7,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
 
@@ -66,11 +70,57 @@ def sentence_layer(docs: DataFrame) -> DataFrame:
     )
 
 
+def pairs_in(chunks: Sequence[str], sentences: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Places (chunk, sentence) where a chunk's text contains a sentence's, in time that grows with their length and the pairs.
+
+    A chunk that contains a sentence has the sentence's inner words whole and in
+    order, so three of them (one, of a sentence of three or four words) say
+    which chunks to test. Sentences of one or two words have no inner one and are
+    looked up in all chunks at once. Empty sentences are in no chunk.
+    """
+    having: dict[tuple[str, ...], list[int]] = {}
+    for j, chunk in enumerate(chunks):
+        words = chunk.split(" ")
+        for part in {*zip(words), *zip(words, words[1:], words[2:])}:  # noqa: B905
+            having.setdefault(part, []).append(j)
+    at: dict[str, list[int]] = {}
+    for i, sentence in enumerate(sentences):
+        if sentence:
+            at.setdefault(sentence, []).append(i)
+    starts = list(accumulate((len(c) + 1 for c in chunks), initial=0))
+    joined = "\n".join(chunks)
+    for sentence, places in at.items():
+        words = sentence.split(" ")
+        if len(words) > 2:
+            found = [j for j in having.get(tuple(words[1:4] if len(words) > 4 else words[1:2]), ()) if sentence in chunks[j]]
+        else:
+            found, here = [], joined.find(sentence)
+            while here >= 0:
+                j = bisect_right(starts, here) - 1
+                if here + len(sentence) <= starts[j + 1] - 1:
+                    found.append(j)
+                    here = joined.find(sentence, starts[j + 1])
+                else:  # it runs over the chunk's end
+                    here = joined.find(sentence, here + 1)
+        yield from ((j, i) for j in found for i in places)
+
+
+def contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, chunk_idx, unit_idx) of documents (doc_id, chunks, sentences); some ten thousand a batch."""
+    for batch in batches:
+        ids, chunks, sentences = batch.columns
+        for row in range(batch.num_rows):
+            pairs = pairs_in(chunks[row].as_py() or [], sentences[row].as_py() or [])
+            while some := list(islice(pairs, 20_000)):
+                yield pa.RecordBatch.from_arrays([pa.repeat(ids[row], len(some)), *(pa.array(side, pa.int32()) for side in zip(*some, strict=True))], ["doc_id", "chunk_idx", "unit_idx"])
+
+
 def containment_edges(docs: DataFrame, **window: int) -> DataFrame:
-    """Chunks and the sentences of the same document that they contain: an equi-join on the document, then a substring test."""
-    chunks = chunk_table(docs, **window).select("doc_id", F.col("unit_idx").alias("chunk_idx"), F.col("text").alias("chunk"))
-    sents = sentence_table(docs).select("doc_id", "unit_idx", T.squash(F.col("text")).alias("sentence")).filter("sentence != ''")
-    held = chunks.join(sents, "doc_id").filter(F.contains("chunk", "sentence"))
+    """Chunks and the sentences of the same document that they contain: within a document's row, without a join or shuffle. Documents without an id have no nodes."""
+    whole = F.transform(T.sentences(F.col("text")), T.squash)
+    units = docs.filter("doc_id is not null").select("doc_id", T.passage_chunks(F.col("text"), **window).alias("chunks"), whole.alias("sentences"))
+    schema = StructType([StructField("doc_id", units.schema["doc_id"].dataType), StructField("chunk_idx", IntegerType()), StructField("unit_idx", IntegerType())])
+    held = units.mapInArrow(contained, schema)
     return held.select(chunk_node(F.col("doc_id"), F.col("chunk_idx")).alias("src"), sentence_node(F.col("doc_id"), F.col("unit_idx")).alias("dst"), F.lit("chunk_contains").alias("edge_type"), F.lit("chunk").alias("support_layer"))
 
 
