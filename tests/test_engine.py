@@ -239,7 +239,7 @@ def test_question_stream(spark, tmp_path):
 
 QUICK = ["token_stats", "sentence_split", "sentence_chunks", "answer_normalize", "em_f1_parity", "graph_edges", "support_topk", "context_proposals", "cosine_topk", "heuristic_answer", "recall_at_k", "loss_funnel", "latency_describe", "pareto_winners", "guarded_topk", "length_audit"]
 QUICK += ["seed_components", "greedy_seeds", "run_scores", "pair_shortlist", "corridor_nodes", "corridor_rerank", "unit_features", "corridor_components", "package_choice", "render_mmr", "top1_correction", "corridor_coverage_order"]
-QUICK += ["path_bundles", "ordered_units", "excerpt_selection", "grounded_context", "semantic_lookup", "bridged_proposals", "support_debug", "hybrid_anchors", "error_buckets", "derived_metrics", "priority_recommendation", "recomputed_metrics", "chunk_contains_sentence", "fast_slow_groups", "prompt_gate", "length_audit_total"]
+QUICK += ["path_bundles", "ordered_units", "excerpt_selection", "grounded_context", "semantic_lookup", "bridged_proposals", "support_debug", "hybrid_anchors", "error_buckets", "derived_metrics", "priority_recommendation", "recomputed_metrics", "chunk_contains_sentence", "entity_texts", "semantic_records", "fast_slow_groups", "prompt_gate", "length_audit_total"]
 #: All of them, where asked for: some minutes more.
 if os.environ.get("ALL_QUERIES"):
     QUICK = sorted(ORACLES)

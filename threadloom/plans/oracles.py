@@ -75,6 +75,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "centers": (("sents", "sim"), "select * from (select s.qid, doc_id, unit_idx, row_number() over (partition by s.qid order by sim desc, doc_id, unit_idx) rank from sents s join sim on s.qid = sim.qid and s.node = sim.node) where rank <= 5"),
     "exc": (("centers", "sents"), "select c.qid, c.rank, c.doc_id, c.unit_idx center, count(*) n, string_agg(s.text, ' ' order by s.unit_idx) excerpt from centers c join (select distinct doc_id, unit_idx, text from sents) s on s.doc_id = c.doc_id and s.unit_idx between c.unit_idx - 1 and c.unit_idx + 1 group by all"),
     "redges": (("edges",), f"select run, qid, src, dst from (select distinct qid, src, dst from edges), (select unnest(range({RUNS})) run) where ('0x' || substr(sha1(run || '|' || qid || '|' || least(src, dst) || '|' || greatest(src, dst)), 1, 8))::bigint >= {int(0.1 * (1 << 32))}"),
+    "etext": (("dsent",), f"select 'e::' || tok node, 'Entity: ' || tok || chr(10) || 'Context: ' || string_agg(text, ' ' order by rn) text from (select *, row_number() over (partition by tok order by node) rn from (select tok, text, min('s::' || doc_id || ':' || unit_idx) node from (select doc_id, unit_idx, text, unnest(list_distinct({entity('text')})) tok from dsent) group by tok, text)) where rn <= 2 group by tok"),
     "chunks": ((), f"""select doc_id, text, row_number() over (partition by doc_id order by i) - 1 unit_idx from (select doc_id, text, min(i) i from (select doc_id, i, {squash(strip("substr(array_to_string(list_slice(l, i + 1, i + 3), ' '), 1, 900)"))} text from (select doc_id, l, unnest(case when len(l) <= 3 then [0] else range(0, len(l), 2) end) i from (select doc_id, {sentences('text')} l from documents)) where i = 0 or len(l) <= 3 or (i + 1 < len(l) and least(len(l), i + 3) - i >= 2)) where text <> '' group by doc_id, text)"""),
     "cedge": (("chunks",), f"select distinct 'c::' || doc_id || ':' || unit_idx src, 'e::' || unnest(list_distinct({entity('text')})) dst from chunks"),
 }
@@ -180,6 +181,8 @@ ORACLES: dict[str, str] = {
     "sentence_layer": f"select distinct 's::' || doc_id || ':' || unit_idx src, 'e::' || unnest(list_distinct({entity('text')})) dst from (select doc_id, unnest(l) text, unnest(range(len(l))) unit_idx from (select doc_id, {sentences('text')} l from documents))",
     "graph_stats": sql("select 'node' what, 'chunk' kind, count(distinct src) n from cedge union all select 'node', 'entity', count(distinct dst) from cedge union all select 'edge', 'entity_chunk_support', count(*) from cedge", "cedge"),
     "degree_table": sql("select node, count(*) degree from (select src node, dst o from cedge union select dst, src from cedge) group by node", "cedge"),
+    "entity_texts": sql("select * from etext", "etext"),
+    "semantic_records": sql("select 'entity' kind, node, text from etext union all select 'chunk', 'c::' || doc_id || ':' || unit_idx, case when trim(coalesce(d.source, '')) <> '' then 'Title: ' || trim(d.source) || chr(10) || 'Passage: ' || c.text else c.text end from chunks c join documents d using (doc_id)", "etext", "chunks"),
     "chunk_contains_sentence": sql(f"select 'c::' || c.doc_id || ':' || c.unit_idx src, 's::' || s.doc_id || ':' || s.unit_idx dst from chunks c join (select doc_id, unit_idx, {squash('text')} t from dsent) s on c.doc_id = s.doc_id and contains(c.text, s.t) where s.t <> ''", "chunks", "dsent"),
     "support_topk": sql("select * from (select dst entity, src chunk, row_number() over (partition by dst order by src) - 1 rank from cedge) where rank < 32", "cedge"),
     "support_topk_chunks": sql("select * from (select src chunk, dst entity, row_number() over (partition by src order by dst) - 1 rank from cedge) where rank < 8", "cedge"),

@@ -15,6 +15,7 @@ from ..operators import corridors as C
 from ..operators import diffusion as D
 from ..operators import graph as G
 from ..operators import metrics as M
+from ..operators import records as N
 from ..operators import render as R
 from ..operators import reports as P
 from ..operators import seeds as S
@@ -168,6 +169,26 @@ def chunk_contains_sentence(d):
     return G.containment_edges(d).select("src", "dst")
 
 
+def named_nodes(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, title, text) and edges of the sentence layer, and the chunks with their source for a title."""
+    edges = G.sentence_layer(d).select("src", "dst")
+    names = edges.select(F.col("dst").alias("node")).distinct().select("node", F.lit("").alias("title"), F.substring("node", 4, 1 << 20).alias("text"))
+    sents = G.sentence_table(d).select(G.sentence_node(F.col("doc_id"), F.col("unit_idx")).alias("node"), F.lit("").alias("title"), "text")
+    chunks = G.chunk_table(d, ("doc_id", "source")).select(G.chunk_node(F.col("doc_id"), F.col("unit_idx")).alias("node"), F.col("source").alias("title"), "text")
+    return names.union(sents).union(chunks), edges
+
+
+@on_docs("entity_texts")
+def entity_texts(d):
+    nodes, edges = named_nodes(d)
+    return N.entity_texts(nodes, edges)
+
+
+@on_docs("semantic_records")
+def semantic_records(d):
+    return N.semantic_records(*named_nodes(d))
+
+
 @on_docs("support_topk")
 def support_topk(d):
     return G.support_maps(G.corpus_graph(d))[0]
