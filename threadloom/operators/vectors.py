@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .diffusion import cut
 
 #: Queries packed into one block; a block is the unit that meets the vectors.
 QUERY_BLOCK = 256
@@ -36,12 +37,22 @@ def hashed_encoding(text: Column, dims: int = 64) -> Column:
     return normalize(counts)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def leaders(q: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, by similarity, ties to smaller ids."""
+    order = np.lexsort((ids, -sims, q))
+    q, ids, sims = q[order], ids[order], sims[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], sims[keep]
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, shelf: int = 64 * QUERY_BLOCK) -> DataFrame:
     """For each query (qid, vector) the k nearest rows (id, vector) by rounded cosine, ties to smaller ids.
 
-    Queries are packed into blocks, each block is sent to every partition group
-    of the vectors by an equi-join on the group, and a block multiplication
-    keeps k a query and batch, so pairs of rows are never materialized.
+    Queries are packed into blocks and dealt to shelves of about ``shelf``
+    queries; each shelf meets each partition group of the vectors in a task of
+    its own, by an equi-join on both. A task holds the queries of one shelf and
+    their k best rows so far; a block multiplication keeps what can still be
+    among them, so pairs of rows are never materialized. Null vectors take no part.
     """
     spark = vectors.sparkSession
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -51,32 +62,43 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6
             for i in range(0, b.num_rows, QUERY_BLOCK):
                 s = b.slice(i, QUERY_BLOCK)
                 m = np.asarray(s.column("vector").to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([s.column("qid").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([m.tobytes()])], names=["qids", "queries"])
+                yield pa.RecordBatch.from_arrays([pa.array([s.column("qid").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]), pa.array([m.tobytes()]), pa.array([s.num_rows])], names=["qids", "queries", "n"])
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
             is_query = b.column("qids").is_valid().to_numpy(zero_copy_only=False)
             for i in np.flatnonzero(is_query):
                 qids = np.frombuffer(b.column("qids")[i].as_py(), np.int64)
-                asked.append((qids, np.frombuffer(b.column("queries")[i].as_py()).reshape(len(qids), -1)))
+                q = np.frombuffer(b.column("queries")[i].as_py()).reshape(len(qids), -1)
+                asked.append((qids, q))
+                found.append((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)))
             rows = b.filter(pa.array(~is_query))
             if not rows.num_rows:
                 continue
             ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             m = np.asarray(rows.column("vector").to_pylist(), np.float64)
             norm = np.maximum(np.sqrt((m * m).sum(1)), 1e-12)
-            for qids, q in asked:
-                qn = np.maximum(np.sqrt((q * q).sum(1)), 1e-12)
-                sim = np.round((q @ m.T) / qn[:, None] / norm[None, :], digits)
-                for qid, row in zip(qids.tolist(), sim, strict=True):
-                    top = np.lexsort((ids, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(top)), pa.array(ids[top]), pa.array(row[top])], names=["qid", "id", "sim"])
-
-    packed = queries.select(F.col("qid").cast("long").alias("qid"), "vector").filter("vector is not null").mapInArrow(pack, "qids binary, queries binary")
-    left = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("group", F.lit(0).alias("kind"), "qids", "queries", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vector"))
-    right = vectors.filter("vector is not null").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("qids"), F.lit(None).cast("binary").alias("queries"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    met = left.unionByName(right).repartitionById(groups, F.col("group")).sortWithinPartitions("kind").mapInArrow(best, "qid long, id long, sim double")
+            last = min(k, len(ids)) - 1
+            for i, (_, q) in enumerate(asked):
+                sim = np.round(q @ m.T / np.maximum(np.sqrt((q * q).sum(1)), 1e-12)[:, None] / norm[None, :], digits)
+                sim[np.isnan(sim)] = -np.inf
+                floor = np.partition(sim, sim.shape[1] - 1 - last, axis=1)[:, -1 - last]
+                at, col = np.nonzero(sim >= floor[:, None])
+                new = (at, ids[col], sim[at, col])
+                found[i] = leaders(*(np.concatenate(x) for x in zip(found[i], new, strict=True)), k)
+        for (qids, _), (at, ids, sims) in zip(asked, found, strict=True):
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(ids), pa.array(np.where(np.isneginf(sims), np.nan, sims))], names=["qid", "id", "sim"])
+
+    packed = cut(queries.select(F.col("qid").cast("long").alias("qid"), "vector").filter("vector is not null").mapInArrow(pack, "qids binary, queries binary, n long"))
+    shelves = -(-(packed.agg(F.sum("n")).first()[0] or 1) // shelf)
+    row = F.pmod(F.xxhash64("qids"), F.lit(shelves)).cast("int") * groups
+    left = packed.select(F.explode(F.sequence(row, row + (groups - 1))).alias("group"), F.lit(0).alias("kind"), "qids", "queries", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("vector"))
+    mine = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    right = vectors.filter("vector is not null").select(F.explode(F.sequence(mine, mine + groups * (shelves - 1), F.lit(groups))).alias("group"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("qids"), F.lit(None).cast("binary").alias("queries"), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    met = left.unionByName(right).repartitionById(groups * shelves, F.col("group")).sortWithinPartitions("kind").mapInArrow(best, "qid long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "id")).cast("long")
     return met.withColumn("rank", rank).filter(F.col("rank") <= k)
 
