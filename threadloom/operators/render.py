@@ -79,7 +79,7 @@ def mmr(features: DataFrame, most: int = 10, weight: float = 0.25, corridors: in
         some = F.max(inside).over(Window.partitionBy("qid"))
         features = features.withColumn("__keep", inside | ~some).filter("__keep").drop("__keep")
     scored = features.withColumns({
-        "score": F.round(linear_score(features) + 0.25 * CONNECTOR * F.col("is_connector").cast("double"), 9),
+        "score": T.rounded(linear_score(features) + 0.25 * CONNECTOR * F.col("is_connector").cast("double"), 9),
         "tokens": F.array_distinct(T.tokenize(F.col("text"))), "role": flat_role(), "title": F.regexp_extract("node", r"^[a-z]::(.*):\d+$", 1),
     })
     balance = 0.10 * (CONNECTOR + SUPPORT)
@@ -216,7 +216,7 @@ def bundles(units: DataFrame, ranked: DataFrame, features: DataFrame, strategy:
     best = ranked.filter(F.col("place") <= corridors).select("qid", "corridor", F.col("place").alias("bundle"))
     rows = units.join(best, ["qid", "corridor"]).join(features.select("qid", "node", (F.col("base") + 0.35 * F.col("overlap")).alias("value")), ["qid", "node"])
     once = rows.groupBy("qid", "bundle", "node", "role").agg(F.max("value").alias("value"), F.min("pos").alias("pos"))
-    w = Window.partitionBy("qid", "bundle", "role").orderBy(F.desc(F.round("value", 6)), "pos", "node")
+    w = Window.partitionBy("qid", "bundle", "role").orderBy(F.desc(T.rounded(F.col("value"), 6)), "pos", "node")
     placed = once.withColumn("r", F.row_number().over(w))
     bridge = max(1, support // 2) if support else 0
     role = F.when(F.col("role") == "main", "anchor").when(F.col("r") <= bridge, "bridge").otherwise("answer")
@@ -318,7 +318,7 @@ def correct_head(features: DataFrame, head: int = 3, redundancy: float = 0.04) -
     """
     top = features.filter(F.col("pos") < head)
     score = sum((w * (F.col(c).cast("double") if c.startswith("is_") else T.min_max_vector(F.col(c).cast("double"), "qid")) for c, w in HEAD_WEIGHTS.items()), F.lit(0.0))
-    rows = top.withColumns({"score": F.round(score, 9), "tokens": F.array_distinct(T.content_tokens(F.col("text")))})
+    rows = top.withColumns({"score": T.rounded(score, 9), "tokens": F.array_distinct(T.content_tokens(F.col("text")))})
 
     def work(items: list[dict]) -> list[tuple]:
         for x in items:

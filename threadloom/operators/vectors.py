@@ -176,7 +176,7 @@ def fuse(rows: DataFrame, weight: float = 0.35, head: int = 80) -> DataFrame:
     """(qid, pos, base, sim): the first ``head`` re-ordered by (1 - w) base + w similarity, each to 0..1; the rest stays behind."""
     w = min(max(weight, 0.0), 1.0)
     top = rows.filter(F.col("pos") < head)
-    fused = top.withColumn("fused", F.round((1 - w) * T.min_max_list(F.col("base"), "qid") + w * T.min_max_list(F.col("sim"), "qid"), 9))
+    fused = top.withColumn("fused", T.rounded((1 - w) * T.min_max_list(F.col("base"), "qid") + w * T.min_max_list(F.col("sim"), "qid"), 9))
     both = fused.unionByName(rows.filter(F.col("pos") >= head).withColumn("fused", F.lit(None).cast("double")))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("fused").desc_nulls_last(), F.when(F.col("fused").isNotNull(), -F.col("sim")), "pos")).cast("long")
     return both.withColumn("rank", rank)
