@@ -753,3 +753,20 @@ def test_substring_dedup_with_clashing_columns(spark):
     got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, part long, h binary, n_words long"), 4).collect()
     plain = substrings.dedup_substrings(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), 4).collect()
     assert sorted(got) == sorted(plain) and sum(r["n_removed"] for r in got) == 24
+
+
+def test_mixing_fits_domains_that_are_kept_whole(spark):
+    """Projected gradient steps for them as well: documents that bring more of unwanted domains than of what clean ones lack lose more, clean ones stay, and no rate exceeds one."""
+    mix = mixing.Mix(wanted=("good_clean", "poor_clean"))
+    rows = [(10, *p) for p, n in (((1.0, 0.0, 0.0, 0.0), 700), ((0.6, 0.0, 0.4, 0.0), 200), ((0.0, 0.0, 1.0, 0.0), 100)) for _ in range(n)]
+    df = spark.createDataFrame(rows, ["n_tokens", *mixing.P])
+    steps = mixing.fit_steps(df, mix)
+    assert steps
+    out = df.withColumn("rate", mixing.held(mix) * mixing.folded(mixing.F.lit(1.0), steps, mix.most())).toPandas()
+    n, p, held = 10.0, out[mixing.P].to_numpy(), np.where(out.p_good_toxic == 0, 1.0, np.maximum(0, 1 - 2 * out.p_good_toxic))
+    target = (n * p).sum(0) * [1, 1, 0, 0]
+    rate = np.ones(len(out))
+    for _ in range(2000):
+        gap = (n * p * (held * rate)[:, None]).sum(0) - target
+        rate = np.clip(rate - p @ gap / (2 * n * len(out)), 0, 1)
+    assert (out.rate <= 1).all() and np.abs(out.rate - held * rate).max() < 0.02

@@ -56,6 +56,10 @@ class Mix:
     #: of each domain's own target
     tolerance: float = 1e-3
 
+    def most(self) -> float | None:
+        """The largest rate: one where domains are kept whole."""
+        return 1.0 if self.wanted else None
+
     def unwanted(self) -> list[str]:
         """Posteriors of the domains whose target is zero."""
         return [p for p, x in zip(P, DOMAINS, strict=True) if (x not in self.wanted if self.wanted else not self.weights.get(x, 0.0))]
@@ -144,13 +148,14 @@ def posteriors(docs: DataFrame, model: Column, mix: Mix) -> DataFrame:
     return found.select(*docs.columns, "n_tokens", *(s.alias(p) for s, p in zip(shares, P, strict=True)))
 
 
-def folded(start: Column, steps: list[list[float]]) -> Column:
-    """The rate that projected steps lead to: each holds every domain's weighted residual times the step size."""
+def folded(start: Column, steps: list[list[float]], most: float | None = None) -> Column:
+    """The rate that projected steps lead to: each holds every domain's weighted residual times the step size. Rates are cut at zero and, if given, at ``most``."""
     if not steps:
         return start
     held = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     # the posteriors are bound outside the fold, which would else compute them anew in every step
-    fold = lambda s: F.aggregate(held, s["start"], lambda r, g: F.greatest(F.lit(0.0), r - sum((s[p] * F.get(g, F.lit(i)) for i, p in enumerate(P)), F.lit(0.0))))
+    inside = (lambda r: F.greatest(F.lit(0.0), r)) if most is None else (lambda r: F.least(F.lit(most), F.greatest(F.lit(0.0), r)))
+    fold = lambda s: F.aggregate(held, s["start"], lambda r, g: inside(r - sum((s[p] * F.get(g, F.lit(i)) for i, p in enumerate(P)), F.lit(0.0))))
     return F.get(F.transform(F.array(F.struct(*P, start.alias("start"))), fold), F.lit(0))
 
 
@@ -167,38 +172,43 @@ def fit_steps(table: DataFrame, mix: Mix) -> list[list[float]]:
 
     Only domains with a target take part, over what the others leave (``held``);
     each one's residual counts against its own target, so a small one is not
-    taken for settled. Domains that are to be kept whole need no step.
+    taken for settled. Where domains are to be kept whole (``mix.wanted``), these
+    aim at all tokens that they have before the others are held back, the
+    others at none, all residuals count alike in tokens, and no rate exceeds
+    what ``held`` leaves of its document: no row is drawn twice.
     The driver holds one number per domain and step. A rate is a function of
     its document's posteriors and the steps so far, so no rate is stored
     between steps but once in eight, when the table is cut anew.
     """
-    if mix.wanted:
-        return []
     table = table.withColumns({"all_tokens": F.col("n_tokens"), "n_tokens": F.col("n_tokens") * held(mix)})
     d = range(len(P))
-    gram = table.agg(F.sum("all_tokens").alias("all"), *(F.sum(F.col("n_tokens") * F.col(p)).alias(f"a{i}") for i, p in enumerate(P)), *(F.sum(F.col("n_tokens") * F.col(P[i]) * F.col(P[j])).alias(f"g{i}{j}") for i in d for j in d)).first()
+    gram = table.agg(F.sum("all_tokens").alias("all"), *(F.sum(F.col("n_tokens") * F.col(p)).alias(f"a{i}") for i, p in enumerate(P)), *(F.sum(F.col("all_tokens") * F.col(p)).alias(f"w{i}") for i, p in enumerate(P)), *(F.sum(F.col("n_tokens") * F.col(P[i]) * F.col(P[j])).alias(f"g{i}{j}") for i in d for j in d)).first()
     own = [gram[f"a{i}"] or 0.0 for i in d]
     everything = float(gram["all"] or 0)
     if not sum(own):
         return []
-    weights = [mix.weights.get(x, 0.0) for x in DOMAINS]
-    target = [w / sum(weights) * everything for w in weights]
-    aims = [i for i in d if target[i]]
-    # residuals count in units of what a unit of all rates would change
-    scale = [1 / max(gram[f"g{i}{i}"], 1e-9 * everything) for i in d]
+    if mix.wanted:
+        target = [gram[f"w{i}"] if x in mix.wanted else 0.0 for i, x in enumerate(DOMAINS)]
+        aims, scale, size = list(d), [1 / everything for _ in d], [everything for _ in d]
+    else:
+        weights = [mix.weights.get(x, 0.0) for x in DOMAINS]
+        target = [w / sum(weights) * everything for w in weights]
+        aims = [i for i in d if target[i]]
+        # residuals count in units of what a unit of all rates would change
+        scale, size = [1 / max(gram[f"g{i}{i}"], 1e-9 * everything) for i in d], target
     bound = max(sum(abs(gram[f"g{i}{j}"]) * (scale[i] * scale[j]) ** 0.5 for j in aims) for i in aims)
     steps: list[list[float]] = []
     now, since, done = own, table.withColumn("rate", F.lit(1.0)), 0
     for _ in range(mix.steps):
-        if all(abs(now[i] - target[i]) <= mix.tolerance * target[i] for i in aims):
+        if all(abs(now[i] - target[i]) <= mix.tolerance * size[i] for i in aims):
             break
         steps.append([scale[i] * (now[i] - target[i]) / bound if i in aims else 0.0 for i in d])
-        rate = folded(F.col("rate"), steps[done:])
+        rate = folded(F.col("rate"), steps[done:], mix.most())
         if len(steps) - done == 8:
             since, done = common.durable(since.withColumn("rate", rate)), len(steps)
             rate = F.col("rate")
         before, now = now, _totals(since.withColumn("r", rate))
-        if all(abs(now[i] - before[i]) <= 0.01 * mix.tolerance * target[i] for i in aims):
+        if all(abs(now[i] - before[i]) <= 0.01 * mix.tolerance * size[i] for i in aims):
             break
     return steps
 
@@ -212,7 +222,7 @@ def mixed(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> tuple[Column,
     model = classifier(docs, labels, mix).scalar()
     table = common.durable(posteriors(docs.select("doc_id", "text"), model, mix).drop("text"))
     steps = fit_steps(table, mix)
-    return model, steps, table.withColumn("rate", held(mix) * folded(F.lit(1.0), steps))
+    return model, steps, table.withColumn("rate", held(mix) * folded(F.lit(1.0), steps, mix.most()))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,9 +234,9 @@ def keep_mixed(docs: DataFrame, labels: DataFrame, mix: Mix) -> DataFrame:
     model, steps, _ = mixed(docs, labels, mix)
     u = F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), 11).cast("double") * F.lit(2.0**-53)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), "doc_id", "text")
-    scored = posteriors(rows, model, mix).withColumn("rate", held(mix) * folded(F.lit(1.0), steps))
+    scored = posteriors(rows, model, mix).withColumn("rate", held(mix) * folded(F.lit(1.0), steps, mix.most()))
     times = (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     drawn = scored.select("__row", times.alias("__times")).filter("__times > 0")
-    if steps:  # without steps no rate exceeds one
+    if mix.most() is None:  # else no rate exceeds one
         drawn = drawn.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times"))))
     return drawn.select("__row.*")
