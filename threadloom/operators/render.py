@@ -79,10 +79,10 @@ def mmr(features: DataFrame, most: int = 10, weight: float = 0.25, corridors: in
         some = F.max(inside).over(Window.partitionBy("qid"))
         features = features.withColumn("__keep", inside | ~some).filter("__keep").drop("__keep")
     scored = features.withColumns({
-        "score": F.round(linear_score(features) + 0.25 * CONNECTOR * F.col("is_connector").cast("double"), 9),
+        "score": T.rounded(linear_score(features) + 0.25 * CONNECTOR * F.col("is_connector").cast("double"), 9),
         "tokens": F.array_distinct(T.tokenize(F.col("text"))), "role": flat_role(), "title": F.regexp_extract("node", r"^[a-z]::(.*):\d+$", 1),
     })
-    balance = 0.10 * (CONNECTOR + SUPPORT)
+    balance = (CONNECTOR + SUPPORT) / 10  # times .10 would be a hair above .04
 
     def work(items: list[dict]) -> list[tuple]:
         for x in items:
@@ -94,7 +94,7 @@ def mmr(features: DataFrame, most: int = 10, weight: float = 0.25, corridors: in
             lopsided = {"bridge": max(0, bridges - answers), "answer": max(0, answers - bridges - 1)}.get(x["role"], 0)
             return -0.20 * weight * same - balance * lopsided
 
-        return [(i + 1, x["node"], round(x["value"] + 1e-9, 6)) for i, x in enumerate(greedy(items, most, weight, extra))]
+        return [(i + 1, x["node"], T.settled_number(x["value"])) for i, x in enumerate(greedy(items, most, weight, extra))]
 
     return _per_question(scored, ["node", "score", "tokens", "role", "title"], "pos", work, "qid long, place long, node string, value double")
 
@@ -258,7 +258,7 @@ def package_scores(packed: DataFrame, features: DataFrame, questions: DataFrame)
     ground = T.ratio(F.size(F.array_intersect("asked", T.tokenize(F.col("excerpt")))), F.size("asked"))
     corridor = F.when(F.col("best_rank") < 10**9, F.col("best_rank") + 1).otherwise(1000)
     score = 0.50 / F.col("rank") + 0.20 * F.col("bridge").cast("double") + 0.15 * F.col("support") / 4 + 0.15 * ground + 0.05 / corridor
-    return joined.withColumn("score", F.round(score, 6))
+    return joined.withColumn("score", T.rounded(score, 6))
 
 
 def choose_packages(scored: DataFrame, most: int = 4, weight: float = 0.1) -> DataFrame:
@@ -267,7 +267,7 @@ def choose_packages(scored: DataFrame, most: int = 4, weight: float = 0.1) -> Da
     def work(items: list[dict]) -> list[tuple]:
         for x in items:
             x["tokens"] = set(x["tokens"])
-        return [(i + 1, x["rank"], round(x["value"] + 1e-9, 6)) for i, x in enumerate(greedy(items, most, weight))]
+        return [(i + 1, x["rank"], T.settled_number(x["value"])) for i, x in enumerate(greedy(items, most, weight))]
 
     return _per_question(rows, ["score", "tokens"], "rank", work, "qid long, place long, rank long, value double")
 
